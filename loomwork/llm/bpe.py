@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 _SHIFT = 21
 _PIECES = 400_000
 _CACHE = 400_000
-_CHARS = 6_000_000
+_CHARS = 3_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

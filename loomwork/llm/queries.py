@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, line_dedup, simhash, toxicity
+from loomwork.llm import bpe, line_dedup, mixing, simhash, toxicity
 from loomwork.session import table
 
 
@@ -32,6 +32,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    plan = mixing.mix_plan(docs)
+    return plan.select(F.col("id").alias("doc_id"), F.col("s").alias("source"), "block", "slot", "release", "deadline", "within")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = line_dedup.dedup_lines(docs)
@@ -71,9 +77,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe}
+    return {"op1_toxicity": op1_toxicity, "op5_mixing": op5_mixing, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_toxicity": op1_toxicity, "op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL}

@@ -16,12 +16,13 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,10 +66,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(each, schema)
 
 
+def _ball(name: str) -> Column:
+    """The fingerprint and its 64 one-bit flips."""
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(BITS)])
+    return F.transform(masks, lambda m: F.col(name).bitwiseXOR(m))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Star edges (u, v) between distinct ``fp`` at Hamming distance 2 or less."""
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(BITS)])
-    spread = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    spread = distinct.select("fp", F.explode(_ball("fp")).alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
     star = spread.select("fp", least.alias("v")).where("fp <> v").distinct()
     return star.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= 2).select(F.col("fp").alias("u"), "v")
@@ -85,8 +91,86 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(of_fp, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3) -> DataFrame:
-    """``docs`` less every row whose component has a smaller id; rows without an id stay."""
-    classes = near_classes(docs, id_col, text_col, words=words)
-    gone = classes.where(F.col("id") > F.col("component")).select(F.col("id").alias("__lw_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__lw_gone"], "left_anti")
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of 64-bit mixes of the hashes (SplitMix64's finalizer)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _votes(votes: np.ndarray, hashes: np.ndarray) -> None:
+    for k in range(len(votes)):
+        votes[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def sketch(text: bytes | None, words: int = 5, tables: int = 3, parts: int = 4) -> list[int]:
+    """``tables`` SimHashes of the single words, then ``parts`` of the shingles of ``words`` words."""
+    found = (text or b"").lower().split()
+    if not found:
+        return [0] * (tables + parts)
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(found) - words + 1)
+    single, shingled = np.zeros((tables, BITS), np.int64), np.zeros((parts, BITS), np.int64)
+    known: dict[bytes, int] = {}
+    for a in range(0, len(found), _CHUNK):
+        some = found[a : a + _CHUNK]
+        for w in set(some) - known.keys():
+            known[w] = digest(w)
+        _votes(single, np.array([known[w] for w in some], dtype="<u8"))
+        last = min(n, a + _CHUNK)
+        _votes(shingled, np.array([digest(b" ".join(found[i : i + words])) for i in range(a, last)], dtype="<u8"))
+    bits = np.packbits(np.concatenate([2 * single > len(found), 2 * shingled > n]), axis=1, bitorder="little")
+    return bits.view("<i8").reshape(-1).tolist()
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, tables: int = 3, parts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(node ids, star edges) of documents whose shingles' estimated Jaccard similarity reaches ``similarity``.
+
+    Candidates meet by ball hashing of ``tables`` SimHashes over single words,
+    which stay within 2 bits where shingles of several words differ much more.
+    They are verified by popcount over ``64 * parts`` bits of the shingles'
+    SimHash: similarity j shows as a share arccos(2j / (1 + j)) / pi of
+    differing bits; a margin of one and a half standard deviations is allowed.
+    Documents of one sketch are one node, its smallest id.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    size = BITS * parts
+    most = round(size * share + 1.5 * math.sqrt(size * share * (1 - share)))
+    names = [*(f"f{k}" for k in range(tables)), *(f"s{k}" for k in range(parts))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                made = np.array([sketch(x.as_py(), words, tables, parts) for x in batch.column(1)], dtype=np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(len(names))]], names=["id", *names])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names]])
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    nodes = cut(rows.mapInArrow(each, schema).groupBy(*names).agg(F.min("id").alias("node")))
+    near: DataFrame | None = None
+    for k in range(tables):
+        spread = nodes.select("node", F.explode(_ball(f"f{k}")).alias("variant"))
+        inside = Window.partitionBy("variant").orderBy("node")
+        first = F.min("node").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        met = spread.select("node", first.alias("a"), F.lag("node").over(inside).alias("b"))
+        # A star and a chain: all pairs of up to three, linear in the rest.
+        met = met.where("b is not null").select(F.col("node").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u <> v").distinct()
+        near = met if near is None else near.union(met)
+    own = nodes.select("node", *[f"s{k}" for k in range(parts)])
+    other = own.select(F.col("node").alias("v"), *[F.col(f"s{k}").alias(f"z{k}") for k in range(parts)])
+    pairs = near.distinct().join(own.withColumnRenamed("node", "u"), "u").join(other, "v")
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"z{k}"))) for k in range(parts)), F.lit(0))
+    return nodes.select("node"), pairs.where(differ <= most).select("u", "v")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the smallest id of each group of near copies; rows without an id stay.
+
+    Rows that repeat an id stay or go together.
+    """
+    nodes, edges = near_links(docs, id_col, text_col, words=words, similarity=similarity)
+    roots = star_components(edges)
+    kept = nodes.join(roots, "node", "left_anti").select(F.col("node").alias("__lw_kept"))
+    stay = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["__lw_kept"], "left_semi")
+    return stay.unionByName(docs.where(F.col(id_col).isNull()))
