@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, line_dedup, mixing, simhash, toxicity
+from loomwork.llm import bpe, chat, html, line_dedup, media, mixing, secrets, simhash, topk, toxicity
 from loomwork.session import table
 
 
@@ -32,6 +32,60 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = media.features(media.store_text(docs))
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"),
+    )
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_inner_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.verdicts(docs)
+    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+    printed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"] < len(secrets.BASE))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(printed(base), 256).alias("base_sha256"), printed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return chat.read_back(chat.format_turns(turns, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     plan = mixing.mix_plan(docs)
@@ -84,8 +138,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op5_mixing": op5_mixing, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "pipeline": pipeline}
+    return {
+        "op1_toxicity": op1_toxicity, "op2_media": op2_media, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing,
+        "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe,
+        "op10_html": op10_html, "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op3_topk": OP3_SQL, "op7_line_dedup": OP7_SQL}
