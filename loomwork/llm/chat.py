@@ -49,20 +49,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def assemble(role: str, text: str, own: Codec, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and loss mask of one turn."""
-
-    def content(x: str) -> list[int]:
-        return np.frombuffer(own.encode_long(escape(x)), "<i4").tolist()
-
+def assemble(role: str, named: list[int], content: list[int], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and loss mask of one turn from the ids of its escaped role and text."""
     if role == "user":
-        parts = [(INST, None), (None, content(text)), (END_INST, None)]
+        parts = [(INST, None), (None, content), (END_INST, None)]
     elif role == "assistant":
-        parts = [(None, content(text)), (EOS, None)]
+        parts = [(None, content), (EOS, None)]
     elif role == "system":
-        parts = [(SYS, None), (None, content(text)), (END_SYS, None)]
+        parts = [(SYS, None), (None, content), (END_SYS, None)]
     else:
-        parts = [(ROLE, None), (None, content(role)), (END_ROLE, None), (None, content(text)), (END, None)]
+        parts = [(ROLE, None), (None, named), (END_ROLE, None), (None, content), (END, None)]
     ids: list[int] = []
     edges = []
     for mark, body in parts:
@@ -92,9 +88,12 @@ def format_turns(turns: DataFrame, ranks: dict[bytes, int], pattern: str, *, con
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                made = [assemble(r.as_py(), t.as_py(), own, base) for r, t in zip(part.column(2), part.column(3), strict=True)]
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                roles = part.column(2).to_pylist()
+                # Segments are encoded one by one; their unseen words are replayed together.
+                coded = [np.frombuffer(x, "<i4").tolist() for x in own.encode_many([escape(x) for x in [*roles, *part.column(3).to_pylist()]])]
+                made = [assemble(r, a, b, base) for r, a, b in zip(roles, coded[: len(roles)], coded[len(roles) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([m.tobytes() for _, m in made], pa.binary())], names=names)
 
     return rows.mapInArrow(each, "conv_id long, turn long, role string, tie string, ids binary, mask binary")

@@ -109,17 +109,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = _hashed(docs, id_col, text_col, min_chars).join(owners, _KEY).where((F.col(_ID) > F.col(_OWNER)) | F.col(_ID).isNull())
     drops = hits.groupBy(_ID, _ROW).agg(F.sort_array(F.collect_set(_POS)).alias("__lw_drops"))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*docs.columns, F.xxhash64(text).alias("__lw_t"))
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    base = docs.select(*keep, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__lw_t"))
     same = base[id_col].eqNullSafe(drops[_ID]) & (base["__lw_t"] == drops[_ROW])
-    met = base.join(drops.hint("shuffle_hash"), same, "left").select(*[base[c] for c in docs.columns], "__lw_drops", _lines(base[text_col]).alias("__lw_lines"))
-    n, k = F.size("__lw_lines"), F.coalesce(F.size("__lw_drops"), F.lit(0))
-    met = met.select(*docs.columns, "__lw_drops", "__lw_lines", n.cast("long").alias("n_lines"), F.when(F.col("__lw_drops").isNull(), 0).otherwise(k).cast("long").alias("n_dropped"))
+    met = base.join(drops.hint("shuffle_hash"), same, "left").select(*[base[c] for c in keep], "__lw_drops", _lines(base[text_col]).alias("__lw_lines"))
+    n, k = F.size("__lw_lines"), F.size("__lw_drops")
+    met = met.select(*keep, "__lw_drops", "__lw_lines", n.cast("long").alias("n_lines"), F.when(F.col("__lw_drops").isNull(), 0).otherwise(k).cast("long").alias("n_dropped"))
     # The runs of lines between drops, so that the cost is linear in the lines.
     starts = F.concat(F.array(F.lit(0)), F.transform("__lw_drops", lambda d: d + 1))
     ends = F.concat(F.col("__lw_drops"), F.array(F.col("n_lines").cast("int")))
     spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
     kept = F.flatten(F.transform(spans, lambda x: F.slice("__lw_lines", x["s"] + 1, x["e"] - x["s"])))
     cut_text = F.when(F.col("__lw_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return met.select(*[cut_text.alias(c) if c == text_col else F.col(c) for c in keep], "n_lines", "n_dropped")

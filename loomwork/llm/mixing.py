@@ -65,7 +65,7 @@ def period_table(shares: DataFrame) -> DataFrame:
     return runs.selectExpr("x.s as s", "x.q as q", "p", "j", "slot", "j * p div x.q as release", "(j + 1) * p div x.q + if((j + 1) * p % x.q > 0, 1L, 0L) as deadline")
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = 64, period: int = 1000, bucket_rows: int = 20_000) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = 64, period: int = 1000, bucket_rows: int = 2_000) -> DataFrame:
     """(id, s, block, slot, release, deadline, within) of each (source, id); order by (slot, within).
 
     Documents are numbered per source without bringing a source together:

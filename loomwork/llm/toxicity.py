@@ -6,7 +6,7 @@ suffix; transitions tie neighbours. Token labels for training come from the
 document labels: words and prefixes that cover the toxic training documents
 and hardly occur in clean ones (greedy multi-cover) tag the tokens of toxic
 documents, all tokens of clean documents are clean. Forward-backward marginals
-give a document's expected number of toxic tokens, its surest token and the
+give a document's expected number of toxic tokens, its two surest tokens and the
 share of toxic tokens; a logistic on these is the score. Tokens whose marginal
 is at least ``span_at`` are the offending offsets.
 
@@ -28,6 +28,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (5, 7)
 _BLOCK = 256
 _CHARS = 4_000_000
 _CACHE = 400_000
@@ -55,7 +56,7 @@ class Model:
     bias: float = 0.0
     trans: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)  # log potentials 00, 01, 10, 11
     start: float = 0.0  # log potential of starting toxic
-    logit: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    logit: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
     prior: float | None = None  # set if nothing could be trained
 
 
@@ -129,15 +130,17 @@ def _scan_back(back: np.ndarray) -> np.ndarray:
 
 
 def _doc_rows(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per document: log1p of expected toxic tokens, surest token, share of toxic tokens."""
-    out = np.zeros((len(lengths), 3))
+    """Per document: log1p of expected toxic tokens, two surest tokens, share of toxic tokens."""
+    out = np.zeros((len(lengths), 4))
     full = np.flatnonzero(lengths)
     if len(full):
-        at = (np.cumsum(lengths) - lengths)[full]
-        total = np.add.reduceat(p, at)
-        out[full, 0] = np.log1p(total)
-        out[full, 1] = np.maximum.reduceat(p, at)
-        out[full, 2] = total / lengths[full]
+        n = lengths[full]
+        at = np.cumsum(n) - n
+        total, most = np.add.reduceat(p, at), np.maximum.reduceat(p, at)
+        rest, tops = p.copy(), np.flatnonzero(p == np.repeat(most, n))
+        _, first = np.unique(np.searchsorted(at, tops, side="right"), return_index=True)
+        rest[tops[first]] = 0.0
+        out[full] = np.column_stack([np.log1p(total), most, np.maximum.reduceat(rest, at), total / n])
     return out
 
 
@@ -153,10 +156,10 @@ def _cover(docs: list[set[str]], toxic: np.ndarray, times: int = 3) -> set[str]:
                 held[f].add(i)
         else:
             clean.update(found)
-    pool = {f: d for f, d in held.items() if len(d) >= 4 and len(d) / n1 >= 20 * (clean[f] + 0.5) / n0}
+    pool = {f: d for f, d in held.items() if len(d) >= 3 and len(d) / n1 >= 8 * (clean[f] + 0.5) / n0}
     left = np.where(toxic, times, 0)
     chosen: set[str] = set()
-    least = max(4, 0.003 * n1)
+    least = max(3, 0.003 * n1)
     gains = {f: len(d) for f, d in pool.items()}
     while gains:
         # Lazy greedy: gains only fall, so a stale best is recounted before it is taken.
@@ -178,10 +181,11 @@ def _cover(docs: list[set[str]], toxic: np.ndarray, times: int = 3) -> set[str]:
 
 def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: float = 0.1, decay: float = 0.3) -> Model:
     """Train on labelled texts; ``toxic_share`` is the share in the population, for the bias of the score."""
-    seen: dict[int, int] = {}
+    seen: dict[tuple[int, ...], int] = {}
     tokens = [[w.lower() for w in TOKEN.findall(x)] for x in texts]
     for i, words in enumerate(tokens):  # one of each group of near copies
-        seen.setdefault(min((crc32(w.encode()) for w in set(words) if len(w) >= 8), default=crc32(texts[i].encode())), i)
+        least = nsmallest(2, (crc32(w.encode()) for w in set(words) if len(w) >= 7))
+        seen.setdefault(tuple(least) if len(least) == 2 else (crc32(texts[i].encode()),), i)
     rows = sorted(seen.values())
     toxic = np.array([labels[i] == 1 for i in rows])
     if toxic.all() or not toxic.any():
@@ -201,7 +205,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: f
     support: Counter[str] = Counter()
     for t in tokens:
         support.update({f for w in set(t) for f in features(w)})
-    names = {f: k for k, f in enumerate(sorted(f for f, n in support.items() if n >= 4))}
+    names = {f: k for k, f in enumerate(sorted(f for f, n in support.items() if n >= 3))}
     pairs = [(i, names[f]) for w, i in words.items() for f in features(w) if f in names]
     wi, fi = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
 
@@ -225,11 +229,11 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: f
     p, _ = marginals(unary[ids], first, model.trans, model.start)
     x = np.column_stack([np.ones(len(lengths)), _doc_rows(p, lengths)])
     weight = np.where(toxic, toxic_share / toxic.sum(), (1 - toxic_share) / (~toxic).sum()) * len(toxic)
-    beta = np.zeros(4)
+    beta = np.zeros(5)
     for _ in range(40):  # damped Newton with a ridge
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         g = x.T @ (weight * (toxic - q)) - 0.05 * beta
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(4)
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(5)
         beta = beta + 0.7 * np.linalg.solve(h, g)
     model.logit = tuple(map(float, beta))
     return model
