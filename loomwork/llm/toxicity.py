@@ -28,7 +28,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from heapq import nsmallest
+from heapq import heapify, heappop, heappush, nsmallest
 from zlib import crc32
 
 import numpy as np
@@ -144,70 +144,84 @@ def _doc_rows(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cover(docs: list[set[str]], toxic: np.ndarray, times: int = 3) -> set[str]:
-    """Words and prefixes that cover toxic documents ``times`` times and hardly occur in clean ones."""
-    held: dict[str, set[int]] = defaultdict(set)
-    clean: Counter[str] = Counter()
+def _cover(docs: list[np.ndarray], toxic: np.ndarray, of_word: list[list[int]], times: int = 3) -> set[int]:
+    """Features that cover toxic documents ``times`` times and hardly occur in clean ones.
+
+    ``docs`` hold each document's distinct word ids, ``of_word`` a word's features.
+    """
+    held: dict[int, set[int]] = defaultdict(set)
+    clean: Counter[int] = Counter()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     for i, words in enumerate(docs):
-        found = {f for w in words for f in ("w=" + w, *["p=" + w[:k] for k in PREFIXES if len(w) > k])}
+        found = {f for w in words.tolist() for f in of_word[w]}
         if toxic[i]:
             for f in found:
                 held[f].add(i)
         else:
             clean.update(found)
-    pool = {f: d for f, d in held.items() if len(d) >= 3 and len(d) / n1 >= 8 * (clean[f] + 0.5) / n0}
+    pool = {f: list(d) for f, d in held.items() if len(d) >= 3 and len(d) / n1 >= 8 * (clean[f] + 0.5) / n0}
+    held.clear()
     left = np.where(toxic, times, 0)
-    chosen: set[str] = set()
+    chosen: set[int] = set()
     least = max(3, 0.003 * n1)
-    gains = {f: len(d) for f, d in pool.items()}
-    while gains:
+    heap = [(-len(d), f) for f, d in pool.items()]
+    heapify(heap)
+    while heap:
         # Lazy greedy: gains only fall, so a stale best is recounted before it is taken.
-        f = max(gains, key=lambda x: (gains[x], -len(x), x))
-        now = sum(left[i] > 0 for i in pool[f])
-        if now < gains[f]:
-            gains[f] = now
-            if now < least:
-                del gains[f]
-            continue
+        gain, f = heappop(heap)
+        at = pool[f]
+        now = int((left[at] > 0).sum())
         if now < least:
-            break
+            continue
+        if now < -gain:
+            heappush(heap, (-now, f))
+            continue
         chosen.add(f)
-        for i in pool[f]:
-            left[i] = max(0, left[i] - 1)
-        del gains[f]
+        left[at] = np.maximum(0, left[at] - 1)
     return chosen
 
 
 def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: float = 0.1, decay: float = 0.3) -> Model:
     """Train on labelled texts; ``toxic_share`` is the share in the population, for the bias of the score."""
-    seen: dict[tuple[int, ...], int] = {}
-    tokens = [[w.lower() for w in TOKEN.findall(x)] for x in texts]
-    for i, words in enumerate(tokens):  # one of each group of near copies
-        least = nsmallest(2, (crc32(w.encode()) for w in set(words) if len(w) >= 7))
-        seen.setdefault(tuple(least) if len(least) == 2 else (crc32(texts[i].encode()),), i)
-    rows = sorted(seen.values())
-    toxic = np.array([labels[i] == 1 for i in rows])
+    words: dict[str, int] = {}
+    seen: set[tuple[int, ...]] = set()
+    tokens: list[np.ndarray] = []
+    marks: list[bool] = []
+    for text, label in zip(texts, labels, strict=True):  # one of each group of near copies
+        own = [w.lower() for w in TOKEN.findall(text)]
+        least = nsmallest(2, (crc32(w.encode()) for w in set(own) if len(w) >= 7))
+        key = tuple(least) if len(least) == 2 else (crc32(text.encode()),)
+        if key not in seen:
+            seen.add(key)
+            tokens.append(np.array([words.setdefault(w, len(words)) for w in own], dtype=np.int32))
+            marks.append(label == 1)
+    toxic = np.array(marks, dtype=bool)
     if toxic.all() or not toxic.any():
         return Model(prior=(sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.0)
-    tokens = [tokens[i] for i in rows]
-    lexicon = _cover([set(t) for t in tokens], toxic)
+    index: dict[str, int] = {}
+    of_word = [[index.setdefault(f, len(index)) for f in features(w)] for w in words]
+    distinct = [np.unique(t) for t in tokens]
+    lexicon = _cover(distinct, toxic, [f[:-1] for f in of_word])  # not the suffix
 
-    words: dict[str, int] = {}
-    ids = np.array([words.setdefault(w, len(words)) for t in tokens for w in t], dtype=np.int64)
+    ids = np.concatenate(tokens).astype(np.int64)
     lengths = np.array([len(t) for t in tokens])
     of_doc = np.repeat(np.arange(len(tokens)), lengths)
-    marked = np.array([any(("w=" + w) in lexicon or ("p=" + w[:k]) in lexicon for k in range(1, len(w) + 1)) for w in words])
+    marked = np.array([not lexicon.isdisjoint(f[:-1]) for f in of_word])
     y = marked[ids] & toxic[of_doc]
     first = np.zeros(len(ids), dtype=bool)
     first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
 
-    support: Counter[str] = Counter()
-    for t in tokens:
-        support.update({f for w in set(t) for f in features(w)})
-    names = {f: k for k, f in enumerate(sorted(f for f, n in support.items() if n >= 3))}
-    pairs = [(i, names[f]) for w, i in words.items() for f in features(w) if f in names]
+    support = np.zeros(len(index), dtype=np.int64)
+    for t in distinct:
+        support[list({f for w in t.tolist() for f in of_word[w]})] += 1
+    used = np.flatnonzero(support >= 3)
+    place = np.full(len(index), -1)
+    place[used] = np.arange(len(used))
+    pairs = [(w, place[f]) for w, fs in enumerate(of_word) for f in fs if place[f] >= 0]
     wi, fi = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    listed = list(index)
+    names = {listed[f]: k for k, f in enumerate(used.tolist())}
+    del pairs, of_word, index, listed, distinct, tokens
 
     state = np.concatenate([[y[:-1] * 2 + y[1:]]]).reshape(-1)[~first[1:]]
     gold = np.bincount(state, minlength=4).reshape(2, 2)
@@ -277,7 +291,7 @@ class Tagger:
         return score, np.split(p, np.cumsum(n)[:-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, use: Column | None = None, per_class: int = 2000, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, use: Column | None = None, per_class: int = 1500, max_chars: int = 20_000) -> Model:
     """Fit on a bounded sample of the labelled rows for which ``use`` (over ``id_col``) holds."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__lw_y"))
     short = docs.where(F.char_length(F.coalesce(text_col, F.lit(""))) <= max_chars).select(id_col)
