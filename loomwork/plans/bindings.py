@@ -85,13 +85,8 @@ def literal(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """A few fixed rows as a local relation (no Python on executors)."""
     names = [c.split(" ")[0] for c in columns.split(", ")]
     kinds = [c.split(" ", 1)[1] for c in columns.split(", ")]
-    shown = ", ".join("(" + ", ".join("null" if v is None else str(v) if not isinstance(v, str) else _quoted(v) for v in r) + ")" for r in rows)
-    base = spark.sql(f"select * from values {shown} as t({', '.join(names)})")
-    return base.select(*[F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    made = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(r, names, kinds, strict=True)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
 
 
 def values_sql(name: str, columns: list[str], rows: list[tuple]) -> str:
