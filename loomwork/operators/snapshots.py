@@ -11,15 +11,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomwork.functions import text as X
+from loomwork.session import schema
 
 TABLES = ["units", "relationships", "observations", "evidence"]
-UNIT = T.StructType.fromDDL("id string, kind string, name string, description string, canonical_key string, path string, properties string, confidence double, lifecycle string")
-RELATIONSHIP = T.StructType.fromDDL("id string, kind string, source_id string, target_id string, origin string, confidence double, lifecycle string")
-OBSERVATION = T.StructType.fromDDL("id string, subject_id string, predicate string, value string, value_type string")
-EVIDENCE = T.StructType.fromDDL("id string, extractor string, path string, line int, digest string, freshness string")
+UNIT = schema("id string, kind string, name string, description string, canonical_key string, path string, properties string, confidence double, lifecycle string")
+RELATIONSHIP = schema("id string, kind string, source_id string, target_id string, origin string, confidence double, lifecycle string")
+OBSERVATION = schema("id string, subject_id string, predicate string, value string, value_type string")
+EVIDENCE = schema("id string, extractor string, path string, line int, digest string, freshness string")
 
 #: Kinds of units and the ends that relationships allow.
 UNIT_KINDS = (

@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_TYPES = {
+    "string": T.StringType, "long": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "boolean": T.BooleanType,
+    "timestamp": T.TimestampType, "timestamp_ntz": T.TimestampNTZType, "binary": T.BinaryType,
+}
+
+
+def schema(fields: str) -> T.StructType:
+    """A flat schema from "name type, ..." that needs no running session, so that modules may hold it."""
+    return T.StructType([T.StructField(n, _TYPES[k]()) for n, k in (x.split() for x in fields.split(","))])
 
 
 def session(app: str = "loomwork", master: str = "local[8]", **conf: str) -> SparkSession:
