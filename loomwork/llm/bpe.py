@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 _SHIFT = 21
 _PIECES = 400_000
-_CACHE = 400_000
+_CACHE = 300_000
 _CHARS = 3_000_000
 
 

@@ -41,7 +41,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 7)
 _BLOCK = 256
 _CHARS = 4_000_000
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def features(word: str) -> list[str]:
@@ -50,6 +50,11 @@ def features(word: str) -> list[str]:
     return ["w=" + w, *["p=" + w[:k] for k in PREFIXES if len(w) > k], "s=" + w[-3:]]
 
 
+def _padded(word: str) -> list[str]:
+    """The same number of places for every word: its own name, prefixes ("" if too short) and suffix."""
+    return ["w=" + word, *["p=" + word[:k] if len(word) > k else "" for k in PREFIXES], "s=" + word[-3:]]
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -69,10 +74,11 @@ def _scan(w: np.ndarray) -> np.ndarray:
     """
     n = len(w)
     blocks = -(-n // _BLOCK)
-    padded = np.empty((blocks * _BLOCK, 2, 2))
-    padded[:n] = w
-    padded[n:] = 0.5
-    steps = np.ascontiguousarray(padded.reshape(blocks, _BLOCK, 4).transpose(1, 2, 0))  # step, entry, block
+    steps = np.empty((_BLOCK, 4, blocks))  # step, entry, block
+    column = np.full(blocks * _BLOCK, 0.5)
+    for k in range(4):
+        column[:n] = w[:, k // 2, k % 2]
+        steps[:, k] = column.reshape(blocks, _BLOCK).T
     a, b, c, d = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
     for x in steps:  # rows of the product: from state 0 and from state 1
         a, b = a * x[0] + b * x[2], a * x[1] + b * x[3]
@@ -113,20 +119,18 @@ def marginals(unary: np.ndarray, first: np.ndarray, trans: tuple[float, ...], st
     back = np.empty((n, 2, 2))
     back[0] = 0.5
     back[1:] = w[:0:-1].transpose(0, 2, 1)
-    beta = _scan_back(back)
+    beta = _scan(back)[::-1]  # the first step maps anything to (1/2, 1/2): the last token's message
+    del back
     one, zero = alpha * beta, (1 - alpha) * (1 - beta)
     p = one / (one + zero)
-    inner = ~first[1:]
-    joint = np.stack([1 - alpha[:-1], alpha[:-1]], 1)[:, :, None] * w[1:] * np.stack([1 - beta[1:], beta[1:]], 1)[:, None, :]
-    joint = joint[inner] / joint[inner].sum(axis=(1, 2), keepdims=True)
-    return p, joint.sum(axis=0)
-
-
-def _scan_back(back: np.ndarray) -> np.ndarray:
-    """Backward messages (share of state toxic) in token order, by a forward scan of the reversed chain."""
-    n = len(back)
-    # The message at the last token is even: the first step maps anything to (1/2, 1/2).
-    return _scan(back)[::-1][:n]
+    joint = np.zeros((2, 2))
+    for k in range(1, n, 100_000):
+        part = slice(k, min(n, k + 100_000))
+        before = slice(k - 1, part.stop - 1)
+        pair = np.stack([1 - alpha[before], alpha[before]], 1)[:, :, None] * w[part] * np.stack([1 - beta[part], beta[part]], 1)[:, None, :]
+        pair = pair[~first[part]]
+        joint += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return p, joint
 
 
 def _doc_rows(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -144,16 +148,18 @@ def _doc_rows(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cover(docs: list[np.ndarray], toxic: np.ndarray, of_word: list[list[int]], times: int = 3) -> set[int]:
+def _cover(docs: list[np.ndarray], toxic: np.ndarray, of_word: np.ndarray, times: int = 3) -> np.ndarray:
     """Features that cover toxic documents ``times`` times and hardly occur in clean ones.
 
-    ``docs`` hold each document's distinct word ids, ``of_word`` a word's features.
+    ``docs`` hold each document's distinct word ids, a row of ``of_word`` a
+    word's features, -1 for none.
     """
     held: dict[int, set[int]] = defaultdict(set)
     clean: Counter[int] = Counter()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     for i, words in enumerate(docs):
-        found = {f for w in words.tolist() for f in of_word[w]}
+        found = np.unique(of_word[words])
+        found = found[found >= 0].tolist()
         if toxic[i]:
             for f in found:
                 held[f].add(i)
@@ -162,7 +168,7 @@ def _cover(docs: list[np.ndarray], toxic: np.ndarray, of_word: list[list[int]],
     pool = {f: list(d) for f, d in held.items() if len(d) >= 3 and len(d) / n1 >= 8 * (clean[f] + 0.5) / n0}
     held.clear()
     left = np.where(toxic, times, 0)
-    chosen: set[int] = set()
+    chosen: list[int] = []
     least = max(3, 0.003 * n1)
     heap = [(-len(d), f) for f, d in pool.items()]
     heapify(heap)
@@ -176,9 +182,9 @@ def _cover(docs: list[np.ndarray], toxic: np.ndarray, of_word: list[list[int]],
         if now < -gain:
             heappush(heap, (-now, f))
             continue
-        chosen.add(f)
+        chosen.append(f)
         left[at] = np.maximum(0, left[at] - 1)
-    return chosen
+    return np.array(sorted(chosen), dtype=np.int64)
 
 
 def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: float = 0.1, decay: float = 0.3) -> Model:
@@ -198,35 +204,42 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: f
     toxic = np.array(marks, dtype=bool)
     if toxic.all() or not toxic.any():
         return Model(prior=(sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.0)
-    index: dict[str, int] = {}
-    of_word = [[index.setdefault(f, len(index)) for f in features(w)] for w in words]
     distinct = [np.unique(t) for t in tokens]
-    lexicon = _cover(distinct, toxic, [f[:-1] for f in of_word])  # not the suffix
+    listed = list(words)
+    hashed = np.array([[crc32(f.encode()) << 3 | k for k, f in enumerate(_padded(w))] for w in listed], dtype=np.int64)
+    _, of_word = np.unique(hashed, return_inverse=True)
+    of_word = of_word.reshape(hashed.shape)
+    del hashed
+    support = np.zeros(int(of_word.max()) + 1, dtype=np.int64)
+    for t in distinct:
+        support[np.unique(of_word[t])] += 1
+    # Features of too few documents are none; the others are numbered anew.
+    used = np.flatnonzero(support >= 3)
+    place = np.full(len(support), -1)
+    place[used] = np.arange(len(used))
+    of_word = place[of_word]
+    of_word[np.array([[not f for f in _padded(w)] for w in listed])] = -1
+    lexicon = _cover(distinct, toxic, of_word[:, :-1])  # not the suffix
+    del distinct
 
     ids = np.concatenate(tokens).astype(np.int64)
     lengths = np.array([len(t) for t in tokens])
     of_doc = np.repeat(np.arange(len(tokens)), lengths)
-    marked = np.array([not lexicon.isdisjoint(f[:-1]) for f in of_word])
+    marked = np.isin(of_word[:, :-1], lexicon).any(axis=1)
     y = marked[ids] & toxic[of_doc]
     first = np.zeros(len(ids), dtype=bool)
     first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
 
-    support = np.zeros(len(index), dtype=np.int64)
-    for t in distinct:
-        support[list({f for w in t.tolist() for f in of_word[w]})] += 1
-    used = np.flatnonzero(support >= 3)
-    place = np.full(len(index), -1)
-    place[used] = np.arange(len(used))
-    pairs = [(w, place[f]) for w, fs in enumerate(of_word) for f in fs if place[f] >= 0]
-    wi, fi = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    listed = list(index)
-    names = {listed[f]: k for k, f in enumerate(used.tolist())}
-    del pairs, of_word, index, listed, distinct, tokens
+    wi, slot = np.nonzero(of_word >= 0)
+    fi = of_word[wi, slot]
+    _, at = np.unique(fi, return_index=True)
+    names = {_padded(listed[w])[k]: f for w, k, f in zip(wi[at].tolist(), slot[at].tolist(), fi[at].tolist(), strict=True)}
+    del of_word, tokens, listed
 
     state = np.concatenate([[y[:-1] * 2 + y[1:]]]).reshape(-1)[~first[1:]]
     gold = np.bincount(state, minlength=4).reshape(2, 2)
     gold_word = np.bincount(ids, weights=y, minlength=len(words))
-    k = len(names)
+    k = len(used)
     theta = np.zeros(k + 6)  # weights, bias, transitions, start
     theta[k] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     square = np.full(k + 6, 1e-8)
