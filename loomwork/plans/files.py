@@ -166,11 +166,11 @@ def t12(spark, sf):
     return B.files(spark, sf).select("path", score.alias("score")).orderBy(F.desc("score"), "path").limit(40)
 
 
-@query("j14_unreferenced", "SELECT DISTINCT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.05) AND p_partkey IN (SELECT l_partkey FROM lineitem)")
+@query("j14_unreferenced", "SELECT DISTINCT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1) AND p_partkey IN (SELECT l_partkey FROM lineitem)")
 def j14(spark, sf):
     li = table(spark, sf, "lineitem")
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("path"))
-    return parts.join(li.where("l_discount >= 0.05"), F.col("path") == F.col("l_partkey"), "left_anti").join(li, F.col("path") == F.col("l_partkey"), "left_semi")
+    return parts.join(li.where("l_discount >= 0.1"), F.col("path") == F.col("l_partkey"), "left_anti").join(li, F.col("path") == F.col("l_partkey"), "left_semi")
 
 
 ROUTES = [("a.ts", "GET", "/x", "CtrlA"), ("a.ts", "POST", "/y", "CtrlA"), ("b.ts", "GET", "/z", None)]

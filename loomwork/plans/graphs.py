@@ -87,8 +87,8 @@ def g7(spark, sf):
 
 
 @query("q6_cheapest_path", f"""WITH RECURSIVE {WAYS_SQL}, {ENDS_SQL}, cost AS (SELECT src, dst, min(c) AS c FROM (SELECT src, dst, round(1.1 - least(0.45, weight / 10.0 * 0.45), 9)::DOUBLE AS c FROM edges UNION ALL SELECT dst, src, round(1.1 - least(0.45, weight / 10.0 * 0.45), 9)::DOUBLE FROM edges) GROUP BY 1, 2),
-w(id, cost, hops, seen) AS (SELECT first, 0::DOUBLE, 0, [first] FROM ends UNION ALL SELECT dst, round(cost + c, 9), hops + 1, list_append(seen, dst) FROM w JOIN cost ON id = src WHERE NOT list_contains(seen, dst) AND hops < 30)
-SELECT id, round(min(cost), 6) AS cost FROM w GROUP BY id""")
+w(id, cost) USING KEY (id) AS (SELECT first, 0::DOUBLE FROM ends UNION (SELECT dst, min(round(w.cost + c, 9)) FROM w JOIN cost ON w.id = src LEFT JOIN recurring.w AS r ON r.id = dst WHERE r.cost IS NULL OR round(w.cost + c, 9) < r.cost GROUP BY dst))
+SELECT id, round(cost, 6) AS cost FROM w""")
 def q6(spark, sf):
     edges, ends = _largest(spark, sf)
     price = F.round(1.1 - F.least(F.lit(0.45), F.col("weight") / 10.0 * 0.45), 9)

@@ -20,7 +20,7 @@ SNIFF_BYTES = 8192
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modified, content) of every file below ``root``, by any store Spark reads."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(re.sub(r"/*$", "/", re.sub(r"^[a-z0-9]+:/*", "", root)))
+    base = F.lit(re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") + "/")
     bare = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
     start = F.instr(bare, base)
     return rows.select(F.when(start > 0, F.substring(bare, start + F.length(base), F.length(bare))).otherwise(bare).alias("path"), "length", F.col("modificationTime").alias("modified"), "content")

@@ -11,7 +11,7 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Without SQL: folds and traversals that it can't express, held against Python in their own tests.
 ROWS_ONLY = {"g6_label_communities", "q4_ask_impact", "x10_syntax_tree", "x21_property_graph", "s7_snapshot_manifest", "k_from_sources", "c4_greedy_selection", "c7_compress_source", "w5_skip_fit", "fnv1a_hashes"}
 #: Empty at this size, not at others.
-MAY_BE_EMPTY = {"f10_remediation", "e2_subscribe", "t9_coupling_order", "c5_expand"}
+MAY_BE_EMPTY = {"f3_line_rules_documents", "e2_subscribe", "c5_expand", "f11_quarantine", "f19_redaction"}
 
 
 @pytest.fixture(scope="module")
