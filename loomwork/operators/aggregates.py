@@ -99,10 +99,16 @@ def flaky(runs: DataFrame, threshold: float) -> DataFrame:
     return out.where((F.col("rate") >= threshold) & (F.col("failures") < F.col("runs")))
 
 
-def digests(rows: DataFrame, by: list[str], shown: Column, order: str) -> DataFrame:
-    """Count and digest of each group's rows in ``order``."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), shown.alias("s")))), lambda x: x["s"])
-    return rows.groupBy(*by).agg(F.count("*").alias("files"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+def digests(rows: DataFrame, by: list[str], digest: Column) -> DataFrame:
+    """Count and digest of each group by a tree over its rows' own hex digests.
+
+    Rows meet in 65,536 buckets by the head of their digest, buckets in the
+    group: no task holds a group's rows, however large it is.
+    """
+    leaves = rows.select(*by, digest.alias("d")).groupBy(*by, F.substring("d", 1, 4).alias("b"))
+    inner = leaves.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")
+    return inner.groupBy(*by).agg(F.sum("n").alias("files"), F.sha2(joined, 256).alias("digest"))
 
 
 def validation_counters(outputs: DataFrame) -> DataFrame:

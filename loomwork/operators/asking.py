@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import STOP_WORDS, lexical_tokens
 from loomwork.operators import graph as G
+from loomwork.operators.relational import rank_all
 from loomwork.session import cut
 
 #: A question's intents by pattern, in order; the later two apply if none of them does.
@@ -283,6 +284,6 @@ def cosine(vectors: DataFrame, id_col: str, vector_col: str, target: Column) ->
 
 def fuse(rankings: list[DataFrame], *, k: int = 60, limit: int = 20) -> DataFrame:
     """(id, score): reciprocal-rank fusion of (id, score) tables, ties by id."""
-    ranked = [r.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rn")) for r in rankings]
+    ranked = [rank_all(r.select("id", "score"), [F.desc("score"), F.col("id")], "rn").select("id", "rn") for r in rankings]
     fused = reduce(DataFrame.union, ranked).groupBy("id").agg(F.round(F.sum(1.0 / (k + F.col("rn"))), 9).alias("score"))
     return fused.orderBy(F.desc("score"), "id").limit(max(1, min(limit, 100)))

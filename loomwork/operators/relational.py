@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.session import cut, shuffle_partitions
+
 
 def local_edges(edges: DataFrame, files: DataFrame, src: str = "src", dst: str = "dst", key: str = "path") -> DataFrame:
     """Edges whose two ends are indexed files."""
@@ -114,6 +116,20 @@ def tombstones(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     return new.withColumn("lifecycle", F.lit("active")).unionByName(gone.withColumn("lifecycle", F.lit("deleted")), allowMissingColumns=True)
 
 
+def rank_all(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place in a total order, without one task that sees them all.
+
+    Rows are dealt into ranges of the order; a row's rank is its place in its
+    range after the counts of the ranges before, one row a range.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    dealt = cut(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + inside).drop("__part", "__before")
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _nth(rows, keys, [F.col(c).asc() for c in order], 1)
 

@@ -51,10 +51,10 @@ def a5(spark, sf):
 A6_ROWS = [("src/a.ts: uses password",), ("src/a.ts: uses token",), ("no separator",), (": at the start",), ("src/b.ts: loop: deep",)]
 
 
-@query("a6_signal_groups", f"WITH {B.values_sql('s', ['signal'], A6_ROWS)}, t AS (SELECT CASE WHEN instr(signal, ': ') > 1 THEN substr(signal, 1, instr(signal, ': ') - 1) ELSE 'workspace' END AS file, signal FROM s UNION ALL SELECT lang, lang || ': doc ' || doc_id FROM documents WHERE doc_id % 50 = 0) SELECT file, count(*) AS n, string_agg(signal, '|' ORDER BY signal) AS signals FROM t GROUP BY file")
+@query("a6_signal_groups", f"WITH {B.values_sql('s', ['signal'], A6_ROWS)}, t AS (SELECT CASE WHEN instr(signal, ': ') > 1 THEN substr(signal, 1, instr(signal, ': ') - 1) ELSE 'workspace' END AS file, signal FROM s UNION ALL SELECT 'd' || doc_id, 'd' || doc_id || ': ' || lang FROM documents) SELECT file, count(*) AS n, string_agg(signal, '|' ORDER BY signal) AS signals FROM t GROUP BY file")
 def a6(spark, sf):
     rows = B.literal(spark, "signal string", A6_ROWS)
-    docs = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.concat("lang", F.lit(": doc "), "doc_id").alias("signal"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(": "), "lang").alias("signal"))
     return A.signal_groups(rows.union(docs))
 
 
@@ -203,9 +203,10 @@ def a26(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("value") > 1, F.col("value"))), 6).alias("avg_duration"))
 
 
-@query("a27_snapshot_digest", f"WITH {B.FILES_SQL} SELECT source, count(*) AS files, sha256(string_agg(path || ':' || content_hash, chr(10) ORDER BY path)) AS digest FROM files GROUP BY source")
+@query("a27_snapshot_digest", f"""WITH {B.FILES_SQL}, l AS (SELECT source, sha256(path || ':' || content_hash) AS d FROM files), b AS (SELECT source, substr(d, 1, 4) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM l GROUP BY 1, 2)
+SELECT source, sum(n)::BIGINT AS files, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b GROUP BY source""")
 def a27(spark, sf):
-    return A.digests(B.files(spark, sf), ["source"], F.concat_ws(":", "path", "content_hash"), "path")
+    return A.digests(B.files(spark, sf), ["source"], F.sha2(F.concat_ws(":", "path", "content_hash"), 256))
 
 
 @query("a28_retrieval_metrics", "SELECT round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(quality), 6) AS mean_score FROM labels JOIN documents USING (doc_id)")
@@ -241,11 +242,10 @@ def t5(spark, sf):
     return A.page(rows, [F.desc("score"), F.desc("p_size"), F.col("id")], A.cursor_offset(cursor, "part", "", "d"), 25).drop("p_size")
 
 
-@query("t8_findings_order", f"SELECT o_orderkey AS id, {SEVERITY_SQL} AS severity, row_number() OVER (ORDER BY {WEIGHT_SQL} DESC, o_orderkey) AS position FROM orders QUALIFY position <= 200")
+@query("t8_findings_order", f"SELECT o_orderkey AS id, {SEVERITY_SQL} AS severity, row_number() OVER (ORDER BY {WEIGHT_SQL} DESC, o_orderkey) AS position FROM orders")
 def t8(spark, sf):
-    rows = severities(spark, sf).withColumn("w", A.severity_weight(F.col("severity")))
-    top = rows.orderBy(F.desc("w"), "o_orderkey").limit(200)
-    return top.select(F.col("o_orderkey").alias("id"), "severity", F.row_number().over(Window.orderBy(F.desc("w"), "o_orderkey")).cast("long").alias("position"))
+    rows = severities(spark, sf).select(F.col("o_orderkey").alias("id"), "severity", A.severity_weight(F.col("severity")).alias("w"))
+    return R.rank_all(rows, [F.desc("w"), F.col("id")], "position").drop("w")
 
 
 @query("t10_context_order", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY round(l_extendedprice / l_quantity, 6) DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100")

@@ -142,7 +142,7 @@ def c11(spark, sf):
 
 
 #: Routes by kind of intent.
-ROUTES = [("explain", "graph-only"), ("change", "hybrid"), ("generate", "copilot"), ("modernize", "human-review")]
+ROUTES = [("explain", "graph-only"), ("change", "hybrid"), ("generate", "delegate"), ("modernize", "human-review")]
 INTENT_WORDS = [("explain", "explain,what,how"), ("change", "fix,update,change"), ("generate", "create,generate,build"), ("modernize", "migrate,modernize,upgrade")]
 PROMPTS = [(1, "explain how it works"), (2, "please fix and update it"), (3, "generate a build"), (4, "migrate it now"), (5, "nothing matches")]
 

@@ -47,7 +47,7 @@ def _id(category, title, file, description):
     return f"substr(sha256('{category}' || '|' || '{title}' || '|' || {file} || '|' || {description}), 1, 24)"
 
 
-_ORPH = f"SELECT 'p' || p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT src FROM edges) AND p_partkey NOT IN (SELECT dst FROM edges) AND p_partkey % 7 = 0"
+_ORPH = f"SELECT 'p' || p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT src FROM edges) AND p_partkey NOT IN (SELECT dst FROM edges)"
 
 
 @query("f1_findings", f"""WITH {B.EDGES_SQL}, o AS ({_ORPH}), d AS (SELECT 'p' || src AS file, 'p' || dst AS target FROM edges WHERE dst % 3 = 0),
@@ -59,7 +59,7 @@ UNION SELECT {_id('architecture', 'Dependency cycle', "'x'", "'x → y'")}, 'arc
 def f1(spark, sf):
     name = lambda c: F.concat(F.lit("p"), c)
     edges = B.edges(spark, sf)
-    parts = table(spark, sf, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("path"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("path"))
     orphans = R.orphans(parts, edges, parts.where("false")).select(name("path").alias("file"))
     dangling = edges.where("dst % 3 = 0").select(name("src").alias("file"), name("dst").alias("target"))
     coupled = A.coupling(B.commits(spark, sf)).select(name("file_a").alias("file"), name("file_b").alias("other"), "commits", "strength")

@@ -187,7 +187,7 @@ def j19(spark, sf):
     return R.either_prefix(a, b)
 
 
-@query("j20_cpg_binding", """WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("j20_cpg_binding", """WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem),
 x AS (SELECT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS id FROM lineitem WHERE l_tax < 0.04 GROUP BY 1, 2, 3),
 y AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS id FROM lineitem WHERE l_tax < 0.06 GROUP BY 1, 2), z AS (SELECT l_orderkey, min(l_suppkey) AS id FROM lineitem GROUP BY 1)
 SELECT f.l_orderkey AS path, f.l_linenumber AS line, f.l_partkey AS name, coalesce(x.id, y.id, z.id) AS binding FROM f
@@ -195,7 +195,7 @@ LEFT JOIN x ON f.l_orderkey = x.l_orderkey AND f.l_linenumber = x.l_linenumber A
 LEFT JOIN y ON f.l_orderkey = y.l_orderkey AND f.l_linenumber = y.l_linenumber LEFT JOIN z ON f.l_orderkey = z.l_orderkey""")
 def j20(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("name"), "l_suppkey", "l_tax")
-    facts = rows.where("path % 10 = 0").select("path", "line", "name").distinct()
+    facts = rows.select("path", "line", "name").distinct()
     x = rows.where("l_tax < 0.04").groupBy("path", "line", "name").agg(F.min("l_suppkey").alias("a"))
     y = rows.where("l_tax < 0.06").groupBy("path", "line").agg(F.min("l_suppkey").alias("b"))
     z = rows.groupBy("path").agg(F.min("l_suppkey").alias("c"))
@@ -246,11 +246,10 @@ def j26(spark, sf):
 
 
 @query("w1_rank_scores", """SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank,
-round(1.0 / (60 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey))::DOUBLE, 9) AS score FROM orders QUALIFY rank <= 500""")
+round(1.0 / (60 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey))::DOUBLE, 9) AS score FROM orders""")
 def w1(spark, sf):
-    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(500)
-    n = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return top.select("o_orderkey", n.cast("long").alias("rank"), F.round(1.0 / (60 + n), 9).alias("score"))
+    ranked = R.rank_all(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")])
+    return ranked.select("o_orderkey", "rank", F.round(1.0 / (60 + F.col("rank")), 9).alias("score"))
 
 
 @query("w2_first_last", """SELECT user_id, arg_min(event_id, event_id) AS first_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id""")

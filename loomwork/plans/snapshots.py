@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomwork.operators import aggregates as A
 from loomwork.operators import extract as E
 from loomwork.operators import relational as R
 from loomwork.operators import snapshots as S
@@ -49,7 +50,7 @@ def k_observations(spark, sf):
 
 
 @query("v_validate", """WITH u AS (SELECT CASE WHEN p_partkey % 101 = 0 THEN 'dup' ELSE 'p' || p_partkey END AS id, CASE WHEN p_partkey % 97 = 0 THEN 'gadget' WHEN p_partkey % 3 = 0 THEN 'test' ELSE 'file' END AS kind, p_size / 49.0 AS confidence FROM part),
-r AS (SELECT DISTINCT 'r' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS id, 'tests' AS kind, 'p' || l_partkey AS s, 'p' || (l_partkey + 1) AS t FROM lineitem WHERE l_orderkey % 100 = 0)
+r AS (SELECT DISTINCT 'r' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS id, 'tests' AS kind, 'p' || l_partkey AS s, 'p' || (l_partkey + 1) AS t FROM lineitem)
 SELECT 'duplicate id' AS message, count(*) AS n FROM (SELECT id FROM u GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'confidence out of range', count(*) FROM u WHERE confidence > 1 HAVING count(*) > 0 UNION ALL SELECT 'unknown kind', count(*) FROM u WHERE kind = 'gadget'
 UNION ALL SELECT 'source_id does not exist', count(*) FROM r WHERE s NOT IN (SELECT id FROM u) HAVING count(*) > 0 UNION ALL SELECT 'target_id does not exist', count(*) FROM r WHERE t NOT IN (SELECT id FROM u) HAVING count(*) > 0
 UNION ALL SELECT 'endpoint kinds are not allowed', count(*) FROM r JOIN u a ON a.id = s JOIN u b ON b.id = t WHERE NOT (a.kind = 'test' AND b.kind = 'file')""")
@@ -59,7 +60,7 @@ def v_validate(spark, sf):
         F.when(p % 101 == 0, F.lit("dup")).otherwise(F.concat(F.lit("p"), p)).alias("id"), F.when(p % 97 == 0, "gadget").when(p % 3 == 0, "test").otherwise("file").alias("kind"), F.col("p_name").alias("name"),
         F.concat(F.lit("k"), p).alias("canonical_key"), (F.col("p_size") / 49.0).alias("confidence"), F.lit("active").alias("lifecycle"),
     )
-    rels = table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").select(F.concat(F.lit("r"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey")).alias("id"), F.lit("tests").alias("kind"), F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("p"), F.col("l_partkey") + 1).alias("target_id"), F.lit(1.0).alias("confidence"), F.lit("active").alias("lifecycle")).distinct()
+    rels = table(spark, sf, "lineitem").select(F.concat(F.lit("r"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey")).alias("id"), F.lit("tests").alias("kind"), F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("p"), F.col("l_partkey") + 1).alias("target_id"), F.lit(1.0).alias("confidence"), F.lit("active").alias("lifecycle")).distinct()
     return S.violations({"units": units, "relationships": rels}).groupBy("message").agg(F.count("*").alias("n"))
 
 
@@ -89,9 +90,10 @@ def c6(spark, sf):
     return S.stale(old.select("path", "content_hash"), new)
 
 
-@query("s21_input_fingerprint", f"WITH {B.FILES_SQL} SELECT lang, sha256(string_agg(content_hash, chr(10) ORDER BY content_hash)) AS fingerprint FROM files GROUP BY lang")
+@query("s21_input_fingerprint", f"""WITH {B.FILES_SQL}, b AS (SELECT lang, substr(content_hash, 1, 4) AS b, count(*) AS n, sha256(string_agg(content_hash, '' ORDER BY content_hash)) AS d FROM files GROUP BY 1, 2)
+SELECT lang, sum(n)::BIGINT AS files, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b GROUP BY lang""")
 def s21(spark, sf):
-    return B.files(spark, sf).groupBy("lang").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("content_hash")), "\n"), 256).alias("fingerprint"))
+    return A.digests(B.files(spark, sf), ["lang"], F.col("content_hash"))
 
 
 @query("s7_snapshot_manifest")
