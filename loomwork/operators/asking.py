@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import STOP_WORDS, lexical_tokens
+from loomwork.functions.text import STOP_WORDS
 from loomwork.operators import graph as G
 from loomwork.operators.relational import rank_all
 from loomwork.session import cut
@@ -256,17 +256,21 @@ def execute(operation: str, units: DataFrame, rels: DataFrame, question: str, **
 # Retrieval -------------------------------------------------------------------
 
 
-def _equal(tokens: str, word: str) -> Column:
-    return F.filter(tokens, lambda x: x == word)
-
-
 def lexical(docs: DataFrame, question: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, score > 0): sum of log1p of the question's token counts over the root of the length; repeated terms count."""
+    """(id, score > 0): sum of log1p of the question's token counts over the root of the length; repeated terms count.
+
+    Tokens are counted by regex over the text, so no array of them is made.
+    """
     wanted = re.findall(r"[a-z0-9_]+", question.lower())
-    tokens = docs.select(F.col(id_col).alias("id"), lexical_tokens(F.col(text_col)).alias("t"))
-    parts = [F.log1p(F.size(_equal("t", w)).cast("double")) for w in wanted]
-    score = sum(parts, F.lit(0.0)) / F.sqrt(F.size("t"))
-    return tokens.where(F.size("t") > 0).select("id", F.round(score, 6).alias("score")).where("score > 0")
+    if not wanted:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
+    low = F.lower(F.col(text_col))
+    counts = {w: F.regexp_count(low, F.lit(f"(?<![a-z0-9_]){w}(?![a-z0-9_])")) for w in wanted}
+    some = reduce(lambda a, b: a | b, [low.contains(w) for w in counts], F.lit(False))
+    rows = docs.where(some).select(F.col(id_col).alias("id"), F.regexp_count(low, F.lit("[a-z0-9_]+")).alias("n"), *[c.alias(f"c{k}") for k, c in enumerate(counts.values())])
+    at = {w: f"c{k}" for k, w in enumerate(counts)}
+    score = sum((F.log1p(F.col(at[w]).cast("double")) for w in wanted), F.lit(0.0)) / F.sqrt(F.col("n").cast("double"))
+    return rows.where(F.greatest(F.lit(0), *[F.col(c) for c in at.values()]) > 0).select("id", F.round(score, 6).alias("score")).where("score > 0")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
@@ -284,6 +288,6 @@ def cosine(vectors: DataFrame, id_col: str, vector_col: str, target: Column) ->
 
 def fuse(rankings: list[DataFrame], *, k: int = 60, limit: int = 20) -> DataFrame:
     """(id, score): reciprocal-rank fusion of (id, score) tables, ties by id."""
-    ranked = [rank_all(r.select("id", "score"), [F.desc("score"), F.col("id")], "rn").select("id", "rn") for r in rankings]
+    ranked = [rank_all(cut(r.select("id", "score")), [F.desc("score"), F.col("id")], "rn").select("id", "rn") for r in rankings]
     fused = reduce(DataFrame.union, ranked).groupBy("id").agg(F.round(F.sum(1.0 / (k + F.col("rn"))), 9).alias("score"))
     return fused.orderBy(F.desc("score"), "id").limit(max(1, min(limit, 100)))

@@ -1,5 +1,6 @@
 """Folds and traversals that SQL can't express, against plain Python."""
 
+import math
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from loomwork.functions import text as X
 from loomwork.operators import asking as Q
 from loomwork.operators import budget as C
 from loomwork.operators import graph as G
+from loomwork.operators.relational import rank_all
 
 
 def test_fnv1a(spark):
@@ -105,3 +107,18 @@ def test_impact_questions_reach_backwards(spark):
 def test_unknown_operation_is_refused():
     with pytest.raises(ValueError):
         Q.execute("drop", None, None, "x")
+
+
+def test_lexical_counts_whole_tokens(spark):
+    docs = spark.createDataFrame([(1, "The the there, the_end THE"), (2, None), (3, ""), (4, "nothing"), (5, "end the")], "id long, text string")
+    got = {r.id: r.score for r in Q.lexical(docs, "the END the", "id", "text").collect()}
+    assert got == {1: round(2 * math.log1p(3) / math.sqrt(5), 6), 5: round((2 * math.log1p(1) + math.log1p(1)) / math.sqrt(2), 6)}
+    assert Q.lexical(docs, "?!", "id", "text").count() == 0
+
+
+def test_rank_all_is_the_total_order(spark):
+    rows = [(i, (i * 7919) % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, s long")
+    got = {r.id: r["rank"] for r in rank_all(df, [F.desc("s"), F.col("id")]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert rank_all(df.where("false"), [F.desc("s")]).count() == 0
