@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -44,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or "/tmp/loomwork-checkpoints")
+        if not named:
+            named = tempfile.mkdtemp(prefix="loomwork-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
