@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``batches`` is the number of id ranges and ``fanout`` the runs a level
     holds before compaction; neither changes the result.
     """
-    owners = repeated_keys(docs, id_col, text_col, min_chars=min_chars, batches=batches, fanout=fanout)
+    # Cut off, so that the join below is between two plain shuffles and a hot line's side can be split.
+    owners = cut(repeated_keys(docs, id_col, text_col, min_chars=min_chars, batches=batches, fanout=fanout))
     hits = _hashed(docs, id_col, text_col, min_chars).join(owners, _KEY).where((F.col(_ID) > F.col(_OWNER)) | F.col(_ID).isNull())
     drops = hits.groupBy(_ID, _ROW).agg(F.sort_array(F.collect_set(_POS)).alias("__lw_drops"))
 
