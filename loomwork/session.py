@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -38,6 +40,24 @@ def session(app: str = "loomwork", master: str = "local[8]", **conf: str) -> Spa
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package's code, once an application, for functions that run in their Python."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="loomwork-code-")  # the driver serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/loomwork.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(f"{folder}/loomwork.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables; any path that Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
