@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomwork.session import ship
+
 _SHIFT = 21
 _PIECES = 400_000
 _CACHE = 300_000
@@ -193,6 +195,7 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all but the text by default) and ``ids_col`` array<int>."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, ids_col)]
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
     names = schema.names

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.bpe import Codec, codec
-from loomwork.session import shuffle_partitions
+from loomwork.session import ship, shuffle_partitions
 
 #: The template's control strings; their ids follow the vocabulary in this order.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[END]"]
@@ -77,6 +77,7 @@ def assemble(role: str, named: list[int], content: list[int], base: int) -> tupl
 
 def format_turns(turns: DataFrame, ranks: dict[bytes, int], pattern: str, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, ids, mask) of every row: int32 ids and 0/1 loss mask as bytes, with ``tie`` to order equal turns."""
+    ship(turns.sparkSession)
     shared = turns.sparkSession.sparkContext.broadcast((ranks, pattern))
     base = max(ranks.values()) + 1
     rows = turns.select(
@@ -139,6 +140,7 @@ def read_back(formatted: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
 
     The printed form of a conversation is the control ``<s>`` and its turns.
     """
+    ship(formatted.sparkSession)
     shared = formatted.sparkSession.sparkContext.broadcast((ranks, pattern))
     base = max(ranks.values()) + 1
 

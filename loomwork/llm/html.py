@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.session import ship
+
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg math head".split())
@@ -442,6 +444,7 @@ def fit(labelled: list[tuple[str, list[str]]], *, rounds: int = 25, decay: float
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html", text_col: str = "text", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the html by default) and the main text."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html_col, text_col)]
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField(text_col, T.StringType())])
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.session import ship
+
 STRIP = 4096
 SIDE = 24  # of the square tile that a payload's rows are made of
 UNIT = SIDE * SIDE
@@ -220,6 +222,7 @@ def store_text(docs: DataFrame, text_col: str = "text", media_col: str = "media"
                 made = [encode_pgm(payload_pixels(x)) for x in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([len(x) for x in texts], pa.int64()), pa.array(made, pa.binary())], names=schema.names)
 
+    ship(docs.sparkSession)
     return docs.select(*keep, F.col(text_col).cast("binary").alias("__lw_text")).mapInArrow(each, schema)
 
 
@@ -249,6 +252,7 @@ def features(media: DataFrame, media_col: str = "media", *, side: int = 8, keep:
                 columns = list(zip(*rows, strict=True)) or [()] * len(made)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, k) for c, (_, _, k) in zip(columns, made, strict=True)]], names=schema.names)
 
+    ship(media.sparkSession)
     return media.select(*keep, F.col(media_col).alias("__lw_media")).mapInArrow(each, schema)
 
 
@@ -276,4 +280,5 @@ def tiles(media: DataFrame, media_col: str = "media", *, side: int = SIDE, keep:
                         kept = [pa.repeat(batch.column(j)[i], len(some)) for j in range(len(keep))]
                         yield pa.RecordBatch.from_arrays([*kept, pa.array([r // side for r, _ in some], pa.int32()), pa.array([c // side for _, c in some], pa.int32()), pa.array([npy(y) for y in cut], pa.binary()), pa.array([difference_hash(y) for y in cut])], names=schema.names)
 
+    ship(media.sparkSession)
     return media.select(*keep, F.col(media_col).alias("__lw_media")).mapInArrow(each, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.session import cut
+from loomwork.session import cut, ship
 
 #: Kind, pattern, group whose length counts, its least length; in order of kind.
 BASE = [
@@ -79,6 +79,7 @@ def scan(docs: DataFrame, text_col: str = "text", *, keep: list[str] | None = No
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "found"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string(f"found {_KIND}").fields])
+    ship(docs.sparkSession)
     return docs.select(*keep, F.col(text_col).alias("__lw_text")).mapInArrow(each, schema)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.components import star_components
-from loomwork.session import cut
+from loomwork.session import cut, ship
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = [fingerprint(x.as_py(), words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["id", "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(each, schema)
@@ -145,6 +146,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 made = np.array([sketch(x.as_py(), words, tables, parts) for x in batch.column(1)], dtype=np.int64).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(len(names))]], names=["id", *names])
 
+    ship(docs.sparkSession)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names]])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     nodes = cut(rows.mapInArrow(each, schema).groupBy(*names).agg(F.min("id").alias("node")))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.session import cut
+from loomwork.session import cut, ship
 
 BLOCK = 256
 _ROWS = 1024
@@ -89,6 +89,8 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     asks = vectors.where("asks").groupBy("id").agg(F.min("x").alias("x"))
     asks = asks.select("id", "x", F.size("x").alias("d"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("c")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
+    ship(rows.sparkSession)
+
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})

@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.session import ship
+
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 7)
 _BLOCK = 256
@@ -323,6 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", *, span_at: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``score`` and ``spans``, the offsets [start, end) of toxic tokens."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("spans", span)])
