@@ -31,6 +31,56 @@ TERM_WEIGHT, RANGE_WEIGHT = 8, 14
 NOISY = ["source", "documentation", "diagnostics"]
 
 
+#: Words and phrases of a task's intents, in order.
+INTENT_WORDS = {
+    "search": "find|search|lookup|retrieve|where is|locate|find file|find function|find class".split("|"),
+    "refactor": "refactor|clean|restructure|reorganize|modernize code|simplify|extract|rename".split("|"),
+    "migrate": "migrate|upgrade|modernize|convert|port|migrate to|upgrade to".split("|"),
+    "analyze": "analyze|inspect|explain|understand|how does|what does|review code|assess".split("|"),
+    "debug": "debug|fix|error|bug|crash|throw|fail|issue|problem|trace".split("|"),
+    "document": "document|doc|comment|readme|docs|write docs|generate docs".split("|"),
+    "review": "review|code review|pr|pull request|check|audit|security scan".split("|"),
+    "test": "test|unit test|integration test|e2e|spec|jest|vitest|write test".split("|"),
+    "explain": "explain|what is|how to|why does|describe|summarize|clarify".split("|"),
+    "implement": "implement|add feature|create|build|implement|write code|develop".split("|"),
+}
+INTENT_PHRASES = {
+    "search": "where is|find file|find function|find class|locate|which file|what file".split("|"),
+    "refactor": "refactor|restructure|reorganize|clean up|simplify|extract method|rename".split("|"),
+    "migrate": "migrate to|upgrade to|convert to|port to|upgrade from".split("|"),
+    "analyze": "how does|what does|review code|assess|inspect|understand".split("|"),
+    "debug": "fix|error|bug|crash|throw|fail|issue|trace|investigate|root cause".split("|"),
+    "document": "document|write docs|generate docs|add comments|readme".split("|"),
+    "review": "code review|pr|pull request|audit|security scan".split("|"),
+    "test": "unit test|integration test|write test|e2e|spec".split("|"),
+    "explain": "what is|how to|why does|describe|summarize".split("|"),
+    "implement": "add feature|create|build|write code|develop".split("|"),
+}
+ENTITY = r"""(?:class|interface|type|function|const|let|var)\s+([A-Z]\w+)|import\s+(?:.*from\s+)?['"]([^'"]+)['"]|(?:class|module|function|file|path)\s+['"]([^'"]+)['"]"""
+
+
+def task_intent(text: Column) -> Column:
+    """Struct (intent, confidence, complexity): a phrase decides, else the most keywords; complexity by length and entities.
+
+    The order of the intents breaks ties; a model's own opinion isn't asked.
+    """
+    low = F.lower(text)
+    phrase = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [low.contains(p) for p in ps]), F.lit(n)) for n, ps in INTENT_PHRASES.items()])
+    hits = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
+    counts = F.array(*[hits(words) for words in INTENT_WORDS.values()])
+    most = F.array_max(counts)
+    word = F.when(most > 0, F.element_at(F.array(*map(F.lit, INTENT_WORDS)), F.array_position(counts, most).cast("int")))
+    found = F.regexp_count(text, F.lit(ENTITY))
+    size = F.length(text)
+    complexity = F.when(size > 1000, "high").when(size > 200, "medium").when(found > 3, "high").when(found > 0, "medium").otherwise("low")
+    blank = F.trim(text) == ""
+    return F.struct(
+        F.when(blank, "unknown").otherwise(F.coalesce(phrase, word, F.lit("unknown"))).alias("intent"),
+        F.when(blank, 0.0).when(phrase.isNotNull(), 1.0).when(most > 0, F.least(most / F.greatest(most, F.lit(2)), F.lit(1.0))).otherwise(0.0).alias("confidence"),
+        F.when(blank, "low").otherwise(complexity).alias("complexity"),
+    )
+
+
 def collect(families: list[DataFrame]) -> DataFrame:
     """Candidates (id, relevance, content, ...) of all families, the most relevant with content of each id."""
     every = reduce(DataFrame.unionByName, families)

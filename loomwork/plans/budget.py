@@ -164,3 +164,16 @@ def token_estimates(spark, sf):
 @query("fnv1a_hashes")
 def fnv(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.fnv1a(F.col("p_name")).alias("hash"))
+
+
+TASKS = [(1, "where is the parser"), (2, "analyze it and understand"), (3, "lookup things"), (4, "hello"), (5, "  "), (6, "rename class Foo and class Bar and class Baz and function Qux"), (7, "please review the docs"), (8, "x" * 250)]
+_PHR = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {_q(p)})' for p in ps)} THEN {_q(n)}" for n, ps in C.INTENT_PHRASES.items()) + " END"
+_CNT = {n: "(" + " + ".join(f"CASE WHEN contains(low, {_q(w)}) THEN 1 ELSE 0 END" for w in ws) + ")" for n, ws in C.INTENT_WORDS.items()}
+
+
+@query("f18_layered_intent", f"""WITH {B.values_sql("t", ["id", "text"], TASKS)}, l AS (SELECT *, lower(text) AS low FROM t), c AS (SELECT *, {_PHR} AS phrase, greatest({", ".join(_CNT.values())}) AS most, len(regexp_extract_all(text, {_q(C.ENTITY)})) AS found FROM l)
+SELECT id, CASE WHEN trim(text) = '' THEN 'unknown' ELSE coalesce(phrase, CASE WHEN most > 0 THEN CASE {" ".join(f"WHEN {c} = most THEN {_q(n)}" for n, c in _CNT.items())} END END, 'unknown') END AS intent,
+CASE WHEN trim(text) = '' THEN 0 WHEN phrase IS NOT NULL THEN 1 WHEN most > 0 THEN least(most / greatest(most, 2), 1) ELSE 0 END::DOUBLE AS confidence,
+CASE WHEN trim(text) = '' THEN 'low' WHEN length(text) > 1000 THEN 'high' WHEN length(text) > 200 THEN 'medium' WHEN found > 3 THEN 'high' WHEN found > 0 THEN 'medium' ELSE 'low' END AS complexity FROM c""")
+def f18(spark, sf):
+    return B.literal(spark, "id int, text string", TASKS).select("id", C.task_intent(F.col("text")).alias("r")).select("id", "r.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as X
 from loomwork.operators import asking as Q
 from loomwork.operators import budget as C
+from loomwork.operators import extract as E
 from loomwork.operators import graph as G
 from loomwork.operators.relational import rank_all
 
@@ -122,3 +123,22 @@ def test_rank_all_is_the_total_order(spark):
     got = {r.id: r["rank"] for r in rank_all(df, [F.desc("s"), F.col("id")]).collect()}
     assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert rank_all(df.where("false"), [F.desc("s")]).count() == 0
+
+
+def test_syntax_tree_by_braces_and_indentation(spark):
+    rows = [("a.ts", "ts", "class A {\n  f() {\n    x()\n  }\n  y()\n}\nz()"), ("b.py", "py", "def f():\n    a\n    if b:\n        c\nd"), ("e", "x", ""), ("n", "x", None)]
+    df = spark.createDataFrame(rows, "path string, lang string, text string")
+    got = {}
+    for r in sorted(E.syntax_tree(df).collect(), key=lambda r: (r.path, r.node)):
+        got.setdefault(r.path, []).append((r.line, r.depth, r.parent, r.kind))
+    assert got == {
+        "a.ts": [(1, 0, -1, "block"), (2, 1, 0, "block"), (3, 2, 1, "statement"), (5, 1, 0, "statement"), (7, 0, -1, "statement")],
+        "b.py": [(1, 0, -1, "block"), (2, 1, 0, "statement"), (3, 1, 0, "block"), (4, 2, 2, "statement"), (5, 0, -1, "statement")],
+    }
+
+
+def test_source_compression_keeps_mandatory_lines(spark):
+    text = "import a\nx\n" + "\n".join(f"call{i}(1)" for i in range(20)) + "\nfunction f() {\n"
+    df = spark.createDataFrame([("a.ts", "ts", text)], "path string, lang string, text string")
+    kept = sorted(r.line for r in C.compress_source(E.lines(df), ["call7"], 16).collect())
+    assert {1, 23} <= set(kept) and 10 in kept and len(kept) < 10
