@@ -124,14 +124,15 @@ class Codec:
         return [flat[4 * a : 4 * b] for a, b in zip([0, *kept[:-1]], kept, strict=True)]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Put every piece's ids into the cache, which is emptied when full."""
-        cache = self.cache
-        new = [w for w in set(pieces) if w not in cache]
+        """Put every piece's ids into the cache; when it is full, only words of these pieces stay."""
+        cache, here = self.cache, set(pieces)
+        new = [w for w in here if w not in cache]
         if not new:
             return
         if len(cache) + len(new) > _CACHE:
+            kept = {w: cache[w] for w in here if w in cache}
             cache.clear()
-            new = list(set(pieces))
+            cache.update(kept)
         hard: list[str] = []
         for w in new:
             r = self.ranks.get(w.encode())

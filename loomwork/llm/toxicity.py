@@ -276,10 +276,12 @@ class Tagger:
 
     def potentials(self, words: list[str]) -> np.ndarray:
         cache, weights = self.cache, self.model.weights
-        new = set(words).difference(cache)
+        here = set(words)
+        new = here.difference(cache)
         if len(cache) + len(new) > _CACHE:
+            kept = {w: cache[w] for w in here if w in cache}
             cache.clear()
-            new = set(words)
+            cache.update(kept)
         for w in new:
             cache[w] = self.model.bias + sum(weights.get(f, 0.0) for f in features(w))
         return np.fromiter(map(cache.__getitem__, words), dtype=float, count=len(words))
