@@ -17,7 +17,7 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from loomwork.session import cut, ship
 
 BITS = 64
 _CHUNK = 1 << 16
+#: Shingles mixed at once, rounds of stars, and pairs a member up to which all that are left are tested at once.
+_BLOCK, _STARS, _LIGHT = 1 << 10, 6, 4
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -92,44 +94,91 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(of_fp, "fp").select("id", "fp", "component")
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of a family of 64-bit mixes of the hashes (SplitMix64's finalizer)."""
-    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+def _mixed(h: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """A family of 64-bit mixes of the hashes, one a seed (SplitMix64's finalizer)."""
+    h = h + seed
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def _votes(votes: np.ndarray, hashes: np.ndarray) -> None:
-    for k in range(len(votes)):
-        votes[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def _seeds(n: int) -> np.ndarray:
+    return np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(n)], dtype=np.uint64)
 
 
-def sketch(text: bytes | None, words: int = 5, tables: int = 3, parts: int = 4) -> list[int]:
-    """``tables`` SimHashes of the single words, then ``parts`` of the shingles of ``words`` words."""
+def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
+    """The hashes of the shingles in order: one of all words if they are fewer, none of a text without words."""
     found = (text or b"").lower().split()
     if not found:
-        return [0] * (tables + parts)
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts, ends = [0, *(ends[:-1] + 1).tolist()], ends.tolist()
+    whole, last = b" ".join(found), len(found)
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(found) - words + 1)
-    single, shingled = np.zeros((tables, BITS), np.int64), np.zeros((parts, BITS), np.int64)
-    known: dict[bytes, int] = {}
-    for a in range(0, len(found), _CHUNK):
-        some = found[a : a + _CHUNK]
-        for w in set(some) - known.keys():
-            known[w] = digest(w)
-        _votes(single, np.array([known[w] for w in some], dtype="<u8"))
-        last = min(n, a + _CHUNK)
-        _votes(shingled, np.array([digest(b" ".join(found[i : i + words])) for i in range(a, last)], dtype="<u8"))
-    bits = np.packbits(np.concatenate([2 * single > len(found), 2 * shingled > n]), axis=1, bitorder="little")
-    return bits.view("<i8").reshape(-1).tolist()
-
-
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, tables: int = 3, parts: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(node ids, star edges) of documents whose shingles' estimated Jaccard similarity reaches ``similarity``.
-
-    Candidates meet by ball hashing of ``tables`` SimHashes over single words,
-    which stay within 2 bits where shingles of several words differ much more.
+    made = (digest(whole[starts[i] : ends[min(i + words, last) - 1]]) for i in range(max(1, last - words + 1)))
+    return np.fromiter(made, dtype=np.uint64)
+
+
+def sketch(hashes: np.ndarray, parts: int = 4) -> list[int]:
+    """``parts`` SimHashes of the shingles."""
+    votes = np.zeros((parts, BITS), np.int64)
+    for a in range(0, len(hashes), _CHUNK):
+        for k, seed in enumerate(_seeds(parts)):
+            votes[k] += np.unpackbits(_mixed(hashes[a : a + _CHUNK], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<i8").reshape(-1).tolist()
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key a band: the digest of the least values of ``rows`` mixes of the shingles' hashes."""
+    seeds, least = _seeds(bands * rows)[:, None], np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(hashes), _BLOCK):
+        np.minimum(least, _mixed(hashes[None, a : a + _BLOCK], seeds).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)], dtype=np.uint64).view(np.int64)
+
+
+def _met(nodes: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) that join all that pass ``decide`` among the pairs of nodes with a key of ``keys`` in common.
+
+    Each round tests a star within each key, around a node drawn anew. Pairs
+    whose ends are joined already need no test; once few of the others are left
+    for a member, or after ``_STARS`` rounds, all of them are tested.
+    """
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(spread.join(shared, "key").select("key", "node"))
+    edges: DataFrame | None = None
+    for turn in range(_STARS + 1):
+        if edges is None:
+            rooted = members.withColumn("root", F.col("node"))
+        else:
+            rooted = members.join(star_components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        alike = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
+        open_ = alike.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same")).where("roots > 1")
+        open_ = cut(open_.select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("apart")))
+        apart, m = open_.agg(F.sum("apart"), F.sum("m")).first()
+        if not apart:
+            break
+        rooted = cut(rooted.join(open_.select("key"), "key").withColumn("draw", F.xxhash64("node", F.lit(turn))))
+        last = turn == _STARS or apart <= _LIGHT * m
+        others = rooted.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), "draw")
+        if last:
+            pairs = rooted.join(others.drop("draw"), "key").where("root <> rv and node < v")
+        else:
+            least = rooted.groupBy("key").agg(F.min("draw").alias("draw"))
+            pairs = rooted.drop("draw").join(others.join(least, ["key", "draw"]), "key").where("root <> rv")
+        found = cut(decide(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()))
+        edges = found if edges is None else edges.union(found)
+        if last:
+            break
+    return edges if edges is not None else members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, parts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(node ids, edges) of documents whose shingles' estimated Jaccard similarity reaches ``similarity``.
+
+    Candidates share all ``rows`` minima of one of ``bands`` bands of shingles:
+    similarity j is missed with probability (1 - j ** rows) ** bands. All of
+    them are tested unless joined by other links.
     They are verified by popcount over ``64 * parts`` bits of the shingles'
     SimHash: similarity j shows as a share arccos(2j / (1 + j)) / pi of
     differing bits; a margin of one and a half standard deviations is allowed.
@@ -138,32 +187,31 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     size = BITS * parts
     most = round(size * share + 1.5 * math.sqrt(size * share * (1 - share)))
-    names = [*(f"f{k}" for k in range(tables)), *(f"s{k}" for k in range(parts))]
+    names = [f"s{k}" for k in range(parts)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                made = np.array([sketch(x.as_py(), words, tables, parts) for x in batch.column(1)], dtype=np.int64).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(len(names))]], names=["id", *names])
+                prints, keys = [], []
+                for x in batch.column(1):
+                    hashes = shingles(x.as_py(), words)
+                    prints.append(sketch(hashes, parts))
+                    keys.append(band_keys(hashes, bands, rows))
+                made = np.array(prints, dtype=np.int64).reshape(-1, parts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(parts)], pa.array(keys, pa.list_(pa.int64()))], names=["id", *names, "keys"])
 
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names]])
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    nodes = cut(rows.mapInArrow(each, schema).groupBy(*names).agg(F.min("id").alias("node")))
-    near: DataFrame | None = None
-    for k in range(tables):
-        spread = nodes.select("node", F.explode(_ball(f"f{k}")).alias("variant"))
-        inside = Window.partitionBy("variant").orderBy("node")
-        first = F.min("node").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        met = spread.select("node", first.alias("a"), F.lag("node").over(inside).alias("b"))
-        # A star and a chain: all pairs of up to three, linear in the rest.
-        met = met.where("b is not null").select(F.col("node").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u <> v").distinct()
-        near = met if near is None else near.union(met)
-    own = nodes.select("node", *[f"s{k}" for k in range(parts)])
-    other = own.select(F.col("node").alias("v"), *[F.col(f"s{k}").alias(f"z{k}") for k in range(parts)])
-    pairs = near.distinct().join(own.withColumnRenamed("node", "u"), "u").join(other, "v")
-    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"z{k}"))) for k in range(parts)), F.lit(0))
-    return nodes.select("node"), pairs.where(differ <= most).select("u", "v")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names], T.StructField("keys", T.ArrayType(T.LongType()))])
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    nodes = cut(texts.mapInArrow(each, schema).groupBy(*names, "keys").agg(F.min("id").alias("node")))
+    own = nodes.select("node", *names)
+    other = own.select(F.col("node").alias("v"), *[F.col(n).alias(f"z{n}") for n in names])
+    differ = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"z{n}"))) for n in names), F.lit(0))
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        return pairs.join(own.withColumnRenamed("node", "u"), "u").join(other, "v").where(differ <= most).select("u", "v")
+
+    return nodes.select("node"), _met(nodes, decide)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -104,3 +104,13 @@ def test_keep_one_edges(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 7, None]
     hot = [(i, "the same text of a third of all rows " * 3, "hot") for i in range(900)] + [(1000 + i, f"word{i} other{i * 7}", "b") for i in range(20)]
     assert simhash.keep_one(documents(spark, hot)).count() == 21
+
+
+def test_keep_one_finds_copies_among_many_texts_of_one_token(spark):
+    """Half of all words are one token, so word SimHashes are all alike; each true pair is neither next by id nor with the smallest."""
+    rng = random.Random(5)
+    made = [" | ".join(f"w{rng.getrandbits(40)}" for _ in range(100)) for _ in range(300)]
+    copies = [t.replace(t.split()[100], "changed") for t in made[100:200]]
+    rows = [(i, t, "hot") for i, t in enumerate(made + copies)]
+    assert all(similar(made[100 + i], t) >= 0.8 for i, t in enumerate(copies))
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()} == set(range(300))
