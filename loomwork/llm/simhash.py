@@ -16,7 +16,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,7 +106,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
-    """The hashes of the shingles in order: one of all words if they are fewer, none of a text without words."""
+    """The sorted distinct hashes of the shingles: one of all words if they are fewer, none of a text without words."""
     found = (text or b"").lower().split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
@@ -116,16 +115,13 @@ def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
     whole, last = b" ".join(found), len(found)
     digest = xxhash.xxh64_intdigest
     made = (digest(whole[starts[i] : ends[min(i + words, last) - 1]]) for i in range(max(1, last - words + 1)))
-    return np.fromiter(made, dtype=np.uint64)
+    return np.unique(np.fromiter(made, dtype=np.uint64))
 
 
-def sketch(hashes: np.ndarray, parts: int = 4) -> list[int]:
-    """``parts`` SimHashes of the shingles."""
-    votes = np.zeros((parts, BITS), np.int64)
-    for a in range(0, len(hashes), _CHUNK):
-        for k, seed in enumerate(_seeds(parts)):
-            votes[k] += np.unpackbits(_mixed(hashes[a : a + _CHUNK], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<i8").reshape(-1).tolist()
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -173,43 +169,45 @@ def _met(nodes: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFram
     return edges if edges is not None else members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
 
 
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, parts: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(node ids, edges) of documents whose shingles' estimated Jaccard similarity reaches ``similarity``.
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(node ids, edges) of documents whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
 
     Candidates share all ``rows`` minima of one of ``bands`` bands of shingles:
     similarity j is missed with probability (1 - j ** rows) ** bands. All of
-    them are tested unless joined by other links.
-    They are verified by popcount over ``64 * parts`` bits of the shingles'
-    SimHash: similarity j shows as a share arccos(2j / (1 + j)) / pi of
-    differing bits; a margin of one and a half standard deviations is allowed.
-    Documents of one sketch are one node, its smallest id.
+    them are decided on their texts unless joined by other links.
+    Documents of one set of shingles are one node, its smallest id.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    size = BITS * parts
-    most = round(size * share + 1.5 * math.sqrt(size * share * (1 - share)))
-    names = [f"s{k}" for k in range(parts)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                prints, keys = [], []
+                sets, sizes, keys = [], [], []
                 for x in batch.column(1):
                     hashes = shingles(x.as_py(), words)
-                    prints.append(sketch(hashes, parts))
+                    sets.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
                     keys.append(band_keys(hashes, bands, rows))
-                made = np.array(prints, dtype=np.int64).reshape(-1, parts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(parts)], pa.array(keys, pa.list_(pa.int64()))], names=["id", *names, "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "size", "keys"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [jaccard(shingles(a.as_py(), words), shingles(b.as_py(), words)) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names], T.StructField("keys", T.ArrayType(T.LongType()))])
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    nodes = cut(texts.mapInArrow(each, schema).groupBy(*names, "keys").agg(F.min("id").alias("node")))
-    own = nodes.select("node", *names)
-    other = own.select(F.col("node").alias("v"), *[F.col(n).alias(f"z{n}") for n in names])
-    differ = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"z{n}"))) for n in names), F.lit(0))
+    nodes = cut(texts.mapInArrow(each, schema).groupBy("set", "size", "keys").agg(F.min("id").alias("node")))
+    sizes = nodes.select("node", "size")
 
     def decide(pairs: DataFrame) -> DataFrame:
-        return pairs.join(own.withColumnRenamed("node", "u"), "u").join(other, "v").where(differ <= most).select("u", "v")
+        sized = pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v")
+        some = cut(sized.where(F.least("a", "b") >= F.greatest("a", "b") * F.lit(similarity)).select("u", "v").distinct())
+        ids = some.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        own = cut(texts.join(ids, "id", "left_semi").distinct())  # a repeated id brings its texts once
+        full = some.join(own.toDF("u", "tu"), "u").join(own.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
+        return full.mapInArrow(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)])).distinct()
 
     return nodes.select("node"), _met(nodes, decide)
 

@@ -114,3 +114,17 @@ def test_keep_one_finds_copies_among_many_texts_of_one_token(spark):
     rows = [(i, t, "hot") for i, t in enumerate(made + copies)]
     assert all(similar(made[100 + i], t) >= 0.8 for i, t in enumerate(copies))
     assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()} == set(range(300))
+
+
+def test_keep_one_decides_by_similarity(spark):
+    """Pairs below 0.8 stay whole and pairs from 0.8 lose one, however close to it."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for k in range(120):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(60, 300))]
+        tail = round(len(words) * rng.uniform(0.06, 0.25))
+        copy = words[:-tail] + [f"w{rng.getrandbits(40)}" for _ in range(tail)]
+        rows += [(2 * k, " ".join(words), "hot"), (2 * k + 1, " ".join(copy), "hot")]
+        want |= {2 * k} if similar(rows[-1][1], rows[-2][1]) >= 0.8 else {2 * k, 2 * k + 1}
+    assert 150 < len(want) < 230
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()} == want
