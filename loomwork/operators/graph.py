@@ -7,6 +7,8 @@ driver. Depth bounds are arguments, caps are explicit ranks.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,16 +52,17 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
-def strong_components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame, *, rounds: int | None = None) -> DataFrame:
     """(id, component) of nodes in cycles: the largest id of the strongly connected component, for two nodes or more or a loop.
 
     Forward colouring: each live node takes the largest id that reaches it;
     what reaches a colour's root backwards within the colour is its component.
+    Each round settles a component at least, so without ``rounds`` all are found.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component")).distinct()
     live = cut(edges.where("src <> dst").select("src", "dst").distinct())
     done: DataFrame | None = None
-    for _ in range(rounds):
+    for turn in count():
         while True:  # trim nodes without edges in or out
             core = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             same = core.count() == live.count()
@@ -68,6 +71,8 @@ def strong_components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
                 break
         if live.isEmpty():
             break
+        if turn == rounds:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
         colour = live.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id"))
         while True:
             heard = live.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("h"))
@@ -94,14 +99,15 @@ def strong_components(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     return big.union(loops.join(big.select("id"), "id", "left_anti"))
 
 
-def cheapest_paths(edges: DataFrame, source: DataFrame, *, rounds: int = 50) -> DataFrame:
+def cheapest_paths(edges: DataFrame, source: DataFrame, *, rounds: int | None = None) -> DataFrame:
     """(id, cost, hops, previous) from the one ``source`` (id) over edges (src, dst, cost): relaxation to a fixpoint.
 
-    Ties go to fewer hops, then the smaller previous node.
+    Ties go to fewer hops, then the smaller previous node. A negative cycle,
+    which has no fixpoint, is an error, as is a limit of ``rounds`` that is hit.
     """
     kind = edges.schema["src"].dataType
     best = cut(source.select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("previous")))
-    for _ in range(rounds):
+    for turn in count(1):
         tried = best.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.col("cost").alias("c")), "id")
         tried = tried.select(F.col("to").alias("id"), F.round(F.col("cost") + F.col("c"), 9).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("id").alias("previous"))
         merged = best.withColumn("new", F.lit(0)).union(tried.withColumn("new", F.lit(1)))
@@ -109,15 +115,19 @@ def cheapest_paths(edges: DataFrame, source: DataFrame, *, rounds: int = 50) ->
         step = cut(merged.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn"))
         best = step.drop("new")
         if step.where("new = 1").isEmpty():
-            break
-    return best
+            return best
+        if turn == rounds:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
+        # Round k changes a node by a path of k hops, over k + 1 nodes unless it meets one twice.
+        if turn >= best.count():
+            raise ValueError("a cycle of negative cost")
 
 
-def walk_back(best: DataFrame, target: DataFrame, *, longest: int = 50) -> DataFrame:
+def walk_back(best: DataFrame, target: DataFrame) -> DataFrame:
     """(position, id) of the path to ``target`` (id), position 0 at the source; empty if it isn't reached."""
     at = best.join(target, "id").select("id", "hops", "previous")
     path = at
-    for _ in range(longest):
+    for _ in range(at.agg(F.max("hops")).first()[0] or 0):
         at = cut(best.join(at.where("previous is not null").select(F.col("previous").alias("id")), "id").select("id", "hops", "previous"))
         if at.isEmpty():
             break
