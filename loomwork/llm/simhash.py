@@ -132,16 +132,13 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)], dtype=np.uint64).view(np.int64)
 
 
-def _met(nodes: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (u, v) that join all that pass ``decide`` among the pairs of nodes with a key of ``keys`` in common.
+def _met(members: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) that join all that pass ``decide`` among the pairs of ``members`` (key, node) with a key in common.
 
     Each round tests a star within each key, around a node drawn anew. Pairs
     whose ends are joined already need no test; once few of the others are left
     for a member, or after ``_STARS`` rounds, all of them are tested.
     """
-    spread = nodes.select("node", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(spread.join(shared, "key").select("key", "node"))
     edges: DataFrame | None = None
     for turn in range(_STARS + 1):
         if edges is None:
@@ -200,16 +197,19 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     nodes = cut(texts.mapInArrow(each, schema).groupBy("set", "size", "keys").agg(F.min("id").alias("node")))
     sizes = nodes.select("node", "size")
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(spread.join(shared, "key").select("key", "node"))
+    ids = members.select(F.col("node").alias("id")).distinct()
+    own = cut(texts.join(ids, "id", "left_semi").distinct())  # a repeated id brings its texts once
 
     def decide(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v")
-        some = cut(sized.where(F.least("a", "b") >= F.greatest("a", "b") * F.lit(similarity)).select("u", "v").distinct())
-        ids = some.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        own = cut(texts.join(ids, "id", "left_semi").distinct())  # a repeated id brings its texts once
+        some = sized.where(F.least("a", "b") >= F.greatest("a", "b") * F.lit(similarity)).select("u", "v").distinct()
         full = some.join(own.toDF("u", "tu"), "u").join(own.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
         return full.mapInArrow(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)])).distinct()
 
-    return nodes.select("node"), _met(nodes, decide)
+    return nodes.select("node"), _met(members, decide)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
