@@ -16,7 +16,8 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from loomwork.session import cut, ship
 
 BITS = 64
 _CHUNK = 1 << 16
-#: Shingles mixed at once, rounds of stars, and pairs a member up to which all that are left are tested at once.
-_BLOCK, _STARS, _LIGHT = 1 << 10, 6, 4
+#: Shingles mixed at once, rounds of stars, pairs a member up to which all pairs of a key are tested, and the ratio of a class of sizes.
+_BLOCK, _STARS, _LIGHT, _RATIO = 1 << 10, 2, 4, 1.05
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -132,84 +133,128 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)], dtype=np.uint64).view(np.int64)
 
 
-def _met(members: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (u, v) that join all that pass ``decide`` among the pairs of ``members`` (key, node) with a key in common.
+def _overlap(a: Column, b: Column, share: Fraction) -> Column:
+    """The least overlap of two sets of sizes a and b whose Jaccard similarity is ``share``, rounded up, in whole numbers."""
+    over = F.lit(share.numerator) * (a + b)
+    under = F.lit(share.numerator + share.denominator)
+    return F.floor((over + under - 1) / under).cast("long")
 
-    Each round tests a star within each key, around a node drawn anew. Pairs
-    whose ends are joined already need no test; once few of the others are left
-    for a member, or after ``_STARS`` rounds, all of them are tested.
+
+def _rooted(members: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """(key, node, root, pop) of the keys that still hold more than one root, with ``heavy`` if many of their pairs are apart."""
+    if edges is None:
+        rooted = members.withColumn("root", F.col("node"))
+    else:
+        roots = star_components(edges).withColumnRenamed("node", "__n")
+        rooted = members.join(roots, members["node"] == roots["__n"], "left").select("key", "node", "pop", F.coalesce("root", "node").alias("root"))
+    alike = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
+    open_ = alike.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("root", F.struct("m", "root")).alias("first"))
+    apart = (F.col("m") * F.col("m") - F.col("same")) / 2
+    return cut(rooted.join(open_.where("roots > 1").select("key", "first", (apart > _LIGHT * F.col("m")).alias("heavy")), "key"))
+
+
+def _pair(u: str = "node", v: str = "v") -> list[Column]:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _stars(rooted: DataFrame) -> DataFrame:
+    """Pairs of each key's most popular node outside its largest root with every node of another root."""
+    hubs = rooted.where("root <> first or node = first").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("v"), F.col("root").alias("rv")), F.struct(F.col("root") != F.col("first"), "pop", "node")).alias("hub"))
+    return rooted.join(hubs.select("key", "hub.*"), "key").where("root <> rv").select(*_pair()).distinct()
+
+
+def _rare_pairs(rooted: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs of different roots that may still be alike, by the prefix filter over their shingles, rarest first.
+
+    Two sets that must overlap in t shingles of a common order share one among
+    the first |x| - t + 1 of each. Shingles that only one set holds come first
+    and meet nothing, so sets with many of their own drop out. As t grows with
+    the other's size, prefixes are taken for each class of sizes apart. Pairs
+    within the largest root of a shingle are never built.
     """
-    edges: DataFrame | None = None
-    for turn in range(_STARS + 1):
-        if edges is None:
-            rooted = members.withColumn("root", F.col("node"))
-        else:
-            rooted = members.join(star_components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        alike = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
-        open_ = alike.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same")).where("roots > 1")
-        open_ = cut(open_.select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("apart")))
-        apart, m = open_.agg(F.sum("apart"), F.sum("m")).first()
-        if not apart:
-            break
-        rooted = cut(rooted.join(open_.select("key"), "key").withColumn("draw", F.xxhash64("node", F.lit(turn))))
-        last = turn == _STARS or apart <= _LIGHT * m
-        others = rooted.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), "draw")
-        if last:
-            pairs = rooted.join(others.drop("draw"), "key").where("root <> rv and node < v")
-        else:
-            least = rooted.groupBy("key").agg(F.min("draw").alias("draw"))
-            pairs = rooted.drop("draw").join(others.join(least, ["key", "draw"]), "key").where("root <> rv")
-        found = cut(decide(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()))
-        edges = found if edges is None else edges.union(found)
-        if last:
-            break
-    return edges if edges is not None else members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    some = rooted.select("node", "root").distinct()
+    held = some.join(sets.withColumnRenamed("id", "node"), "node").select("node", "root", F.size("hashes").cast("long").alias("a"), F.explode("hashes").alias("tok"))
+    counts = held.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    # What all share can't be hot on both sides: ``counts`` has a row a shingle.
+    ranked = held.join(counts, "tok").groupBy("node", "root", "a").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"))
+    kind = F.floor(F.log("a") / F.log(F.lit(_RATIO))).cast("int")
+    reach = -(-float(np.log(1 / float(share)) / np.log(_RATIO)) // 1)
+    aimed = ranked.select("*", kind.alias("c"), F.explode(F.sequence(kind - int(reach) - 1, kind + int(reach) + 1)).alias("to"))
+    floor_ = F.greatest(F.floor(F.pow(F.lit(_RATIO), F.col("to").cast("double")) - 1e-6), F.ceil(F.col("a") * F.lit(float(share)) - 1e-6), F.lit(1)).cast("long")
+    first = F.col("a") - F.size("shared")  # the set's own shingles
+    length = F.col("a") - _overlap(F.col("a"), floor_, share) + 1 - first
+    cut_off = F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    keys = [F.col("x.tok").alias("tok"), F.least("c", "to").alias("lo"), F.greatest("c", "to").alias("hi")]
+    spread = aimed.where(length > 0).select("node", "root", "a", "c", "to", first.alias("own"), F.posexplode(cut_off).alias("at", "x"))
+    spread = cut(spread.select(*keys, "node", "root", "a", "c", (F.col("own") + F.col("at")).alias("at")))  # ``at`` shingles come before
+    by = ["tok", "lo", "hi"]
+    heads = spread.groupBy(*by, "root").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max_by("root", F.struct("n", "root")).alias("head"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    left = spread.join(heads, by).where("root <> head")
+    right = spread.select(*by, F.col("node").alias("v"), F.col("root").alias("rv"), F.col("a").alias("b"), F.col("c").alias("cv"), F.col("at").alias("bt"))
+    met = left.join(right, by).where("root <> rv and (rv = head or node < v) and (lo = hi or c <> cv)")
+    return met.where(F.least(F.col("a") - F.col("at"), F.col("b") - F.col("bt")) >= _overlap(F.col("a"), F.col("b"), share)).select(*_pair()).distinct()
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(node ids, edges) of documents whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
+    """(node ids, edges) that join documents whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
 
     Candidates share all ``rows`` minima of one of ``bands`` bands of shingles:
-    similarity j is missed with probability (1 - j ** rows) ** bands. All of
-    them are decided on their texts unless joined by other links.
+    similarity j is missed with probability (1 - j ** rows) ** bands. Two
+    rounds of stars around each key's most popular nodes join large groups.
+    Of the pairs that aren't joined by then, those of keys with few are all
+    tested; those of the other keys go through the prefix filter, which is
+    exact. Every edge is decided by the exact similarity of the two sets.
     Documents of one set of shingles are one node, its smallest id.
     """
+    share = Fraction(similarity).limit_denominator(1_000_000)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                sets, sizes, keys = [], [], []
+                found, keys = [], []
                 for x in batch.column(1):
                     hashes = shingles(x.as_py(), words)
-                    sets.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    sizes.append(len(hashes))
+                    found.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     keys.append(band_keys(hashes, bands, rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "keys"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [jaccard(shingles(a.as_py(), words), shingles(b.as_py(), words)) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                made = [shingles(x.as_py(), words).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    own_id = T.StructField("id", docs.schema[id_col].dataType)
+    longs = T.ArrayType(T.LongType())
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    nodes = cut(texts.mapInArrow(each, schema).groupBy("set", "size", "keys").agg(F.min("id").alias("node")))
-    sizes = nodes.select("node", "size")
+    sketched = texts.mapInArrow(sketch, T.StructType([own_id, T.StructField("set", T.BinaryType()), T.StructField("keys", longs)]))
+    nodes = cut(sketched.groupBy("set", "keys").agg(F.min("id").alias("node")))
     spread = nodes.select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(spread.join(shared, "key").select("key", "node"))
-    ids = members.select(F.col("node").alias("id")).distinct()
-    own = cut(texts.join(ids, "id", "left_semi").distinct())  # a repeated id brings its texts once
+    met = cut(spread.join(shared, "key").select("key", "node", "n"))
+    popular = met.groupBy("node").agg(F.sum("n").alias("pop"))
+    members = cut(met.join(popular, "node").select("key", "node", "pop"))
+    sets = cut(texts.join(popular.select(F.col("node").alias("id")), "id", "left_semi").distinct().mapInArrow(listed, T.StructType([own_id, T.StructField("hashes", longs)])))
 
     def decide(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v")
-        some = sized.where(F.least("a", "b") >= F.greatest("a", "b") * F.lit(similarity)).select("u", "v").distinct()
-        full = some.join(own.toDF("u", "tu"), "u").join(own.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
-        return full.mapInArrow(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)])).distinct()
+        with_u = pairs.join(sets.toDF("u", "hu"), "u")
+        sized = with_u.join(sets.toDF("v", "hv"), "v")
+        a, b = F.size("hu").cast("long"), F.size("hv").cast("long")
+        met = F.size(F.array_intersect("hu", "hv"))
+        return cut(sized.where(F.least(a, b) >= _overlap(a, b, share)).where(met >= _overlap(a, b, share)).select("u", "v").distinct())
 
-    return nodes.select("node"), _met(members, decide)
+    edges: DataFrame | None = None
+    for _ in range(_STARS):
+        found = decide(_stars(_rooted(members, edges)))
+        edges = found if edges is None else edges.union(found)
+    left = _rooted(members, edges)
+    light = left.where(~F.col("heavy"))
+    others = light.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
+    few = light.join(others, "key").where("root <> rv and node < v").select(*_pair())
+    many = _rare_pairs(left.where("heavy"), sets, share)
+    return nodes.select("node"), edges.union(decide(few.union(many).distinct()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
