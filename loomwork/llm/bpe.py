@@ -11,7 +11,9 @@ Defined results
 * null text counts as empty: no ids; its decoded form is empty.
 * a word that is itself in the vocabulary takes that id, as the rank files ask.
 * ties: the leftmost position of a rank merges first.
-* repeated rows, extra columns and empty tables pass through.
+* repeated rows, extra columns and empty tables pass through; an input column
+  of an output's name (in any letter case) gives way to it.
+* a rank table with ranks of 2^24 or more is refused.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from hashlib import blake2b
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from loomwork.llm.names import others
 from loomwork.session import ship
 
-_SHIFT = 21
+_SHIFT = 24  # bits of a rank
 _PIECES = 400_000
 _CACHE = 300_000
 _CHARS = 3_000_000
@@ -45,6 +50,8 @@ class Codec:
     """Encoder and decoder of one rank table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values()) >> _SHIFT:
+            raise ValueError(f"ranks must be below 2^{_SHIFT}")
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocab = {i: w for w, i in ranks.items()}
         self.left: dict[int, dict[int, int]] = {}
@@ -166,13 +173,20 @@ class Codec:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
-_CODECS: dict[tuple, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def codec(shared) -> Codec:
-    """The worker's codec for a broadcast (ranks, pattern); built once a process."""
-    ranks, pattern = shared.value
-    key = (len(ranks), pattern, hash(frozenset(islice(ranks.items(), 1000))))
+def share(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> Broadcast:
+    """(ranks, pattern, digest of both), for ``codec``; a rank table is about 1 MB."""
+    digest = blake2b(repr(pattern).encode())
+    for w, i in sorted(ranks.items()):
+        digest.update(b"%d %d " % (i, len(w)) + w)
+    return spark.sparkContext.broadcast((ranks, pattern, digest.hexdigest()))
+
+
+def codec(shared: Broadcast) -> Codec:
+    """The worker's codec for what ``share`` gave; built once a process and vocabulary."""
+    ranks, pattern, key = shared.value
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(ranks, pattern)
@@ -195,9 +209,9 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all but the text by default) and ``ids_col`` array<int>."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, ids_col)]
+    keep = others(docs.columns if keep is None else keep, text_col, ids_col)
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = share(docs.sparkSession, ranks, pattern)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
     names = schema.names
 
@@ -217,7 +231,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes its ids stand for; null ids decode to no bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast((ranks, "."))
-    keep = [c for c in encoded.columns if c != bytes_col]
+    keep = others(encoded.columns, bytes_col)
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField(bytes_col, T.BinaryType())])
     at = keep.index(ids_col)
 

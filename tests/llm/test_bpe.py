@@ -1,4 +1,7 @@
+from hashlib import sha256
+
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,5 +60,40 @@ def test_encode_decode_tables(spark):
     assert encoded.columns == [*(c for c in docs.columns if c != "text"), "ids"]
     back = bpe.decode(encoded, RANKS).collect()
     assert sorted(bytes(r.decoded) for r in back) == sorted((r.text or "").encode() for r in docs.collect())
-    assert bpe.digests(encoded, RANKS).count() == docs.count()
+    rows = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(encoded, RANKS).collect()), key=str)
+    want = []
+    for r in docs.collect():
+        ids = REFERENCE.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((r.text or "").encode()).hexdigest()))
+    assert rows == sorted(want, key=str)
     assert bpe.encode(spark.createDataFrame([], SCHEMA), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_codec_is_known_by_its_whole_vocabulary(spark):
+    """Two tables of one size with equal starts, which a reused worker must tell apart."""
+    swapped = dict(RANKS)
+    a, b = list(RANKS)[-2:]
+    swapped[a], swapped[b] = RANKS[b], RANKS[a]
+    one, two = bpe.share(spark, RANKS, public_tokenizers.PATTERN), bpe.share(spark, swapped, public_tokenizers.PATTERN)
+    assert bpe.codec(one) is bpe.codec(one) and bpe.codec(one).ranks[a] != bpe.codec(two).ranks[a]
+
+
+def test_ranks_beyond_the_index_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec({**{bytes([i]): i for i in range(256)}, b"ab": 1 << 24}, ".")
+
+
+def test_clashing_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, IDS string")
+    assert bpe.encode(docs, RANKS, public_tokenizers.PATTERN).columns == ["doc_id", "ids"]
+
+
+def test_query_is_the_library_on_every_document(spark):
+    from loomwork.llm.queries import op9_bpe
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = REFERENCE.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((r.text or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op9_bpe(spark, sf).collect()} == want
