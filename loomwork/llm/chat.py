@@ -5,11 +5,13 @@ content yields a reserved id; the template's marks are spliced in as reserved
 ids beyond the vocabulary. The loss mask is the prefix sum of +1 at an
 assistant text's first token and -1 after its last. Control strings inside
 texts are broken up by a backslash (and backslashes doubled), which unescaping
-reverses, so the printed form can be parsed too.
+reverses, so the printed form can be parsed too. Each conversation is opened by
+a row of its own with the reserved id of ``<s>``.
 
 Turns are encoded before the shuffle, where a long conversation is still
 spread out; a conversation is then read in turn order as a stream of rows and
-never held whole.
+never held whole. Its digest runs over its turns in order, so one task reads a
+conversation, the null one too, however long it is.
 
 Defined results
 * null text and null role count as empty; a role other than system, user and
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.bpe import Codec, codec
+from loomwork.llm.bpe import Codec, codec, share
 from loomwork.session import ship, shuffle_partitions
 
 #: The template's control strings; their ids follow the vocabulary in this order.
@@ -76,15 +78,19 @@ def assemble(role: str, named: list[int], content: list[int], base: int) -> tupl
 
 
 def format_turns(turns: DataFrame, ranks: dict[bytes, int], pattern: str, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, ids, mask) of every row: int32 ids and 0/1 loss mask as bytes, with ``tie`` to order equal turns."""
+    """(conv_id, turn, ids, mask) of every row: int32 ids and 0/1 loss mask as bytes, with ``tie`` to order equal turns.
+
+    A further row a conversation, with ``opens`` true, holds its opening id.
+    """
     ship(turns.sparkSession)
-    shared = turns.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = share(turns.sparkSession, ranks, pattern)
     base = max(ranks.values()) + 1
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"),
         F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("tie"),
     )
     names = ["conv_id", "turn", "role", "tie", "ids", "mask"]
+    opening = np.array([base + BOS], "<i4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared)
@@ -97,17 +103,20 @@ def format_turns(turns: DataFrame, ranks: dict[bytes, int], pattern: str, *, con
                 made = [assemble(r, a, b, base) for r, a, b in zip(roles, coded[: len(roles)], coded[len(roles) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([m.tobytes() for _, m in made], pa.binary())], names=names)
 
-    return rows.mapInArrow(each, "conv_id long, turn long, role string, tie string, ids binary, mask binary")
+    said = rows.mapInArrow(each, "conv_id long, turn long, role string, tie string, ids binary, mask binary").withColumn("opens", F.lit(False))
+    first = rows.groupBy("conv_id").agg(F.lit(None).cast("long").alias("turn"))
+    marks = [F.lit("").alias("role"), F.lit("").alias("tie"), F.lit(bytearray(opening)).alias("ids"), F.lit(bytearray(1)).alias("mask"), F.lit(True).alias("opens")]
+    return said.unionByName(first.select("conv_id", "turn", *marks))
 
 
 def in_order(formatted: DataFrame) -> DataFrame:
-    """Each conversation's turns one after another in one partition, read as a stream."""
+    """Each conversation's opening and its turns, one after another in one partition, read as a stream."""
     n = shuffle_partitions(formatted.sparkSession)
-    return formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
+    return formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", F.desc("opens"), "turn", "role", "tie")
 
 
-def parse(ids: list[int], own: Codec, base: int) -> tuple[str, str, str]:
-    """(role, unescaped text, printed form) of one formatted turn, from its ids alone."""
+def parse(ids: list[int], own: Codec, base: int) -> tuple[str | None, str, str]:
+    """(role, unescaped text, printed form) of one formatted turn, from its ids alone; the opening has no role."""
     printed: list[str] = []
     marks: list[int] = []
     bodies: list[str] = []
@@ -126,6 +135,8 @@ def parse(ids: list[int], own: Codec, base: int) -> tuple[str, str, str]:
         else:
             run.append(i)
     flush()
+    if marks[0] == BOS:
+        return None, "", "".join(printed)
     if marks[0] == ROLE:
         role, body = unescape(bodies[1]), bodies[2]
     elif marks[0] == EOS:
@@ -138,10 +149,10 @@ def parse(ids: list[int], own: Codec, base: int) -> tuple[str, str, str]:
 def read_back(formatted: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per conversation, from ids and mask alone: turns, digests of all texts and of the text under the mask, printed length.
 
-    The printed form of a conversation is the control ``<s>`` and its turns.
+    The printed form of a conversation is what its opening and its turns print.
     """
     ship(formatted.sparkSession)
-    shared = formatted.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = share(formatted.sparkSession, ranks, pattern)
     base = max(ranks.values()) + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +176,17 @@ def read_back(formatted: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
                 if not now or now[0] != conv.as_py():
                     if now:
                         close()
-                    now[:] = [conv.as_py(), 0, sha256(), 0, sha256(), len(CONTROLS[BOS])]
+                    now[:] = [conv.as_py(), 0, sha256(), 0, sha256(), 0]
                 ids, mask = np.frombuffer(raw.as_py(), "<i4"), np.frombuffer(raw_mask.as_py(), np.uint8)
                 role, text, printed = parse(ids.tolist(), own, base)
+                now[5] += len(printed)
+                if role is None:
+                    continue
                 learnt = unescape(own.decode(ids[mask == 1].tolist()).decode("utf-8", "surrogatepass"))
                 now[1] += 1
                 now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 now[3] += len(learnt)
                 now[4].update(learnt.encode("utf-8", "surrogatepass"))
-                now[5] += len(printed)
             if len(done) > 5000:
                 yield batch_of()
         if now:

@@ -44,15 +44,34 @@ def test_read_back_matches_the_rows(spark):
 def test_masks_reserved_ids_and_printed_form(spark):
     turns = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
     formatted = chat.format_turns(turns, RANKS, public_tokenizers.PATTERN)
-    rows = sorted(formatted.collect(), key=lambda r: r.turn)
+    rows = sorted(formatted.where("not opens").collect(), key=lambda r: r.turn)
+    first = formatted.where("opens").collect()
     base, codec = max(RANKS.values()) + 1, bpe.Codec(RANKS, public_tokenizers.PATTERN)
     ids = [memoryview(bytes(r["ids"])).cast("i").tolist() for r in rows]
     assert [i - base for i in ids[0] if i >= base] == [chat.INST, chat.END_INST] and ids[1][-1] == base + chat.EOS
     assert set(rows[0]["mask"]) == {0} and rows[1]["mask"][-1] == 0 and set(rows[1]["mask"][:-1]) == {1}
-    printed = "".join(chat.parse(x, codec, base)[2] for x in ids)
-    assert printed == "[INST]" + chat.escape(SAID) + "[/INST]" + chat.escape(SAID) + "</s>"
+    assert [memoryview(bytes(r["ids"])).cast("i").tolist() for r in first] == [[base + chat.BOS]] and bytes(first[0]["mask"]) == b"\0"
+    printed = "".join(chat.parse(x, codec, base)[2] for x in [[base + chat.BOS], *ids])
+    assert printed == "<s>[INST]" + chat.escape(SAID) + "[/INST]" + chat.escape(SAID) + "</s>"
     read = chat.read_back(formatted, RANKS, public_tokenizers.PATTERN).first()
-    assert read.formatted_chars == len("<s>" + printed) and read.loss_chars == len(SAID)
+    assert read.formatted_chars == len(printed) and read.loss_chars == len(SAID)
+
+
+def test_opening_is_counted_from_the_output(spark):
+    """Without the opening rows the printed form has no ``<s>``; nothing adds it."""
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(turns, RANKS, public_tokenizers.PATTERN)
+    whole, bare = (chat.read_back(x, RANKS, public_tokenizers.PATTERN).collect() for x in (formatted, formatted.where("not opens")))
+    assert {r.formatted_chars for r in whole} == {len("<s>[INST]a[/INST]")} and {r.formatted_chars for r in bare} == {len("[INST]a[/INST]")}
+
+
+def test_query_matches_the_rows(spark):
+    from loomwork.llm.queries import op6_chat
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()] + [(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op6_chat(spark, sf).collect()}
+    assert got == brute(rows)
 
 
 def test_empty_table(spark):
