@@ -1,14 +1,16 @@
 """Media columns: Netpbm and BMP images as numpy arrays, tiles and difference hashes.
 
-Images come and go as bytes in a column. They are decoded whole (P2/P3 text and
-P5/P6 binary Netpbm up to 8 bits, uncompressed 8-bit grey or palette, 24- and
-32-bit BMP), resized by exact area averages from an integral image, and written
+Images come and go as bytes in a column. They are decoded whole (P1 to P6
+Netpbm up to 16 bits; BMP of 1, 4 and 8 bits with a palette and of 16, 24 and 32
+bits, with or without bit masks, not run-length coded) to 8-bit samples, resized by exact area averages from an integral image, and written
 as NPY tiles. The integral image is walked in strips of rows and kept only at
 the rows that cell borders need, so a resize takes memory of one strip.
 
 Defined results
 * null or undecodable bytes: null array fields and hash, ``error`` says why; the row stays.
 * empty text as payload: one row of fill, 576 bytes of 255.
+* samples of other depths are spread over 0 to 255, rounded down; Netpbm's black bit is 0.
+* an input column of an output's name (in any letter case) gives way to it.
 * equal bytes give equal tiles and hashes; repeated rows repeat; empty table: empty result.
 """
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.names import others
 from loomwork.session import ship
 
 STRIP = 4096
@@ -57,9 +60,16 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + info + palette.tobytes() + rows.tobytes()
 
 
-def _netpbm(data: bytes) -> np.ndarray:
-    kind, at, fields = data[:2], 2, []
-    while len(fields) < 3:
+def _bits(rows: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """(height, width) values of ``depth`` bits (1, 2 or 4) from packed rows, the high bits first."""
+    flat = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(len(rows), width, depth)
+    return flat @ (1 << np.arange(depth - 1, -1, -1)).astype(np.uint8)
+
+
+def _header(data: bytes, fields: int) -> tuple[list[int], int]:
+    """The header's numbers and the place after the last of them."""
+    at, found = 2, []
+    while len(found) < fields:
         if at >= len(data):
             raise MediaError("header ends early")
         c = data[at : at + 1]
@@ -72,51 +82,102 @@ def _netpbm(data: bytes) -> np.ndarray:
             end = at
             while data[end : end + 1].isdigit():
                 end += 1
-            fields.append(int(data[at:end]))
+            if end - at > 9:
+                raise MediaError("number too large")
+            found.append(int(data[at:end]))
             at = end
         else:
             raise MediaError("bad header")
-    w, h, top = fields
+    return found, at
+
+
+def _bitmap(data: bytes) -> np.ndarray:
+    (w, h), at = _header(data, 2)
+    if not (w and h):
+        raise MediaError("unsupported size or depth")
+    if data[:2] == b"P4":
+        stride = -(-w // 8)
+        if len(data) - at - 1 < stride * h:
+            raise MediaError("raster ends early")
+        ink = _bits(np.frombuffer(data, np.uint8, stride * h, at + 1).reshape(h, stride), w, 1)
+    else:
+        marks = b"".join(line.split(b"#")[0] for line in data[at:].split(b"\n")).translate(None, b" \t\r\x0b\x0c")[: w * h]
+        ink = np.frombuffer(marks, np.uint8) - 48
+        if (ink > 1).any():
+            raise MediaError("sample out of range")
+        if len(ink) < w * h:
+            raise MediaError("raster ends early")
+        ink = ink.reshape(h, w)
+    return (255 * (1 - ink.astype(np.int64))).astype(np.uint8)
+
+
+def _netpbm(data: bytes) -> np.ndarray:
+    kind = data[:2]
+    if kind in (b"P1", b"P4"):
+        return _bitmap(data)
+    (w, h, top), at = _header(data, 3)
     deep = 3 if kind in (b"P3", b"P6") else 1
-    if not (w and h and 0 < top < 256):
+    if not (w and h and 0 < top < 65536):
         raise MediaError("unsupported size or depth")
     n = w * h * deep
     if kind in (b"P5", b"P6"):
-        flat = np.frombuffer(data, np.uint8, count=min(n, max(0, len(data) - at - 1)), offset=min(at + 1, len(data)))
+        sample = np.dtype(">u2" if top > 255 else np.uint8)
+        if len(data) - at - 1 < n * sample.itemsize:
+            raise MediaError("raster ends early")
+        flat = np.frombuffer(data, sample, count=n, offset=at + 1)
     else:
-        flat = np.array(data[at:].split()[:n], dtype=np.int64)
+        try:
+            flat = np.array(data[at:].split()[:n], dtype=np.int64)
+        except OverflowError:
+            raise MediaError("sample out of range") from None
         if len(flat) and (flat.min() < 0 or flat.max() > top):
             raise MediaError("sample out of range")
-        flat = flat.astype(np.uint8)
-    if len(flat) < n:
-        raise MediaError("raster ends early")
-    if top != 255:
-        flat = (flat.astype(np.int64) * 255 // top).clip(0, 255).astype(np.uint8)
+        if len(flat) < n:
+            raise MediaError("raster ends early")
+    flat = flat.astype(np.uint8) if top == 255 else (flat.astype(np.int64) * 255 // top).clip(0, 255).astype(np.uint8)
     return flat.reshape(h, w, deep) if deep > 1 else flat.reshape(h, w)
 
 
+def _masked(rows: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Red, green and blue of packed pixels, each spread over 0 to 255."""
+    out = []
+    for m in masks:
+        if not m:
+            raise MediaError("unsupported BMP")
+        low = (m & -m).bit_length() - 1
+        out.append(((rows.astype(np.int64) & m) >> low) * 255 // (m >> low))
+    return np.stack(out, axis=2).astype(np.uint8)
+
+
 def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise MediaError("header ends early")
     start = int.from_bytes(data[10:14], "little")
     size, w, h = (int(x) for x in np.frombuffer(data, "<i4", 3, 14))
     bits, packed = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
-    if packed or bits not in (8, 24, 32) or w <= 0 or h == 0:
+    fields = packed == 3 and bits in (16, 32)
+    if (packed and not fields) or bits not in (1, 4, 8, 16, 24, 32) or w <= 0 or h == 0 or size < 40:
         raise MediaError("unsupported BMP")
     stride = -(-w * bits // 32) * 4
     if start + stride * abs(h) > len(data):
         raise MediaError("raster ends early")
     rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
-    if bits == 8:
-        used = int.from_bytes(data[46:50], "little") or 256
-        if 14 + size + 4 * used > len(data):
+    if bits <= 8:
+        used = int.from_bytes(data[46:50], "little") or 1 << bits
+        if used > 1 << bits or 14 + size + 4 * used > len(data):
             raise MediaError("palette ends early")
-        palette = np.zeros((256, 4), np.uint8)
+        palette = np.zeros((1 << bits, 4), np.uint8)
         palette[:used] = np.frombuffer(data, np.uint8, 4 * used, 14 + size).reshape(-1, 4)
+        at = rows[:, :w] if bits == 8 else _bits(np.ascontiguousarray(rows), w, bits)
         if (palette[:, :1] == palette[:, :3]).all():
-            return palette[:, 0][rows[:, :w]]
-        return palette[:, 2::-1][rows[:, :w]]
+            return palette[:, 0][at]
+        return palette[:, 2::-1][at]
+    if fields or bits == 16:
+        if fields and len(data) < 66:
+            raise MediaError("header ends early")
+        masks = [int.from_bytes(data[k : k + 4], "little") for k in (54, 58, 62)] if fields else [0x7C00, 0x3E0, 0x1F]
+        return _masked(np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4")[:, :w], masks)
     return rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1]
 
 
@@ -124,7 +185,7 @@ def decode(data: bytes | None) -> np.ndarray:
     """The image as (height, width) or (height, width, 3) uint8."""
     if not data:
         raise MediaError("no bytes")
-    if data[:2] in (b"P2", b"P3", b"P5", b"P6"):
+    if data[:2] in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         return _netpbm(data)
     if data[:2] == b"BM":
         return _bmp(data)
@@ -212,7 +273,7 @@ def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def store_text(docs: DataFrame, text_col: str = "text", media_col: str = "media", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``n_bytes`` and the text's payload stored losslessly as a PGM of width 24."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, media_col, "n_bytes")]
+    keep = others(docs.columns if keep is None else keep, text_col, media_col, "n_bytes")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +289,12 @@ def store_text(docs: DataFrame, text_col: str = "text", media_col: str = "media"
 
 def features(media: DataFrame, media_col: str = "media", *, side: int = 8, keep: list[str] | None = None) -> DataFrame:
     """Per stored image: size, samples' digest and checksum, stored form's size and digest, NPY tile, hash, error."""
-    keep = [c for c in (media.columns if keep is None else keep) if c != media_col]
     made = [
         ("height", T.IntegerType(), pa.int32()), ("width", T.IntegerType(), pa.int32()), ("payload_bytes", T.LongType(), pa.int64()),
         ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()),
         ("media_sha256", T.StringType(), pa.string()), ("tile", T.BinaryType(), pa.binary()), ("dhash", T.StringType(), pa.string()), ("error", T.StringType(), pa.string()),
     ]
+    keep = others(media.columns if keep is None else keep, media_col, *(n for n, _, _ in made))
     schema = T.StructType([*[media.schema[c] for c in keep], *[T.StructField(n, t) for n, t, _ in made]])
 
     def one(data: bytes | None) -> tuple:
@@ -262,7 +323,7 @@ def tiles(media: DataFrame, media_col: str = "media", *, side: int = SIDE, keep:
     Tiles at the right and lower borders are as small as what is left. Write
     the result with ``.write.parquet``; images that can't be decoded have no tiles.
     """
-    keep = [c for c in (media.columns if keep is None else keep) if c != media_col]
+    keep = others(media.columns if keep is None else keep, media_col, "tile_row", "tile_col", "npy", "dhash")
     schema = T.StructType([*[media.schema[c] for c in keep], T.StructField("tile_row", T.IntegerType()), T.StructField("tile_col", T.IntegerType()), T.StructField("npy", T.BinaryType()), T.StructField("dhash", T.StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,12 +42,39 @@ def test_formats_round_trip():
     assert media.decode(head + b"\x01\x02\x03\x00\x04\x05\x06\x00").tolist() == [[[6, 5, 4]], [[3, 2, 1]]]
 
 
-@pytest.mark.parametrize("bad", [None, b"", b"xx", b"P5", b"P5\n2 2\n255\nab", b"P5 0 1 255 ", b"P2 1 1 255 x", b"BM", b"BM" + bytes(60)])
+@pytest.mark.parametrize("bad", [None, b"", b"xx", b"P5", b"P5\n2 2\n255\nab", b"P5 0 1 255 ", b"P2 1 1 255 x", b"P2 1 1 255 " + b"9" * 40, b"P5 " + b"9" * 5000 + b" 1 255 ", b"P1 2 1 1", b"P1 1 1 7", b"P4 9 1\n\0", b"P5 1 1 65536 a", b"BM", b"BM" + bytes(60)])
 def test_bad_bytes_are_errors(bad):
     with pytest.raises(ValueError):
         media.decode(bad)
 
 
+def bmp(w, h, bits, rows, palette=b"", masks=b""):
+    start = 54 + len(masks) + len(palette)
+    head = b"BM" + bytes(8) + start.to_bytes(4, "little") + np.array([40, w, h], "<i4").tobytes() + np.array([1, bits], "<u2").tobytes()
+    return head + np.array([3 if masks else 0, 0, 0, 0, 0, 0], "<i4").tobytes() + masks + palette + rows
+
+
+def test_other_depths():
+    assert media.decode(b"P1 3 2\n# note\n1 0 1\n001").tolist() == [[0, 255, 0], [255, 255, 0]]
+    assert media.decode(b"P4 9 1\n\x80\x80").tolist() == [[0] + [255] * 7 + [0]]
+    assert media.decode(b"P5 2 1 65535\n\xff\xff\x80\x00").tolist() == [[255, 32768 * 255 // 65535]]
+    assert media.decode(b"P2 2 1 1000 1000 500").tolist() == [[255, 127]]
+    grey = lambda n: b"".join(bytes([v, v, v, 0]) for v in n)
+    assert media.decode(bmp(3, 1, 1, b"\xa0\0\0\0", grey([7, 9]))).tolist() == [[9, 7, 9]]
+    assert media.decode(bmp(3, 1, 4, b"\x12\x30\0\0", grey(range(16)))).tolist() == [[1, 2, 3]]
+    assert media.decode(bmp(1, 1, 16, b"\x1f\x7c\0\0")).tolist() == [[[255, 0, 255]]]
+    masks = np.array([0xF800, 0x7E0, 0x1F], "<u4").tobytes()
+    assert media.decode(bmp(1, 1, 16, b"\xe0\x07\0\0", masks=masks)).tolist() == [[[0, 255, 0]]]
+
+
+def test_clashing_columns_and_bad_samples_keep_the_row(spark):
+    rows = spark.createDataFrame([(1, b"P2 1 1 255 " + b"9" * 40, 5, "x", b"y")], "id long, media binary, WIDTH int, error string, npy binary")
+    got = media.features(rows)
+    assert [c.lower() for c in got.columns].count("width") == 1 and got.columns[:2] == ["id", "npy"]
+    assert got.first().error == "sample out of range" and got.select("width").first().width is None
+    assert media.tiles(rows).columns == ["id", "WIDTH", "error", "tile_row", "tile_col", "npy", "dhash"] and media.tiles(rows).count() == 0
+
+
 def test_difference_hash_is_brute_force():
     x = np.random.default_rng(3).integers(0, 256, (48, 24), dtype=np.uint8)
     sums = brute_sums(x, 8, 9)
