@@ -3,17 +3,20 @@
 The base rules (see ``BASE``) find assignments, access keys and long hex runs.
 Long mixed tokens are further candidates. Every candidate's hash is counted
 over distinct repositories (documents) and owners (sources): values that many
-owners hold are examples that have been copied; a random-looking value of one
-owner is taken for a live credential. The counts are built in steps, distinct
-(hash, owner, repository) first, so a value that a third of the rows holds is
-combined before it is shuffled.
+owners hold, or many repositories of one owner, are examples that have been
+copied; a random-looking value of few repositories of one owner is taken for a
+live credential. Distinct (hash, repository) and (hash, owner) are counted, and
+combined before the shuffle, so a value that a third of the rows holds is no
+hot key.
 
 Defined results
 * null text counts as empty: no spans. Offsets are code points, end exclusive.
 * null owners and null ids each count as one owner and one repository.
 * base spans always stay; the method adds ``live`` spans for owner-specific tokens.
-* repeated rows are repeated in the result and don't raise the counts.
-* empty table: empty result; other columns pass through.
+* repeated rows are repeated in the result and don't raise the counts; a
+  repository under several owners counts once.
+* empty table: empty result; other columns pass through, but one named like an
+  output (``found`` or ``spans``, in any letter case) gives way to it.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.names import others
 from loomwork.session import cut, ship
 
 #: Kind, pattern, group whose length counts, its least length; in order of kind.
@@ -71,7 +75,7 @@ def candidates(text: str) -> list[dict]:
 
 def scan(docs: DataFrame, text_col: str = "text", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and ``found``, the candidates of each row."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "found")]
+    keep = others(docs.columns if keep is None else keep, text_col, "found")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,24 +90,23 @@ def scan(docs: DataFrame, text_col: str = "text", *, keep: list[str] | None = No
 def ownership(scanned: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
     """(hash, repos, owners): in how many repositories and owners a candidate value occurs."""
     each = scanned.where(F.size("found") > 0).select(F.col(repo_col).alias("r"), F.col(owner_col).alias("o"), F.explode(F.array_distinct(F.transform("found", lambda x: x["hash"]))).alias("hash"))
-    by_repo = each.groupBy("hash", "o", "r").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("hash", "o").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+    # In structs, as a null counts as one.
+    return each.groupBy("hash").agg(F.count_distinct(F.struct("r")).alias("repos"), F.count_distinct(F.struct("o")).alias("owners"))
 
 
-def verdicts(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", *, max_owners: int = 1, min_bits: float = 3.0) -> DataFrame:
+def verdicts(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", *, max_owners: int = 1, max_repos: int = 20, min_bits: float = 3.0) -> DataFrame:
     """Columns of ``docs`` but the text, and ``spans``: kind, start, end, value's owners and repos, ``live``.
 
-    A value is live-looking if at most ``max_owners`` owners hold it and its
-    letters carry ``min_bits`` bits each. Candidates beyond the base rules stay
+    A value is live-looking if at most ``max_owners`` owners and ``max_repos``
+    repositories hold it and its letters carry ``min_bits`` bits each. Candidates beyond the base rules stay
     only if they are.
     """
-    own = [c for c in docs.columns if c not in (text_col, "found", "spans")]
+    own = others(docs.columns, text_col, "found", "spans")
     # Fixed by the checkpoint, so the row numbers stay the same in every reading.
     scanned = cut(scan(docs, text_col, keep=own).withColumn("__lw_row", F.monotonically_increasing_id()))
     counts = ownership(scanned, repo_col, owner_col)
     rows = scanned.where(F.size("found") > 0).select("__lw_row", F.explode("found").alias("x")).select("__lw_row", "x.*")
-    met = rows.join(counts, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("bits") >= min_bits))
+    met = rows.join(counts, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & (F.col("bits") >= min_bits))
     met = met.where((F.col("kind") < 3) | F.col("live"))
     spans = met.groupBy("__lw_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("spans"))
     joined = scanned.drop("found").join(spans, "__lw_row", "left")

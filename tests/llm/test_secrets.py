@@ -42,7 +42,19 @@ def test_ownership_separates_examples_from_live(spark):
     assert (span.kind, span.owners, span.repos, span.live) == (0, 5, 300, False) and len(got[5][0].spans) == 1
     span = got[1000][0].spans[0]
     assert (span.kind, span.owners, span.repos, span.live) == (3, 1, 2, True)
-    assert len(got[1001]) == 2 and got[2000][0].spans[0].repos == 400
+    assert len(got[1001]) == 2 and got[2000][0].spans == []  # one owner, copied into 400 repositories
+
+
+def test_a_repository_of_two_owners_counts_once_and_copies_are_no_live_secret(spark):
+    value = "8f3k2j4h5g6f7d8s9a0qZZ"
+    two = [(7, f"token = {value}", "a"), (7, f"token = {value}", "b"), (8, f"token = {value}", None), (None, f"token = {value}", None)]
+    span = secrets.verdicts(documents(spark, two)).first().spans[0]
+    assert (span.repos, span.owners, span.live) == (3, 3, False)
+    for n, live in ((20, True), (21, False)):
+        rows = [(i, f"token = {value}", "hot") for i in range(n)]
+        assert {(r.spans[0].repos, r.spans[0].live) for r in secrets.verdicts(documents(spark, rows)).collect()} == {(n, live)}
+    clash = spark.createDataFrame([(1, "x", "s", 1, 2)], "doc_id long, text string, source string, Spans int, FOUND int")
+    assert secrets.verdicts(clash).columns == ["doc_id", "source", "spans"]
 
 
 def test_null_owners_columns_and_empty_table(spark):
