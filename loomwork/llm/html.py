@@ -9,7 +9,8 @@ likelihood of labelled pages, drawn from page templates with known content.
 
 Defined results
 * null or empty html, and pages without main text: empty text.
-* a page cut off anywhere is read up to there; a cut-off tag is markup.
+* a page cut off anywhere is read up to there; a tag cut off by the end or by
+  another ``<`` outside quotes is markup without effect.
 * scripts, styles, titles, comments and the like never give text.
 * white space in a block becomes one space; ``br`` is white space; blocks are joined by newlines.
 * ties (one half exactly) are content; repeated rows repeat; empty table: empty result.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -44,7 +46,7 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol dl table select html body div section article".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?][^>]*+(?:>|\Z)|<[/a-zA-Z][^>]*+\Z""", re.S)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?][^>]*+(?:>|\Z)|<[/a-zA-Z][^<>]*+(?:(?=<)|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-label|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -70,10 +72,16 @@ class Tree:
 
 
 def parse(page: str) -> Tree:
-    """The tree of block elements and text runs; inline elements only mark links."""
+    """The tree of block elements and text runs; inline elements only mark links.
+
+    ``where`` has the open places of each tag and ``blocks`` those of all block
+    elements, so that no tag looks through the stack: the cost is linear.
+    """
     tree = Tree()
     root = tree.add("#root", -1)
     stack: list[tuple[str, int]] = [("#root", root)]  # open elements; inline ones have their block's node
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
     run: list[str] = []
     links, in_link, at = 0, 0, 0
 
@@ -95,10 +103,24 @@ def parse(page: str) -> Tree:
 
     def pop_to(depth: int) -> None:
         nonlocal in_link
-        if any(t not in INLINE for t, _ in stack[depth:]):
+        if blocks and blocks[-1] >= depth:
             flush()
-        in_link -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            tag, _ = stack.pop()
+            if tag:
+                where[tag].pop()
+                in_link -= tag == "a"
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
+    def push(tag: str, node: int) -> None:
+        where[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
+    def last(tags: frozenset[str]) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=0)
 
     size = len(page)
     while at < size:
@@ -113,13 +135,10 @@ def parse(page: str) -> Tree:
             continue
         name = name.lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
-            else:
-                if name == "p":
-                    flush()
+            if where[name]:
+                pop_to(where[name][-1])
+            elif name == "p":
+                flush()
             continue
         if name in RAW and name != "head":
             if name not in INLINE and name in ("textarea", "iframe"):
@@ -133,32 +152,23 @@ def parse(page: str) -> Tree:
                 put(" ")
             elif not m[3].endswith("/"):
                 if name == "a":
-                    if in_link:  # a link ends the one before
-                        for depth in range(len(stack) - 1, 0, -1):
-                            if stack[depth][0] == "a":
-                                in_link -= 1
-                                del stack[depth]
-                                break
+                    if in_link:  # a link ends the one before, not what lies within it
+                        depth = where["a"].pop()
+                        stack[depth] = ("", stack[depth][1])
+                        in_link -= 1
                     in_link += 1
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
             continue
         flush()
         if name in CLOSES:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in CLOSES[name]:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in SCOPES and name != "body":
-                    break
-        for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-            if stack[depth][0] == "p":
+            depth = last(CLOSES[name])
+            if depth and (name == "body" or depth > last(SCOPES)):
                 pop_to(depth)
-                break
-            if stack[depth][0] not in INLINE:
-                break
+        if blocks and stack[blocks[-1]][0] == "p":  # a block ends an open paragraph
+            pop_to(blocks[-1])
         node = tree.add(name, stack[-1][1], m[3])
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, node))
+            push(name, node)
     flush()
     return tree
 
