@@ -47,3 +47,29 @@ def test_few_rows_and_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).count() == 0
     got = topk.top_k(spark.createDataFrame([(0, [1.0]), (5, [2.0])], schema), F.col("vec_id") % 100 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 5, 1024 * 2048)]
+
+
+def test_floor_from_another_group_prunes_and_keeps_ties():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(-20, 20, (640, 8))
+    ids = np.arange(len(rows))
+    q, query_ids = rows[:10], ids[:10] + 10_000
+    want = [sorted((-int(rows[i] @ r), j) for j, r in zip(ids, rows))[:5] for i in range(10)]
+    floor = np.array([-w[-1][0] for w in want], dtype=np.int64)
+    at, found, score, scored = topk.search_group(q, query_ids, rows, ids, 5, block=16, floor=floor)
+    plain = topk.search_group(q, query_ids, rows, ids, 5, block=16)[3]
+    for i in range(10):
+        assert sorted(zip((-score[at == i]).tolist(), found[at == i].tolist()))[:5] == want[i]
+    assert scored <= plain
+
+
+def test_ids_of_one_stride_spread_over_groups(spark):
+    rows = [(i * 256 * 8, [float(i % 7), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % (256 * 8 * 40) == 0, k=3, group_rows=50)
+    q = [(i, [1024 * int(x) for x in v]) for i, v in rows]
+    want = []
+    for i, own in q[::40]:
+        best = sorted((-sum(a * b for a, b in zip(own, v)), j) for j, v in q if j != i)[:3]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
