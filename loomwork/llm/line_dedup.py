@@ -1,32 +1,41 @@
 """Line dedup by levelled sorted runs of line hashes (DataFrame operations only).
 
-Documents are taken in batches of ascending id. Each batch is reduced to one
-row per line hash, merge-joined against the sorted runs of the hashes seen so
-far, and its unseen hashes become a new run. When a level holds ``fanout``
-runs they are compacted into one run of the next level, so a batch meets only
-a logarithmic number of runs. Runs lie hash-partitioned and sorted in the
-checkpoint folder, so the merge needs no further shuffle of them.
+All lines are hashed once, into a table by batches of the input's partitions. Each
+batch is reduced to one row per line hash with its smallest id, merge-joined
+against the sorted runs of the hashes seen so far, and its unseen hashes are a
+new run; the smallest id of a repeated hash is the least of all batches' rows. When a level holds
+``fanout`` runs they are compacted into one run of the next level, so a batch
+meets only a logarithmic number of runs. Runs are tables in the checkpoint
+folder, bucketed and sorted by the hash: a batch shuffles its own distinct
+hashes, and neither a merge nor a compaction shuffles or sorts a run. Lines
+themselves aren't bucketed, so a line that a third of all documents hold is
+combined before it is shuffled, and split in the last join.
 
 Defined results
 * null or empty text: one empty line, kept; keys under ``min_chars`` stay.
 * null ids sort after every id: their lines fall to any id that holds the key,
   and stay among themselves.
 * rows that repeat an id count as one document; each is cut by its own text.
-* empty table: empty result. Other columns pass through untouched.
+* empty table: empty result. Other columns pass through untouched, but one named
+  ``n_lines`` or ``n_dropped`` (in any letter case) gives way to the operator's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.session import cut, shuffle_partitions
+from loomwork.llm.names import others
+from loomwork.session import cut, ensure_checkpoint_dir, shuffle_partitions
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = " \t\n\x0b\x0c\r"
-_ID, _POS, _H1, _H2, _OWNER, _ROW = "__lw_id", "__lw_pos", "__lw_h1", "__lw_h2", "__lw_owner", "__lw_row"
+_ID, _POS, _H1, _H2, _OWNER, _ROW, _BATCH = "__lw_id", "__lw_pos", "__lw_h1", "__lw_h2", "__lw_owner", "__lw_row", "__lw_batch"
 _KEY = [_H1, _H2]
 
 
@@ -50,70 +59,98 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return rows.select(_ID, _ROW, _POS, F.xxhash64("__lw_key").alias(_H1), F.xxhash64(F.lit(7), "__lw_key").alias(_H2))
 
 
-def _bounds(docs: DataFrame, id_col: str, batches: int) -> list[tuple[int | None, int | None]]:
-    """Id ranges (low exclusive, high inclusive) of about equal document counts."""
-    cuts = [i / batches for i in range(1, batches)]
-    found = docs.agg(F.percentile_approx(id_col, cuts, 1000).alias("q")).first()["q"] if cuts else None
-    edges = sorted(set(found or []))
-    return list(zip([None, *edges], [*edges, None], strict=True))
+def _folder(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/lw-lines-{uuid4().hex}"
 
 
-def _sorted_run(rows: DataFrame) -> DataFrame:
-    n = shuffle_partitions(rows.sparkSession)
-    return cut(rows.repartition(n, *_KEY).sortWithinPartitions(*_KEY))
+def _stored(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` written in buckets of the key, each one sorted file, so that joins and groups by the key need no exchange."""
+    spark, name = rows.sparkSession, f"lw_run_{uuid4().hex}"
+    rows.write.bucketBy(buckets, *_KEY).sortBy(*_KEY).option("path", _folder(spark)).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows their buckets
+    return found
 
 
-def repeated_keys(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """Line hashes found in at least two documents, each with the smallest id that holds it."""
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Let scans of buckets tell that they are sorted, so that a merge needs no sort of a run."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def meet(firsts: DataFrame, runs: list[DataFrame]) -> DataFrame:
+    """A batch's keys merge-joined to every run: does one hold the key, and the smallest id known so far."""
+    held, least = F.lit(False), F.col("__lw_lo")
+    for i, run in enumerate(runs):
+        marked = run.select(*_KEY, F.col(_OWNER).alias(f"__lw_o{i}"), F.lit(True).alias(f"__lw_in{i}"))
+        firsts = firsts.join(marked.hint("merge"), _KEY, "left")
+        held = held | F.coalesce(f"__lw_in{i}", F.lit(False))
+        least = F.least(least, f"__lw_o{i}")
+    return firsts.select(*_KEY, "__lw_many", held.alias("__lw_held"), least.alias(_OWNER))
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Runs share no key, so the full outer merge of two is their union, bucket by bucket."""
+    joined = a.join(b.withColumnRenamed(_OWNER, "__lw_other").hint("merge"), _KEY, "full_outer")
+    return joined.select(*_KEY, F.coalesce(_OWNER, "__lw_other").alias(_OWNER))
+
+
+def repeated_keys(hashed: DataFrame, batches: int, *, fanout: int = 2) -> DataFrame:
+    """Line hashes found in at least two documents, each with the smallest id that holds it; ``hashed`` has a batch column."""
+    spark = hashed.sparkSession
+    n = shuffle_partitions(spark)
     levels: list[list[DataFrame]] = []
     repeated: list[DataFrame] = []
-    spans = _bounds(docs, id_col, batches)
-    for k, (low, high) in enumerate(spans):
-        part = docs
-        if low is not None:
-            part = part.where((F.col(id_col) > low) if high is not None else (F.col(id_col) > low) | F.col(id_col).isNull())
-        if high is not None:
-            part = part.where(F.col(id_col) <= high)
-        hashed = _hashed(part, id_col, text_col, min_chars)
-        firsts = hashed.groupBy(*_KEY).agg(F.min(_ID).alias("__lw_lo"), F.max(_ID).alias("__lw_hi"), F.max(F.col(_ID).isNull()).alias("__lw_null"))
-        seen = F.lit(None).cast(firsts.schema["__lw_lo"].dataType)
-        for i, run in enumerate(r for level in levels for r in level):
-            firsts = firsts.join(run.withColumnRenamed(_OWNER, f"__lw_o{i}"), _KEY, "left")
-            seen = F.coalesce(seen, F.col(f"__lw_o{i}"))
-        met = cut(firsts.select(*_KEY, "__lw_lo", seen.alias(_OWNER), ((F.col("__lw_lo") < F.col("__lw_hi")) | (F.col("__lw_lo").isNotNull() & F.col("__lw_null"))).alias("__lw_many")))
-        repeated.append(met.where(F.col(_OWNER).isNotNull() | F.col("__lw_many")).select(*_KEY, F.coalesce(_OWNER, "__lw_lo").alias(_OWNER)))
-        if k + 1 == len(spans):
-            break
-        fresh = met.where(F.col(_OWNER).isNull() & F.col("__lw_lo").isNotNull()).select(*_KEY, F.col("__lw_lo").alias(_OWNER))
-        level = 0
-        run = _sorted_run(fresh)
-        while True:
-            if len(levels) == level:
-                levels.append([])
-            levels[level].append(run)
-            if len(levels[level]) < fanout:
-                break
-            run = _sorted_run(reduce(DataFrame.unionByName, levels[level]))
-            levels[level] = []
-            level += 1
-    return reduce(DataFrame.unionByName, repeated).groupBy(*_KEY).agg(F.min(_OWNER).alias(_OWNER))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+    for k in range(batches):
+        firsts = hashed.where(F.col(_BATCH) == k).groupBy(*_KEY).agg(F.min(_ID).alias("__lw_lo"), F.max(_ID).alias("__lw_hi"), F.max(F.col(_ID).isNull()).alias("__lw_null"))
+        many = (F.col("__lw_lo") < F.col("__lw_hi")) | (F.col("__lw_lo").isNotNull() & F.col("__lw_null"))
+        firsts = firsts.select(*_KEY, "__lw_lo", F.coalesce(many, F.lit(False)).alias("__lw_many"))
+        with _sorted_buckets(spark):
+            met = _stored(meet(firsts, [r for level in levels for r in level]), n)
+            repeated.append(met.where("__lw_held or __lw_many").select(*_KEY, _OWNER))
+            run, level = met.where("not __lw_held").select(*_KEY, _OWNER), 0
+            while k + 1 < batches:
+                if len(levels) == level:
+                    levels.append([])
+                levels[level].append(run)
+                if len(levels[level]) < fanout:
+                    break
+                run = reduce(lambda a, b: _stored(merged(a, b), n), levels[level])
+                levels[level] = []
+                level += 1
+    return reduce(DataFrame.unionByName, repeated).groupBy(*_KEY).agg(F.min(_OWNER).alias(_OWNER)).where(F.col(_OWNER).isNotNull())
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 10, batches: int = 4, task_docs: int = 16_384, fanout: int = 2) -> DataFrame:
     """``docs`` with repeated lines cut from ``text_col``, plus ``n_lines`` and ``n_dropped``.
 
-    ``batches`` is the number of id ranges and ``fanout`` the runs a level
-    holds before compaction; neither changes the result.
+    There are ``batches`` batches, or more if one would have more than
+    ``task_docs`` documents a shuffle partition; ``fanout`` runs of a level are
+    compacted into one. Neither changes the result.
     """
+    spark = docs.sparkSession
+    batches = max(batches, -(-docs.count() // (task_docs * shuffle_partitions(spark))))
+    path = _folder(spark)
+    lines = _hashed(docs, id_col, text_col, min_chars).withColumn(_BATCH, F.pmod(F.spark_partition_id(), F.lit(batches)))
+    lines.write.partitionBy(_BATCH).parquet(path)
+    hashed = spark.read.schema(lines.schema).parquet(path)
     # Cut off, so that the join below is between two plain shuffles and a hot line's side can be split.
-    owners = cut(repeated_keys(docs, id_col, text_col, min_chars=min_chars, batches=batches, fanout=fanout))
-    hits = _hashed(docs, id_col, text_col, min_chars).join(owners, _KEY).where((F.col(_ID) > F.col(_OWNER)) | F.col(_ID).isNull())
+    owners = cut(repeated_keys(hashed, batches, fanout=fanout))
+    hits = hashed.join(owners, _KEY).where((F.col(_ID) > F.col(_OWNER)) | F.col(_ID).isNull())
     drops = hits.groupBy(_ID, _ROW).agg(F.sort_array(F.collect_set(_POS)).alias("__lw_drops"))
 
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    keep = others(docs.columns, "n_lines", "n_dropped")
     base = docs.select(*keep, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__lw_t"))
     same = base[id_col].eqNullSafe(drops[_ID]) & (base["__lw_t"] == drops[_ROW])
-    met = base.join(drops.hint("shuffle_hash"), same, "left").select(*[base[c] for c in keep], "__lw_drops", _lines(base[text_col]).alias("__lw_lines"))
+    met = base.join(drops.hint("merge"), same, "left").select(*[base[c] for c in keep], "__lw_drops", _lines(base[text_col]).alias("__lw_lines"))
     n, k = F.size("__lw_lines"), F.size("__lw_drops")
     met = met.select(*keep, "__lw_drops", "__lw_lines", n.cast("long").alias("n_lines"), F.when(F.col("__lw_drops").isNull(), 0).otherwise(k).cast("long").alias("n_dropped"))
     # The runs of lines between drops, so that the cost is linear in the lines.

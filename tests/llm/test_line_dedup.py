@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import pytest
 
+from loomwork.llm import line_dedup
 from loomwork.llm.line_dedup import dedup_lines
 from tests.llm.data import SCHEMA, documents
 
@@ -48,3 +49,24 @@ def test_hot_line_in_many_documents(spark):
 def test_plan_stays_native(spark):
     plan = dedup_lines(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_are_merged_without_exchange_or_sort(spark):
+    """A batch is shuffled and sorted once; runs are read in their buckets' order, in merges and compactions."""
+    rows = spark.range(500).selectExpr("id % 200 as __lw_h1", "id % 200 as __lw_h2", "id as __lw_owner")
+    batch = rows.groupBy("__lw_h1", "__lw_h2").agg({"__lw_owner": "min"}).toDF("__lw_h1", "__lw_h2", "__lw_lo").selectExpr("*", "false as __lw_many")
+    with line_dedup._sorted_buckets(spark):
+        runs = [line_dedup._stored(rows.where(f"id % 3 = {k}").groupBy("__lw_h1", "__lw_h2").agg({"__lw_owner": "min"}).toDF(*rows.columns), line_dedup.shuffle_partitions(spark)) for k in range(3)]
+        text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        met, compacted = text(line_dedup.meet(batch, runs)), text(line_dedup.merged(*runs[:2]))
+    assert met.count("Exchange hashpartitioning") == 1 and met.count("Sort [") == 1 and met.count("SortMergeJoin") == 3
+    assert "Exchange" not in compacted and "Sort [" not in compacted and compacted.count("SortMergeJoin") == 1
+
+
+def test_batches_grow_with_the_documents(spark, monkeypatch):
+    seen = []
+    whole = line_dedup.repeated_keys
+    monkeypatch.setattr(line_dedup, "repeated_keys", lambda hashed, batches, **kw: seen.append(batches) or whole(hashed, batches, **kw))
+    rows = [(i, f"a line of two {i // 2}", "a") for i in range(400)]
+    assert dedup_lines(documents(spark, rows), task_docs=5).where("n_dropped = 1").count() == 200
+    assert seen == [10]
