@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.session import cut
+from loomwork.session import cut, shuffle_partitions
 
+#: Rows of (id, id) a file of a checkpoint.
+_ROWS = 20_000
 
-def _state(edges: DataFrame) -> tuple:
+
+def cut_rows(df: DataFrame, rows: int) -> DataFrame:
+    """``cut`` of at most ``rows`` rows: a result that is small beside the shuffle's partitions goes into as few files as it needs."""
+    files = max(1, -(-rows // _ROWS))
+    return cut(df.coalesce(files) if files < shuffle_partitions(df.sparkSession) else df)
+
+
+def _state(edges: DataFrame) -> tuple[int, int | None]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
 
@@ -27,17 +36,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def star_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, *, most: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) that isn't its component's smallest.
 
     Minima are taken by aggregation, so no node's neighbours meet in one task,
-    and each round is cut off in the checkpoint folder. Only a count and a
-    digest of the edges reach the driver. No edges: no rows.
+    and each round is cut off in the checkpoint folder. Edges never grow in
+    number; ``most`` says how many there are at most, if known. Only their count
+    and a digest reach the driver. No edges: no rows.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    start = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
+    now = cut(start) if most is None else cut_rows(start, most)
     state = _state(now)
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)))
+        now = cut_rows(_small_star(_large_star(now)), state[0])
         before, state = state, _state(now)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

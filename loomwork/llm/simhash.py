@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.components import star_components
+from loomwork.llm.components import cut_rows, star_components
 from loomwork.session import cut, ship
 
 BITS = 64
@@ -140,17 +140,17 @@ def _overlap(a: Column, b: Column, share: Fraction) -> Column:
     return F.floor((over + under - 1) / under).cast("long")
 
 
-def _rooted(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """(key, node, root, pop) of the keys that still hold more than one root, with ``heavy`` if many of their pairs are apart."""
+def _rooted(members: DataFrame, n: int, edges: DataFrame | None) -> DataFrame:
+    """(key, node, root, pop) of the keys that still hold more than one root, with ``heavy`` if many of their pairs are apart; ``members`` has ``n`` rows."""
     if edges is None:
         rooted = members.withColumn("root", F.col("node"))
     else:
-        roots = star_components(edges).withColumnRenamed("node", "__n")
+        roots = star_components(edges, most=_STARS * n).withColumnRenamed("node", "__n")
         rooted = members.join(roots, members["node"] == roots["__n"], "left").select("key", "node", "pop", F.coalesce("root", "node").alias("root"))
     alike = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
     open_ = alike.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("root", F.struct("m", "root")).alias("first"))
     apart = (F.col("m") * F.col("m") - F.col("same")) / 2
-    return cut(rooted.join(open_.where("roots > 1").select("key", "first", (apart > _LIGHT * F.col("m")).alias("heavy")), "key"))
+    return cut_rows(rooted.join(open_.where("roots > 1").select("key", "first", (apart > _LIGHT * F.col("m")).alias("heavy")), "key"), n)
 
 
 def _pair(u: str = "node", v: str = "v") -> list[Column]:
@@ -235,26 +235,27 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(spread.join(shared, "key").select("key", "node", "n"))
     popular = met.groupBy("node").agg(F.sum("n").alias("pop"))
-    members = cut(met.join(popular, "node").select("key", "node", "pop"))
+    n = met.count()
+    members = cut_rows(met.join(popular, "node").select("key", "node", "pop"), n)
     sets = cut(texts.join(popular.select(F.col("node").alias("id")), "id", "left_semi").distinct().mapInArrow(listed, T.StructType([own_id, T.StructField("hashes", longs)])))
 
-    def decide(pairs: DataFrame) -> DataFrame:
+    def decide(pairs: DataFrame, rows: int) -> DataFrame:
         with_u = pairs.join(sets.toDF("u", "hu"), "u")
         sized = with_u.join(sets.toDF("v", "hv"), "v")
         a, b = F.size("hu").cast("long"), F.size("hv").cast("long")
         met = F.size(F.array_intersect("hu", "hv"))
-        return cut(sized.where(F.least(a, b) >= _overlap(a, b, share)).where(met >= _overlap(a, b, share)).select("u", "v").distinct())
+        return cut_rows(sized.where(F.least(a, b) >= _overlap(a, b, share)).where(met >= _overlap(a, b, share)).select("u", "v").distinct(), rows)
 
     edges: DataFrame | None = None
     for _ in range(_STARS):
-        found = decide(_stars(_rooted(members, edges)))
+        found = decide(_stars(_rooted(members, n, edges)), n)  # a pair a member at most
         edges = found if edges is None else edges.union(found)
-    left = _rooted(members, edges)
+    left = _rooted(members, n, edges)
     light = left.where(~F.col("heavy"))
     others = light.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
     few = light.join(others, "key").where("root <> rv and node < v").select(*_pair())
     many = _rare_pairs(left.where("heavy"), sets, share)
-    return nodes.select("node"), edges.union(decide(few.union(many).distinct()))
+    return nodes.select("node"), edges.union(decide(few.union(many).distinct(), _LIGHT * n))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
