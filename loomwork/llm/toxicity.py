@@ -11,14 +11,16 @@ share of toxic tokens; a logistic on these is the score. Tokens whose marginal
 is at least ``span_at`` are the offending offsets.
 
 Only training uses labels. It reads at most ``per_class`` labelled documents
-of each class (smallest id hashes, texts up to ``max_chars``); scoring covers
-every whole text.
+of each class (smallest id hashes, texts up to ``max_chars``), and of those that
+share a label and the eight smallest hashes of their longer words one; scoring
+covers every whole text.
 
 Defined results
 * null or empty text: scored with no tokens; no spans.
 * null labels are ignored; a document labelled twice is toxic if any label is.
 * one class missing from training: every score is the smoothed share of toxic labels.
-* repeated rows score alike; empty table: empty result; other columns pass through.
+* repeated rows score alike; empty table: empty result; other columns pass
+  through, but one named ``score`` or ``spans`` (in any letter case) gives way.
 """
 
 from __future__ import annotations
@@ -37,13 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.session import ship
+from loomwork.llm.names import others
+from loomwork.session import cut, ship
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 7)
 _BLOCK = 256
 _CHARS = 4_000_000
 _CACHE = 150_000
+_MINIMA = 8  # word hashes that training documents of one label must share to count as copies
 
 
 def features(word: str) -> list[str]:
@@ -195,10 +199,10 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: f
     seen: set[tuple[int, ...]] = set()
     tokens: list[np.ndarray] = []
     marks: list[bool] = []
-    for text, label in zip(texts, labels, strict=True):  # one of each group of near copies
+    for text, label in zip(texts, labels, strict=True):  # one of each group of near copies of a label
         own = [w.lower() for w in TOKEN.findall(text)]
-        least = nsmallest(2, (crc32(w.encode()) for w in set(own) if len(w) >= 7))
-        key = tuple(least) if len(least) == 2 else (crc32(text.encode()),)
+        least = nsmallest(_MINIMA, (crc32(w.encode()) for w in set(own) if len(w) >= 7))
+        key = (label, *(least if len(least) == _MINIMA else [crc32(text.encode())]))
         if key not in seen:
             seen.add(key)
             tokens.append(np.array([words.setdefault(w, len(words)) for w in own], dtype=np.int32))
@@ -313,6 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__lw_y"))
     short = docs.where(F.char_length(F.coalesce(text_col, F.lit(""))) <= max_chars).select(id_col)
     known = known.where(use if use is not None else F.lit(True)).join(short, id_col, "left_semi").select(F.col(id_col).alias("__lw_i"), F.least(F.col("__lw_y"), F.lit(1)).cast("int").alias("__lw_y"))
+    known = cut(known)  # ids and labels only; counted and ranked without another scan
     counts = {r["__lw_y"]: r["count"] for r in known.groupBy("__lw_y").count().collect()}
     order = [F.xxhash64("__lw_i"), F.col("__lw_i")]
     chosen = known.where("__lw_y = 1").orderBy(*order).limit(per_class).union(known.where("__lw_y = 0").orderBy(*order).limit(per_class))
@@ -326,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *, span_at: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``score`` and ``spans``, the offsets [start, end) of toxic tokens."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    keep = others(docs.columns if keep is None else keep, "score", "spans")
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
@@ -356,5 +361,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *, span_at: flo
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.7) -> DataFrame:
-    """``docs`` less the documents whose score reaches ``threshold``."""
-    return score(docs, model, text_col).where(F.col("score") < threshold).select(*docs.columns)
+    """``docs`` less the documents whose score reaches ``threshold``; all columns stay as they are."""
+    named = {c: f"__lw_c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
+    kept = score(inner, model, named[text_col]).where(F.col("score") < threshold)
+    return kept.select(*[F.col(n).alias(c) for c, n in named.items()])
