@@ -69,4 +69,4 @@ def test_batches_grow_with_the_documents(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "repeated_keys", lambda hashed, batches, **kw: seen.append(batches) or whole(hashed, batches, **kw))
     rows = [(i, f"a line of two {i // 2}", "a") for i in range(400)]
     assert dedup_lines(documents(spark, rows), task_docs=5).where("n_dropped = 1").count() == 200
-    assert seen == [10]
+    assert seen == [20]
