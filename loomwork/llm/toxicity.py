@@ -6,8 +6,9 @@ suffix; transitions tie neighbours. Token labels for training come from the
 document labels: words and prefixes that cover the toxic training documents
 and hardly occur in clean ones (greedy multi-cover) tag the tokens of toxic
 documents, all tokens of clean documents are clean. Forward-backward marginals
-give a document's expected number of toxic tokens, its two surest tokens and the
-share of toxic tokens; a logistic on these is the score. Tokens whose marginal
+give a document's expected number of toxic tokens (among those of marginal
+``_LIKELY`` or more, so that a very long clean text doesn't add up), its two
+surest tokens and the share of toxic tokens; a logistic on these is the score. Tokens whose marginal
 is at least ``span_at`` are the offending offsets.
 
 Only training uses labels. It reads at most ``per_class`` labelled documents
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.names import others
+from loomwork.llm.names import aside, others
 from loomwork.session import cut, ship
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -47,6 +48,7 @@ PREFIXES = (5, 7)
 _BLOCK = 256
 _CHARS = 4_000_000
 _CACHE = 150_000
+_LIKELY = 0.3
 _MINIMA = 8  # word hashes that training documents of one label must share to count as copies
 
 
@@ -140,13 +142,13 @@ def marginals(unary: np.ndarray, first: np.ndarray, trans: tuple[float, ...], st
 
 
 def _doc_rows(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per document: log1p of expected toxic tokens, two surest tokens, share of toxic tokens."""
+    """Per document: log1p of expected toxic tokens among likely ones, two surest tokens, share of toxic tokens."""
     out = np.zeros((len(lengths), 4))
     full = np.flatnonzero(lengths)
     if len(full):
         n = lengths[full]
         at = np.cumsum(n) - n
-        total, most = np.add.reduceat(p, at), np.maximum.reduceat(p, at)
+        total, most = np.add.reduceat(np.where(p >= _LIKELY, p, 0.0), at), np.maximum.reduceat(p, at)
         rest, tops = p.copy(), np.flatnonzero(p == np.repeat(most, n))
         _, first = np.unique(np.searchsorted(at, tops, side="right"), return_index=True)
         rest[tops[first]] = 0.0
@@ -362,7 +364,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *, span_at: flo
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.7) -> DataFrame:
     """``docs`` less the documents whose score reaches ``threshold``; all columns stay as they are."""
-    named = {c: f"__lw_c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
-    kept = score(inner, model, named[text_col]).where(F.col("score") < threshold)
-    return kept.select(*[F.col(n).alias(c) for c, n in named.items()])
+    return aside(docs, lambda rows, named: score(rows, model, named[text_col]).where(F.col("score") < threshold))

@@ -79,3 +79,12 @@ def test_held_out_accuracy(spark):
     got = op1_toxicity(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in got)
     assert len(got) > 80 and right >= 0.97 * len(got)
+
+
+def test_long_clean_texts_stay_clean():
+    rng = random.Random(3)
+    calm = ["calm", "day", "tree", "stone", "river", "quiet", "evening"]
+    texts = [" ".join(["vileword" if i % 3 == 0 and k == 5 else rng.choice(calm) for k in range(12)]) + f" end{i}" for i in range(300)]
+    model = toxicity.fit(texts, [int("vileword" in t) for t in texts], toxic_share=0.3)
+    score = toxicity.Tagger(model).tag(["long line " * 20_000, "a " * 300_000, "calm day vileword tree", "calm vileword " + "day " * 50_000])[0]
+    assert (score[:2] < 0.1).all() and (score[2:] >= 0.7).all()
