@@ -64,10 +64,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; set one only where none is configured (tests)."""
+    """Use the folder the cluster names; set one only where none is configured and all runs in one process (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not named:
             named = tempfile.mkdtemp(prefix="loomwork-checkpoints-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
