@@ -5,11 +5,11 @@ batch is reduced to one row per line hash with its smallest id, merge-joined
 against the sorted runs of the hashes seen so far, and its unseen hashes are a
 new run; the smallest id of a repeated hash is the least of all batches' rows. When a level holds
 ``fanout`` runs they are compacted into one run of the next level, so a batch
-meets only a logarithmic number of runs. Runs are tables in the checkpoint
-folder, bucketed and sorted by the hash: a batch shuffles its own distinct
-hashes, and neither a merge nor a compaction shuffles or sorts a run. Lines
-themselves aren't bucketed, so a line that a third of all documents hold is
-combined before it is shuffled, and split in the last join.
+meets only a logarithmic number of runs. Runs are checkpoints in partitions of the
+hash, sorted: a batch shuffles its own distinct hashes, no merge shuffles or sorts a
+run, and no compaction shuffles one. Lines themselves aren't partitioned, so a
+line that a third of all documents hold is combined before it is shuffled, and
+split in the last join.
 
 Defined results
 * null or empty text: one empty line, kept; keys under ``min_chars`` stay.
@@ -22,14 +22,13 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.llm.components import cut_rows
 from loomwork.llm.names import others
 from loomwork.session import cut, ensure_checkpoint_dir, shuffle_partitions
 
@@ -65,23 +64,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/lw-lines-{uuid4().hex}"
 
 
-def _stored(rows: DataFrame, buckets: int) -> DataFrame:
-    """``rows`` written in buckets of the key, each one sorted file, so that joins and groups by the key need no exchange."""
-    spark, name = rows.sparkSession, f"lw_run_{uuid4().hex}"
-    rows.write.bucketBy(buckets, *_KEY).sortBy(*_KEY).option("path", _folder(spark)).saveAsTable(name)
-    found = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows their buckets
-    return found
+def run_of(rows: DataFrame) -> DataFrame:
+    """``rows`` as a run: a checkpoint in the partitions of the key that they come in, sorted by it.
 
-
-@contextmanager
-def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Let scans of buckets tell that they are sorted, so that a merge needs no sort of a run."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    A checkpoint knows its partitions and order if the plan that made it had
+    them from the start, so it is made without adaptive changes.
+    """
+    spark, key = rows.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
     try:
-        yield
+        return cut(rows.sortWithinPartitions(*_KEY))
     finally:
         spark.conf.set(key, was)
 
@@ -97,36 +90,35 @@ def meet(firsts: DataFrame, runs: list[DataFrame]) -> DataFrame:
     return firsts.select(*_KEY, "__lw_many", held.alias("__lw_held"), least.alias(_OWNER))
 
 
-def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Runs share no key, so the full outer merge of two is their union, bucket by bucket."""
-    joined = a.join(b.withColumnRenamed(_OWNER, "__lw_other").hint("merge"), _KEY, "full_outer")
-    return joined.select(*_KEY, F.coalesce(_OWNER, "__lw_other").alias(_OWNER))
+def compacted(runs: list[DataFrame]) -> DataFrame:
+    """One run of all: runs share no key, and lie in the same partitions."""
+    return run_of(reduce(DataFrame.unionByName, runs))
 
 
 def repeated_keys(hashed: DataFrame, batches: int, *, fanout: int = 2) -> DataFrame:
     """Line hashes found in at least two documents, each with the smallest id that holds it; ``hashed`` has a batch column."""
-    spark = hashed.sparkSession
-    n = shuffle_partitions(spark)
     levels: list[list[DataFrame]] = []
     repeated: list[DataFrame] = []
     for k in range(batches):
         firsts = hashed.where(F.col(_BATCH) == k).groupBy(*_KEY).agg(F.min(_ID).alias("__lw_lo"), F.max(_ID).alias("__lw_hi"), F.max(F.col(_ID).isNull()).alias("__lw_null"))
         many = (F.col("__lw_lo") < F.col("__lw_hi")) | (F.col("__lw_lo").isNotNull() & F.col("__lw_null"))
         firsts = firsts.select(*_KEY, "__lw_lo", F.coalesce(many, F.lit(False)).alias("__lw_many"))
-        with _sorted_buckets(spark):
-            met = _stored(meet(firsts, [r for level in levels for r in level]), n)
-            repeated.append(met.where("__lw_held or __lw_many").select(*_KEY, _OWNER))
-            run, level = met.where("not __lw_held").select(*_KEY, _OWNER), 0
-            while k + 1 < batches:
-                if len(levels) == level:
-                    levels.append([])
-                levels[level].append(run)
-                if len(levels[level]) < fanout:
-                    break
-                run = reduce(lambda a, b: _stored(merged(a, b), n), levels[level])
-                levels[level] = []
-                level += 1
-    return reduce(DataFrame.unionByName, repeated).groupBy(*_KEY).agg(F.min(_OWNER).alias(_OWNER)).where(F.col(_OWNER).isNotNull())
+        met = run_of(meet(firsts, [r for level in levels for r in level]))
+        repeated.append(met.where("__lw_held or __lw_many").select(*_KEY, _OWNER))
+        run, level = met.where("not __lw_held").select(*_KEY, _OWNER), 0
+        while k + 1 < batches:
+            if len(levels) == level:
+                levels.append([])
+            levels[level].append(run)
+            if len(levels[level]) < fanout:
+                break
+            run = compacted(levels[level])
+            levels[level] = []
+            level += 1
+    every = reduce(DataFrame.unionByName, repeated)
+    owners = every.groupBy(*_KEY).agg(F.min(_OWNER).alias(_OWNER)).where(F.col(_OWNER).isNotNull())
+    # Cut off, so that the last join is between two plain shuffles and a hot line's side can be split.
+    return cut_rows(owners, every.count())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 10, batches: int = 4, task_docs: int = 16_384, fanout: int = 2) -> DataFrame:
@@ -137,13 +129,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compacted into one. Neither changes the result.
     """
     spark = docs.sparkSession
-    batches = max(batches, -(-docs.count() // (task_docs * shuffle_partitions(spark))))
+    n = docs.count()
+    batches = max(batches, -(-n // (task_docs * shuffle_partitions(spark))))
     path = _folder(spark)
-    lines = _hashed(docs, id_col, text_col, min_chars).withColumn(_BATCH, F.pmod(F.spark_partition_id(), F.lit(batches)))
+    # Few documents in many partitions would make as many small files.
+    tasks = max(-(-n // task_docs), 4 * spark.sparkContext.defaultParallelism, batches)
+    lines = _hashed(docs.coalesce(tasks), id_col, text_col, min_chars).withColumn(_BATCH, F.pmod(F.spark_partition_id(), F.lit(batches)))
     lines.write.partitionBy(_BATCH).parquet(path)
     hashed = spark.read.schema(lines.schema).parquet(path)
-    # Cut off, so that the join below is between two plain shuffles and a hot line's side can be split.
-    owners = cut(repeated_keys(hashed, batches, fanout=fanout))
+    owners = repeated_keys(hashed, batches, fanout=fanout)
     hits = hashed.join(owners, _KEY).where((F.col(_ID) > F.col(_OWNER)) | F.col(_ID).isNull())
     drops = hits.groupBy(_ID, _ROW).agg(F.sort_array(F.collect_set(_POS)).alias("__lw_drops"))
 

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import line_dedup
 from loomwork.llm.line_dedup import dedup_lines
@@ -52,15 +53,18 @@ def test_plan_stays_native(spark):
 
 
 def test_runs_are_merged_without_exchange_or_sort(spark):
-    """A batch is shuffled and sorted once; runs are read in their buckets' order, in merges and compactions."""
+    """A batch is shuffled and sorted once; runs are read in their partitions' order. Compactions don't shuffle either."""
     rows = spark.range(500).selectExpr("id % 200 as __lw_h1", "id % 200 as __lw_h2", "id as __lw_owner")
-    batch = rows.groupBy("__lw_h1", "__lw_h2").agg({"__lw_owner": "min"}).toDF("__lw_h1", "__lw_h2", "__lw_lo").selectExpr("*", "false as __lw_many")
-    with line_dedup._sorted_buckets(spark):
-        runs = [line_dedup._stored(rows.where(f"id % 3 = {k}").groupBy("__lw_h1", "__lw_h2").agg({"__lw_owner": "min"}).toDF(*rows.columns), line_dedup.shuffle_partitions(spark)) for k in range(3)]
-        text = lambda df: df._jdf.queryExecution().executedPlan().toString()
-        met, compacted = text(line_dedup.meet(batch, runs)), text(line_dedup.merged(*runs[:2]))
-    assert met.count("Exchange hashpartitioning") == 1 and met.count("Sort [") == 1 and met.count("SortMergeJoin") == 3
-    assert "Exchange" not in compacted and "Sort [" not in compacted and compacted.count("SortMergeJoin") == 1
+    keys = ["__lw_h1", "__lw_h2"]
+    batch = rows.groupBy(*keys).agg(F.min("__lw_owner").alias("__lw_lo")).withColumn("__lw_many", F.lit(False))
+    runs = [line_dedup.run_of(rows.where(f"__lw_h1 % 4 = {k}").groupBy(*keys).agg(F.min("__lw_owner").alias("__lw_owner"))) for k in range(3)]
+    runs[0] = line_dedup.compacted([runs[0], runs[1]])
+
+    text = line_dedup.meet(batch, [runs[0], runs[2]])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.count("Sort [") == 1 and text.count("SortMergeJoin") == 2
+    union = runs[0].unionByName(runs[2]).sortWithinPartitions(*keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in union
+    assert {r["__lw_h1"]: r["__lw_held"] for r in line_dedup.meet(batch, [runs[0], runs[2]]).collect()} == {k: k % 4 < 3 for k in range(200)}
 
 
 def test_batches_grow_with_the_documents(spark, monkeypatch):
