@@ -71,3 +71,11 @@ def fnv1a(text: Column) -> Column:
     codes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(raw) / 2).cast("int")), lambda i: F.conv(F.substring(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
     mixed = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: F.when(c.isNull(), h).otherwise((h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))))
     return F.lower(F.lpad(F.hex(mixed), 8, "0"))
+
+
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with word edges of ASCII letters, digits and "_" only; the JVM's own ones see other letters too."""
+    return pattern.replace(r"\b", _EDGE)

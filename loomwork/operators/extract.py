@@ -7,6 +7,8 @@ nesting, which is sequential by nature, is folded in pandas, one file a group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as X
 
 #: Names that are keywords, not symbols or calls.
-KEYWORDS = "if for while switch catch return throw new function class def await typeof sizeof else do try elif except with lambda".split()
+KEYWORDS = "if for while switch catch return throw new else do match when case sizeof typeof".split()
 
 #: Symbol kinds and patterns by language, the name in group 1; "*" is for every language, "" for those without own rules.
 SYMBOL_RULES = [
@@ -62,7 +64,8 @@ SYMBOL_RULES = [
     ("css", "type", r"^\s*([^@][^{]+)\s*\{"),
     ("json", "constant", r'^\s*"([^"]+)"\s*:'),
     ("yaml", "constant", r"^\s*([A-Za-z0-9_.-]+)\s*:"),
-    ("toml", "constant", r"^\s*\[?([A-Za-z0-9_.-]+)\]?\s*(?:=|$)"),
+    ("toml", "constant", r"^\s*\[([^\]]+)\]"),
+    ("toml", "constant", r"^\s*([A-Za-z0-9_.-]+)\s*="),
     ("", "function", r"\b(?:function|func|fn|def|sub|procedure)\s+([A-Za-z_$][\w$-]*)"),
 ]
 
@@ -72,29 +75,59 @@ IMPORT_RULES = [
     r"\bfrom\s+([\w@./:-]+)\s+import\b",
     r"""\brequire\s*\(?["']([^"']+)["']""",
     r"\busing\s+([\w.]+)",
-    r"""#include\s*[<"]([^>"]+)""",
+    r"""\b#include\s*[<"]([^>"]+)""",
     r"\buse\s+([\w:]+)",
     r"""\b(?:require_relative|require)\s+["']([^"']+)["']""",
     r"""\bsource\s+["']?([^"'\s]+)""",
 ]
 
+#: An import of a Go block, alone on its line.
+GO_IMPORT = r"""^\s*["`]([^"`]+)["`]\s*$"""
+
 #: Route patterns in order of trust: pattern, group of the method (0: any), group of the path.
 ROUTE_RULES = [
     (r"""(?i)\b(?:app|router|server|route)\s*(?:\.|->)\s*(get|post|put|patch|delete|options|head)\s*\(\s*["'`]([^"'`]+)""", 1, 2),
-    (r"""(?i)@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(\s*["']([^"']+)""", 1, 2),
+    (r"""(?i)@(Get|Post|Put|Patch|Delete|RequestMapping)(?:Mapping)?\s*\(\s*["']([^"']+)""", 1, 2),
     (r"""(?i)\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)""", 1, 2),
     (r"""(?i)HandleFunc\s*\(\s*["']([^"']+)["']""", 0, 1),
     (r"""(?i)\bMap(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)""", 1, 2),
     (r"""(?i)(?:@app|@router)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)""", 1, 2),
-    (r"""\.route\s*\(\s*["']([^"']+)["']""", 0, 1),
 ]
+#: A route of Rust, and the patterns of strings, calls, control, data flow, tests and exports.
+RUST_ROUTE = r"""\.route\s*\(\s*["']([^"']+)["']"""
+STRINGS = r"\"[^\"]*\"|'[^']*'|`[^`]*`"
 CALL = r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
-CONTROL = r"\b(if|else|for|while|switch|case|try|catch|return|throw|match|when)\b"
-ASSIGN = r"\b(?:const|let|var|val)?\s*([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=(?:[^=]|$)"
-TEST_LINE = r"(?i)\b(?:describe|it|test|testcase|assert|expect|pytest|unittest|XCTAssert|RSpec)\b|@Test\b|\[Test\]"
+CONTROL = r"\b(if|else\s+if|for|foreach|while|switch|case|catch|match|when|try|except|guard)\b"
+ASSIGN = r"\b([A-Za-z_$][\w$]*)\s*(?:=|:=|<-|=>)\s*([A-Za-z_$][\w$]*)\b"
+TEST_LINE = r"(?i)\b(?:describe|it|test|testcase|assert|expect|@Test|\[Test\]|pytest|unittest|XCTAssert|RSpec)\b"
+GO_TEST = r"func\s+Test\w+"
 TEST_NAME = r"""(?i)(?:describe|it|test|func\s+Test\w*|def\s+test_\w+)\s*\(?\s*["']?([^"'({]+)"""
-EXTENDS = r"\bclass\s+([A-Za-z_$][\w$]*)\s*(?:\(|extends\s+|:\s*)([A-Za-z_$][\w$.]*)"
-IMPLEMENTS = r"\bclass\s+([A-Za-z_$][\w$]*)[^{]*\bimplements\s+([A-Za-z_$][\w$.,\s]*)"
+EXPORTED = r"\b(export|public|pub)\b"
+#: Languages whose assignments are followed.
+FLOW_LANGUAGES = ["typescript", "javascript"]
+
+_DECLARED = r"\b(?:class|interface|struct|record|object|trait)\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([^\s{]+(?:\s*,\s*[^\s{]+)*))?(?:\s+implements\s+([^\{]+))?"
+#: Type relations: language ("*": any), kind, pattern, group of the type, group of its targets.
+TYPE_RULES = [
+    ("*", "extends", _DECLARED, 1, 2),
+    ("*", "implements", _DECLARED, 1, 3),
+    ("python", "extends", r"^\s*class\s+([A-Za-z_]\w*)\s*\(([^)]+)\)", 1, 2),
+    ("cpp", "extends", r"\bclass\s+([A-Za-z_]\w*)\s*:\s*([^\{]+)", 1, 2),
+    ("c", "extends", r"\bclass\s+([A-Za-z_]\w*)\s*:\s*([^\{]+)", 1, 2),
+    ("objective-c", "extends", r"@interface\s+([A-Za-z_]\w*)\s*:\s*([A-Za-z_]\w*)", 1, 2),
+    ("csharp", "extends", r"\bclass\s+([A-Za-z_]\w*)[^:{]*:\s*([^,{]+)", 1, 2),
+    ("csharp", "implements", r"\bclass\s+([A-Za-z_]\w*)[^:{]*:\s*[^,{]+,([^{]+)", 1, 2),
+    ("kotlin", "extends", r"\bclass\s+([A-Za-z_]\w*)[^:{]*:\s*([^,{]+)", 1, 2),
+    ("kotlin", "implements", r"\bclass\s+([A-Za-z_]\w*)[^:{]*:\s*[^,{]+,([^{]+)", 1, 2),
+    ("scala", "extends", r"\bclass\s+([A-Za-z_]\w*)[^\{]*\bextends\s+([A-Za-z_]\w*)", 1, 2),
+    ("ruby", "extends", r"\bclass\s+([A-Za-z_]\w*)\s*<\s*([A-Za-z_:]\w*)", 1, 2),
+    ("rust", "implements", r"\bimpl(?:<[^>]+>)?\s+([A-Za-z_]\w*)\s+for\s+([A-Za-z_]\w*)", 2, 1),
+    ("swift", "implements", r"\b(?:class|struct|enum)\s+([A-Za-z_]\w*)\s*:\s*([^\{]+)", 1, 2),
+    ("haskell", "implements", r"^\s*instance\s+([A-Z]\w*)\s+([A-Z]\w*)", 2, 1),
+    ("elixir", "implements", r"^\s*defimpl\s+([A-Za-z_.]\w*),\s*for:\s*([A-Za-z_.]\w*)", 2, 1),
+]
+#: Scala's further parents.
+SCALA_WITH = r"\bclass\s+([A-Za-z_]\w*)[^\{]*\bextends\s+[A-Za-z_]\w*(.*)"
 
 #: Ecosystem detectors: id, languages ("*": any), category, signals.
 DETECTORS = [
@@ -142,11 +175,12 @@ DETECTORS = [
     ("grpc", "*", "contract", [r"(?i)\bgrpc\b|\.proto\b", r"\brpc\s+\w+\s*\("]),
 ]
 
-#: Words of sensitive code.
+#: Words and patterns of sensitive code.
 SECURITY_WORDS = "auth authentication authorization permission token credential secret password payment pii admin cookie jwt oauth".split()
 PERFORMANCE_WORDS = "query database n+1 cache pagination batch queue stream serialize deserialize backpressure throttle".split()
 MODERNIZATION_WORDS = "todo fixme hack legacy deprecated".split()
 AUTHORIZATION = r"@(PreAuthorize|RolesAllowed|UseGuards|login_required)\b|\b(?:Depends|authorize|requireAuth)\s*\("
+QUERY_BY_INDENT = r"(?i)\bfor\s+.+:\s*\n(?:\s+.+\n){0,8}\s*.*\b(?:session\.|\.objects\.)"
 QUERY_IN_LOOP = r"(?is)\b(?:for|while)\s*\([^)]*\)\s*\{.{0,800}?\b(?:find|query|select|execute|fetch)\s*\("
 SERVICE_WORDS = "service controller handler repository client adapter payment audit user auth".split()
 
@@ -174,25 +208,32 @@ def _alternatives(column: Column, rules: list[tuple], pick) -> Column:
     return F.array_compact(F.array(*[pick(column, r) for r in rules]))
 
 
-def symbols(sources: DataFrame) -> DataFrame:
-    """(path, line, kind, name): per line, each rule's first match that is no keyword."""
+def _symbols(sources: DataFrame) -> DataFrame:
+    """Per line, each rule's first match that is no keyword."""
     known = sorted({lang for lang, _, _ in SYMBOL_RULES if lang not in ("*", "")})
     code, lang = F.col("code"), F.col("lang")
 
     def one(rule: tuple) -> Column:
         scope, kind, pattern = rule
-        name = F.regexp_extract(code, pattern, 1)
+        name = F.regexp_extract(code, X.ascii_edges(pattern), 1)
         applies = F.lit(True) if scope == "*" else ~lang.isin(known) if scope == "" else lang == scope
-        return F.when(applies & (name != "") & ~F.lower(name).isin(KEYWORDS), F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+        return F.when(applies & (name != "") & ~F.lower(name).isin(KEYWORDS), F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.lit(SYMBOL_RULES.index(rule)).alias("rule")))
 
     found = F.array_compact(F.array(*[one(r) for r in SYMBOL_RULES]))
-    return lines(sources).select("path", "line", F.explode(found).alias("s")).select("path", "line", "s.kind", "s.name")
+    status = F.when(F.col("code").rlike(X.ascii_edges(EXPORTED)), "exported").when((lang == "python") & ~F.col("code").rlike(r"^\s*_"), "unknown").otherwise("local")
+    return lines(sources).select("path", "line", status.alias("status"), F.explode(found).alias("s")).select("path", "line", "s.kind", "s.name", "status", "s.rule")
+
+
+def symbols(sources: DataFrame) -> DataFrame:
+    """(path, line, kind, name, status): each symbol of a line once, with its export status."""
+    return _symbols(sources).select("path", "line", "kind", "name", "status").distinct()
 
 
 def imports(sources: DataFrame) -> DataFrame:
     """(path, line, target, kind): import targets, relative ones joined to their folder and normalised."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("code", F.lit(p), 1) for p in IMPORT_RULES]))
-    rows = lines(sources).select("path", "line", F.explode(F.array_distinct(found)).alias("raw")).where((F.col("raw") != "") & ~F.col("raw").isin("if", "for", "type"))
+    found = F.flatten(F.array(*[F.regexp_extract_all("code", F.lit(X.ascii_edges(p)), 1) for p in IMPORT_RULES]))
+    block = F.when(F.col("lang") == "go", F.regexp_extract_all("code", F.lit(GO_IMPORT), 1)).otherwise(F.array().cast("array<string>"))
+    rows = lines(sources).select("path", "line", F.explode(F.array_distinct(F.concat(found, block))).alias("raw")).where((F.col("raw") != "") & ~F.col("raw").isin("if", "for", "type"))
     local = F.col("raw").startswith(".") | F.col("raw").startswith("/") | F.col("raw").contains("::")
     return rows.select("path", "line", F.when(F.col("raw").startswith("."), normal_path(F.concat(X.dirname(F.col("path")), F.lit("/"), "raw"))).otherwise(F.col("raw")).alias("target"), F.when(local, "local").otherwise("package").alias("kind"))
 
@@ -208,47 +249,88 @@ def normal_path(path: Column) -> Column:
     return F.array_join(kept, "/")
 
 
+def _supported(lang: Column) -> Column:
+    """Is the language one whose calls and control are read; prose isn't."""
+    return lang.isin(sorted({*LANGUAGE_EXTENSIONS.values(), *LANGUAGE_NAMES.values(), "kubernetes", "scala"}))
+
+
 def calls(sources: DataFrame) -> DataFrame:
     """(path, line, callee, caller): calls outside strings, with the last callable declared at or before the line."""
-    bare = F.regexp_replace("code", r"\"[^\"]*\"|'[^']*'|`[^`]*`", "")
-    rows = lines(sources)
-    declared = symbols(sources).where(F.col("kind").isin("function", "method")).groupBy("path", "line").agg(F.min("name").alias("own"), F.collect_set("name").alias("names"))
-    met = rows.join(declared, ["path", "line"], "left")
+    rows = lines(sources).where(_supported(F.col("lang")))
+    named = _symbols(sources).groupBy("path", "line").agg(F.max_by("name", F.when(F.col("kind").isin("function", "method"), F.col("rule"))).alias("own"), F.max(F.col("kind").isin("function", "method")).alias("callable"), F.collect_set("name").alias("names"))
+    met = rows.join(named.select("path", "line", F.when(F.col("callable"), F.col("own")).alias("own"), "names"), ["path", "line"], "left")
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("caller", F.last("own", ignorenulls=True).over(so_far))
-    found = F.array_except(F.array_distinct(F.regexp_extract_all(bare, F.lit(CALL), 1)), F.coalesce("names", F.array().cast("array<string>")))
-    out = met.select("path", "line", "caller", F.explode(found).alias("callee"))
-    return out.where(~F.lower("callee").isin(KEYWORDS)).select("path", "line", "callee", F.coalesce("caller", F.lit("<module>")).alias("caller"))
+    found = F.regexp_extract_all(F.regexp_replace("code", STRINGS, ""), F.lit(X.ascii_edges(CALL)), 1)
+    out = met.select("path", "line", "caller", "names", F.posexplode(found).alias("at", "callee"))
+    own = F.coalesce(F.array_contains("names", F.element_at(F.split("callee", r"\."), -1)), F.lit(False))
+    return out.where(~F.lower("callee").isin(KEYWORDS) & ~own).select("path", "line", "callee", F.coalesce("caller", F.lit("<module>")).alias("caller"))
 
 
 def flow_facts(sources: DataFrame) -> DataFrame:
-    """(path, line, control, variable): the first control keyword and the assigned variable of a line."""
-    rows = lines(sources).select("path", "line", F.nullif(F.regexp_extract("code", CONTROL, 1), F.lit("")).alias("control"), F.nullif(F.regexp_extract("code", ASSIGN, 1), F.lit("")).alias("variable"))
-    return rows.where("control is not null or variable is not null").select("path", "line", F.coalesce("control", F.lit("-")).alias("control"), F.coalesce("variable", F.lit("-")).alias("variable"))
+    """(path, line, control, target, source): a line's first control keyword, and its assignment in languages that are followed."""
+    bare = F.regexp_replace("code", STRINGS, "")
+    rows = lines(sources).where(_supported(F.col("lang")))
+    follow = F.col("lang").isin(FLOW_LANGUAGES)
+    of = lambda k: F.when(follow, F.nullif(F.regexp_extract(bare, X.ascii_edges(ASSIGN), k), F.lit("")))
+    facts = rows.select("path", "line", F.nullif(F.regexp_extract(bare, X.ascii_edges(CONTROL), 1), F.lit("")).alias("control"), of(1).alias("target"), of(2).alias("source"))
+    return facts.where("control is not null or target is not null").select("path", "line", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("control", "target", "source")])
 
 
 def routes(sources: DataFrame) -> DataFrame:
     """(path, line, method, route) by the first route rule that matches a line."""
 
     def hit(rule: tuple) -> Column:
-        pattern, method, route = rule
+        pattern, method, route = X.ascii_edges(rule[0]), *rule[1:]
         got = F.upper(F.regexp_extract("code", pattern, method)) if method else F.lit("ANY")
-        return F.when(F.col("code").rlike(pattern), F.struct(F.when(got == "REQUEST", "ANY").otherwise(got).alias("method"), F.regexp_extract("code", pattern, route).alias("route")))
+        return F.when(F.col("code").rlike(pattern), F.struct(F.when(got == "REQUESTMAPPING", "ANY").otherwise(got).alias("method"), F.regexp_extract("code", pattern, route).alias("route")))
 
-    return lines(sources).select("path", "line", F.coalesce(*[hit(r) for r in ROUTE_RULES]).alias("r")).where("r is not null").select("path", "line", "r.method", "r.route")
+    rust = F.when((F.col("lang") == "rust") & F.col("code").rlike(RUST_ROUTE), F.struct(F.lit("ANY").alias("method"), F.regexp_extract("code", RUST_ROUTE, 1).alias("route")))
+    return lines(sources).select("path", "line", F.coalesce(*[hit(r) for r in ROUTE_RULES], rust).alias("r")).where("r is not null").select("path", "line", "r.method", "r.route")
 
 
 def test_lines(sources: DataFrame) -> DataFrame:
-    """(path, line, name, exported) of lines that look like tests."""
-    return lines(sources).where(F.col("code").rlike(TEST_LINE)).select("path", "line", F.trim(F.regexp_extract("code", TEST_NAME, 1)).alias("name"), F.col("code").rlike(r"\b(export|public|pub)\b").alias("exported"))
+    """(path, line, name) of lines that look like tests; those without a name are called by their line."""
+    tested = F.col("code").rlike(X.ascii_edges(TEST_LINE)) | ((F.col("lang") == "go") & F.col("code").rlike(GO_TEST))
+    name = F.nullif(F.trim(F.regexp_extract("code", TEST_NAME, 1)), F.lit(""))
+    return lines(sources).where(tested).select("path", "line", F.coalesce(name, F.concat(F.lit("test@"), F.col("line").cast("string"))).alias("name"))
 
 
 def type_relations(sources: DataFrame) -> DataFrame:
-    """(path, line, kind, source, target) of extends and implements, each implemented name a row."""
-    rows = lines(sources)
-    up = rows.select("path", "line", F.lit("extends").alias("kind"), F.regexp_extract("code", EXTENDS, 1).alias("source"), F.regexp_extract("code", EXTENDS, 2).alias("target"))
-    many = rows.select("path", "line", F.lit("implements").alias("kind"), F.regexp_extract("code", IMPLEMENTS, 1).alias("source"), F.explode(F.split(F.regexp_extract("code", IMPLEMENTS, 2), ",")).alias("target"))
-    return up.union(many).select("path", "line", "kind", "source", F.trim("target").alias("target")).where("source <> '' and target <> ''")
+    """(path, line, kind, source, target) of extends and implements, each target a row under its last name."""
+
+    def hit(rule: tuple) -> Column:
+        lang, kind, pattern, source, targets = rule
+        pattern = X.ascii_edges(pattern)
+        applies = F.lit(True) if lang == "*" else F.col("lang") == lang
+        every = F.split(F.regexp_extract("code", pattern, targets), ",")
+        return F.when(applies & F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, source).alias("source"), every.alias("targets")))
+
+    mixed = F.when((F.col("lang") == "scala") & F.col("code").rlike(SCALA_WITH), F.struct(F.lit("implements").alias("kind"), F.regexp_extract("code", SCALA_WITH, 1).alias("source"), F.regexp_extract_all(F.regexp_extract("code", SCALA_WITH, 2), F.lit(r"\bwith\s+([A-Za-z_]\w*)"), 1).alias("targets")))
+    found = F.array_compact(F.array(*[hit(r) for r in TYPE_RULES], mixed))
+    each = lines(sources).select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.kind", "f.source", F.explode("f.targets").alias("raw"))
+    bare = F.regexp_replace(F.trim("raw"), r"^(?:public|private|protected|virtual)\s+", "")
+    name = F.element_at(F.split(F.regexp_extract(bare, r"[A-Za-z_$][\w$.:]*", 0), r"::|\."), -1)
+    return each.select("path", "line", "kind", "source", name.alias("target")).where("source <> '' and target <> ''")
+
+
+def facts(sources: DataFrame) -> DataFrame:
+    """(path, line, fact, name, detail): the eight kinds of facts of a line in one table.
+
+    A dependency stands at the first line that names it.
+    """
+    flow = flow_facts(sources)
+    parts = [
+        symbols(sources).select("path", "line", F.lit("symbol").alias("fact"), "name", F.concat_ws(" ", "kind", "status").alias("detail")),
+        imports(sources).groupBy("path", "target", "kind").agg(F.min("line").alias("line")).select("path", "line", F.lit("dependency"), "target", "kind"),
+        calls(sources).select("path", "line", F.lit("call"), "callee", "caller"),
+        flow.where("control <> '-'").select("path", "line", F.lit("control"), "control", F.lit("")),
+        flow.where("target <> '-'").select("path", "line", F.lit("data"), "target", "source"),
+        type_relations(sources).select("path", "line", F.lit("type"), "source", F.concat_ws(" ", "kind", "target")),
+        test_lines(sources).select("path", "line", F.lit("test"), "name", F.lit("")),
+        routes(sources).select("path", "line", F.lit("api"), "route", "method"),
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def identify_language(path: Column) -> Column:
@@ -264,7 +346,7 @@ def detect(sources: DataFrame) -> DataFrame:
     hay = [F.col("text"), F.col("path")]
 
     def one(d: tuple) -> Column:
-        name, langs, category, signals = d
+        name, langs, category, signals = d[0], d[1], d[2], [X.ascii_edges(s) for s in d[3]]
         n = sum((F.when(hay[0].rlike(s) | hay[1].rlike(s), 1).otherwise(0) for s in signals), F.lit(0))
         applies = F.lit(True) if langs == "*" else F.col("lang").isin(langs.split(","))
         return F.when(applies & (n > 0), F.struct(F.lit(name).alias("detector"), F.lit(category).alias("category"), n.alias("signals")))
@@ -298,7 +380,7 @@ def sensitive(sources: DataFrame) -> DataFrame:
     """(path, security, performance, modernization): comma-joined signals of each file that has any."""
     hay = F.concat_ws("\n", "path", "text")
     security = F.concat(keywords(hay, SECURITY_WORDS), F.when(F.col("text").rlike(AUTHORIZATION), F.array(F.lit("explicit authorization boundary"))).otherwise(F.array().cast("array<string>")))
-    performance = F.concat(keywords(hay, PERFORMANCE_WORDS), F.when(F.col("text").rlike(QUERY_IN_LOOP), F.array(F.lit("database operation inside loop"))).otherwise(F.array().cast("array<string>")))
+    performance = F.concat(keywords(hay, PERFORMANCE_WORDS), F.when(F.col("text").rlike(QUERY_IN_LOOP) | F.col("text").rlike(QUERY_BY_INDENT), F.array(F.lit("database operation inside loop"))).otherwise(F.array().cast("array<string>")))
     size = F.size(F.split("text", "\n", -1))
     modern = F.array_compact(F.array(F.when(size > 500, F.lit("very large file")), *[F.when(F.lower(hay).contains(w), F.lit(w)) for w in MODERNIZATION_WORDS], F.when(F.lower("path").contains("controller") & F.col("text").rlike(r"(?i)(^|[^A-Za-z0-9_])(db|database|query|repository)([^A-Za-z0-9_]|$)"), F.lit("direct db call"))))
     return sources.select("path", F.array_join(security, ",").alias("security"), F.array_join(performance, ",").alias("performance"), F.array_join(modern, ",").alias("modernization")).where("security <> '' or performance <> '' or modernization <> ''")

@@ -7,25 +7,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Line rules: kind, category, severity, title, pattern, confidence, redact. Patterns have no look-around.
+from loomwork.functions.text import ascii_edges
+
+#: Line rules: kind, category, severity, title, pattern, confidence, redact.
 LINE_RULES = [
     ("security", "secrets", "critical", "Possible hard-coded credential", r"""(?i)\b(?:password|passwd|api[_-]?key|secret|access[_-]?token)\s*[:=]\s*["'][^"']{6,}["']""", 0.94, True),
     ("security", "injection", "critical", "Dynamic code execution", r"(?:^|[;{=(]\s*)(?:eval|exec)\s*\(|new\s+Function\s*\(", 0.92, False),
     ("security", "command-injection", "high", "Shell command construction", r"\b(?:exec|execSync|system|popen|spawn)\s*\([^\n]*(?:\+|`|\$\{)", 0.88, False),
     ("security", "sql-injection", "high", "Dynamic SQL construction", r"(?i)\b(?:select|insert|update|delete)\b[^\n]*(?:\+|\$\{|%s|\.format\()", 0.86, False),
-    ("security", "transport", "high", "Insecure HTTP endpoint", r"""(?i)["']http://(?:[^1l]|1[^2]|l[^o])""", 0.9, False),
+    ("security", "transport", "high", "Insecure HTTP endpoint", r"""(?i)["']http://(?!127\.0\.0\.1|localhost)""", 0.9, False),
     ("security", "xss", "high", "Unsafe HTML injection", r"\b(?:innerHTML|outerHTML|dangerouslySetInnerHTML)\b", 0.9, False),
     ("security", "crypto", "medium", "Weak cryptographic primitive", r"(?i)\b(?:md5|sha1|des|rc4)\b", 0.88, False),
     ("security", "cors", "medium", "Permissive CORS policy", r"""(?i)(?:Access-Control-Allow-Origin|origin)\s*[:=]\s*["']\*["']""", 0.82, False),
     ("security", "filesystem", "medium", "User-influenced filesystem path", r"(?i)(?:readFile|writeFile|open|unlink)\s*\([^\n]*(?:req\.|request\.|params|query|input)", 0.78, False),
     ("security", "logging", "medium", "Sensitive value may be logged", r"(?i)(?:console\.|logger\.|logging\.)[^\n]*(?:token|secret|password|prompt|email|media[_ ]?path)", 0.84, True),
     ("performance", "blocking-io", "high", "Synchronous I/O on an execution path", r"(?i)\b(?:readFileSync|writeFileSync|execSync|spawnSync|sleep\s*\()", 0.9, False),
-    ("performance", "loop-await", "high", "Sequential await inside loop", r"\b(?:for|while)\s*\([^\n{]*[{:]?[^\n]{0,160}\bawait\b", 0.76, False),
+    ("performance", "unbounded-query", "high", "Potentially unbounded data query", r"(?i)\bselect\b(?![^;\n]*\blimit\b)[^;\n]*(?:from|join)\b", 0.78, False),
+    ("performance", "loop-await", "high", "Sequential await inside loop", r"\b(?:for|while)(?!\s+await\b)\s*[^\n{]*[{:]?[^\n]{0,160}\bawait\b", 0.76, False),
+    ("performance", "nested-iteration", "medium", "Nested collection traversal", r"\b(?:for|forEach|map|filter)\b[^\n]*[\s\S]{0,120}\b(?:for|forEach|find|filter)\b", 0.72, False),
     ("performance", "serialization", "medium", "Potentially large response serialization", r"(?i)\b(?:JSON\.stringify|json\.dumps)\s*\([^\n]*(?:response|result|records|rows|payload|body)", 0.72, False),
     ("performance", "timer", "low", "Recurring timer requires lifecycle cleanup", r"\bsetInterval\s*\(", 0.82, False),
     ("performance", "network", "medium", "External call without visible timeout", r"\b(?:fetch|axios\.|requests\.|http\.request)\s*\(", 0.7, False),
 ]
-COMMENT = r"^\s*(?://|#|\*|/\*|--)"
+COMMENT = r"^\s*(?://|/\*|\*|#)|\brule\s*\("
 
 #: Safeguards by report kind.
 SAFEGUARDS = [
@@ -105,8 +109,8 @@ def scan_lines(lines: DataFrame) -> DataFrame:
 
     def hit(rule: tuple) -> Column:
         kind, category, severity, title, pattern, confidence, redact = rule
-        shown = F.lit("[redacted]") if redact else F.substring(F.trim(code), 1, 240)
-        return F.when(code.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), F.lit(confidence).alias("confidence"), shown.alias("evidence")))
+        shown = F.lit("[REDACTED sensitive expression]") if redact else F.substring(F.trim(code), 1, 240)
+        return F.when(code.rlike(ascii_edges(pattern)), F.struct(F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), F.lit(confidence).alias("confidence"), shown.alias("evidence")))
 
     found = F.array_compact(F.array(*[hit(r) for r in LINE_RULES]))
     return lines.where(~code.rlike(COMMENT)).select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.*")

@@ -28,49 +28,79 @@ SRC_SQL = B.values_sql("src", ["path", "lang", "text"], SOURCES)
 LINES_SQL = SRC_SQL + ", ln AS (SELECT path, lang, unnest(string_split(text, chr(10))) AS code, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS line FROM src)"
 
 
+#: The same with the documents as further files.
+ALL_SQL = B.values_sql("lit", ["path", "lang", "text"], SOURCES) + ", src AS (SELECT * FROM lit UNION ALL SELECT 'doc/' || doc_id, lang, coalesce(text, '') FROM documents)"
+ALL_LINES_SQL = ALL_SQL + r", cut AS (SELECT path, lang, regexp_split_to_array(text, '\r?\n') AS parts FROM src), ln AS (SELECT path, lang, unnest(parts) AS code, unnest(range(1, len(parts) + 1))::INTEGER AS line FROM cut)"
+
+
 def sources(spark):
     return B.literal(spark, "path string, lang string, text string", SOURCES)
 
 
+def everything(spark, sf):
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return sources(spark).union(docs)
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 _KW = ", ".join(_q(k) for k in E.KEYWORDS)
 _known = ", ".join(_q(k) for k in sorted({a for a, _, _ in E.SYMBOL_RULES if a not in ("*", "")}))
+_read = ", ".join(_q(k) for k in sorted({*E.LANGUAGE_EXTENSIONS.values(), *E.LANGUAGE_NAMES.values(), "kubernetes", "scala"}))
 
 
 def _scope(scope: str) -> str:
     return "true" if scope == "*" else f"lang NOT IN ({_known})" if scope == "" else f"lang = {_q(scope)}"
 
 
-_SYM = " UNION ALL ".join(f"SELECT path, line, {_q(kind)} AS kind, regexp_extract(code, {_q(p)}, 1) AS name FROM ln WHERE {_scope(scope)}" for scope, kind, p in E.SYMBOL_RULES if "(?!" not in p)
+def _name(pattern: str) -> str:
+    """The name that a symbol rule finds; RE2 has no look-ahead, so the one of make is said otherwise."""
+    if pattern.endswith(":(?!=)"):
+        bare = pattern.removesuffix("(?!=)")
+        return f"CASE WHEN regexp_matches(code, {_q(bare + '([^=]|$)')}) THEN regexp_extract(code, {_q(bare)}, 1) ELSE '' END"
+    return f"regexp_extract(code, {_q(pattern)}, 1)"
 
 
-@query("x2_symbols", f"WITH {LINES_SQL}, s AS ({_SYM}) SELECT path, line, kind, name FROM s WHERE name <> '' AND lower(name) NOT IN ({_KW})")
+_SYM = " UNION ALL ".join(f"SELECT path, lang, code, line, {i} AS rule, {_q(kind)} AS kind, {_name(p)} AS name FROM ln WHERE {_scope(scope)}" for i, (scope, kind, p) in enumerate(E.SYMBOL_RULES))
+_SYMBOLS = f"SELECT * FROM ({_SYM}) WHERE name <> '' AND lower(name) NOT IN ({_KW})"
+X2_SQL = f"SELECT DISTINCT path, line, kind, name, CASE WHEN regexp_matches(code, {_q(E.EXPORTED)}) THEN 'exported' WHEN lang = 'python' AND NOT regexp_matches(code, '^\\s*_') THEN 'unknown' ELSE 'local' END AS status FROM ({_SYMBOLS})"
+
+
+@query("x2_symbols", f"WITH {ALL_LINES_SQL} {X2_SQL}")
 def x2(spark, sf):
-    return E.symbols(sources(spark))
+    return E.symbols(everything(spark, sf))
 
 
-@query("x1_lines", f"WITH {LINES_SQL} SELECT path, line, code FROM ln UNION ALL SELECT 'doc/' || doc_id, 1, split_part(text, chr(10), 1) FROM documents")
+@query("x1_lines", f"WITH {ALL_LINES_SQL} SELECT path, line, code FROM ln")
 def x1(spark, sf):
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "lang", "text")
-    return E.lines(sources(spark)).select("path", "line", "code").union(docs.select("path", F.lit(1), F.split_part("text", F.lit("\n"), F.lit(1))))
+    return E.lines(everything(spark, sf)).select("path", "line", "code")
+
+
+_TYPES = " UNION ALL ".join(f"SELECT path, line, {_q(kind)} AS kind, regexp_extract(code, {_q(p)}, {a}) AS source, unnest(string_split(regexp_extract(code, {_q(p)}, {b}), ',')) AS raw FROM ln WHERE {'true' if lang == '*' else f'lang = {_q(lang)}'}" for lang, kind, p, a, b in E.TYPE_RULES)
+X3_SQL = f"""SELECT path, line, kind, source, regexp_extract(regexp_extract(regexp_replace(trim(raw), '^(?:public|private|protected|virtual)\\s+', ''), '[A-Za-z_$][\\w$.:]*', 0), '[^:.]*$', 0) AS target FROM (
+{_TYPES} UNION ALL SELECT path, line, 'implements', regexp_extract(code, {_q(E.SCALA_WITH)}, 1), unnest(regexp_extract_all(regexp_extract(code, {_q(E.SCALA_WITH)}, 2), '\\bwith\\s+([A-Za-z_]\\w*)', 1)) FROM ln WHERE lang = 'scala')"""
 
 
-@query("x3_type_relations", f"""WITH {LINES_SQL}, u AS (SELECT path, line, 'extends' AS kind, regexp_extract(code, {_q(E.EXTENDS)}, 1) AS source, regexp_extract(code, {_q(E.EXTENDS)}, 2) AS target FROM ln
-UNION ALL SELECT path, line, 'implements', regexp_extract(code, {_q(E.IMPLEMENTS)}, 1), trim(unnest(string_split(regexp_extract(code, {_q(E.IMPLEMENTS)}, 2), ','))) FROM ln) SELECT * FROM u WHERE source <> '' AND target <> ''""")
+@query("x3_type_relations", f"WITH {ALL_LINES_SQL}, u AS ({X3_SQL}) SELECT * FROM u WHERE source <> '' AND target <> ''")
 def x3(spark, sf):
-    return E.type_relations(sources(spark))
+    return E.type_relations(everything(spark, sf))
 
 
-_IMP = " UNION ALL ".join(f"SELECT path, line, unnest(regexp_extract_all(code, {_q(p)}, 1)) AS raw FROM ln" for p in E.IMPORT_RULES)
+_IMP = " UNION ALL ".join([*(f"SELECT path, line, unnest(regexp_extract_all(code, {_q(p)}, 1)) AS raw FROM ln" for p in E.IMPORT_RULES), f"SELECT path, line, regexp_extract(code, {_q(E.GO_IMPORT)}, 1) FROM ln WHERE lang = 'go'"])
+#: Steps "a/../" and "./" are taken out one after another, an independent way to normalise.
+_JOINED = "regexp_replace(path, '[^/]*$', '') || raw"
+X4_SQL = rf"""WITH RECURSIVE i AS (SELECT DISTINCT * FROM ({_IMP}) WHERE raw <> '' AND raw NOT IN ('if', 'for', 'type')),
+n(path, line, raw, t) AS (SELECT path, line, raw, regexp_replace(regexp_replace({_JOINED}, '(^|/)(\./)+', '\1', 'g'), '//+', '/', 'g') FROM i WHERE starts_with(raw, '.')
+  UNION ALL SELECT path, line, raw, regexp_replace(t, '(^|/)([^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\.(/|$)', '\1') FROM n WHERE regexp_matches(t, '(^|/)([^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\.(/|$)')),
+d AS (SELECT path, line, raw, regexp_replace(t, '/$', '') AS t FROM n WHERE NOT regexp_matches(t, '(^|/)([^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\.(/|$)'))
+SELECT i.path, i.line, coalesce(d.t, i.raw) AS target, CASE WHEN starts_with(i.raw, '.') OR starts_with(i.raw, '/') OR contains(i.raw, '::') THEN 'local' ELSE 'package' END AS kind FROM i LEFT JOIN d ON d.path = i.path AND d.line = i.line AND d.raw = i.raw"""
 
 
-@query("x4_imports", f"""WITH {LINES_SQL}, i AS (SELECT DISTINCT * FROM ({_IMP})) SELECT path, line, CASE raw WHEN './db/../util' THEN 'src/api/util' WHEN '../src/service/pay' THEN 'src/service/pay' ELSE raw END AS target,
-CASE WHEN starts_with(raw, '.') OR starts_with(raw, '/') OR contains(raw, '::') THEN 'local' ELSE 'package' END AS kind FROM i WHERE raw <> '' AND raw NOT IN ('if', 'for', 'type')""")
+@query("x4_imports", f"WITH {ALL_LINES_SQL} SELECT * FROM ({X4_SQL})")
 def x4(spark, sf):
-    return E.imports(sources(spark))
+    return E.imports(everything(spark, sf))
 
 
 X9_PATHS = [("a/b/../c",), ("./x/./y",), ("../up/one",), ("a/../../b",), ("plain",), ("a//b/",)]
@@ -81,30 +111,51 @@ def x9(spark, sf):
     return B.literal(spark, "path string", X9_PATHS).select("path", E.normal_path(F.col("path")).alias("normal"))
 
 
-@query("x5_calls", f"""WITH {LINES_SQL}, d AS (SELECT path, line, min(name) AS own, list(DISTINCT name) AS names FROM ({_SYM}) WHERE kind IN ('function', 'method') AND name <> '' AND lower(name) NOT IN ({_KW}) GROUP BY 1, 2),
-m AS (SELECT ln.path, ln.line, regexp_replace(code, {_q(chr(92) + '"[^"]*' + chr(92) + '"|' + chr(39) + '[^' + chr(39) + ']*' + chr(39) + '|`[^`]*`')}, '', 'g') AS bare, names, last_value(own IGNORE NULLS) OVER (PARTITION BY ln.path ORDER BY ln.line ROWS UNBOUNDED PRECEDING) AS caller FROM ln LEFT JOIN d ON d.path = ln.path AND d.line = ln.line),
-c AS (SELECT path, line, coalesce(caller, '<module>') AS caller, names, unnest(list_distinct(regexp_extract_all(bare, {_q(E.CALL)}, 1))) AS callee FROM m)
-SELECT path, line, callee, caller FROM c WHERE NOT coalesce(list_contains(names, callee), false) AND lower(callee) NOT IN ({_KW})""")
+X5_SQL = f"""WITH d AS (SELECT path, line, arg_max(name, rule) FILTER (kind IN ('function', 'method')) AS own, list(DISTINCT name) AS names FROM ({_SYMBOLS}) GROUP BY 1, 2),
+m AS (SELECT ln.path, ln.line, regexp_replace(code, {_q(E.STRINGS.replace(chr(92) + '"', '"'))}, '', 'g') AS bare, names, last_value(own IGNORE NULLS) OVER (PARTITION BY ln.path ORDER BY ln.line ROWS UNBOUNDED PRECEDING) AS caller FROM ln LEFT JOIN d ON d.path = ln.path AND d.line = ln.line WHERE lang IN ({_read})),
+c AS (SELECT path, line, coalesce(caller, '<module>') AS caller, names, unnest(regexp_extract_all(bare, {_q(E.CALL)}, 1)) AS callee FROM m)
+SELECT path, line, callee, caller FROM c WHERE NOT coalesce(list_contains(names, string_split(callee, '.')[-1]), false) AND lower(callee) NOT IN ({_KW})"""
+
+
+@query("x5_calls", f"WITH {ALL_LINES_SQL} SELECT * FROM ({X5_SQL})")
 def x5(spark, sf):
-    return E.calls(sources(spark))
+    return E.calls(everything(spark, sf))
+
+
+_BARE = f"regexp_replace(code, {_q(E.STRINGS.replace(chr(92) + '"', '"'))}, '', 'g')"
+_FOLLOW = ", ".join(map(_q, E.FLOW_LANGUAGES))
+X6_SQL = f"""SELECT path, line, coalesce(nullif(regexp_extract({_BARE}, {_q(E.CONTROL)}, 1), ''), '-') AS control, CASE WHEN lang IN ({_FOLLOW}) THEN coalesce(nullif(regexp_extract({_BARE}, {_q(E.ASSIGN)}, 1), ''), '-') ELSE '-' END AS target,
+CASE WHEN lang IN ({_FOLLOW}) THEN coalesce(nullif(regexp_extract({_BARE}, {_q(E.ASSIGN)}, 2), ''), '-') ELSE '-' END AS source FROM ln WHERE lang IN ({_read})"""
 
 
-@query("x6_flow_facts", f"""WITH {LINES_SQL}, f AS (SELECT path, line, coalesce(nullif(regexp_extract(code, {_q(E.CONTROL)}, 1), ''), '-') AS control, coalesce(nullif(regexp_extract(code, {_q(E.ASSIGN)}, 1), ''), '-') AS variable FROM ln) SELECT * FROM f WHERE control <> '-' OR variable <> '-'""")
+@query("x6_flow_facts", f"WITH {ALL_LINES_SQL}, f AS ({X6_SQL}) SELECT * FROM f WHERE control <> '-' OR target <> '-'")
 def x6(spark, sf):
-    return E.flow_facts(sources(spark))
+    return E.flow_facts(everything(spark, sf))
 
 
-_ROUTE = "CASE " + " ".join(f"WHEN regexp_matches(code, {_q(p)}) THEN [" + (f"CASE upper(regexp_extract(code, {_q(p)}, {m})) WHEN 'REQUEST' THEN 'ANY' ELSE upper(regexp_extract(code, {_q(p)}, {m})) END" if m else "'ANY'") + f", regexp_extract(code, {_q(p)}, {r})]" for p, m, r in E.ROUTE_RULES) + " END"
+_ROUTE = "CASE " + " ".join(f"WHEN regexp_matches(code, {_q(p)}) THEN [" + (f"CASE upper(regexp_extract(code, {_q(p)}, {m})) WHEN 'REQUESTMAPPING' THEN 'ANY' ELSE upper(regexp_extract(code, {_q(p)}, {m})) END" if m else "'ANY'") + f", regexp_extract(code, {_q(p)}, {r})]" for p, m, r in E.ROUTE_RULES) + f" WHEN lang = 'rust' AND regexp_matches(code, {_q(E.RUST_ROUTE)}) THEN ['ANY', regexp_extract(code, {_q(E.RUST_ROUTE)}, 1)] END"
+X7_SQL = f"SELECT path, line, r[1] AS method, r[2] AS route FROM (SELECT path, line, {_ROUTE} AS r FROM ln) WHERE r IS NOT NULL"
 
 
-@query("x7_routes", f"WITH {LINES_SQL}, r AS (SELECT path, line, {_ROUTE} AS r FROM ln) SELECT path, line, r[1] AS method, r[2] AS route FROM r WHERE r IS NOT NULL")
+@query("x7_routes", f"WITH {ALL_LINES_SQL} {X7_SQL}")
 def x7(spark, sf):
-    return E.routes(sources(spark))
+    return E.routes(everything(spark, sf))
 
 
-@query("x8_test_lines", f"WITH {LINES_SQL} SELECT path, line, trim(regexp_extract(code, {_q(E.TEST_NAME)}, 1)) AS name, regexp_matches(code, '\\b(export|public|pub)\\b') AS exported FROM ln WHERE regexp_matches(code, {_q(E.TEST_LINE)})")
+X8_SQL = f"SELECT path, line, coalesce(nullif(trim(regexp_extract(code, {_q(E.TEST_NAME)}, 1)), ''), 'test@' || line) AS name FROM ln WHERE regexp_matches(code, {_q(E.TEST_LINE)}) OR (lang = 'go' AND regexp_matches(code, {_q(E.GO_TEST)}))"
+
+
+@query("x8_test_lines", f"WITH {ALL_LINES_SQL} {X8_SQL}")
 def x8(spark, sf):
-    return E.test_lines(sources(spark))
+    return E.test_lines(everything(spark, sf))
+
+
+@query("x1_facts", f"""WITH {ALL_LINES_SQL}, f AS ({X6_SQL}) SELECT path, line, 'symbol' AS fact, name, kind || ' ' || status AS detail FROM ({X2_SQL})
+UNION ALL SELECT path, min(line), 'dependency', target, kind FROM ({X4_SQL}) GROUP BY path, target, kind UNION ALL SELECT path, line, 'call', callee, caller FROM ({X5_SQL})
+UNION ALL SELECT path, line, 'control', control, '' FROM f WHERE control <> '-' UNION ALL SELECT path, line, 'data', target, source FROM f WHERE target <> '-'
+UNION ALL SELECT path, line, 'type', source, kind || ' ' || target FROM ({X3_SQL}) WHERE source <> '' AND target <> '' UNION ALL SELECT path, line, 'test', name, '' FROM ({X8_SQL}) UNION ALL SELECT path, line, 'api', route, method FROM ({X7_SQL})""")
+def x1_facts(spark, sf):
+    return E.facts(everything(spark, sf))
 
 
 @query("x10_syntax_tree")

@@ -10,7 +10,7 @@ from loomwork.operators import quality as Q
 from loomwork.operators import relational as R
 from loomwork.plans import bindings as B
 from loomwork.plans.aggregates import COUPLING_SQL
-from loomwork.plans.extraction import LINES_SQL, SRC_SQL, _q, sources
+from loomwork.plans.extraction import ALL_LINES_SQL, LINES_SQL, SRC_SQL, _q, everything, sources
 from loomwork.plans.registry import query
 from loomwork.session import table
 
@@ -20,7 +20,20 @@ LINT = [
     ("c.js", "javascript", "for (const a of b) { await go(a) }\nreadFileSync(p)\norigin: '*'\nexec(`rm ${x}`)\nhelmet()\nuse cache with limit and timeout: 5 and sanitize"),
 ]
 LINT_SQL = B.values_sql("src", ["path", "lang", "text"], LINT) + ", ln AS (SELECT path, unnest(string_split(text, chr(10))) AS code, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS line FROM src)"
-_LINES = " UNION ALL ".join(f"SELECT path, line, {_q(k)} AS kind, {_q(c)} AS category, {_q(s)} AS severity, {_q(t)} AS title, {n}::DOUBLE AS confidence, {_q('[redacted]') if red else 'substr(trim(code), 1, 240)'} AS evidence FROM ln WHERE NOT regexp_matches(code, {_q(Q.COMMENT)}) AND regexp_matches(code, {_q(p)})" for k, c, s, t, p, n, red in Q.LINE_RULES)
+
+
+def _hit(category: str, pattern: str) -> str:
+    """A line rule in RE2; rules with a look-ahead are said as a match of one and not of another pattern."""
+    if category == "transport":
+        return """len(list_filter(regexp_extract_all(lower(code), '["'']http://.{0,9}'), lambda x: NOT starts_with(substr(x, 9), '127.0.0.1') AND NOT starts_with(substr(x, 9), 'localhost'))) > 0"""
+    if category == "unbounded-query":
+        return r"""len(list_filter(regexp_extract_all(code, '(?i)\bselect\b[^;\n]*'), lambda x: NOT regexp_matches(x, '(?i)\blimit\b') AND regexp_matches(x, '(?i)\bselect\b.*(?:from|join)\b'))) > 0"""
+    if category == "loop-await":
+        return r"""regexp_matches(regexp_replace(code, '\b(for|while)(\s+await\b)', '\2', 'g'), '\b(?:for|while)\s*[^\n{]*[{:]?[^\n]{0,160}\bawait\b')"""
+    return f"regexp_matches(code, {_q(pattern)})"
+
+
+_LINES = " UNION ALL ".join(f"SELECT path, line, {_q(k)} AS kind, {_q(c)} AS category, {_q(s)} AS severity, {_q(t)} AS title, {n}::DOUBLE AS confidence, {_q('[REDACTED sensitive expression]') if red else 'substr(trim(code), 1, 240)'} AS evidence FROM ln WHERE NOT regexp_matches(code, {_q(Q.COMMENT)}) AND {_hit(c, p)}" for k, c, s, t, p, n, red in Q.LINE_RULES)
 
 
 def lint(spark):
@@ -32,10 +45,10 @@ def f3(spark, sf):
     return Q.scan_lines(E.lines(lint(spark)))
 
 
-@query("f3_line_rules_documents", "SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS code FROM documents) WHERE regexp_matches(code, 'token = \"[0-9a-f]{40}\"') GROUP BY doc_id")
+@query("f3_line_rules_documents", f"WITH {ALL_LINES_SQL}, h AS ({_LINES}) SELECT path, title, count(*) AS hits, min(line) AS first FROM h GROUP BY path, title")
 def f3_docs(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("code"))
-    return rows.where(F.col("code").rlike('token = "[0-9a-f]{40}"')).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    found = Q.scan_lines(E.lines(everything(spark, sf)))
+    return found.groupBy("path", "title").agg(F.count("*").alias("hits"), F.min("line").alias("first"))
 
 
 @query("f4_safeguards", f"WITH {LINT_SQL} " + " UNION ALL ".join(f"SELECT path, {_q(k)} AS kind, {_q(c)} AS control FROM src WHERE regexp_matches(text, {_q(p)})" for k, c, p in Q.SAFEGUARDS))
