@@ -193,14 +193,20 @@ def ask(units: DataFrame, rels: DataFrame, question: str, *, limit: int = 50) ->
 
 
 def explain(units: DataFrame, rels: DataFrame, question: str, *, limit: int = 8) -> DataFrame:
-    """(role, id, kind): what the best match is tied to, the other end of each relation."""
-    units, rels = active(units, rels)
-    subject = F.broadcast(resolve(units, question, 1).select(F.col("id").alias("seed")))
-    out = []
-    for role, (kinds, direction) in EXPLAIN.items():
-        met = _sides(rels.where(F.col("kind").isin(kinds)), direction).join(subject, "seed")
-        out.append(met.orderBy("rel_id", "next").limit(limit).select(F.lit(role).alias("role"), F.col("next").alias("id"), "kind"))
-    return reduce(DataFrame.union, out)
+    """(role, id, kind): what the best match is tied to, the other end of each relation.
+
+    Relations are read once: those of the one subject are found first, then told
+    apart by role, and only their other ends are looked up among active units.
+    """
+    live = units.where("lifecycle = 'active'")
+    subject = F.broadcast(resolve(live, question, 1).select(F.col("id").alias("seed")))
+    kinds = sorted({k for some, _ in EXPLAIN.values() for k in some})
+    end = lambda seed, other, way: F.struct(F.col(seed).alias("seed"), F.col(other).alias("next"), F.lit(way).alias("way"))
+    ends = rels.where((F.col("lifecycle") == "active") & F.col("kind").isin(kinds)).select(F.col("id").alias("rel_id"), "kind", F.inline(F.array(end("source_id", "target_id", "out"), end("target_id", "source_id", "in"))))
+    roles = [F.when(F.col("kind").isin(some) & F.col("way").isin(["in", "out"] if way == "both" else [way]), F.lit(role)) for role, (some, way) in EXPLAIN.items()]
+    met = ends.join(subject, "seed").join(live.select(F.col("id").alias("next")), "next", "left_semi").withColumn("role", F.explode(F.array_compact(F.array(*roles))))
+    best = Window.partitionBy("role").orderBy("rel_id", "next")
+    return met.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit).select("role", F.col("next").alias("id"), "kind")
 
 
 def flow(units: DataFrame, rels: DataFrame, question: str, *, limit: int = 24) -> DataFrame:
@@ -259,18 +265,24 @@ def execute(operation: str, units: DataFrame, rels: DataFrame, question: str, **
 def lexical(docs: DataFrame, question: str, id_col: str, text_col: str) -> DataFrame:
     """(id, score > 0): sum of log1p of the question's token counts over the root of the length; repeated terms count.
 
-    Tokens are counted by regex over the text, so no array of them is made.
+    A text is cut into tokens once, if it holds a term at all. The counts come
+    out of a generator, which keeps the filter on them from counting again.
     """
     wanted = re.findall(r"[a-z0-9_]+", question.lower())
     if not wanted:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
+    terms_ = list(dict.fromkeys(wanted))
     low = F.lower(F.col(text_col))
-    counts = {w: F.regexp_count(low, F.lit(f"(?<![a-z0-9_]){w}(?![a-z0-9_])")) for w in wanted}
-    some = reduce(lambda a, b: a | b, [low.contains(w) for w in counts], F.lit(False))
-    rows = docs.where(some).select(F.col(id_col).alias("id"), F.regexp_count(low, F.lit("[a-z0-9_]+")).alias("n"), *[c.alias(f"c{k}") for k, c in enumerate(counts.values())])
-    at = {w: f"c{k}" for k, w in enumerate(counts)}
-    score = sum((F.log1p(F.col(at[w]).cast("double")) for w in wanted), F.lit(0.0)) / F.sqrt(F.col("n").cast("double"))
-    return rows.where(F.greatest(F.lit(0), *[F.col(c) for c in at.values()]) > 0).select("id", F.round(score, 6).alias("score")).where("score > 0")
+    some = reduce(lambda a, b: a | b, [low.contains(w) for w in terms_])
+    tokens = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), 0)
+    counted = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(terms_)).alias("hits")))
+    rows = docs.where(some).select(F.col(id_col).alias("id"), F.inline(counted)).where(F.size("hits") > 0)
+
+    def times(w: str) -> Column:
+        return F.size(F.filter("hits", lambda x: x == w)).cast("double")
+
+    score = sum((F.log1p(times(w)) for w in wanted), F.lit(0.0)) / F.sqrt(F.col("n").cast("double"))
+    return rows.select("id", F.round(score, 6).alias("score")).where("score > 0")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
