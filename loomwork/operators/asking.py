@@ -251,9 +251,26 @@ def reuse(units: DataFrame, rels: DataFrame, question: str, *, limit: int = 8) -
     return scored.orderBy(F.desc("score"), "name", "id").limit(limit).select("id", "score")
 
 
+def path(units: DataFrame, rels: DataFrame, question: str, *, to: str, limit: int = 8) -> DataFrame:
+    """(position, id, kind): the cheapest way over meaningful relations from the best match of ``question`` to that of ``to``.
+
+    Relations are taken in both directions; sure ones are cheaper. No row if there is no way.
+    """
+    units, rels = active(units, rels)
+    units = cut(units)
+    ends = [cut(resolve(units, q, 1).select("id")) for q in (question, to)]
+    price = F.round(1.1 - F.least(F.lit(0.45), F.col("confidence") * 0.45) + F.when(F.col("kind") == "maps-to", 0.25).otherwise(0.0), 9)
+    kept = rels.where(F.col("kind").isin(MEANINGFUL))
+    one = kept.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), price.alias("cost"))
+    ways = one.union(one.select("dst", "src", "cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    best = G.cheapest_paths(cut(ways), ends[0])
+    found = G.walk_back(best, ends[1]).where(F.col("position") < max(2, limit))
+    return found.join(units.select("id", "kind"), "id").select("position", "id", "kind")
+
+
 def execute(operation: str, units: DataFrame, rels: DataFrame, question: str, **options) -> DataFrame:
-    """One of the operations query, explain, flow, impact and reuse by name."""
-    known = {"query": ask, "explain": explain, "flow": flow, "impact": impact, "reuse": reuse}
+    """One of the operations query, path, explain, flow, impact and reuse by name; a path takes ``to`` as well."""
+    known = {"query": ask, "path": path, "explain": explain, "flow": flow, "impact": impact, "reuse": reuse}
     if operation not in known:
         raise ValueError(f"unknown operation {operation}")
     return known[operation](units, rels, question, **options)

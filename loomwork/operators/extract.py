@@ -175,6 +175,9 @@ DETECTORS = [
     ("grpc", "*", "contract", [r"(?i)\bgrpc\b|\.proto\b", r"\brpc\s+\w+\s*\("]),
 ]
 
+#: Manifests, which every detector looks at.
+MANIFEST = r"(?i)(?:^|/)(?:package\.json|pom\.xml|build\.gradle(?:\.kts)?|[^/]+\.(?:csproj|vbproj)|pyproject\.toml|requirements\.txt|go\.mod|cargo\.toml)$"
+
 #: Words and patterns of sensitive code.
 SECURITY_WORDS = "auth authentication authorization permission token credential secret password payment pii admin cookie jwt oauth".split()
 PERFORMANCE_WORDS = "query database n+1 cache pagination batch queue stream serialize deserialize backpressure throttle".split()
@@ -341,18 +344,22 @@ def identify_language(path: Column) -> Column:
     return F.coalesce(names[name], *[F.when(name.endswith(ext), F.lit(lang)) for ext, lang in ranked], F.lit("text"))
 
 
-def detect(sources: DataFrame) -> DataFrame:
-    """(path, detector, category, signals, confidence) of every detector with a signal in the file."""
+def detect(sources: DataFrame, rules: list[tuple] = DETECTORS) -> DataFrame:
+    """(path, detector, category, signals, evidence, confidence) of every detector with a signal in the file.
+
+    A detector looks at files of its languages and at all manifests. ``rules``
+    may hold further detectors beside the known ones.
+    """
     hay = [F.col("text"), F.col("path")]
 
     def one(d: tuple) -> Column:
         name, langs, category, signals = d[0], d[1], d[2], [X.ascii_edges(s) for s in d[3]]
-        n = sum((F.when(hay[0].rlike(s) | hay[1].rlike(s), 1).otherwise(0) for s in signals), F.lit(0))
-        applies = F.lit(True) if langs == "*" else F.col("lang").isin(langs.split(","))
-        return F.when(applies & (n > 0), F.struct(F.lit(name).alias("detector"), F.lit(category).alias("category"), n.alias("signals")))
+        seen = F.array_compact(F.array(*[F.when(hay[0].rlike(s) | hay[1].rlike(s), F.lit(shown)) for s, shown in zip(signals, d[3], strict=True)]))
+        applies = F.lit(True) if langs == "*" else F.col("lang").isin(langs.split(",")) | hay[1].rlike(MANIFEST)
+        return F.when(applies & (F.size(seen) > 0), F.struct(F.lit(name).alias("detector"), F.lit(category).alias("category"), F.size(seen).alias("signals"), F.array_join(seen, " ").alias("evidence")))
 
-    found = sources.select("path", F.explode(F.array_compact(F.array(*[one(d) for d in DETECTORS]))).alias("d"))
-    return found.select("path", "d.detector", "d.category", "d.signals", F.round(F.least(F.lit(0.97), 0.58 + F.col("d.signals") * 0.14), 6).alias("confidence"))
+    found = sources.select("path", F.explode(F.array_compact(F.array(*[one(d) for d in rules]))).alias("d"))
+    return found.select("path", "d.detector", "d.category", "d.signals", "d.evidence", F.round(F.least(F.lit(0.97), 0.58 + F.col("d.signals") * 0.14), 6).alias("confidence"))
 
 
 def cross_language(facts: DataFrame) -> DataFrame:
@@ -362,6 +369,14 @@ def cross_language(facts: DataFrame) -> DataFrame:
     return p.join(c, "topic").where("pl <> cl").select("topic", "producer", "consumer")
 
 
+def mapped_tables(found: DataFrame) -> DataFrame:
+    """(entity, entity_path, table, table_path): models and tables of one bare name in different files, of ``entities``."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace("name", "(?i)(?:entity|model|table)$", ""), r"[_\-\s]", ""))
+    one = found.where("kind = 'orm-entity'").select(bare.alias("k"), F.col("name").alias("entity"), F.col("path").alias("entity_path"))
+    two = found.where("kind = 'table'").select(bare.alias("k"), F.col("name").alias("table"), F.col("path").alias("table_path"))
+    return one.join(two, "k").where("entity_path <> table_path").drop("k").distinct()
+
+
 def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, root): the longest root that is a folder of the path, "." if none; an equi-join on the path's folders."""
     folders = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.when(n == 1, F.lit(".")).otherwise(F.array_join(F.slice(F.split("path", "/"), 1, n - 1), "/")))).alias("root"))
@@ -394,48 +409,149 @@ def services(sources: DataFrame) -> DataFrame:
     return sources.where(~test & low.rlike("service|controller|handler|repository|client|adapter")).select("path", F.regexp_replace(X.basename(F.col("path")), r"\.[^.]+$", "").alias("name"), F.array_join(hints, ",").alias("hints"))
 
 
-def entities(sources: DataFrame) -> DataFrame:
-    """(path, kind, name): databases' tables, queries, flags, events and artefacts by path, each once a file."""
-    t = F.col("text")
+#: Engineering entities. Paths: kind, pattern of the lower-cased path, name ("base", "stem" or a word).
+PACKAGE_MANAGERS = [("npm", r"^(?:package\.json|package-lock\.json|npm-shrinkwrap\.json)$"), ("yarn", r"^yarn\.lock$"), ("pnpm", r"^(?:pnpm-lock\.yaml|pnpm-workspace\.yaml)$"), ("bun", r"^bun\.lockb?$")]
+BUILD_PATH = r"(?:^|/)(?:makefile|dockerfile|pom\.xml|build\.gradle|build\.gradle\.kts|go\.mod|cargo\.toml|pyproject\.toml|setup\.py|vite\.config\.|webpack\.config\.|rollup\.config\.|tsconfig.*\.json)$|(?:^|/)(?:scripts?|build|gradle|maven)(?:/|$)"
+BUILD_SYSTEMS = [("dockerfile", "Docker"), ("makefile", "Make"), (r"pom\.xml", "Maven"), ("gradle", "Gradle"), (r"cargo\.toml", "Cargo"), (r"go\.mod", "Go modules"), ("vite", "Vite"), ("webpack", "Webpack"), ("rollup", "Rollup"), ("tsconfig", "TypeScript compiler")]
+CI_PATH = r"(?:^|/)(?:\.github/workflows|\.gitlab|jenkins|buildkite|circleci|azure-pipelines|ci)(?:/|$)|(?:^|/)(?:jenkinsfile|\.gitlab-ci\.yml|azure-pipelines\.ya?ml|buildkite\.ya?ml|circle\.yml)$"
+CI_PROVIDERS = [("github", "GitHub Actions"), ("gitlab", "GitLab CI"), ("jenkins", "Jenkins"), ("buildkite", "Buildkite"), ("circle", "CircleCI"), ("azure", "Azure Pipelines")]
+INFRA_PATH = r"(?:^|/)(?:infra|infrastructure|terraform|terragrunt|k8s|kubernetes|helm|charts|ansible|docker)(?:/|$)|(?:^|/)(?:dockerfile|docker-compose(?:\.[^.]+)?\.ya?ml|terraform\.tf)$"
+INFRA_PROVIDERS = [("terraform|terragrunt", "Terraform"), ("k8s|kubernetes|helm|charts", "Kubernetes"), ("ansible", "Ansible"), ("docker", "Docker")]
+DATABASE_PATH = r"\.(?:sql|prisma)$|(?:^|/)(?:db|database|databases|migrations?|schemas?|models?|entities?)(?:/|$)"
+DATABASE_WORDS = r"(?i)\b(?:prisma|sequelize|typeorm|drizzle|knex|mongoose|sqlalchemy|django|hibernate|jdbc)\b"
+MIGRATION_PATH = r"(?:^|/)migrations?/"
+FIXTURE_PATH = r"(?:^|/)(?:__fixtures__|fixtures?|mocks?|factories|seeds?)(?:/|$)"
+COMPONENT_PATH = r"(?:^|/)(?:components?|views?|pages?)(?:/|$)"
+SOURCE_PATH = r"\.(?:[cm]?[jt]sx?|py|go|java|rs|rb|php|cs|kt|scala|swift|sql|prisma)$"
+VIEW_PATH, VIEW_TEXT = r"\.(?:tsx|jsx|vue|svelte)$", r"\b(?:React|defineComponent|<template|export\s+default)\b"
+#: Patterns of tables, models, queries, flags and events in texts.
+TABLE = r"""(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?["'`]?([\w.-]+)["'`]?"""
+MODEL = r"(?im)^\s*model\s+([A-Za-z_]\w*)"
+DECORATED = r"""@(?:Entity|Table)\s*\(\s*["'`]([^"'`]+)["'`]"""
+CLASS_MODEL, CLASS_MODEL_PATH = r"\bclass\s+([A-Za-z_]\w*)", r"(?:^|/)(?:entities?|models?)(?:/|$)"
+ALCHEMY, DJANGO = r"(?i)\bsqlalchemy\b|\bdeclarative_base\b|\bmapped_column\b", r"(?i)\bdjango\.db\b|\bmodels\.Model\b"
+ALCHEMY_MODEL = r"""class\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*:\s*[\s\S]{0,600}?__tablename__\s*=\s*["']([^"']+)["']"""
+DJANGO_MODEL = r"""class\s+([A-Za-z_]\w*)\s*\([^)]*models\.Model[^)]*\)\s*:\s*[\s\S]{0,1000}?class\s+Meta\s*:\s*[\s\S]{0,300}?db_table\s*=\s*["']([^"']+)["']"""
+STATEMENT, STATEMENT_TABLE = r"(?i)\b(select|insert\s+into|update|delete\s+from|merge\s+into)\b[^;\n]*", r"""(?i)\b(?:from|into|update)\s+["'`]?([\w.-]+)"""
+ORM_CALL = r"\b(findMany|findUnique|findFirst|findOne|findAll|insertMany|insertOne|updateMany|deleteMany|queryRaw|execute|select)\s*\("
+FLAG_WORD = r"\b([A-Z][A-Z0-9_]*(?:FEATURE|FLAG)[A-Z0-9_]*)\b"
+FLAG_CALL = r"""(?i)\b(?:feature[_-]?flag|featureFlags?|isFeatureEnabled|launchDarkly)\s*(?:[.:\[(]\s*)?["'`]([A-Za-z0-9_.:-]+)["'`]"""
+EVENT_CALL = r"""\b(?:emit|publish|dispatch|send)\s*\(\s*["'`]([^"'`]+)["'`]"""
+EVENT_CLASS = r"\bclass\s+([A-Za-z_]\w*Event)\b"
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def located(text: Column, pattern: str, groups: int) -> Column:
+    """Every match as (line, parts): the match itself and its groups, with the line it begins at; all in one pass."""
+    bare = F.translate(text, "\x01\x02\x03", "   ")
+    marked = F.regexp_replace(bare, X.ascii_edges(pattern), "\x01$0" + "".join(f"\x02${g + 1}" for g in range(groups)) + "\x03")
+    pieces = F.split(marked, "\x01")
+    kind = "array<struct<line:int,parts:array<string>>>"
+
+    def step(acc: Column, piece: Column) -> Column:
+        parts = F.split(F.substring_index(piece, "\x03", 1), "\x02")
+        after = _breaks(parts[0]) + _breaks(F.substring_index(piece, "\x03", -1))
+        return F.struct((acc["line"] + after).alias("line"), F.concat(acc["out"], F.array(F.struct(acc["line"].alias("line"), parts.alias("parts")))).alias("out"))
+
+    start = F.struct((_breaks(pieces[0]) + 1).alias("line"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), start, step)["out"]
+
+
+def database_name(path: Column) -> Column:
+    folder = F.regexp_extract(path, r"(?i)(?:^|/)(?:migrations?|schemas?)[/]([^/]+)", 1)
+    base = F.regexp_replace(X.basename(path), r"(?i)\.(?:sql|prisma)$", "")
+    return F.concat(F.lit("database:"), F.when(folder != "", folder).when(base != "", base).otherwise("workspace"))
+
+
+def _first_of(text: Column, rules: list[tuple[str, str]], other: Column) -> Column:
+    return F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for p, name in rules], other)
 
-    def every(kind: str, pattern: str, group: int = 1) -> DataFrame:
-        return sources.select("path", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(t, F.lit(pattern), group)).alias("name"))
 
-    def by_path(kind: str, pattern: str, name: Column) -> DataFrame:
-        return sources.where(F.lower("path").rlike(pattern)).select("path", F.lit(kind).alias("kind"), name.alias("name"))
+def entities(sources: DataFrame) -> DataFrame:
+    """(path, kind, name, line, detail): managers, builds, databases, tables, models, queries, flags, events and artefacts.
 
-    base, own = X.basename(F.col("path")), X.stem(F.col("path"))
+    An entity of a kind, a name in any letter case and a line is one row; its
+    detail says its provider, table, operation and statement, as far as known.
+    """
+    low, path, text = F.lower("path"), F.col("path"), F.col("text")
+    base, own = X.basename(path), F.regexp_replace(X.basename(path), r"\.[^.]+$", "")
+    database = low.rlike(DATABASE_PATH) | text.rlike(X.ascii_edges(DATABASE_WORDS))
+    alchemy, django = text.rlike(X.ascii_edges(ALCHEMY)), text.rlike(X.ascii_edges(DJANGO))
+    none = F.lit("")
+
+    def by_path(kind: str, applies: Column, name: Column, detail: Column = none) -> DataFrame:
+        return sources.where(applies).select("path", F.lit(kind).alias("kind"), name.alias("name"), F.lit(1).alias("line"), detail.alias("detail"))
+
+    def by_text(kind: str, pattern: str, groups: int, name, detail=lambda p: none, applies: Column | None = None) -> DataFrame:
+        found = (sources if applies is None else sources.where(applies)).select("path", F.explode(located(text, pattern, groups)).alias("m"))
+        return found.select("path", F.lit(kind).alias("kind"), name(F.col("m.parts"), F.col("m.line")).alias("name"), F.col("m.line").alias("line"), detail(F.col("m.parts")).alias("detail"))
+
+    first = lambda parts, line: parts[1]
+    of = lambda word: lambda parts: F.concat(F.lit(word + " "), parts[1])
+    statement = lambda parts: F.substring(F.regexp_replace(F.trim(parts[0]), r"\s+", " "), 1, 180)
+    at = lambda parts, line: F.concat(parts[1], F.lit(" @ "), path, F.lit(":"), line.cast("string"))
     parts = [
-        every("table", r"""(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?["'`]?([\w.-]+)"""),
-        every("orm-entity", r"(?m)^\s*model\s+([A-Za-z_]\w*)"),
-        every("orm-entity", r"""@(?:Entity|Table)\s*\(\s*["'`]([^"'`]+)["'`]"""),
-        every("orm-entity", r"""(?s)class\s+[A-Za-z_]\w*\s*\([^)]*\)\s*:.{0,600}?__tablename__\s*=\s*["']([^"']+)["']"""),
-        every("query", r"(?i)\b(select|insert\s+into|update|delete\s+from|merge\s+into)\b[^;\n]*"),
-        every("query", r"\b(findMany|findUnique|findFirst|findOne|findAll|insertMany|insertOne|updateMany|deleteMany|queryRaw|execute|select)\s*\("),
-        every("feature-flag", r"\b([A-Z][A-Z0-9_]*(?:FEATURE|FLAG)[A-Z0-9_]*)\b"),
-        every("event", r"""\b(?:emit|publish|dispatch|send)\s*\(\s*["'`]([^"'`]+)["'`]"""),
-        every("event", r"\bclass\s+([A-Za-z_]\w*Event)\b"),
-        by_path("package-manager", r"(?:^|/)(?:package\.json|package-lock\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb?)$", base),
-        by_path("build-system", r"(?:^|/)(?:makefile|dockerfile|pom\.xml|build\.gradle|go\.mod|cargo\.toml|pyproject\.toml|setup\.py)$", base),
-        by_path("ci-cd", r"(?:^|/)(?:\.github/workflows|\.gitlab|jenkins|buildkite|circleci|azure-pipelines|ci)(?:/|$)", base),
-        by_path("infrastructure", r"(?:^|/)(?:infra|infrastructure|terraform|terragrunt|k8s|kubernetes|helm|charts|ansible|docker)(?:/|$)", own),
-        by_path("migration", r"(?:^|/)migrations?/", own),
-        by_path("fixture", r"(?:^|/)(?:__fixtures__|fixtures?|mocks?|factories|seeds?)(?:/|$)", own),
-        by_path("component", r"(?:^|/)(?:components?|views?|pages?)(?:/|$)", own),
+        *[by_path("package-manager", F.lower(base).rlike(p), F.lit(name)) for name, p in PACKAGE_MANAGERS],
+        by_path("build-system", base == "package.json", F.lit("npm scripts"), F.lit("npm")),
+        by_path("build-system", low.rlike(BUILD_PATH), _first_of(F.lower(base), BUILD_SYSTEMS, base)),
+        by_path("ci-cd", low.rlike(CI_PATH), base, _first_of(low, CI_PROVIDERS, F.lit("CI/CD"))),
+        by_path("infrastructure", low.rlike(INFRA_PATH), own, _first_of(low, INFRA_PROVIDERS, F.lit("Infrastructure as code"))),
+        by_path("database", database, database_name(path), F.col("lang")),
+        by_path("migration", low.rlike(MIGRATION_PATH), own, database_name(path)),
+        by_text("table", TABLE, 1, first),
+        by_text("orm-entity", MODEL, 1, first, of("prisma")),
+        by_text("table", MODEL, 1, first),
+        by_text("orm-entity", DECORATED, 1, first, of("decorator")),
+        by_text("table", DECORATED, 1, first),
+        by_text("orm-entity", CLASS_MODEL, 1, first, of("class-model"), database & ~alchemy & ~django & low.rlike(CLASS_MODEL_PATH)),
+        by_text("orm-entity", ALCHEMY_MODEL, 2, first, lambda p: F.concat(F.lit("sqlalchemy "), p[2]), alchemy),
+        by_text("table", ALCHEMY_MODEL, 2, lambda p, line: p[2], applies=alchemy),
+        by_text("orm-entity", DJANGO_MODEL, 2, first, lambda p: F.concat(F.lit("django "), p[2]), django),
+        by_text("table", DJANGO_MODEL, 2, lambda p, line: p[2], applies=django),
+        by_text("query", STATEMENT, 1, lambda p, line: at([None, F.upper(p[1])], line), lambda p: F.concat_ws("|", F.lower(p[1]), F.regexp_extract(statement(p), X.ascii_edges(STATEMENT_TABLE), 1), statement(p))),
+        by_text("query", ORM_CALL, 1, at, lambda p: F.concat(p[1], F.lit("|orm"))),
+        by_text("feature-flag", FLAG_WORD, 1, first),
+        by_text("feature-flag", FLAG_CALL, 1, first),
+        by_text("event", EVENT_CALL, 1, first, lambda p: F.lit("emit")),
+        by_text("event", EVENT_CLASS, 1, first, lambda p: F.lit("class")),
+        by_path("fixture", low.rlike(FIXTURE_PATH), own),
+        by_path("component", low.rlike(SOURCE_PATH) & low.rlike(COMPONENT_PATH), own),
+        by_path("component", low.rlike(SOURCE_PATH) & low.rlike(VIEW_PATH) & text.rlike(X.ascii_edges(VIEW_TEXT)), own),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("path", "kind", F.lower("name").alias("name")).distinct()
+    out = reduce(DataFrame.unionByName, [p.withColumn("turn", F.lit(k)) for k, p in enumerate(parts)])
+    named = out.withColumn("name", F.trim("name")).where("name <> ''")
+    return named.groupBy("path", "kind", F.lower("name").alias("low"), "line").agg(F.min_by(F.struct("name", "detail"), "turn").alias("x")).select("path", "kind", "x.name", "line", "x.detail")
 
 
 def packages(manifests: DataFrame) -> DataFrame:
-    """(path, package, version) of JSON manifests' dependencies, malformed ones giving none."""
+    """(path, ecosystem, kind, name, version): projects and external packages of build manifests, malformed ones giving none."""
+    base, text = F.lower(X.basename(F.col("path"))), F.col("text")
+    row = lambda eco, kind, name, version: F.struct(F.lit(eco).alias("ecosystem"), F.lit(kind).alias("kind"), name.alias("name"), version.alias("version"))
+    none = F.lit("")
+
+    def pairs(eco: str, where: Column, pattern: str) -> Column:
+        return F.transform(F.arrays_zip(F.regexp_extract_all(where, F.lit(pattern), 1).alias("a"), F.regexp_extract_all(where, F.lit(pattern), 2).alias("b")), lambda x: row(eco, "external-package", x["a"], x["b"]))
+
+    def project(eco: str, pattern: str) -> Column:
+        return F.array(row(eco, "project", F.regexp_extract(text, pattern, 1), none))
+
     kinds = ["dependencies", "devDependencies", "peerDependencies"]
-    parsed = F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>")
-    merged = manifests.where(X.basename(F.col("path")) == "package.json").withColumn("j", parsed)
-    every = F.flatten(F.array(*[F.coalesce(F.map_entries(F.col("j")[k]), F.array().cast("array<struct<key:string,value:string>>")) for k in kinds]))
-    return merged.select("path", F.explode(every).alias("e")).select("path", F.col("e.key").alias("package"), F.col("e.value").alias("version"))
+    parsed = F.from_json(text, "name string, dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>")
+    listed = [F.coalesce(parsed[k], F.create_map().cast("map<string,string>")) for k in kinds]
+    # A later kind's version of a package stands.
+    merged = F.map_concat(listed[2], F.map_filter(listed[1], lambda k, v: ~F.map_contains_key(listed[2], k)))
+    merged = F.map_concat(merged, F.map_filter(listed[0], lambda k, v: ~F.map_contains_key(listed[2], k) & ~F.map_contains_key(listed[1], k)))
+    npm = F.concat(F.array(row("npm", "project", F.coalesce(parsed["name"], X.dirname(F.col("path"))), none)), F.transform(F.map_entries(merged), lambda e: row("npm", "external-package", e["key"], e["value"])))
+    npm = F.when(F.get_json_object(text, "$").isNotNull(), npm)
+    section = F.regexp_extract(text, r"(?ms)\[dependencies\](.*?)(?=^\[|\z)", 1)
+    toml = lambda eco: F.concat(project(eco, r"""(?m)^name\s*=\s*["']([^"']+)"""), pairs(eco, section, r"""(?m)^([\w.-]+)\s*=\s*["']?([^\s"']+)"""))
+    xml = lambda eco: F.concat(pairs(eco, text, r"""(?i)<(?:PackageReference|dependency)[^>]*(?:Include|id)=["']([^"']+)["'][^>]*(?:Version|version)=["']?([^"'\s<]+)"""), F.transform(F.regexp_extract_all(text, F.lit(r"(?i)<artifactId>([^<]+)</artifactId>"), 1), lambda x: row(eco, "external-package", x, F.lit(""))))
+    go = F.concat(project("go-modules", r"(?m)^module\s+([^\s]+)"), pairs("go-modules", text, r"(?m)^require\s+([^\s]+)\s+([^\s]+)"))
+    every = F.when(base == "package.json", npm).when(base == "go.mod", go).when(base == "cargo.toml", toml("cargo")).when(base == "pyproject.toml", toml("python")).when(base == "pom.xml", xml("maven")).when(base.rlike(r"\.(?:csproj|vbproj)$"), xml("nuget"))
+    return manifests.select("path", F.explode(every).alias("e")).select("path", "e.*").where("name <> ''")
 
 
 def syntax_tree(sources: DataFrame) -> DataFrame:
@@ -468,17 +584,58 @@ def syntax_tree(sources: DataFrame) -> DataFrame:
 
 
 def property_graph(sources: DataFrame) -> DataFrame:
-    """(path, src, dst, kind): parent (ast), next sibling (eog) and call edges between a file's nodes and symbols."""
+    """(path, src, dst, kind) edges between a file's nodes, the file itself being -1.
+
+    ``ast``: parents; ``eog``: the next node; ``cfg``: the next node, unless
+    this one returns or throws, a controlled node and the one after it;
+    ``cdg``: what a control line controls, the first deeper node after it;
+    ``dfg``: from the last node up to an assignment that holds its source word;
+    ``call``: to the declaration of the callee.
+    """
     tree = syntax_tree(sources)
-    ast = tree.where("parent >= 0").select("path", F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("ast").alias("kind"))
-    nxt = F.lead("node").over(Window.partitionBy("path", "parent").orderBy("node"))
-    eog = tree.select("path", F.col("node").alias("src"), nxt.alias("dst"), F.lit("eog").alias("kind")).where("dst is not null")
-    at = tree.select("path", "line", "node")
-    declared = symbols(sources).where(F.col("kind").isin("function", "method")).groupBy("path", "name").agg(F.min("line").alias("line")).join(at, ["path", "line"]).select("path", F.col("name").alias("callee"), F.col("node").alias("dst"))
-    call = calls(sources).join(at, ["path", "line"]).join(declared, ["path", "callee"]).select("path", F.col("node").alias("src"), "dst", F.lit("call").alias("kind")).distinct()
-    return ast.union(eog).union(call)
+    ordered = Window.partitionBy("path").orderBy("node")
+    edge = lambda rows, src, dst, kind: rows.select("path", F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"))
+    ast = edge(tree, "parent", "node", "ast")
+    text = lines(sources).select("path", "line", F.trim("code").alias("code"))
+    following = tree.withColumn("next", F.lead("node").over(ordered)).join(text, ["path", "line"]).where("next is not null")
+    eog = edge(following, "node", "next", "eog")
+    cfg = edge(following.where(~F.col("code").rlike(r"^(?:return|throw)(?:[^A-Za-z0-9_]|$)")), "node", "next", "cfg")
+    at = tree.groupBy("path", "line").agg(F.min_by(F.struct("node", "depth"), "node").alias("n")).select("path", "line", "n.*")
+    flow = flow_facts(sources)
+    control = flow.where("control <> '-'").join(at, ["path", "line"]).select("path", "line", "node", "depth")
+    # The first deeper node after a node is one level down; the first that isn't deeper is at some level up to its own.
+    after = Window.partitionBy("path", "level").orderBy("node", "asks").rowsBetween(1, Window.unboundedFollowing)
+    marks = tree.select("path", "node", F.col("depth").alias("level"), F.lit(0).alias("asks"), F.lit(None).cast("int").alias("of"))
+
+    def first_after(asked: DataFrame) -> DataFrame:
+        met = marks.union(asked.select("path", "node", "level", F.lit(1), F.col("node")))
+        return met.withColumn("hit", F.min(F.when(F.col("asks") == 0, F.col("node"))).over(after)).where("asks = 1").groupBy("path", "of").agg(F.min("hit").alias("hit")).where("hit is not null")
+
+    deeper = first_after(control.withColumn("level", F.col("depth") + 1))
+    any_next = following.select("path", F.col("node").alias("of"), "next")
+    held = control.select("path", F.col("node").alias("of")).join(deeper, ["path", "of"], "left").join(any_next, ["path", "of"], "left").select("path", "of", F.coalesce("hit", "next").alias("hit"), F.col("hit").isNotNull().alias("deep")).where("hit is not null")
+    past = first_after(control.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))).withColumnRenamed("hit", "past").join(held.where("deep"), ["path", "of"]).where("past > hit")
+    words = tree.join(text, ["path", "line"]).select("path", "node", "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("word"))
+    asked = flow.where("target <> '-'").join(at, ["path", "line"]).select("path", "line", F.col("node").alias("target"), F.col("source").alias("word"))
+    upto = Window.partitionBy("path", "word").orderBy("line", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = words.select("path", "word", "line", F.lit(0).alias("asks"), F.col("node"), F.lit(None).cast("int").alias("target")).union(asked.select("path", "word", "line", F.lit(1), F.lit(None).cast("int"), "target"))
+    met = met.withColumn("src", F.last("node", ignorenulls=True).over(upto)).where("asks = 1")
+    dfg = edge(met.withColumn("src", F.when(F.col("src") != F.col("target"), F.col("src")).otherwise(-1)), "src", "target", "dfg")
+    spot = at.select("path", "line", "node")
+    declared = symbols(sources).groupBy("path", "name").agg(F.max("line").alias("line")).join(spot, ["path", "line"]).select("path", F.col("name").alias("callee"), F.col("node").alias("dst"))
+    said = calls(sources).withColumn("callee", F.element_at(F.split("callee", r"\."), -1))
+    call = said.join(spot, ["path", "line"]).join(declared, ["path", "callee"])
+    return reduce(DataFrame.union, [ast, eog, cfg, edge(held, "of", "hit", "cdg"), edge(held, "of", "hit", "cfg"), edge(past, "of", "past", "cfg"), dfg, edge(call, "node", "dst", "call")]).distinct()
 
 
 def model_summary(sources: DataFrame) -> DataFrame:
-    """(lang, files, lines, chars) of a repository."""
-    return sources.groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n", -1))).alias("lines"), F.sum(F.length("text")).alias("chars"))
+    """(level, name, files, lines, chars) of a repository by language, module (first folder), directory and package.
+
+    A directory counts the files that lie in it; a package is the folder of a manifest, with all below it.
+    """
+    counts = [F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n", -1))).alias("lines"), F.sum(F.length("text")).alias("chars")]
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
+    roots = sources.where(F.col("path").rlike(MANIFEST)).select(F.coalesce(folder, F.lit(".")).alias("root")).distinct()
+    owned = sources.join(nearest_root(sources, roots), "path")
+    parts = [("language", sources, F.col("lang")), ("module", sources, F.split("path", "/")[0]), ("directory", sources.where(folder.isNotNull()), folder), ("package", owned, F.col("root"))]
+    return reduce(DataFrame.union, [rows.groupBy(F.lit(level).alias("level"), name.alias("name")).agg(*counts) for level, rows, name in parts])

@@ -139,6 +139,11 @@ def q9(spark, sf):
     return Q.execute("impact", *facts(spark, sf), "small ring")
 
 
+@query("q11_path", None)
+def q11(spark, sf):
+    return Q.execute("path", *facts(spark, sf), "small ring", to="red bolt")
+
+
 REUSE_Q = "outbound request client ring"
 _near = "(SELECT string_agg(lower(concat_ws(' ', n.name, n.kind, n.properties)), ' ') FROM sides s JOIN units n ON n.id = s.next WHERE s.seed = u.id)"
 _terms = Q.terms(REUSE_Q)

@@ -22,6 +22,7 @@ SOURCES = [
     ("lib/broken/package.json", "json", '{"name": '),
     ("k8s/deploy.yaml", "yaml", "kind: Deployment\nname: web\npassword: 'hunter22x'"),
     (".github/workflows/ci.yml", "yaml", "name: ci\non: push"),
+    ("src/models/user.ts", "typescript", "@Entity('users')\nexport class User extends Base {\n}"),
     ("docs/README.md", "markdown", "# Title\n## Auth and cookie policy\ntext"),
 ]
 SRC_SQL = B.values_sql("src", ["path", "lang", "text"], SOURCES)
@@ -168,32 +169,85 @@ def x21(spark, sf):
     return E.property_graph(sources(spark))
 
 
-ENTITY_RULES = [
-    ("table", r"""(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?["'`]?([\w.-]+)"""), ("orm-entity", r"(?m)^\s*model\s+([A-Za-z_]\w*)"), ("orm-entity", r"""@(?:Entity|Table)\s*\(\s*["'`]([^"'`]+)["'`]"""),
-    ("query", r"(?i)\b(select|insert\s+into|update|delete\s+from|merge\s+into)\b[^;\n]*"), ("query", r"\b(findMany|findUnique|findFirst|findOne|findAll|insertMany|insertOne|updateMany|deleteMany|queryRaw|execute|select)\s*\("),
-    ("feature-flag", r"\b([A-Z][A-Z0-9_]*(?:FEATURE|FLAG)[A-Z0-9_]*)\b"), ("event", r"""\b(?:emit|publish|dispatch|send)\s*\(\s*["'`]([^"'`]+)["'`]"""), ("event", r"\bclass\s+([A-Za-z_]\w*Event)\b"),
+_BASE = "split_part(path, '/', -1)"
+_OWN = f"regexp_replace({_BASE}, '\\.[^.]+$', '')"
+_DB = f"(regexp_matches(lower(path), {_q(E.DATABASE_PATH)}) OR regexp_matches(text, {_q(E.DATABASE_WORDS)}))"
+_DBNAME = f"'database:' || CASE WHEN regexp_extract(path, '(?i)(?:^|/)(?:migrations?|schemas?)[/]([^/]+)', 1) <> '' THEN regexp_extract(path, '(?i)(?:^|/)(?:migrations?|schemas?)[/]([^/]+)', 1) WHEN regexp_replace({_BASE}, '(?i)\\.(?:sql|prisma)$', '') <> '' THEN regexp_replace({_BASE}, '(?i)\\.(?:sql|prisma)$', '') ELSE 'workspace' END"
+
+
+def _case(rules, text: str, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, {_q(p)}) THEN {_q(n)}" for p, n in rules) + f" ELSE {other} END"
+
+
+def _path_rows(kind: str, pattern: str, name: str, detail: str = "''", where: str = "true") -> str:
+    return f"SELECT path, {_q(kind)} AS kind, {name} AS name, 1 AS line, {detail} AS detail FROM src WHERE regexp_matches(lower(path), {_q(pattern)}) AND {where}"
+
+
+def _line_rows(kind: str, pattern: str, name: str = "g1", detail: str = "''", where: str = "true") -> str:
+    """Matches lie within lines here; those of models that span lines don't occur in these files."""
+    return f"SELECT path, {_q(kind)}, {name}, line, {detail} FROM (SELECT path, line, unnest(regexp_extract_all(code, {_q(pattern)}, 0)) AS g0, unnest(regexp_extract_all(code, {_q(pattern)}, 1)) AS g1 FROM ln JOIN src USING (path) WHERE {where})"
+
+
+_STATEMENT = r"substr(regexp_replace(trim(g0), '\s+', ' ', 'g'), 1, 180)"
+_AT = "g1 || ' @ ' || path || ':' || line"
+_COMPONENT = f"regexp_matches(lower(path), {_q(E.SOURCE_PATH)})"
+_ENT = [
+    *[f"SELECT path, 'package-manager' AS kind, {_q(n)} AS name, 1 AS line, '' AS detail FROM src WHERE regexp_matches(lower({_BASE}), {_q(p)})" for n, p in E.PACKAGE_MANAGERS],
+    f"SELECT path, 'build-system', 'npm scripts', 1, 'npm' FROM src WHERE {_BASE} = 'package.json'",
+    _path_rows("build-system", E.BUILD_PATH, _case(E.BUILD_SYSTEMS, f"lower({_BASE})", _BASE)),
+    _path_rows("ci-cd", E.CI_PATH, _BASE, _case(E.CI_PROVIDERS, "lower(path)", "'CI/CD'")),
+    _path_rows("infrastructure", E.INFRA_PATH, _OWN, _case(E.INFRA_PROVIDERS, "lower(path)", "'Infrastructure as code'")),
+    f"SELECT path, 'database', {_DBNAME}, 1, lang FROM src WHERE {_DB}",
+    _path_rows("migration", E.MIGRATION_PATH, _OWN, _DBNAME),
+    _line_rows("table", E.TABLE), _line_rows("orm-entity", E.MODEL, detail="'prisma ' || g1"), _line_rows("table", E.MODEL), _line_rows("orm-entity", E.DECORATED, detail="'decorator ' || g1"), _line_rows("table", E.DECORATED),
+    _line_rows("orm-entity", E.CLASS_MODEL, detail="'class-model ' || g1", where=f"{_DB} AND NOT regexp_matches(text, {_q(E.ALCHEMY)}) AND NOT regexp_matches(text, {_q(E.DJANGO)}) AND regexp_matches(lower(path), {_q(E.CLASS_MODEL_PATH)})"),
+    _line_rows("query", E.STATEMENT, "upper(g1) || ' @ ' || path || ':' || line", f"concat_ws('|', lower(g1), regexp_extract({_STATEMENT}, {_q(E.STATEMENT_TABLE)}, 1), {_STATEMENT})"),
+    _line_rows("query", E.ORM_CALL, _AT, "g1 || '|orm'"), _line_rows("feature-flag", E.FLAG_WORD), _line_rows("feature-flag", E.FLAG_CALL), _line_rows("event", E.EVENT_CALL, detail="'emit'"), _line_rows("event", E.EVENT_CLASS, detail="'class'"),
+    _path_rows("fixture", E.FIXTURE_PATH, _OWN), _path_rows("component", E.COMPONENT_PATH, _OWN, where=_COMPONENT), _path_rows("component", E.VIEW_PATH, _OWN, where=f"{_COMPONENT} AND regexp_matches(text, {_q(E.VIEW_TEXT)})"),
 ]
-_BASE, _STEM = "split_part(path, '/', -1)", "split_part(split_part(path, '/', -1), '.', 1)"
-ENTITY_PATHS = [("package-manager", r"(?:^|/)(?:package\.json|package-lock\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb?)$", _BASE), ("ci-cd", r"(?:^|/)(?:\.github/workflows|\.gitlab|jenkins|buildkite|circleci|azure-pipelines|ci)(?:/|$)", _BASE), ("infrastructure", r"(?:^|/)(?:infra|infrastructure|terraform|terragrunt|k8s|kubernetes|helm|charts|ansible|docker)(?:/|$)", _STEM), ("migration", r"(?:^|/)migrations?/", _STEM), ("component", r"(?:^|/)(?:components?|views?|pages?)(?:/|$)", _STEM)]
-_ENT = " UNION ".join([f"SELECT path, {_q(k)} AS kind, lower(unnest(regexp_extract_all(text, {_q(p)}, 1))) AS name FROM src" for k, p in ENTITY_RULES] + [f"SELECT path, {_q(k)}, lower({n}) FROM src WHERE regexp_matches(lower(path), {_q(p)})" for k, p, n in ENTITY_PATHS])
+X11_SQL = "SELECT path, kind, arg_min(name, turn) AS name, line, arg_min(detail, turn) AS detail FROM (" + " UNION ALL ".join(f"SELECT path, kind, trim(name) AS name, line, detail, {k} AS turn FROM ({q}) t(path, kind, name, line, detail)" for k, q in enumerate(_ENT)) + ") WHERE name <> '' GROUP BY path, kind, lower(name), line"
 
 
-@query("x11_entities", f"WITH {SRC_SQL} {_ENT}")
+@query("x11_entities", f"WITH {ALL_LINES_SQL} {X11_SQL}")
 def x11(spark, sf):
-    return E.entities(sources(spark))
+    return E.entities(everything(spark, sf))
 
 
-@query("x12_packages", "SELECT 'package.json' AS path, * FROM (VALUES ('express', '^4.0.0'), ('react', '18'), ('vitest', '1.0')) t(package, version)")
+@query("x15_mapped_tables", f"""WITH {ALL_LINES_SQL}, e AS ({X11_SQL}), k AS (SELECT *, lower(regexp_replace(regexp_replace(name, '(?i)(?:entity|model|table)$', ''), '[_\\-\\s]', '', 'g')) AS k FROM e)
+SELECT DISTINCT a.name AS entity, a.path AS entity_path, b.name AS "table", b.path AS table_path FROM k a JOIN k b ON a.k = b.k AND a.path <> b.path WHERE a.kind = 'orm-entity' AND b.kind = 'table'""")
+def x15_mapped(spark, sf):
+    return E.mapped_tables(E.entities(everything(spark, sf)))
+
+
+MANIFESTS = [
+    ("package.json", "json", '{"name": "demo", "dependencies": {"express": "^4.0.0", "react": "18"}, "devDependencies": {"vitest": "1.0", "react": "19"}}'),
+    ("lib/broken/package.json", "json", '{"name": '), ("svc/go.mod", "go", "module example.com/svc\nrequire github.com/x/y v1.2.3\nrequire z v2\n"),
+    ("a/Cargo.toml", "toml", '[package]\nname = "crate-a"\n[dependencies]\nserde = "1.0"\ntokio = "1"\n[dev-dependencies]\nx = "1"\n'), ("p/pyproject.toml", "toml", 'name = "py"\n[dependencies]\nnumpy = "2"\n'),
+    ("m/pom.xml", "xml", "<project><artifactId>core</artifactId></project>"), ("n/App.csproj", "xml", '<PackageReference Include="Newtonsoft" Version="13.0" />'), ("x/readme.md", "markdown", "name = \"no\""),
+]
+#: What each manifest says, read off by hand.
+PACKAGES = [
+    ("package.json", "npm", "project", "demo", ""), ("package.json", "npm", "external-package", "express", "^4.0.0"), ("package.json", "npm", "external-package", "react", "19"), ("package.json", "npm", "external-package", "vitest", "1.0"),
+    ("svc/go.mod", "go-modules", "project", "example.com/svc", ""), ("svc/go.mod", "go-modules", "external-package", "github.com/x/y", "v1.2.3"), ("svc/go.mod", "go-modules", "external-package", "z", "v2"),
+    ("a/Cargo.toml", "cargo", "project", "crate-a", ""), ("a/Cargo.toml", "cargo", "external-package", "serde", "1.0"), ("a/Cargo.toml", "cargo", "external-package", "tokio", "1"),
+    ("p/pyproject.toml", "python", "project", "py", ""), ("p/pyproject.toml", "python", "external-package", "numpy", "2"), ("m/pom.xml", "maven", "external-package", "core", ""), ("n/App.csproj", "nuget", "external-package", "Newtonsoft", "13.0"),
+]
+
+
+@query("x12_packages", f"WITH {B.values_sql('p', ['path', 'ecosystem', 'kind', 'name', 'version'], PACKAGES)} SELECT * FROM p")
 def x12(spark, sf):
-    return E.packages(sources(spark))
+    return E.packages(B.literal(spark, "path string, lang string, text string", MANIFESTS))
 
 
-_DET = " UNION ALL ".join(f"SELECT path, {_q(i)} AS detector, {_q(c)} AS category, {' + '.join(f'CASE WHEN regexp_matches(text, {_q(s)}) OR regexp_matches(path, {_q(s)}) THEN 1 ELSE 0 END' for s in sig)} AS signals FROM src WHERE {'true' if langs == '*' else 'lang IN (' + ', '.join(_q(x) for x in langs.split(',')) + ')'}" for i, langs, c, sig in E.DETECTORS)
+def _detected(name, langs, category, signals) -> str:
+    seen = ", ".join(f"CASE WHEN regexp_matches(text, {_q(s)}) OR regexp_matches(path, {_q(s)}) THEN {_q(s)} END" for s in signals)
+    where = "true" if langs == "*" else f"(lang IN ({', '.join(_q(x) for x in langs.split(','))}) OR regexp_matches(path, {_q(E.MANIFEST)}))"
+    return f"SELECT path, {_q(name)} AS detector, {_q(category)} AS category, [x FOR x IN [{seen}] IF x IS NOT NULL] AS seen FROM src WHERE {where}"
 
 
-@query("x13_detectors", f"WITH {SRC_SQL}, d AS ({_DET}) SELECT *, round(least(0.97, 0.58 + signals * 0.14)::DOUBLE, 6) AS confidence FROM d WHERE signals > 0")
+@query("x13_detectors", f"WITH {ALL_SQL}, d AS ({' UNION ALL '.join(_detected(*d) for d in E.DETECTORS)}) SELECT path, detector, category, len(seen)::INTEGER AS signals, array_to_string(seen, ' ') AS evidence, round(least(0.97, 0.58 + len(seen) * 0.14)::DOUBLE, 6) AS confidence FROM d WHERE len(seen) > 0")
 def x13(spark, sf):
-    return E.detect(sources(spark))
+    return E.detect(everything(spark, sf))
 
 
 @query("x15_cross_language", """WITH f AS (SELECT doc_id AS path, lang, n_chars AS topic, CASE WHEN doc_id % 2 = 0 THEN 'producer' ELSE 'consumer' END AS role FROM documents)
@@ -234,9 +288,15 @@ def x20(spark, sf):
     return E.services(sources(spark))
 
 
-@query("x24_model_summary", f"WITH {SRC_SQL}, u AS (SELECT lang, text FROM src UNION ALL SELECT lang, text FROM documents) SELECT lang, count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text))::BIGINT AS chars FROM u GROUP BY lang")
+_DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END"
+
+
+@query("x24_model_summary", f"""WITH {ALL_SQL}, r AS (SELECT DISTINCT coalesce({_DIR}, '.') AS root FROM src WHERE regexp_matches(path, {_q(E.MANIFEST)})),
+o AS (SELECT path, text, coalesce((SELECT arg_max(root, length(root)) FROM r WHERE starts_with(src.path, root || '/')), '.') AS root FROM src),
+n AS (SELECT 'language' AS level, lang AS name, text FROM src UNION ALL SELECT 'module', split_part(path, '/', 1), text FROM src UNION ALL SELECT 'directory', {_DIR}, text FROM src WHERE contains(path, '/') UNION ALL SELECT 'package', root, text FROM o)
+SELECT level, name, count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text))::BIGINT AS chars FROM n GROUP BY level, name""")
 def x24(spark, sf):
-    return E.model_summary(sources(spark).select("lang", "text").union(table(spark, sf, "documents").select("lang", "text")))
+    return E.model_summary(everything(spark, sf))
 
 
 _ranked = sorted(E.LANGUAGE_EXTENSIONS.items(), key=lambda kv: (-len(kv[0]), kv[0]))
