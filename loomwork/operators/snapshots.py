@@ -24,14 +24,31 @@ EVIDENCE = schema("id string, extractor string, path string, line int, digest st
 #: Kinds of units and the ends that relationships allow.
 UNIT_KINDS = (
     "repository workspace module package file symbol service api route controller handler middleware component test configuration documentation database table orm-entity entity migration query data-entity data-flow call-flow event contract risk-area "
-    "feature-flag ci-cd infrastructure build-system package-manager architecture-boundary external-dependency decision project fixture"
+    "feature-flag ci-cd infrastructure build-system package-manager architecture-boundary external-dependency decision project fixture change-impact message consumer producer"
 ).split()
+_STORED = "data-entity database table orm-entity query configuration feature-flag file".split()
+_TESTED = "file symbol api service configuration data-entity database table orm-entity query fixture module".split()
 ENDPOINTS = {
-    "imports": (["file", "module", "test"], ["file", "module", "package", "external-dependency"]),
-    "calls": (["symbol", "service", "api", "file", "test"], ["symbol", "service", "api", "file"]),
-    "tests": (["test"], ["file", "symbol", "service", "api"]),
-    "defines": (["file", "module"], ["symbol", "api", "service", "table"]),
+    "contains": ("workspace repository module package service architecture-boundary component database table ci-cd infrastructure".split(), UNIT_KINDS),
+    "defines": (
+        "file test documentation configuration module service component database table ci-cd infrastructure build-system package-manager".split(),
+        "module package symbol api data-entity service call-flow data-flow database table orm-entity query feature-flag fixture ci-cd infrastructure component event build-system package-manager route controller middleware handler repository entity migration contract message consumer producer".split(),
+    ),
+    "imports": ("file test module configuration".split(), "file test module package configuration package-manager build-system ci-cd infrastructure".split()),
     "depends-on": (UNIT_KINDS, UNIT_KINDS),
+    "calls": ("symbol api call-flow".split(), "symbol api service call-flow".split()),
+    "reads": ("symbol api service data-flow query".split(), _STORED),
+    "writes": ("symbol api service data-flow query".split(), _STORED),
+    "exposes": ("file service module component controller".split(), "api event component route".split()),
+    "implements": ("symbol service".split(), "symbol architecture-boundary".split()),
+    "extends": (["symbol"], ["symbol"]),
+    "tests": (["test"], _TESTED),
+    "covers": (["test"], _TESTED),
+    "configured-by": (UNIT_KINDS, "configuration feature-flag ci-cd infrastructure".split()),
+    "documented-by": (UNIT_KINDS, ["documentation"]),
+    "flows-to": ("call-flow data-flow api service symbol file data-entity query component event".split(), UNIT_KINDS),
+    "may-impact": ("change-impact risk-area file symbol service component database table query".split(), UNIT_KINDS),
+    "maps-to": ("orm-entity query component".split(), "table database data-entity service".split()),
 }
 
 
@@ -64,6 +81,73 @@ def build(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> dict[str,
     return {"units": units, "relationships": rels, "observations": obs, "evidence": ev}
 
 
+def with_facts(snapshot: dict[str, DataFrame], files: DataFrame, symbols: DataFrame, imports: DataFrame, *, calls: DataFrame, types: DataFrame, routes: DataFrame, tests: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:
+    """The snapshot of ``build`` with the other facts of its files.
+
+    Calls and type relations link symbols: of the file, else the only ones of
+    their name. Routes are exposed by their file. Test cases test what their
+    file imports. Entities are defined by their file, or depended on where a
+    definition isn't allowed. Each fact has its evidence.
+    """
+    none = F.lit(None).cast("string")
+    kinds = files.select("path", F.when(F.col("is_test"), "test").otherwise("file").alias("k"))
+    file_id = unit_id(F.col("k"), F.col("path"))
+
+    def units_of(rows: DataFrame, kind: Column, name: Column, key: Column, confidence: float, detail: Column) -> DataFrame:
+        return rows.select(kind.alias("kind"), name.alias("name"), none.alias("description"), key.alias("canonical_key"), "path", F.to_json(F.struct("line", detail.alias("detail"))).alias("properties"), F.lit(confidence).alias("confidence")).dropDuplicates(["kind", "canonical_key"])
+
+    route_key = F.concat("method", F.lit(" "), "route", F.lit("@"), "path")
+    case_key = F.concat_ws("::", "path", "name")
+    entity_key = F.concat(F.lower("name"), F.lit("@"), "path")
+    known = entities.where(F.col("kind").isin(UNIT_KINDS))
+    found = [
+        units_of(routes, F.lit("route"), F.concat_ws(" ", "method", "route"), route_key, 0.86, F.lit("")),
+        units_of(tests, F.lit("test"), F.col("name"), case_key, 0.8, F.lit("")),
+        units_of(known, F.col("kind"), F.col("name"), entity_key, 0.72, F.col("detail")),
+    ]
+    units = reduce(DataFrame.union, found).select(unit_id(F.col("kind"), F.col("canonical_key")).alias("id"), "*").withColumn("lifecycle", F.lit("active"))
+
+    named = symbols.select("path", "name").distinct()
+    only = named.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("at")).where("n = 1").drop("n")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        """Relations (kind, path, source, target) between symbols, by name."""
+        own = named.select("path", F.col("name").alias("target"), F.lit(True).alias("here"))
+        met = rows.join(named.select("path", F.col("name").alias("source")), ["path", "source"], "left_semi").join(own, ["path", "target"], "left").join(only.withColumnRenamed("name", "target"), "target", "left")
+        at = F.when(F.col("here"), F.col("path")).otherwise(F.col("at"))
+        met = met.withColumn("to", at).where("`to` is not null")
+        ends = [unit_id(F.lit("symbol"), F.concat_ws("#", "path", "source")), unit_id(F.lit("symbol"), F.concat_ws("#", "to", "target"))]
+        return met.select("kind", ends[0].alias("source_id"), ends[1].alias("target_id"), F.lit("RESOLVED").alias("origin"), F.when(F.col("here"), 0.9).otherwise(0.7).alias("confidence"))
+
+    last = F.element_at(F.split("callee", r"\."), -1)
+    one = lambda rows, kind, target, origin, confidence: rows.join(kinds, "path").select(kind.alias("kind"), file_id.alias("source_id"), target.alias("target_id"), F.lit(origin).alias("origin"), F.lit(confidence).alias("confidence"))
+    targets = imports.select("path", "target").join(kinds.select(F.col("path").alias("target"), F.col("k").alias("tk")).where("tk = 'file'"), "target")
+    defined = F.when(F.col("kind").isin(ENDPOINTS["defines"][1]), "defines").otherwise("depends-on")
+    rels = reduce(DataFrame.union, [
+        linked(calls.select(F.lit("calls").alias("kind"), "path", F.col("caller").alias("source"), last.alias("target"))),
+        linked(types.select("kind", "path", "source", "target")),
+        one(routes, F.lit("exposes"), unit_id(F.lit("route"), route_key), "EXTRACTED", 0.86),
+        tests.join(targets, "path").select(F.lit("tests").alias("kind"), unit_id(F.lit("test"), case_key).alias("source_id"), unit_id(F.col("tk"), F.col("target")).alias("target_id"), F.lit("INFERRED").alias("origin"), F.lit(0.8).alias("confidence")),
+        one(known, defined, unit_id(F.col("kind"), entity_key), "EXTRACTED", 0.72),
+    ]).groupBy("kind", "source_id", "target_id").agg(F.max_by("origin", "confidence").alias("origin"), F.max("confidence").alias("confidence"))
+    rels = rels.select(X.stable_id("lw:rel:", F.concat(F.col("kind"), F.lit(":"), F.col("source_id"), F.lit("->"), F.col("target_id"))).alias("id"), "*").withColumn("lifecycle", F.lit("active"))
+    every = DataFrame.unionByName(snapshot["units"], units)
+    facts = [("symbols", symbols), ("routes", routes), ("tests", tests), ("entities", known)]
+    lines = reduce(DataFrame.union, [rows.select(F.lit(extractor).alias("extractor"), "path", F.col("line").cast("int").alias("line")) for extractor, rows in facts]).distinct()
+    seen = lines.join(files.select("path", F.col("content_hash").alias("digest")), "path").select(X.stable_id("lw:ev:", F.concat_ws("|", "extractor", "path", F.col("line").cast("string"))).alias("id"), "extractor", "path", "line", "digest", F.lit("current").alias("freshness"))
+    joined = downgraded(snapshot["relationships"].unionByName(rels.select(snapshot["relationships"].columns)), every)
+    return {**snapshot, "units": every, "relationships": joined, "evidence": snapshot["evidence"].unionByName(seen)}
+
+
+def downgraded(rels: DataFrame, units: DataFrame) -> DataFrame:
+    """Relations whose ends their kind doesn't allow become dependencies, each once."""
+    a, b = units.select(F.col("id").alias("source_id"), F.col("kind").alias("sk")), units.select(F.col("id").alias("target_id"), F.col("kind").alias("tk"))
+    met = rels.join(a, "source_id").join(b, "target_id")
+    wrong = reduce(lambda x, y: x | y, [(F.col("kind") == k) & ~(F.col("sk").isin(s) & F.col("tk").isin(t)) for k, (s, t) in ENDPOINTS.items()])
+    made = met.withColumn("kind", F.when(wrong, "depends-on").otherwise(F.col("kind"))).withColumn("id", X.stable_id("lw:rel:", F.concat(F.col("kind"), F.lit(":"), F.col("source_id"), F.lit("->"), F.col("target_id"))))
+    return made.select(rels.columns).dropDuplicates(["id"])
+
+
 def violations(snapshot: dict[str, DataFrame]) -> DataFrame:
     """(path, message) of everything a valid snapshot must not have; empty if it is valid."""
     u, r = snapshot["units"], snapshot["relationships"]

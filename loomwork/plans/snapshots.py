@@ -101,11 +101,16 @@ def s7(spark, sf):
     return S.manifest(S.build(*_facts(spark, sf)))
 
 
+def snapshot_of(src):
+    """The whole snapshot of files (path, lang, text)."""
+    files = src.select("path", "lang", F.sha2("text", 256).alias("content_hash"), F.col("path").rlike("(?:^|/)tests?/").alias("is_test"))
+    symbols, imports = E.symbols(src).select("path", "name", "line"), E.imports(src).select("path", "target")
+    return S.with_facts(S.build(files, symbols, imports), files, symbols, imports, calls=E.calls(src), types=E.type_relations(src), routes=E.routes(src), tests=E.test_lines(src), entities=E.entities(src))
+
+
 @query("k_from_sources")
 def k_from_sources(spark, sf):
-    from loomwork.plans.extraction import sources
+    from loomwork.plans.extraction import everything
 
-    src = sources(spark)
-    files = src.select("path", "lang", F.sha2("text", 256).alias("content_hash"), F.col("path").startswith("tests/").alias("is_test"))
-    snapshot = S.build(files, E.symbols(src).select("path", "name", "line"), E.imports(src).select("path", "target"))
+    snapshot = snapshot_of(everything(spark, sf))
     return snapshot["units"].select("kind", "canonical_key").union(snapshot["relationships"].select("kind", F.concat_ws("->", "source_id", "target_id")))
