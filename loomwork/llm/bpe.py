@@ -37,7 +37,7 @@ from loomwork.session import ship
 _SHIFT = 24  # bits of a rank
 _PIECES = 400_000
 _CACHE = 300_000
-_CHARS = 3_000_000
+_CHARS = 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

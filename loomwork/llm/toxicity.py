@@ -46,7 +46,7 @@ from loomwork.session import cut, ship
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 7)
 _BLOCK = 256
-_CHARS = 4_000_000
+_CHARS = 1_000_000
 _CACHE = 150_000
 _LIKELY = 0.3
 _MINIMA = 8  # word hashes that training documents of one label must share to count as copies
