@@ -110,3 +110,18 @@ def test_tiles_hold_every_pixel(spark):
 
 def test_empty_table(spark):
     assert media.features(media.store_text(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_query_matches_the_texts(spark):
+    from loomwork.llm.queries import op2_media
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        data = (r.text or "").encode()
+        payload = data + b"\xff" * ((-len(data)) % 576 or (0 if data else 576))
+        stored = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
+        want[r.doc_id] = (len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), sha256(stored).hexdigest())
+    rows = op2_media(spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in rows} == want
+    assert all(len(r.feature) == 16 for r in rows)

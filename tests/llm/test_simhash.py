@@ -128,3 +128,49 @@ def test_keep_one_decides_by_similarity(spark):
         want |= {2 * k} if similar(rows[-1][1], rows[-2][1]) >= 0.8 else {2 * k, 2 * k + 1}
     assert 150 < len(want) < 230
     assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()} == want
+
+
+def test_query_matches_brute_force(spark):
+    from loomwork.llm.queries import op8_simhash
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    prints = [brute_print(t) for _, t in rows]
+    want = brute_classes(rows, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op8_simhash(spark, sf).collect()}
+    assert got == {d: (f"{p:016x}", c) for (d, _), p, c in zip(rows, prints, want)}
+
+
+def test_keep_one_on_a_large_group_around_a_base(spark):
+    """Edits of one text at all distances from it and from each other: the exact classes, by brute force over all pairs."""
+    rng = random.Random(21)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 3, 4, 5, 6, 8])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [f"w{rng.getrandbits(40)}"], [words[at], f"w{rng.getrandbits(40)}"]])
+        rows.append((i, " ".join(words), "hot"))
+    grams = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t, _ in rows]
+    want = brute_classes([(i, t) for i, t, _ in rows], lambda i, j: 9 * len(grams[i] & grams[j]) >= 4 * (len(grams[i]) + len(grams[j])))
+    assert 20 < len(set(want)) < 400
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()} == set(want)
+
+
+def test_recall_by_band_of_similarity(spark):
+    """Pairs of generated documents in bands from 0.8: at least 0.9 of each band is found, and nothing under 0.8 goes."""
+    rng = random.Random(31)
+    rows, bands = [], {}
+    for k in range(300):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(40, 250))]
+        copy = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 25))):
+            copy[rng.randrange(len(copy))] = f"w{rng.getrandbits(40)}"
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(copy), "a")]
+        bands[k] = similar(rows[-1][1], rows[-2][1])
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert all(2 * k + 1 in kept for k, j in bands.items() if j < 0.8)
+    for low in (0.8, 0.85, 0.9, 0.95):
+        own = [k for k, j in bands.items() if low <= j < low + 0.05 or (low == 0.95 and j == 1)]
+        assert len(own) > 5 and sum(2 * k + 1 not in kept for k in own) >= 0.9 * len(own)

@@ -88,3 +88,27 @@ def test_long_clean_texts_stay_clean():
     model = toxicity.fit(texts, [int("vileword" in t) for t in texts], toxic_share=0.3)
     score = toxicity.Tagger(model).tag(["long line " * 20_000, "a " * 300_000, "calm day vileword tree", "calm vileword " + "day " * 50_000])[0]
     assert (score[:2] < 0.1).all() and (score[2:] >= 0.7).all()
+
+
+def test_query_is_the_slow_chain_of_its_model(spark):
+    """Every score by a step-by-step forward-backward over the document's tokens, one document at a time."""
+    from pyspark.sql import functions as F
+
+    from loomwork.llm.queries import held_out
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), use=~held_out(F.col("doc_id")))
+    got = {r.doc_id: (r.score, r.predicted) for r in op1_toxicity(spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        words = toxicity.TOKEN.findall(text)
+        x = np.zeros(5)
+        x[0] = 1
+        if words and model.prior is None:
+            p = brute(np.array([model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]), model.trans, model.start)
+            top = sorted(p)[-2:] if len(p) > 1 else [0.0, p[0]]
+            x[1:] = [np.log1p(sum(v for v in p if v >= toxicity._LIKELY)), top[1], top[0], p.mean()]
+        want = model.prior if model.prior is not None else 1 / (1 + np.exp(-(x @ np.array(model.logit))))
+        assert got[i][0] == pytest.approx(want, abs=1e-4) and got[i][1] == int(got[i][0] >= 0.7)
