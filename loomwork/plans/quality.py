@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import aggregates as A
 from loomwork.operators import extract as E
+from loomwork.operators import modernization as M
 from loomwork.operators import quality as Q
 from loomwork.operators import relational as R
 from loomwork.plans import bindings as B
@@ -185,6 +186,77 @@ def f16(spark, sf):
     return Q.modernization(B.files(spark, sf).withColumnRenamed("source", "dir"))
 
 
+METRICS_SQL = f"""{B.FILES_SQL}, m AS (SELECT source AS repository, count(*) AS files, (sum(line_count) // 7)::BIGINT AS symbols, (count(*) // 3)::BIGINT AS dependencies, count(*) FILTER (WHERE is_test AND doc_id % 3 = 0) AS tests, count(*) FILTER (WHERE doc_id % 97 = 0) AS documentation,
+count(*) FILTER (WHERE doc_id % 11 = 0) AS builds, round(avg(line_count), 2) AS average_lines, max(line_count) AS max_lines, bool_or(doc_id % 50 = 0) AS database FROM files GROUP BY 1)"""
+
+
+def _metrics(spark, sf):
+    """A source stands for a repository, its documents for files."""
+    f, i = B.files(spark, sf), F.col("doc_id")
+    return f.groupBy(F.col("source").alias("repository")).agg(
+        F.count("*").alias("files"), F.floor(F.sum("line_count") / 7).cast("long").alias("symbols"), F.floor(F.count("*") / 3).cast("long").alias("dependencies"), F.count_if(F.col("is_test") & (i % 3 == 0)).alias("tests"),
+        F.count_if(i % 97 == 0).alias("documentation"), F.count_if(i % 11 == 0).alias("builds"), F.round(F.avg("line_count"), 2).alias("average_lines"), F.max("line_count").alias("max_lines"), F.max(i % 50 == 0).alias("database"),
+    )
+
+
+_RISKS = "SELECT repository, 'missing-tests' AS risk, 'critical' AS severity FROM m WHERE tests = 0 UNION ALL SELECT repository, 'missing-docs', 'medium' FROM m WHERE documentation = 0 UNION ALL SELECT repository, 'large-files', CASE WHEN max_lines > 1000 THEN 'high' ELSE 'medium' END FROM m WHERE max_lines > 500 UNION ALL SELECT repository, 'dependency-volume', 'high' FROM m WHERE dependencies > 60 UNION ALL SELECT repository, 'architecture-unknowns', 'medium' FROM m UNION ALL SELECT repository, 'database-coupling', 'medium' FROM m WHERE database"
+
+
+@query("f16_risks", f"WITH {METRICS_SQL} {_RISKS}")
+def f16_risks(spark, sf):
+    return M.risks(_metrics(spark, sf)).select("repository", "risk", "severity")
+
+
+@query("f16_assess", f"""WITH {METRICS_SQL}, r AS ({_RISKS}), w AS (SELECT repository, sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS w, count(*) AS risks FROM r GROUP BY 1),
+s AS (SELECT repository, risks, least(100, greatest(0, w * 8 + greatest(0, average_lines - 200) / 8.0 + greatest(0, dependencies - 80) / 5.0)) AS debt, least(100, symbols::DOUBLE / files * 8 + max_lines / 20.0 + dependencies / 3.0) AS complexity, CASE WHEN tests > 0 THEN 8 ELSE 0 END + CASE WHEN documentation > 0 THEN 5 ELSE 0 END + CASE WHEN builds > 0 THEN 5 ELSE 0 END AS credit FROM m JOIN w USING (repository))
+SELECT repository, round(debt::DOUBLE, 2) AS debt, round(complexity::DOUBLE, 2) AS complexity, round(least(100, greatest(0, 100 - (debt * 0.55 + complexity * 0.25) + credit))::DOUBLE, 2) AS readiness, risks::INTEGER AS risks FROM s""")
+def f16_assess(spark, sf):
+    return M.assess(_metrics(spark, sf))
+
+
+@query("f16_gaps", f"WITH {METRICS_SQL} SELECT repository, 'testing-safety-net' AS gap, 'critical' AS priority FROM m WHERE tests = 0 UNION ALL SELECT repository, 'documentation-baseline', 'medium' FROM m WHERE documentation = 0 UNION ALL SELECT repository, 'dependency-surface', 'high' FROM m WHERE dependencies > 40 UNION ALL SELECT repository, 'architecture-target', 'high' FROM m")
+def f16_gaps(spark, sf):
+    return M.gaps(_metrics(spark, sf)).select("repository", "gap", "priority")
+
+
+PHASES_SQL = "ph AS (SELECT 'o' || l_orderkey AS plan, 'l' || l_linenumber AS phase, l_linenumber AS position, sum(l_quantity)::BIGINT AS effort, CASE WHEN l_linenumber > 1 THEN ['l' || (l_linenumber - 1)] ELSE [] END AS needs, max(l_suppkey % 3)::BIGINT AS checks, max(l_suppkey % 2)::BIGINT AS rollbacks, bool_or(l_linestatus = 'F') AS approval, bool_and(l_discount < 0.09) AS reversible, bool_and(l_returnflag = 'R') AS done FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _phases(spark, sf):
+    """An order stands for a plan, its lines for phases that follow one another."""
+    k = F.col("l_linenumber")
+    needs = F.when(k > 1, F.array(F.concat(F.lit("l"), (k - 1).cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("plan"), F.concat(F.lit("l"), k.cast("string")).alias("phase"), k.alias("position"))
+    return rows.agg(F.sum("l_quantity").cast("long").alias("effort"), F.max(F.col("l_suppkey") % 3).cast("long").alias("checks"), F.max(F.col("l_suppkey") % 2).cast("long").alias("rollbacks"), F.max(F.col("l_linestatus") == "F").alias("approval"), F.min(F.col("l_discount") < 0.09).alias("reversible"), F.min(F.col("l_returnflag") == "R").alias("done")).withColumn("needs", F.when(F.col("position") > 1, F.array(F.concat(F.lit("l"), (F.col("position") - 1).cast("string")))).otherwise(F.array().cast("array<string>")))
+
+
+@query("f16_validate", f"""WITH {PHASES_SQL}, n AS (SELECT plan, phase, unnest(needs) AS need FROM ph) SELECT n.plan, n.phase, 'blocker' AS level, 'missing prerequisite ' || need AS message FROM n WHERE NOT EXISTS (SELECT 1 FROM ph WHERE ph.plan = n.plan AND ph.phase = n.need)
+UNION ALL SELECT plan, phase, 'blocker', 'no functional-equivalence validation' FROM ph WHERE checks = 0 UNION ALL SELECT plan, phase, 'warning', 'no rollback notes' FROM ph WHERE rollbacks = 0 UNION ALL SELECT plan, phase, 'warning', 'non-reversible transformation' FROM ph WHERE NOT reversible""")
+def f16_validate(spark, sf):
+    return M.validate(_phases(spark, sf))
+
+
+@query("f16_cost", f"""WITH {PHASES_SQL}, g AS (SELECT plan, sum(effort) AS effort, count(*) AS n, sum(checks) AS checks, count(*) FILTER (WHERE approval) AS review, count(*) FILTER (WHERE effort > 30) AS high FROM ph GROUP BY 1), t AS (SELECT *, round((1 + high * 0.15 + greatest(0, n - 3) * 0.05)::DOUBLE, 2) AS multiplier FROM g)
+SELECT plan, ceil(round(effort * multiplier, 6))::BIGINT AS engineering, ceil(checks * 0.5)::BIGINT AS validation, review, ceil(round(effort * multiplier, 6))::BIGINT + ceil(checks * 0.5)::BIGINT + review AS total, multiplier FROM t""")
+def f16_cost(spark, sf):
+    phases = _phases(spark, sf)
+    return M.cost(phases, phases.groupBy("plan").agg(F.count_if(F.col("effort") > 30).alias("high")))
+
+
+@query("f16_track", f"""WITH {PHASES_SQL}, d AS (SELECT plan, list(phase) FILTER (WHERE done) AS done FROM ph GROUP BY 1), f AS (SELECT ph.*, coalesce(d.done, []) AS dl, NOT ph.done AND len(list_filter(needs, lambda x: NOT list_contains(coalesce(d.done, []), x))) = 0 AS free FROM ph JOIN d USING (plan))
+SELECT plan, arg_min(phase, position) FILTER (WHERE free) AS active, round(sum(CASE WHEN done THEN effort ELSE 0 END) / greatest(1, sum(effort))::DOUBLE * 100, 2) AS percent, greatest(0, greatest(1, sum(effort)) - sum(CASE WHEN done THEN effort ELSE 0 END))::BIGINT AS remaining,
+bool_or(phase = 'l7') OR (count(*) FILTER (WHERE free) = 0 AND max(len(dl)) < count(*)) AS blocked FROM f GROUP BY plan""")
+def f16_track(spark, sf):
+    phases = _phases(spark, sf)
+    return M.track(phases, phases.where("done").select("plan", "phase"), phases.where("phase = 'l7'").select("plan", F.lit("late").alias("issue")))
+
+
+@query("f16_govern", f"WITH {PHASES_SQL} SELECT plan, phase FROM ph WHERE approval AND position % 2 = 0")
+def f16_govern(spark, sf):
+    phases = _phases(spark, sf)
+    return M.govern(phases, phases.where("position % 2 = 1").select("plan", "phase"))
+
+
 REDACT = [(1, "api_key=abcdefgh12345 and more"), (2, "Authorization: Bearer abc.def"), (3, "-----BEGIN RSA PRIVATE KEY-----\nxx\n-----END RSA PRIVATE KEY-----"), (4, "eyJabcdefghijk.abcdefghijkl.mnopqrstuvwx tail"), (5, "ghp_abcdefghijklmnopqrstuvwxyz0123456789"), (6, "home/.ssh/id"), (7, "nothing here")]
 _val = "text"
 for _n, _p in Q.REDACTIONS:
