@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, html, line_dedup, media, mixing, secrets, simhash, topk, toxicity
-from loomwork.session import table
-
+from loomwork.llm import bpe, chat, erasure, fim, html, line_dedup, media, mixing, quality, secrets, simhash, topk, toxicity
+from loomwork.session import cut, table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -131,6 +131,79 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    formed = fim.transform(docs, keep=["doc_id"])
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, left(text, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                   ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = quality.train(docs, labels, use=~out)
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "bad_share", "n_bad")
+
+
+def victim_masters(clients: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Masters whose crc32 is divisible by 100, and the one with most clicks (the smallest of several)."""
+    pairs = clients.where("master_id is not null").select("master_id", "client_id").distinct()
+    per_client = clicks.groupBy("client_id").agg(F.count("*").alias("n"))
+    per_master = pairs.join(per_client, "client_id", "left").groupBy("master_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    most = per_master.orderBy(F.desc("n"), "master_id").limit(1).select("master_id")
+    return per_master.where(erasure.crc_order(F.col("master_id")) % 100 == 0).select("master_id").union(most).distinct()
+
+
+def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amounts = {"clients": "balance", "clicks": "value", "sales": "total", "sale_lines": "amount"}
+    folder = erasure.new_folder(spark, "erasure")
+    given = {t: table(spark, sf_dir, t) for t in amounts}
+    owners = given["sales"].where("sale_id is not null").groupBy(F.col("sale_id").alias("__lw_sale")).agg(F.min("client_id").alias("__lw_client"))
+    keyed = {t: (rows, F.col("client_id")) for t, rows in given.items()}
+    keyed["sale_lines"] = given["sale_lines"].join(owners, F.col("sale_id") == F.col("__lw_sale"), "left"), F.col("__lw_client")
+    size = {t: erasure.write_sorted(rows, erasure.crc_order(key), given[t].schema, f"{folder}/{t}") for t, (rows, key) in keyed.items()}
+
+    rows = {t: erasure.stored(spark, f"{folder}/{t}", given[t].schema) for t in amounts}
+    masters = victim_masters(rows["clients"], rows["clicks"])
+    clients = cut(erasure.victims_of(rows["clients"], "master_id", masters).select(erasure.FILE, erasure.PLACE, "client_id"))
+    ids = clients.select("client_id").distinct()
+    clicks = erasure.victims_of(rows["clicks"], "client_id", ids)
+    sales = cut(erasure.victims_of(rows["sales"], "client_id", ids).select(erasure.FILE, erasure.PLACE, "sale_id"))
+    lines = erasure.victims_of(rows["sale_lines"], "sale_id", sales.select("sale_id").distinct())
+    marks = {t: cut(erasure.intervals(v, size[t])) for t, v in {"clients": clients, "clicks": clicks, "sales": sales, "sale_lines": lines}.items()}
+
+    out = []
+    for t, amount in amounts.items():
+        hit = erasure.rewrite(spark, f"{folder}/{t}", given[t].schema, marks[t])
+        found = erasure.digests(spark, f"{folder}/{t}", given[t].schema, amount).join(F.broadcast(hit), erasure.FILE, "left")  # one row a file
+        erased = F.coalesce("erased", F.lit(0))
+        out.append(found.select(
+            F.lit(t).alias("table_name"), F.col(erasure.FILE).alias("file_no"), "n_rows", erased.alias("n_erased"), "cents",
+            (erased > 0).alias("rewritten"), "ids_sha256", F.lit(",".join(given[t].columns)).alias("columns"), "path",
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -141,9 +214,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity, "op2_media": op2_media, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing,
         "op6_chat": op6_chat, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe,
-        "op10_html": op10_html, "pipeline": pipeline,
+        "op10_html": op10_html, "op11_fim": op11_fim, "op12_quality": op12_quality, "op13_erasure": op13_erasure, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_topk": OP3_SQL, "op7_line_dedup": OP7_SQL, "op11_fim": OP11_SQL}
