@@ -7,6 +7,7 @@ driver. Depth bounds are arguments, caps are explicit ranks.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import pandas as pd
@@ -99,6 +100,27 @@ def strong_components(edges: DataFrame, *, rounds: int | None = None) -> DataFra
     return big.union(loops.join(big.select("id"), "id", "left_anti"))
 
 
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level): 0 for nodes (id) without a need, else one more than the highest level that they need; null in and behind cycles.
+
+    ``edges`` (src, dst): dst needs src; those from elsewhere than ``nodes`` count for nothing. Each round frees the nodes
+    whose last need was met in the round before, so a round costs its own edges and there are as many as levels.
+    """
+    nodes = nodes.select("id").distinct()
+    steps = cut(edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("id", "src"), "src", "left_semi"))
+    needs = steps.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
+    left = cut(nodes.join(needs, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")))
+    found = []
+    for level in count():
+        ready = left.where("need = 0").select("id", F.lit(level).alias("level"))
+        if ready.isEmpty():
+            break
+        found.append(ready)
+        met = steps.join(ready.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
+        left = cut(left.where("need > 0").join(met, "id", "left").select("id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
+    return reduce(DataFrame.union, found, left.select("id", F.lit(None).cast("int").alias("level")))
+
+
 def cheapest_paths(edges: DataFrame, source: DataFrame, *, rounds: int | None = None) -> DataFrame:
     """(id, cost, hops, previous) from the one ``source`` (id) over edges (src, dst, cost): relaxation to a fixpoint.
 
