@@ -74,12 +74,11 @@ def _named(schema: T.StructType) -> list[Column]:
 
 
 def stored(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Rows of a laid out table with FILE, PLACE in the file and the file's path below ``folder``."""
+    """Rows of a laid out table with FILE, PLACE in the file and the file's path."""
     part = _part(schema)
     rows = spark.read.schema(T.StructType([*schema, T.StructField(part, T.LongType())])).parquet(folder)
     meta = rows.metadataColumn("_metadata")
-    path = F.concat(F.lit(folder + "/"), F.regexp_extract(meta["file_path"], "[^/]+/[^/]+$", 0))
-    return rows.select(*_named(schema), F.col(part).alias(FILE), meta["row_index"].alias(PLACE), path.alias("__lw_path"))
+    return rows.select(*_named(schema), F.col(part).alias(FILE), meta["row_index"].alias(PLACE), meta["file_path"].alias("__lw_path"))
 
 
 def write_sorted(rows: DataFrame, key: Column, schema: T.StructType, folder: str, *, files: int = 150) -> int:
@@ -187,7 +186,9 @@ def digests(spark: SparkSession, folder: str, schema: T.StructType, amount: str)
     """(FILE, path, n_rows, cents, ids_sha256) of each stored file, read back; the ids are the first column's."""
     rows = stored(spark, folder, schema)
     cents = F.coalesce(F.floor(F.col(f"`{amount}`") * 100 + 0.5), F.lit(0)).cast("long")
-    sums = rows.groupBy(FILE, F.col("__lw_path").alias("path")).agg(F.count("*").alias("n_rows"), F.sum(cents).alias("cents"))
+    sums = rows.groupBy(FILE).agg(F.count("*").alias("n_rows"), F.sum(cents).alias("cents"), F.any_value("__lw_path").alias("path"))
+    below = F.concat(F.lit(folder + "/"), F.regexp_extract("path", "[^/]+/[^/]+$", 0))  # as the folder was named
+    sums = sums.withColumn("path", below)
     ids = rows.select(FILE, PLACE, F.coalesce(F.col(f"`{schema.names[0]}`").cast("string"), F.lit("")).alias("id"))
     top = sums.agg(F.coalesce(F.max(FILE), F.lit(0))).first()[0]
 
