@@ -178,7 +178,8 @@ def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts = {"clients": "balance", "clicks": "value", "sales": "total", "sale_lines": "amount"}
     folder = erasure.new_folder(spark, "erasure")
     given = {t: table(spark, sf_dir, t) for t in amounts}
-    owners = given["sales"].where("sale_id is not null").groupBy(F.col("sale_id").alias("__lw_sale")).agg(F.min("client_id").alias("__lw_client"))
+    # Cut off, so that the join is between two plain shuffles and a hot sale's lines can be split.
+    owners = cut(given["sales"].where("sale_id is not null").groupBy(F.col("sale_id").alias("__lw_sale")).agg(F.min("client_id").alias("__lw_client")))
     keyed = {t: (rows, F.col("client_id")) for t, rows in given.items()}
     keyed["sale_lines"] = given["sale_lines"].join(owners, F.col("sale_id") == F.col("__lw_sale"), "left"), F.col("__lw_client")
     size = {t: erasure.write_sorted(rows, erasure.crc_order(key), given[t].schema, f"{folder}/{t}") for t, (rows, key) in keyed.items()}
@@ -186,10 +187,10 @@ def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = {t: erasure.stored(spark, f"{folder}/{t}", given[t].schema) for t in amounts}
     masters = victim_masters(rows["clients"], rows["clicks"])
     clients = cut(erasure.victims_of(rows["clients"], "master_id", masters).select(erasure.FILE, erasure.PLACE, "client_id"))
-    ids = clients.select("client_id").distinct()
+    ids = clients.select("client_id")
     clicks = erasure.victims_of(rows["clicks"], "client_id", ids)
     sales = cut(erasure.victims_of(rows["sales"], "client_id", ids).select(erasure.FILE, erasure.PLACE, "sale_id"))
-    lines = erasure.victims_of(rows["sale_lines"], "sale_id", sales.select("sale_id").distinct())
+    lines = erasure.victims_of(rows["sale_lines"], "sale_id", sales.select("sale_id"))
     marks = {t: cut(erasure.intervals(v, size[t])) for t, v in {"clients": clients, "clicks": clicks, "sales": sales, "sale_lines": lines}.items()}
 
     out = []
