@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("relational", "aggregates", "graphs", "asking", "extraction", "snapshots", "quality", "budget", "events", "files", "testing", "modernization")
+_MODULES = ("relational", "aggregates", "graphs", "asking", "extraction", "snapshots", "quality", "budget", "events", "files", "testing", "modernization", "compress")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

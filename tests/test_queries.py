@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Without SQL: folds and traversals that it can't express, held against Python in their own tests.
-ROWS_ONLY = {"g6_label_communities", "q4_ask_impact", "q11_path", "x10_syntax_tree", "x21_property_graph", "s7_snapshot_manifest", "k_from_sources", "c4_greedy_selection", "c7_compress_source", "w5_skip_fit", "fnv1a_hashes"}
+ROWS_ONLY = {"g6_label_communities", "q4_ask_impact", "q11_path", "x10_syntax_tree", "x21_property_graph", "s7_snapshot_manifest", "k_from_sources", "c4_greedy_selection", "c7_compress_source", "w5_skip_fit", "fnv1a_hashes", "c8_documentation", "c8_structured", "c9_structured"}
 #: Empty at this size, not at others.
 MAY_BE_EMPTY = {"e2_subscribe", "c5_expand", "f11_quarantine", "f19_redaction"}
 
