@@ -14,6 +14,7 @@ Defined results
 * scripts, styles, titles, comments and the like never give text.
 * white space in a block becomes one space; ``br`` is white space; blocks are joined by newlines.
 * ties (one half exactly) are content; repeated rows repeat; empty table: empty result.
+* other columns pass through, but those named like the html or the text column, in any letter case, give way.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.names import others
 from loomwork.session import ship
 
 #: Element classes of the HTML standard.
@@ -453,7 +455,7 @@ def fit(labelled: list[tuple[str, list[str]]], *, rounds: int = 25, decay: float
 
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html", text_col: str = "text", *, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the html by default) and the main text."""
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in (html_col, text_col)]
+    keep = others(pages.columns if keep is None else keep, html_col, text_col)
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField(text_col, T.StringType())])
@@ -466,4 +468,4 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
                 made = [main_text(x.as_py() or "", own) for x in batch.column(len(keep))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.string())], names=schema.names)
 
-    return pages.select(*keep, F.col(html_col).alias("__lw_html")).mapInArrow(each, schema)
+    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__lw_html")).mapInArrow(each, schema)

@@ -11,9 +11,12 @@ numbers from whole weights, without a period or rounded quotas.
 The one queue of blocks is scheduled in chunks of slots side by side. What a
 chunk runs are the earliest deadlines that its slots can hold: a greedy basis of
 a matroid. So if blocks wait at its start, it runs the earliest of those and of
-what it would have run alone, and the rest waits on. A fold over the chunks'
-last deadlines (a row a chunk, of at most two blocks a source) therefore gives
-what waits at each chunk's start, and a second pass over the chunks the slots.
+what it would have run alone, and the rest waits on. So what a run of chunks
+does to the blocks that wait before it is told by the blocks that wait behind
+it when none does, and the last deadlines it ran then (at most a block a source
+of each). Such runs are joined ``_JOINED`` at a time, level by level, in
+rows of their own; on the way back each gets what waits at its start, and a
+second pass over the chunks gives the slots.
 
 When a source has no blocks left its slots stay empty: no document is dropped
 or repeated, and the others keep their windows.
@@ -42,7 +45,7 @@ from loomwork.session import cut
 _NONE = "\x00null"
 _ONE = 1 << 40
 _PART = 1 << 16
-_STATES = 1 << 23  # blocks that the fold over chunks may hold
+_JOINED = 32  # runs of chunks that one row joins
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -85,7 +88,44 @@ def _folded(events: str, waiting: str, slots: int) -> str:
         'runs', concat(acc.runs, array(named_struct('t', e.t, 'x', slice(q, 1, e.g))))))[0])"""
 
 
-_EMPTY = "cast(array() as array<struct<d: bigint, z: bigint, j: bigint, r: bigint>>)"
+_KIND = "array<struct<d: bigint, z: bigint, j: bigint, r: bigint>>"
+_EMPTY = f"cast(array() as {_KIND})"
+
+
+def _carried(p: str, x: str) -> str:
+    """SQL of the blocks that wait behind run ``x`` (m, top, rest, slots) if ``p`` wait before it."""
+    return f"concat({x}.rest, slice(sort_array(concat({p}, {x}.top), false), 1, cast(greatest(0, size({p}) + {x}.m - {x}.slots) as int)))"
+
+
+def _joined(count: int) -> str:
+    """SQL that folds the runs of a row, in order, into one."""
+    late = "cast(greatest(0, size(acc.rest) + x.m - x.slots) as int)"
+    both = "sort_array(concat(acc.rest, x.top), false)"
+    return f"""aggregate(runs, named_struct('m', 0L, 'top', {_EMPTY}, 'rest', {_EMPTY}, 'slots', 0L),
+      (acc, x) -> named_struct(
+        'm', acc.m + size(acc.rest) + x.m - {late},
+        'top', slice(sort_array(concat(acc.top, slice({both}, {late} + 1, greatest(1, size(acc.rest) + size(x.top)))), false), 1, {count}),
+        'rest', concat(x.rest, slice({both}, 1, {late})),
+        'slots', acc.slots + x.slots))"""
+
+
+def waiting(ends: DataFrame, count: int, chunks: int) -> DataFrame:
+    """(c, p): the blocks that wait at each chunk's start, of ``ends`` (c, m, top, rest, slots), chunks below ``chunks``.
+
+    Runs without a row have nothing to wait and run nothing. A row holds up to ``_JOINED`` runs of two blocks a source each.
+    """
+    levels = [cut(ends)]
+    while chunks > _JOINED:
+        chunks = -(-chunks // _JOINED)
+        rows = levels[-1].groupBy(F.expr(f"c div {_JOINED}").alias("c")).agg(F.array_sort(F.collect_list(F.struct("c", "m", "top", "rest", "slots"))).alias("runs"))
+        levels.append(cut(rows.select("c", F.expr(_joined(count)).alias("r")).select("c", "r.m", "r.top", "r.rest", "r.slots")))
+    before = levels[-1].select(F.expr(f"c div {_JOINED}").alias("g")).distinct().selectExpr("g", f"{_EMPTY} as p")
+    for level in reversed(levels):
+        rows = level.groupBy(F.expr(f"c div {_JOINED}").alias("g")).agg(F.array_sort(F.collect_list(F.struct("c", "m", "top", "rest", "slots"))).alias("runs")).join(before, "g")
+        folded = f"""aggregate(runs, named_struct('p', p, 'out', cast(array() as array<struct<c: bigint, p: {_KIND}>>)),
+          (acc, x) -> named_struct('p', {_carried("acc.p", "x")}, 'out', concat(acc.out, array(named_struct('c', x.c, 'p', acc.p)))), acc -> acc.out)"""
+        before = rows.selectExpr(f"inline({folded})").withColumnRenamed("c", "g")
+    return before.withColumnRenamed("g", "c")
 
 
 def schedule(sources: DataFrame, *, block_rows: int = 64, chunk_slots: int | None = None) -> DataFrame:
@@ -95,8 +135,7 @@ def schedule(sources: DataFrame, *, block_rows: int = 64, chunk_slots: int | Non
     total, many, count = paid.agg(F.sum("w"), F.sum(blocks), F.count("*")).first()
     if not many:
         return sources.limit(0).selectExpr("s", "n as block", "n as slot", "n as release", "n as deadline")
-    n = chunk_slots or max(2048, 4 * count, -(-many * 2 * count // _STATES))
-    n = max(n, count)  # at most one block a source waits, so none waits beyond the next chunk
+    n = max(chunk_slots or max(2048, 4 * count), count)  # at most one block a source waits, so none waits beyond the next chunk
     parts = paid.select("z", "w", blocks.alias("b")).withColumn("part", F.explode(F.expr(f"sequence(0L, (b - 1) div {_PART})")))
     parts = parts.repartition("z", "part")  # a large source's blocks are listed by many tasks
     jobs = parts.withColumn("j", F.explode(F.expr(f"sequence(part * {_PART}, least(b, (part + 1) * {_PART}) - 1)")))
@@ -107,14 +146,8 @@ def schedule(sources: DataFrame, *, block_rows: int = 64, chunk_slots: int | Non
     starts = released.select("c").union(released.select(F.col("c") + 1)).distinct().selectExpr("c", "0L as t", f"{_EMPTY} as a")
     chunks = cut(released.unionByName(starts).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("t", "a"))).alias("events")))
     alone = chunks.select("c", F.expr(_folded("events", _EMPTY, n)).alias("f")).selectExpr("c", "flatten(f.runs.x) as ran", "f.p as rest")
-    ends = alone.selectExpr("c", "size(ran) as m", f"slice(sort_array(ran, false), 1, {count}) as top", "rest")
-    line = ends.agg(F.sort_array(F.collect_list(F.struct("c", "m", "top", "rest"))).alias("chunks"))
-    waits = line.selectExpr(f"""aggregate(chunks,
-      named_struct('p', {_EMPTY}, 'out', cast(array() as array<struct<c: bigint, p: array<struct<d: bigint, z: bigint, j: bigint, r: bigint>>>>)),
-      (acc, x) -> named_struct(
-        'p', concat(x.rest, slice(sort_array(concat(acc.p, x.top), false), 1, greatest(0, size(acc.p) + x.m - {n}))),
-        'out', concat(acc.out, array(named_struct('c', x.c, 'p', acc.p)))),
-      acc -> acc.out) as w""").selectExpr("inline(w)")
+    ends = alone.selectExpr("c", "cast(size(ran) as bigint) as m", f"slice(sort_array(ran, false), 1, {count}) as top", "rest", f"{n}L as slots")
+    waits = waiting(ends, count, 1 + chunks.agg(F.max("c")).first()[0])
     met = chunks.join(waits, "c").select("c", F.expr(_folded("events", "p", n)).alias("f")).selectExpr("c", "inline(f.runs)")
     ran = met.select("c", "t", F.posexplode("x").alias("at", "x")).selectExpr("x.z as z", "x.j as block", f"c * {n} + t + at as slot", "x.r as release", "x.d as deadline")
     return ran.join(sources.select("z", "s"), "z").select("s", "block", "slot", "release", "deadline")

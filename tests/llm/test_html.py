@@ -66,6 +66,8 @@ def test_query_and_edges(spark):
     out = html.extract(df)
     assert out.columns == ["page_id", "text"] and sorted(len(r.text) > 0 for r in out.collect()) == [False, False, True, True]
     assert html.extract(df.where("false")).count() == 0
+    named = spark.createDataFrame([(1, "up", PAGE, "u")], "page_id long, TEXT string, html string, Url string")
+    assert html.extract(named).columns == ["page_id", "Url", "text"] and html.extract(named).select("text").first().text
 
 
 def matrix_marginals(parent, unary, edge):
