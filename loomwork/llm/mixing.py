@@ -135,7 +135,7 @@ def schedule(sources: DataFrame, *, block_rows: int = 64, chunk_slots: int | Non
     total, many, count = paid.agg(F.sum("w"), F.sum(blocks), F.count("*")).first()
     if not many:
         return sources.limit(0).selectExpr("s", "n as block", "n as slot", "n as release", "n as deadline")
-    n = max(chunk_slots or max(2048, 4 * count), count)  # at most one block a source waits, so none waits beyond the next chunk
+    n = max(chunk_slots or max(128, 2 * count), count)  # at most one block a source waits, so none waits beyond the next chunk
     parts = paid.select("z", "w", blocks.alias("b")).withColumn("part", F.explode(F.expr(f"sequence(0L, (b - 1) div {_PART})")))
     parts = parts.repartition("z", "part")  # a large source's blocks are listed by many tasks
     jobs = parts.withColumn("j", F.explode(F.expr(f"sequence(part * {_PART}, least(b, (part + 1) * {_PART}) - 1)")))
