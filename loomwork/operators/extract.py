@@ -8,15 +8,17 @@ nesting, which is sequential by nature, is folded in pandas, one file a group.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
+from loomwork.session import cut
 
 #: Names that are keywords, not symbols or calls.
-KEYWORDS = "if for while switch catch return throw new else do match when case sizeof typeof".split()
+KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "throw", "new", "else", "do", "match", "when", "case", "sizeof", "typeof"]
 
 #: Symbol kinds and patterns by language, the name in group 1; "*" is for every language, "" for those without own rules.
 SYMBOL_RULES = [
@@ -129,6 +131,36 @@ TYPE_RULES = [
 #: Scala's further parents.
 SCALA_WITH = r"\bclass\s+([A-Za-z_]\w*)[^\{]*\bextends\s+[A-Za-z_]\w*(.*)"
 
+_MODIFIED = r"\b(?:(?:{})|\s++){{1,64}}[\w<>,?\[\]]++\s++(\w++)\s*+\("
+_METHOD = r"^\s*+(?:(?:{})\s++(?=[A-Za-z_$]))*+([A-Za-z_$][\w$]*+)\s*+\([^)]*+\)\s*+(?::[^={{]++)?+\s*+\{{"
+_CHAIN = r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+"
+#: Forms of rules for the JVM's matcher that find the same names, but need no stack frame a repetition and no time
+#: beyond the line's length: what can't be given back is possessive, and neighbours of overlapping classes are one.
+_JVM = {
+    r"\b(?:public|private|protected|static|final|synchronized|abstract|native|\s)+[\w<>,?\[\]]+\s+(\w+)\s*\(": _MODIFIED.format("public|private|protected|static|final|synchronized|abstract|native"),
+    r"\b(?:public|private|protected|internal|static|virtual|override|async|sealed|\s)+[\w<>,?\[\]]+\s+(\w+)\s*\(": _MODIFIED.format("public|private|protected|internal|static|virtual|override|async|sealed"),
+    r"(?i)^\s*(?:Public|Private|Friend|Protected)?\s*(?:Partial\s+)?Class\s+(\w+)": r"(?i)^\s*+(?:(?:Public|Private|Friend|Protected)\s*+)?(?:Partial\s++)?Class\s++(\w+)",
+    r"(?i)^\s*(?:Public|Private|Friend)?\s*Interface\s+(\w+)": r"(?i)^\s*+(?:(?:Public|Private|Friend)\s*+)?Interface\s++(\w+)",
+    r"(?i)^\s*(?:Public|Private|Friend|Protected)?\s*(?:Shared\s+)?(?:Async\s+)?(?:Sub|Function)\s+(\w+)": r"(?i)^\s*+(?:(?:Public|Private|Friend|Protected)\s*+)?(?:Shared\s++)?(?:Async\s++)?(?:Sub|Function)\s++(\w+)",
+    r"^\s*[\w*\s]+\s+(\w+)\s*\([^;]*\)\s*\{": r"^[\w*\s]+\s(\w++)\s*+\([^;]*\)\s*+\{",
+    r"^\s*[\w:*&<>\s]+\s+(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{": r"^[\w:*&<>\s]+\s(\w++)\s*+\([^;]*\)\s*+(?:const\s*+)?\{",
+    r"^\s*([a-z][\w']*)\s+[^=]*=": r"^\s*+([a-z][\w']*+)\s[^=]*+=",
+    r"^\s*(?:(?:public|private|protected|static|async|get|set|override)\s+)*([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?::[^={]+)?\s*\{": _METHOD.format("public|private|protected|static|async|get|set|override"),
+    r"^\s*(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)\s+)*([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?::[^={]+)?\s*\{": _METHOD.format("public|private|protected|static|async|readonly|abstract|override|get|set"),
+    r"^\s*#{1,6}\s+(.+?)\s*$": r"^\s*+#{1,6}\s+(\S(?:.*\S)?|\s(?=$))\s*+$",
+    r"^\s*([^@][^{]+)\s*\{": r"^(?=[^{]*+\{)\s*([^@][^{]++)\{",
+    CALL: rf"\b(?:({_CHAIN})\s*+\(|{_CHAIN})",
+    _DECLARED: r"\b(?:class|interface|struct|record|object|trait)\s++([A-Za-z_$][\w$]*+)(?:\s++extends\s++([^\s{]++(?:\s*+,\s*+[^\s{]++)*+))?(?:\s++implements\s++([^\{]+))?",
+    r"\bclass\s+([A-Za-z_]\w*)[^:{]*:\s*([^,{]+)": r"\bclass\s++([A-Za-z_]\w*+)[^:{]*+:\s*([^,{]+)",
+    r"\bclass\s+([A-Za-z_]\w*)[^:{]*:\s*[^,{]+,([^{]+)": r"\bclass\s++([A-Za-z_]\w*+)[^:{]*+:[^,{]++,([^{]+)",
+}
+
+
+def jvm(pattern: str) -> str:
+    """The pattern as the JVM's matcher takes it."""
+    return X.ascii_edges(_JVM.get(pattern, pattern))
+
+
 #: Ecosystem detectors: id, languages ("*": any), category, signals.
 DETECTORS = [
     ("nestjs", "typescript,javascript", "framework", [r"(?i)@nestjs/", r"@(Module|Controller|Injectable|Get|Post|UseGuards)\b"]),
@@ -211,34 +243,121 @@ def _alternatives(column: Column, rules: list[tuple], pick) -> Column:
     return F.array_compact(F.array(*[pick(column, r) for r in rules]))
 
 
-def _symbols(sources: DataFrame) -> DataFrame:
-    """Per line, each rule's first match that is no keyword."""
+def _symbols() -> Column:
+    """A line's symbols (kind, name, rule): each rule's first match that is no keyword."""
     known = sorted({lang for lang, _, _ in SYMBOL_RULES if lang not in ("*", "")})
     code, lang = F.col("code"), F.col("lang")
 
     def one(rule: tuple) -> Column:
         scope, kind, pattern = rule
-        name = F.regexp_extract(code, X.ascii_edges(pattern), 1)
+        name = F.regexp_extract(code, jvm(pattern), 1)
         applies = F.lit(True) if scope == "*" else ~lang.isin(known) if scope == "" else lang == scope
-        return F.when(applies & (name != "") & ~F.lower(name).isin(KEYWORDS), F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.lit(SYMBOL_RULES.index(rule)).alias("rule")))
+        return F.when(applies, F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.lit(SYMBOL_RULES.index(rule)).alias("rule")))
+
+    return F.filter(F.array_compact(F.array(*[one(r) for r in SYMBOL_RULES])), lambda s: (s["name"] != "") & ~F.lower(s["name"]).isin(KEYWORDS))
+
+
+def _script_imports(code: Column) -> Column:
+    """Targets of ``import ... from "x"`` and ``import "x"``: what lies between the word and the first quote is looked at on its own."""
+    found = r"""\bimport(?=(\s[^"'`]*+)["'`]([^"'`]+)["'`])"""
+    between, targets = (F.regexp_extract_all(code, F.lit(X.ascii_edges(found)), k) for k in (1, 2))
+    fits = lambda x: x["b"].rlike(r"^\s++(?:type\s++)?$") | x["b"].rlike(r"^\s.*\sfrom\s++$")
+    return F.transform(F.filter(F.arrays_zip(between.alias("b"), targets.alias("t")), fits), lambda x: x["t"])
+
+
+def _imports() -> Column:
+    """A line's imports (target, kind), relative ones joined to their folder and normalised."""
+    code = F.col("code")
+    found = F.flatten(F.array(_script_imports(code), *[F.regexp_extract_all(code, F.lit(jvm(p)), 1) for p in IMPORT_RULES[1:]]))
+    block = F.when(F.col("lang") == "go", F.regexp_extract_all(code, F.lit(GO_IMPORT), 1)).otherwise(F.array().cast("array<string>"))
+    raw = F.filter(F.array_distinct(F.concat(found, block)), lambda r: (r != "") & ~r.isin("if", "for", "type"))
+    local = lambda r: r.startswith(".") | r.startswith("/") | r.contains("::")
+    target = lambda r: F.when(r.startswith("."), normal_path(F.concat(X.dirname(F.col("path")), F.lit("/"), r))).otherwise(r)
+    return F.transform(raw, lambda r: F.struct(target(r).alias("target"), F.when(local(r), "local").otherwise("package").alias("kind")))
+
+
+def _routes() -> Column:
+    """A line's route (method, route) by the first rule that matches."""
+
+    def hit(rule: tuple) -> Column:
+        pattern, method, route = X.ascii_edges(rule[0]), *rule[1:]
+        got = F.upper(F.regexp_extract("code", pattern, method)) if method else F.lit("ANY")
+        return F.when(F.col("code").rlike(pattern), F.struct(F.when(got == "REQUESTMAPPING", "ANY").otherwise(got).alias("method"), F.regexp_extract("code", pattern, route).alias("route")))
+
+    rust = F.when((F.col("lang") == "rust") & F.col("code").rlike(RUST_ROUTE), F.struct(F.lit("ANY").alias("method"), F.regexp_extract("code", RUST_ROUTE, 1).alias("route")))
+    return F.coalesce(*[hit(r) for r in ROUTE_RULES], rust)
+
 
-    found = F.array_compact(F.array(*[one(r) for r in SYMBOL_RULES]))
-    status = F.when(F.col("code").rlike(X.ascii_edges(EXPORTED)), "exported").when((lang == "python") & ~F.col("code").rlike(r"^\s*_"), "unknown").otherwise("local")
-    return lines(sources).select("path", "line", status.alias("status"), F.explode(found).alias("s")).select("path", "line", "s.kind", "s.name", "status", "s.rule")
+def _types() -> Column:
+    """A line's type relations (kind, source, target), each target under its last name."""
+
+    def hit(rule: tuple) -> Column:
+        lang, kind, pattern, source, targets = rule
+        pattern = jvm(pattern)
+        applies = F.lit(True) if lang == "*" else F.col("lang") == lang
+        every = F.split(F.regexp_extract("code", pattern, targets), ",")
+        return F.when(applies & F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, source).alias("source"), every.alias("targets")))
+
+    mixed = F.when((F.col("lang") == "scala") & F.col("code").rlike(SCALA_WITH), F.struct(F.lit("implements").alias("kind"), F.regexp_extract("code", SCALA_WITH, 1).alias("source"), F.regexp_extract_all(F.regexp_extract("code", SCALA_WITH, 2), F.lit(r"\bwith\s+([A-Za-z_]\w*)"), 1).alias("targets")))
+    found = F.array_compact(F.array(*[hit(r) for r in TYPE_RULES], mixed))
+    bare = lambda raw: F.regexp_replace(F.trim(raw), r"^(?:public|private|protected|virtual)\s+", "")
+    name = lambda raw: F.element_at(F.split(F.regexp_extract(bare(raw), r"[A-Za-z_$][\w$.:]*", 0), r"::|\."), -1)
+    each = F.flatten(F.transform(found, lambda f: F.transform(f["targets"], lambda raw: F.struct(f["kind"].alias("kind"), f["source"].alias("source"), name(raw).alias("target")))))
+    return F.filter(each, lambda t: (t["source"] != "") & (t["target"] != ""))
+
+
+def _test_name() -> Column:
+    """The name of a line that looks like a test, else null; one without a name is called by its line."""
+    tested = F.col("code").rlike(X.ascii_edges(TEST_LINE)) | ((F.col("lang") == "go") & F.col("code").rlike(GO_TEST))
+    name = F.nullif(F.trim(F.regexp_extract("code", TEST_NAME, 1)), F.lit(""))
+    return F.when(tested, F.coalesce(name, F.concat(F.lit("test@"), F.col("line").cast("string"))))
+
+
+def line_facts(sources: DataFrame) -> DataFrame:
+    """A row a line of ``sources``, each of a path of its own, with all its facts: path, lang, line, code, symbols, status,
+    imports, callees, caller, control, target, source, route, test and types.
+
+    The texts are read once, and a reader of some of the facts has only those made. The caller is the
+    last callable declared at or before the line.
+    """
+    code, lang = F.col("code"), F.col("lang")
+    read = _supported(lang)
+    bare = F.when(read, F.regexp_replace(code, STRINGS, ""))
+    status = F.when(code.rlike(X.ascii_edges(EXPORTED)), "exported").when((lang == "python") & ~code.rlike(r"^\s*_"), "unknown").otherwise("local")
+    of = lambda k: F.when(lang.isin(FLOW_LANGUAGES), F.nullif(F.regexp_extract(bare, X.ascii_edges(ASSIGN), k), F.lit("")))
+    made = lines(sources).select(
+        "path", "lang", "line", "code", _symbols().alias("symbols"), status.alias("status"), _imports().alias("imports"), F.regexp_extract_all(bare, F.lit(jvm(CALL)), 1).alias("callees"),
+        F.nullif(F.regexp_extract(bare, X.ascii_edges(CONTROL), 1), F.lit("")).alias("control"), of(1).alias("target"), of(2).alias("source"), _routes().alias("route"), _test_name().alias("test"), _types().alias("types"),
+    )
+    callable_ = F.filter("symbols", lambda s: s["kind"].isin("function", "method"))
+    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.try_element_at(callable_, F.lit(-1))["name"], ignorenulls=True).over(so_far)
+    names = F.transform("symbols", lambda s: s["name"])
+    own = lambda c: F.array_contains(names, F.element_at(F.split(c, r"\."), -1))
+    callees = F.filter("callees", lambda c: (c != "") & ~F.lower(c).isin(KEYWORDS) & ~own(c))
+    return made.withColumn("callees", callees).withColumn("caller", F.coalesce(last, F.lit("<module>")))
 
 
 def symbols(sources: DataFrame) -> DataFrame:
     """(path, line, kind, name, status): each symbol of a line once, with its export status."""
-    return _symbols(sources).select("path", "line", "kind", "name", "status").distinct()
+    return symbols_of(line_facts(sources))
+
+
+def _once(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"))))
+
+
+def symbols_of(facts: DataFrame) -> DataFrame:
+    return facts.select("path", "line", "status", F.explode(_once(F.col("symbols"))).alias("s")).select("path", "line", "s.kind", "s.name", "status")
 
 
 def imports(sources: DataFrame) -> DataFrame:
     """(path, line, target, kind): import targets, relative ones joined to their folder and normalised."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("code", F.lit(X.ascii_edges(p)), 1) for p in IMPORT_RULES]))
-    block = F.when(F.col("lang") == "go", F.regexp_extract_all("code", F.lit(GO_IMPORT), 1)).otherwise(F.array().cast("array<string>"))
-    rows = lines(sources).select("path", "line", F.explode(F.array_distinct(F.concat(found, block))).alias("raw")).where((F.col("raw") != "") & ~F.col("raw").isin("if", "for", "type"))
-    local = F.col("raw").startswith(".") | F.col("raw").startswith("/") | F.col("raw").contains("::")
-    return rows.select("path", "line", F.when(F.col("raw").startswith("."), normal_path(F.concat(X.dirname(F.col("path")), F.lit("/"), "raw"))).otherwise(F.col("raw")).alias("target"), F.when(local, "local").otherwise("package").alias("kind"))
+    return imports_of(line_facts(sources))
+
+
+def imports_of(facts: DataFrame) -> DataFrame:
+    return facts.select("path", "line", F.inline("imports"))
 
 
 def normal_path(path: Column) -> Column:
@@ -259,81 +378,67 @@ def _supported(lang: Column) -> Column:
 
 def calls(sources: DataFrame) -> DataFrame:
     """(path, line, callee, caller): calls outside strings, with the last callable declared at or before the line."""
-    rows = lines(sources).where(_supported(F.col("lang")))
-    named = _symbols(sources).groupBy("path", "line").agg(F.max_by("name", F.when(F.col("kind").isin("function", "method"), F.col("rule"))).alias("own"), F.max(F.col("kind").isin("function", "method")).alias("callable"), F.collect_set("name").alias("names"))
-    met = rows.join(named.select("path", "line", F.when(F.col("callable"), F.col("own")).alias("own"), "names"), ["path", "line"], "left")
-    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumn("caller", F.last("own", ignorenulls=True).over(so_far))
-    found = F.regexp_extract_all(F.regexp_replace("code", STRINGS, ""), F.lit(X.ascii_edges(CALL)), 1)
-    out = met.select("path", "line", "caller", "names", F.posexplode(found).alias("at", "callee"))
-    own = F.coalesce(F.array_contains("names", F.element_at(F.split("callee", r"\."), -1)), F.lit(False))
-    return out.where(~F.lower("callee").isin(KEYWORDS) & ~own).select("path", "line", "callee", F.coalesce("caller", F.lit("<module>")).alias("caller"))
+    return calls_of(line_facts(sources))
+
+
+def calls_of(facts: DataFrame) -> DataFrame:
+    return facts.select("path", "line", F.explode("callees").alias("callee"), "caller")
 
 
 def flow_facts(sources: DataFrame) -> DataFrame:
     """(path, line, control, target, source): a line's first control keyword, and its assignment in languages that are followed."""
-    bare = F.regexp_replace("code", STRINGS, "")
-    rows = lines(sources).where(_supported(F.col("lang")))
-    follow = F.col("lang").isin(FLOW_LANGUAGES)
-    of = lambda k: F.when(follow, F.nullif(F.regexp_extract(bare, X.ascii_edges(ASSIGN), k), F.lit("")))
-    facts = rows.select("path", "line", F.nullif(F.regexp_extract(bare, X.ascii_edges(CONTROL), 1), F.lit("")).alias("control"), of(1).alias("target"), of(2).alias("source"))
+    return flow_of(line_facts(sources))
+
+
+def flow_of(facts: DataFrame) -> DataFrame:
     return facts.where("control is not null or target is not null").select("path", "line", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("control", "target", "source")])
 
 
 def routes(sources: DataFrame) -> DataFrame:
     """(path, line, method, route) by the first route rule that matches a line."""
+    return routes_of(line_facts(sources))
 
-    def hit(rule: tuple) -> Column:
-        pattern, method, route = X.ascii_edges(rule[0]), *rule[1:]
-        got = F.upper(F.regexp_extract("code", pattern, method)) if method else F.lit("ANY")
-        return F.when(F.col("code").rlike(pattern), F.struct(F.when(got == "REQUESTMAPPING", "ANY").otherwise(got).alias("method"), F.regexp_extract("code", pattern, route).alias("route")))
 
-    rust = F.when((F.col("lang") == "rust") & F.col("code").rlike(RUST_ROUTE), F.struct(F.lit("ANY").alias("method"), F.regexp_extract("code", RUST_ROUTE, 1).alias("route")))
-    return lines(sources).select("path", "line", F.coalesce(*[hit(r) for r in ROUTE_RULES], rust).alias("r")).where("r is not null").select("path", "line", "r.method", "r.route")
+def routes_of(facts: DataFrame) -> DataFrame:
+    return facts.where("route is not null").select("path", "line", "route.method", "route.route")
 
 
 def test_lines(sources: DataFrame) -> DataFrame:
     """(path, line, name) of lines that look like tests; those without a name are called by their line."""
-    tested = F.col("code").rlike(X.ascii_edges(TEST_LINE)) | ((F.col("lang") == "go") & F.col("code").rlike(GO_TEST))
-    name = F.nullif(F.trim(F.regexp_extract("code", TEST_NAME, 1)), F.lit(""))
-    return lines(sources).where(tested).select("path", "line", F.coalesce(name, F.concat(F.lit("test@"), F.col("line").cast("string"))).alias("name"))
+    return test_lines_of(line_facts(sources))
+
+
+def test_lines_of(facts: DataFrame) -> DataFrame:
+    return facts.where("test is not null").select("path", "line", F.col("test").alias("name"))
 
 
 def type_relations(sources: DataFrame) -> DataFrame:
     """(path, line, kind, source, target) of extends and implements, each target a row under its last name."""
+    return types_of(line_facts(sources))
 
-    def hit(rule: tuple) -> Column:
-        lang, kind, pattern, source, targets = rule
-        pattern = X.ascii_edges(pattern)
-        applies = F.lit(True) if lang == "*" else F.col("lang") == lang
-        every = F.split(F.regexp_extract("code", pattern, targets), ",")
-        return F.when(applies & F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, source).alias("source"), every.alias("targets")))
 
-    mixed = F.when((F.col("lang") == "scala") & F.col("code").rlike(SCALA_WITH), F.struct(F.lit("implements").alias("kind"), F.regexp_extract("code", SCALA_WITH, 1).alias("source"), F.regexp_extract_all(F.regexp_extract("code", SCALA_WITH, 2), F.lit(r"\bwith\s+([A-Za-z_]\w*)"), 1).alias("targets")))
-    found = F.array_compact(F.array(*[hit(r) for r in TYPE_RULES], mixed))
-    each = lines(sources).select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.kind", "f.source", F.explode("f.targets").alias("raw"))
-    bare = F.regexp_replace(F.trim("raw"), r"^(?:public|private|protected|virtual)\s+", "")
-    name = F.element_at(F.split(F.regexp_extract(bare, r"[A-Za-z_$][\w$.:]*", 0), r"::|\."), -1)
-    return each.select("path", "line", "kind", "source", name.alias("target")).where("source <> '' and target <> ''")
+def types_of(facts: DataFrame) -> DataFrame:
+    return facts.select("path", "line", F.inline("types"))
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """(path, line, fact, name, detail): the eight kinds of facts of a line in one table.
+    """(path, line, fact, name, detail): the eight kinds of facts of a line in one table, from one pass over the texts.
 
     A dependency stands at the first line that names it.
     """
-    flow = flow_facts(sources)
-    parts = [
-        symbols(sources).select("path", "line", F.lit("symbol").alias("fact"), "name", F.concat_ws(" ", "kind", "status").alias("detail")),
-        imports(sources).groupBy("path", "target", "kind").agg(F.min("line").alias("line")).select("path", "line", F.lit("dependency"), "target", "kind"),
-        calls(sources).select("path", "line", F.lit("call"), "callee", "caller"),
-        flow.where("control <> '-'").select("path", "line", F.lit("control"), "control", F.lit("")),
-        flow.where("target <> '-'").select("path", "line", F.lit("data"), "target", "source"),
-        type_relations(sources).select("path", "line", F.lit("type"), "source", F.concat_ws(" ", "kind", "target")),
-        test_lines(sources).select("path", "line", F.lit("test"), "name", F.lit("")),
-        routes(sources).select("path", "line", F.lit("api"), "route", "method"),
-    ]
-    return reduce(DataFrame.union, parts)
+    fact = lambda kind, name, detail: F.struct(F.lit(kind).alias("fact"), name.alias("name"), detail.alias("detail"))
+    none, c = F.lit(""), F.col
+    one = lambda given, *parts: F.when(c(given).isNotNull(), fact(*parts))
+    every = F.concat(
+        F.transform(_once(c("symbols")), lambda s: fact("symbol", s["name"], F.concat_ws(" ", s["kind"], c("status")))),
+        F.transform("imports", lambda i: fact("dependency", i["target"], i["kind"])),
+        F.transform(F.coalesce("callees", F.array().cast("array<string>")), lambda x: fact("call", x, c("caller"))),
+        F.transform("types", lambda t: fact("type", t["source"], F.concat_ws(" ", t["kind"], t["target"]))),
+        F.array_compact(F.array(one("control", "control", c("control"), none), one("target", "data", c("target"), c("source")), one("test", "test", c("test"), none), one("route", "api", c("route.route"), c("route.method")))),
+    )
+    rows = line_facts(sources).select("path", "line", F.posexplode(every).alias("at", "x")).select("path", "line", "at", "x.*")
+    apart = F.when(F.col("fact") != "dependency", F.struct("line", "at")).alias("apart")
+    return rows.groupBy("path", "fact", "name", "detail", apart).agg(F.min("line").alias("line")).select("path", "line", "fact", "name", "detail")
 
 
 def identify_language(path: Column) -> Column:
@@ -475,6 +580,7 @@ def entities(sources: DataFrame) -> DataFrame:
 
     An entity of a kind, a name in any letter case and a line is one row; its
     detail says its provider, table, operation and statement, as far as known.
+    All are made in one pass over the texts, of which the first of a name counts.
     """
     low, path, text = F.lower("path"), F.col("path"), F.col("text")
     base, own = X.basename(path), F.regexp_replace(X.basename(path), r"\.[^.]+$", "")
@@ -482,13 +588,22 @@ def entities(sources: DataFrame) -> DataFrame:
     alchemy, django = text.rlike(X.ascii_edges(ALCHEMY)), text.rlike(X.ascii_edges(DJANGO))
     none = F.lit("")
 
-    def by_path(kind: str, applies: Column, name: Column, detail: Column = none) -> DataFrame:
-        return sources.where(applies).select("path", F.lit(kind).alias("kind"), name.alias("name"), F.lit(1).alias("line"), detail.alias("detail"))
+    entity = "array<struct<turn:int,kind:string,name:string,line:int,detail:string>>"
+    turns = count()
+
+    def row(turn: int, kind: str, name: Column, line: Column, detail: Column) -> Column:
+        return F.struct(F.lit(turn).alias("turn"), F.lit(kind).alias("kind"), name.alias("name"), line.cast("int").alias("line"), detail.alias("detail"))
+
+    def by_path(kind: str, applies: Column, name: Column, detail: Column = none) -> Column:
+        return F.when(applies, F.array(row(next(turns), kind, name, F.lit(1), detail)))
 
-    def by_text(kind: str, pattern: str, groups: int, name, detail=lambda p: none, applies: Column | None = None) -> DataFrame:
-        found = (sources if applies is None else sources.where(applies)).select("path", F.explode(located(text, pattern, groups)).alias("m"))
-        return found.select("path", F.lit(kind).alias("kind"), name(F.col("m.parts"), F.col("m.line")).alias("name"), F.col("m.line").alias("line"), detail(F.col("m.parts")).alias("detail"))
+    def by_text(pattern: str, groups: int, *made: tuple, applies: Column | None = None) -> Column:
+        """Entities (kind, name, detail) of each match of a pattern, which is looked for once."""
+        own = [(next(turns), *m) for m in made]
+        found = F.flatten(F.transform(located(text, pattern, groups), lambda m: F.array(*[row(k, kind, name(m["parts"], m["line"]), m["line"], detail(m["parts"])) for k, kind, name, detail in own])))
+        return found if applies is None else F.when(applies, found)
 
+    nothing = lambda parts: none
     first = lambda parts, line: parts[1]
     of = lambda word: lambda parts: F.concat(F.lit(word + " "), parts[1])
     statement = lambda parts: F.substring(F.regexp_replace(F.trim(parts[0]), r"\s+", " "), 1, 180)
@@ -501,28 +616,24 @@ def entities(sources: DataFrame) -> DataFrame:
         by_path("infrastructure", low.rlike(INFRA_PATH), own, _first_of(low, INFRA_PROVIDERS, F.lit("Infrastructure as code"))),
         by_path("database", database, database_name(path), F.col("lang")),
         by_path("migration", low.rlike(MIGRATION_PATH), own, database_name(path)),
-        by_text("table", TABLE, 1, first),
-        by_text("orm-entity", MODEL, 1, first, of("prisma")),
-        by_text("table", MODEL, 1, first),
-        by_text("orm-entity", DECORATED, 1, first, of("decorator")),
-        by_text("table", DECORATED, 1, first),
-        by_text("orm-entity", CLASS_MODEL, 1, first, of("class-model"), database & ~alchemy & ~django & low.rlike(CLASS_MODEL_PATH)),
-        by_text("orm-entity", ALCHEMY_MODEL, 2, first, lambda p: F.concat(F.lit("sqlalchemy "), p[2]), alchemy),
-        by_text("table", ALCHEMY_MODEL, 2, lambda p, line: p[2], applies=alchemy),
-        by_text("orm-entity", DJANGO_MODEL, 2, first, lambda p: F.concat(F.lit("django "), p[2]), django),
-        by_text("table", DJANGO_MODEL, 2, lambda p, line: p[2], applies=django),
-        by_text("query", STATEMENT, 1, lambda p, line: at([None, F.upper(p[1])], line), lambda p: F.concat_ws("|", F.lower(p[1]), F.regexp_extract(statement(p), X.ascii_edges(STATEMENT_TABLE), 1), statement(p))),
-        by_text("query", ORM_CALL, 1, at, lambda p: F.concat(p[1], F.lit("|orm"))),
-        by_text("feature-flag", FLAG_WORD, 1, first),
-        by_text("feature-flag", FLAG_CALL, 1, first),
-        by_text("event", EVENT_CALL, 1, first, lambda p: F.lit("emit")),
-        by_text("event", EVENT_CLASS, 1, first, lambda p: F.lit("class")),
+        by_text(TABLE, 1, ("table", first, nothing)),
+        by_text(MODEL, 1, ("orm-entity", first, of("prisma")), ("table", first, nothing)),
+        by_text(DECORATED, 1, ("orm-entity", first, of("decorator")), ("table", first, nothing)),
+        by_text(CLASS_MODEL, 1, ("orm-entity", first, of("class-model")), applies=database & ~alchemy & ~django & low.rlike(CLASS_MODEL_PATH)),
+        by_text(ALCHEMY_MODEL, 2, ("orm-entity", first, lambda p: F.concat(F.lit("sqlalchemy "), p[2])), ("table", lambda p, line: p[2], nothing), applies=alchemy),
+        by_text(DJANGO_MODEL, 2, ("orm-entity", first, lambda p: F.concat(F.lit("django "), p[2])), ("table", lambda p, line: p[2], nothing), applies=django),
+        by_text(STATEMENT, 1, ("query", lambda p, line: at([None, F.upper(p[1])], line), lambda p: F.concat_ws("|", F.lower(p[1]), F.regexp_extract(statement(p), X.ascii_edges(STATEMENT_TABLE), 1), statement(p)))),
+        by_text(ORM_CALL, 1, ("query", at, lambda p: F.concat(p[1], F.lit("|orm")))),
+        by_text(FLAG_WORD, 1, ("feature-flag", first, nothing)),
+        by_text(FLAG_CALL, 1, ("feature-flag", first, nothing)),
+        by_text(EVENT_CALL, 1, ("event", first, lambda p: F.lit("emit"))),
+        by_text(EVENT_CLASS, 1, ("event", first, lambda p: F.lit("class"))),
         by_path("fixture", low.rlike(FIXTURE_PATH), own),
         by_path("component", low.rlike(SOURCE_PATH) & low.rlike(COMPONENT_PATH), own),
         by_path("component", low.rlike(SOURCE_PATH) & low.rlike(VIEW_PATH) & text.rlike(X.ascii_edges(VIEW_TEXT)), own),
     ]
-    out = reduce(DataFrame.unionByName, [p.withColumn("turn", F.lit(k)) for k, p in enumerate(parts)])
-    named = out.withColumn("name", F.trim("name")).where("name <> ''")
+    every = F.flatten(F.array(*[F.coalesce(p.cast(entity), F.array().cast(entity)) for p in parts]))
+    named = sources.select("path", F.inline(every)).withColumn("name", F.trim("name")).where("name <> ''")
     return named.groupBy("path", "kind", F.lower("name").alias("low"), "line").agg(F.min_by(F.struct("name", "detail"), "turn").alias("x")).select("path", "kind", "x.name", "line", "x.detail")
 
 
@@ -555,12 +666,13 @@ def packages(manifests: DataFrame) -> DataFrame:
 
 
 def syntax_tree(sources: DataFrame) -> DataFrame:
-    """(path, node, parent, depth, line, kind) by braces and indentation, folded file by file."""
+    """(path, node, parent, depth, line, kind) by braces and indentation, folded file by file where the file is read."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for path, text in zip(pdf["path"], pdf["text"], strict=True):
             stack: list[tuple[int, int]] = []  # node and the indentation or -1 for braces
+            before = len(out)
             for n, line in enumerate((text or "").split("\n"), 1):
                 bare = line.strip()
                 if not bare:
@@ -572,7 +684,7 @@ def syntax_tree(sources: DataFrame) -> DataFrame:
                         break
                 if bare in ("}", "};", "})", "});"):
                     continue
-                node = len(out)
+                node = len(out) - before
                 out.append((path, node, stack[-1][0] if stack else -1, len(stack), n, "block" if bare.endswith(("{", ":")) else "statement"))
                 if bare.endswith("{"):
                     stack.append((node, -1))
@@ -580,7 +692,7 @@ def syntax_tree(sources: DataFrame) -> DataFrame:
                     stack.append((node, indent))
         return pd.DataFrame(out, columns=["path", "node", "parent", "depth", "line", "kind"])
 
-    return sources.select("path", "text").groupBy("path").applyInPandas(fold, "path string, node int, parent int, depth int, line int, kind string")
+    return sources.select("path", "text").mapInPandas(lambda parts: map(fold, parts), "path string, node int, parent int, depth int, line int, kind string")
 
 
 def property_graph(sources: DataFrame) -> DataFrame:
@@ -592,16 +704,18 @@ def property_graph(sources: DataFrame) -> DataFrame:
     ``dfg``: from the last node up to an assignment that holds its source word;
     ``call``: to the declaration of the callee.
     """
-    tree = syntax_tree(sources)
+    # Both are read many times below: texts are folded once and scanned once.
+    tree = cut(syntax_tree(sources))
+    known = cut(line_facts(sources).drop("imports", "route", "test", "types"))
     ordered = Window.partitionBy("path").orderBy("node")
     edge = lambda rows, src, dst, kind: rows.select("path", F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"))
     ast = edge(tree, "parent", "node", "ast")
-    text = lines(sources).select("path", "line", F.trim("code").alias("code"))
+    text = known.select("path", "line", F.trim("code").alias("code"))
     following = tree.withColumn("next", F.lead("node").over(ordered)).join(text, ["path", "line"]).where("next is not null")
     eog = edge(following, "node", "next", "eog")
     cfg = edge(following.where(~F.col("code").rlike(r"^(?:return|throw)(?:[^A-Za-z0-9_]|$)")), "node", "next", "cfg")
     at = tree.groupBy("path", "line").agg(F.min_by(F.struct("node", "depth"), "node").alias("n")).select("path", "line", "n.*")
-    flow = flow_facts(sources)
+    flow = flow_of(known)
     control = flow.where("control <> '-'").join(at, ["path", "line"]).select("path", "line", "node", "depth")
     # The first deeper node after a node is one level down; the first that isn't deeper is at some level up to its own.
     after = Window.partitionBy("path", "level").orderBy("node", "asks").rowsBetween(1, Window.unboundedFollowing)
@@ -622,8 +736,8 @@ def property_graph(sources: DataFrame) -> DataFrame:
     met = met.withColumn("src", F.last("node", ignorenulls=True).over(upto)).where("asks = 1")
     dfg = edge(met.withColumn("src", F.when(F.col("src") != F.col("target"), F.col("src")).otherwise(-1)), "src", "target", "dfg")
     spot = at.select("path", "line", "node")
-    declared = symbols(sources).groupBy("path", "name").agg(F.max("line").alias("line")).join(spot, ["path", "line"]).select("path", F.col("name").alias("callee"), F.col("node").alias("dst"))
-    said = calls(sources).withColumn("callee", F.element_at(F.split("callee", r"\."), -1))
+    declared = symbols_of(known).groupBy("path", "name").agg(F.max("line").alias("line")).join(spot, ["path", "line"]).select("path", F.col("name").alias("callee"), F.col("node").alias("dst"))
+    said = calls_of(known).withColumn("callee", F.element_at(F.split("callee", r"\."), -1))
     call = said.join(spot, ["path", "line"]).join(declared, ["path", "callee"])
     return reduce(DataFrame.union, [ast, eog, cfg, edge(held, "of", "hit", "cdg"), edge(held, "of", "hit", "cfg"), edge(past, "of", "past", "cfg"), dfg, edge(call, "node", "dst", "call")]).distinct()
 

@@ -11,7 +11,7 @@ from loomwork.operators import snapshots as S
 from loomwork.plans import bindings as B
 from loomwork.plans.registry import query
 from loomwork.plans.relational import DIFF_SQL
-from loomwork.session import table
+from loomwork.session import cut, table
 
 
 def _facts(spark, sf):
@@ -103,9 +103,11 @@ def s7(spark, sf):
 
 def snapshot_of(src):
     """The whole snapshot of files (path, lang, text)."""
-    files = src.select("path", "lang", F.sha2("text", 256).alias("content_hash"), F.col("path").rlike("(?:^|/)tests?/").alias("is_test"))
-    symbols, imports = E.symbols(src).select("path", "name", "line"), E.imports(src).select("path", "target")
-    return S.with_facts(S.build(files, symbols, imports), files, symbols, imports, calls=E.calls(src), types=E.type_relations(src), routes=E.routes(src), tests=E.test_lines(src), entities=E.entities(src))
+    known = cut(E.line_facts(src).drop("code", "control", "target", "source"))  # read for each table below; texts are scanned three times in all
+    files = cut(src.select("path", "lang", F.sha2("text", 256).alias("content_hash"), F.col("path").rlike("(?:^|/)tests?/").alias("is_test")))
+    symbols, imports = E.symbols_of(known).select("path", "name", "line"), E.imports_of(known).select("path", "target")
+    facts = {"calls": E.calls_of(known), "types": E.types_of(known), "routes": E.routes_of(known), "tests": E.test_lines_of(known), "entities": cut(E.entities(src))}
+    return S.with_facts(S.build(files, symbols, imports), files, symbols, imports, **facts)
 
 
 @query("k_from_sources")
