@@ -33,28 +33,28 @@ NOISY = ["source", "documentation", "diagnostics"]
 
 #: Words and phrases of a task's intents, in order.
 INTENT_WORDS = {
-    "search": "find|search|lookup|retrieve|where is|locate|find file|find function|find class".split("|"),
-    "refactor": "refactor|clean|restructure|reorganize|modernize code|simplify|extract|rename".split("|"),
-    "migrate": "migrate|upgrade|modernize|convert|port|migrate to|upgrade to".split("|"),
-    "analyze": "analyze|inspect|explain|understand|how does|what does|review code|assess".split("|"),
-    "debug": "debug|fix|error|bug|crash|throw|fail|issue|problem|trace".split("|"),
-    "document": "document|doc|comment|readme|docs|write docs|generate docs".split("|"),
-    "review": "review|code review|pr|pull request|check|audit|security scan".split("|"),
-    "test": "test|unit test|integration test|e2e|spec|jest|vitest|write test".split("|"),
-    "explain": "explain|what is|how to|why does|describe|summarize|clarify".split("|"),
-    "implement": "implement|add feature|create|build|implement|write code|develop".split("|"),
+    "search": ["find", "search", "lookup", "retrieve", "where is", "locate", "find file", "find function", "find class"],
+    "refactor": ["refactor", "clean", "restructure", "reorganize", "modernize code", "simplify", "extract", "rename"],
+    "migrate": ["migrate", "upgrade", "modernize", "convert", "port", "migrate to", "upgrade to"],
+    "analyze": ["analyze", "inspect", "explain", "understand", "how does", "what does", "review code", "assess"],
+    "debug": ["debug", "fix", "error", "bug", "crash", "throw", "fail", "issue", "problem", "trace"],
+    "document": ["document", "doc", "comment", "readme", "docs", "write docs", "generate docs"],
+    "review": ["review", "code review", "pr", "pull request", "check", "audit", "security scan"],
+    "test": ["test", "unit test", "integration test", "e2e", "spec", "jest", "vitest", "write test"],
+    "explain": ["explain", "what is", "how to", "why does", "describe", "summarize", "clarify"],
+    "implement": ["implement", "add feature", "create", "build", "implement", "write code", "develop"],
 }
 INTENT_PHRASES = {
-    "search": "where is|find file|find function|find class|locate|which file|what file".split("|"),
-    "refactor": "refactor|restructure|reorganize|clean up|simplify|extract method|rename".split("|"),
-    "migrate": "migrate to|upgrade to|convert to|port to|upgrade from".split("|"),
-    "analyze": "how does|what does|review code|assess|inspect|understand".split("|"),
-    "debug": "fix|error|bug|crash|throw|fail|issue|trace|investigate|root cause".split("|"),
-    "document": "document|write docs|generate docs|add comments|readme".split("|"),
-    "review": "code review|pr|pull request|audit|security scan".split("|"),
-    "test": "unit test|integration test|write test|e2e|spec".split("|"),
-    "explain": "what is|how to|why does|describe|summarize".split("|"),
-    "implement": "add feature|create|build|write code|develop".split("|"),
+    "search": ["where is", "find file", "find function", "find class", "locate", "which file", "what file"],
+    "refactor": ["refactor", "restructure", "reorganize", "clean up", "simplify", "extract method", "rename"],
+    "migrate": ["migrate to", "upgrade to", "convert to", "port to", "upgrade from"],
+    "analyze": ["how does", "what does", "review code", "assess", "inspect", "understand"],
+    "debug": ["fix", "error", "bug", "crash", "throw", "fail", "issue", "trace", "investigate", "root cause"],
+    "document": ["document", "write docs", "generate docs", "add comments", "readme"],
+    "review": ["code review", "pr", "pull request", "audit", "security scan"],
+    "test": ["unit test", "integration test", "write test", "e2e", "spec"],
+    "explain": ["what is", "how to", "why does", "describe", "summarize"],
+    "implement": ["add feature", "create", "build", "write code", "develop"],
 }
 ENTITY = r"""(?:class|interface|type|function|const|let|var)\s+([A-Z]\w+)|import\s+(?:.*from\s+)?['"]([^'"]+)['"]|(?:class|module|function|file|path)\s+['"]([^'"]+)['"]"""
 

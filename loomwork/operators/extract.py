@@ -211,13 +211,13 @@ DETECTORS = [
 MANIFEST = r"(?i)(?:^|/)(?:package\.json|pom\.xml|build\.gradle(?:\.kts)?|[^/]+\.(?:csproj|vbproj)|pyproject\.toml|requirements\.txt|go\.mod|cargo\.toml)$"
 
 #: Words and patterns of sensitive code.
-SECURITY_WORDS = "auth authentication authorization permission token credential secret password payment pii admin cookie jwt oauth".split()
-PERFORMANCE_WORDS = "query database n+1 cache pagination batch queue stream serialize deserialize backpressure throttle".split()
-MODERNIZATION_WORDS = "todo fixme hack legacy deprecated".split()
+SECURITY_WORDS = ["auth", "authentication", "authorization", "permission", "token", "credential", "secret", "password", "payment", "pii", "admin", "cookie", "jwt", "oauth"]
+PERFORMANCE_WORDS = ["query", "database", "n+1", "cache", "pagination", "batch", "queue", "stream", "serialize", "deserialize", "backpressure", "throttle"]
+MODERNIZATION_WORDS = ["todo", "fixme", "hack", "legacy", "deprecated"]
 AUTHORIZATION = r"@(PreAuthorize|RolesAllowed|UseGuards|login_required)\b|\b(?:Depends|authorize|requireAuth)\s*\("
 QUERY_BY_INDENT = r"(?i)\bfor\s+.+:\s*\n(?:\s+.+\n){0,8}\s*.*\b(?:session\.|\.objects\.)"
 QUERY_IN_LOOP = r"(?is)\b(?:for|while)\s*\([^)]*\)\s*\{.{0,800}?\b(?:find|query|select|execute|fetch)\s*\("
-SERVICE_WORDS = "service controller handler repository client adapter payment audit user auth".split()
+SERVICE_WORDS = ["service", "controller", "handler", "repository", "client", "adapter", "payment", "audit", "user", "auth"]
 
 #: Languages by file name and extension; the longest extension wins.
 LANGUAGE_NAMES = {"dockerfile": "dockerfile", "makefile": "make", "cmakelists.txt": "cmake", "pom.xml": "maven", "build.gradle": "gradle"}

@@ -22,33 +22,36 @@ OBSERVATION = schema("id string, subject_id string, predicate string, value stri
 EVIDENCE = schema("id string, extractor string, path string, line int, digest string, freshness string")
 
 #: Kinds of units and the ends that relationships allow.
-UNIT_KINDS = (
-    "repository workspace module package file symbol service api route controller handler middleware component test configuration documentation database table orm-entity entity migration query data-entity data-flow call-flow event contract risk-area "
-    "feature-flag ci-cd infrastructure build-system package-manager architecture-boundary external-dependency decision project fixture change-impact message consumer producer"
-).split()
-_STORED = "data-entity database table orm-entity query configuration feature-flag file".split()
-_TESTED = "file symbol api service configuration data-entity database table orm-entity query fixture module".split()
+UNIT_KINDS = [
+    "repository", "workspace", "file", "module", "package", "service", "symbol", "api", "data-entity", "configuration", "test", "documentation", "call-flow", "data-flow",
+    "architecture-boundary", "risk-area", "change-impact", "database", "table", "orm-entity", "query", "feature-flag", "fixture", "ci-cd", "infrastructure", "component", "event",
+    "build-system", "package-manager", "route", "controller", "middleware", "handler", "entity", "migration", "contract", "message", "consumer", "producer",
+]
+#: Own kinds besides.
+UNIT_KINDS += ["external-dependency", "decision", "project"]
+_STORED = ["data-entity", "database", "table", "orm-entity", "query", "configuration", "feature-flag", "file"]
+_TESTED = ["file", "symbol", "api", "service", "configuration", "data-entity", "database", "table", "orm-entity", "query", "fixture", "module"]
 ENDPOINTS = {
-    "contains": ("workspace repository module package service architecture-boundary component database table ci-cd infrastructure".split(), UNIT_KINDS),
+    "contains": (["workspace", "repository", "module", "package", "service", "architecture-boundary", "component", "database", "table", "ci-cd", "infrastructure"], UNIT_KINDS),
     "defines": (
-        "file test documentation configuration module service component database table ci-cd infrastructure build-system package-manager".split(),
-        "module package symbol api data-entity service call-flow data-flow database table orm-entity query feature-flag fixture ci-cd infrastructure component event build-system package-manager route controller middleware handler repository entity migration contract message consumer producer".split(),
+        ["file", "test", "documentation", "configuration", "module", "service", "component", "database", "table", "ci-cd", "infrastructure", "build-system", "package-manager"],
+        ["module", "package", "symbol", "api", "data-entity", "service", "call-flow", "data-flow", "database", "table", "orm-entity", "query", "feature-flag", "fixture", "ci-cd", "infrastructure", "component", "event", "build-system", "package-manager", "route", "controller", "middleware", "handler", "repository", "entity", "migration", "contract", "message", "consumer", "producer"],
     ),
-    "imports": ("file test module configuration".split(), "file test module package configuration package-manager build-system ci-cd infrastructure".split()),
+    "imports": (["file", "test", "module", "configuration"], ["file", "test", "module", "package", "configuration", "package-manager", "build-system", "ci-cd", "infrastructure"]),
     "depends-on": (UNIT_KINDS, UNIT_KINDS),
-    "calls": ("symbol api call-flow".split(), "symbol api service call-flow".split()),
-    "reads": ("symbol api service data-flow query".split(), _STORED),
-    "writes": ("symbol api service data-flow query".split(), _STORED),
-    "exposes": ("file service module component controller".split(), "api event component route".split()),
-    "implements": ("symbol service".split(), "symbol architecture-boundary".split()),
+    "calls": (["symbol", "api", "call-flow"], ["symbol", "api", "service", "call-flow"]),
+    "reads": (["symbol", "api", "service", "data-flow", "query"], _STORED),
+    "writes": (["symbol", "api", "service", "data-flow", "query"], _STORED),
+    "exposes": (["file", "service", "module", "component", "controller"], ["api", "event", "component", "route"]),
+    "implements": (["symbol", "service"], ["symbol", "architecture-boundary"]),
     "extends": (["symbol"], ["symbol"]),
     "tests": (["test"], _TESTED),
     "covers": (["test"], _TESTED),
-    "configured-by": (UNIT_KINDS, "configuration feature-flag ci-cd infrastructure".split()),
+    "configured-by": (UNIT_KINDS, ["configuration", "feature-flag", "ci-cd", "infrastructure"]),
     "documented-by": (UNIT_KINDS, ["documentation"]),
-    "flows-to": ("call-flow data-flow api service symbol file data-entity query component event".split(), UNIT_KINDS),
-    "may-impact": ("change-impact risk-area file symbol service component database table query".split(), UNIT_KINDS),
-    "maps-to": ("orm-entity query component".split(), "table database data-entity service".split()),
+    "flows-to": (["call-flow", "data-flow", "api", "service", "symbol", "file", "data-entity", "query", "component", "event"], UNIT_KINDS),
+    "may-impact": (["change-impact", "risk-area", "file", "symbol", "service", "component", "database", "table", "query"], UNIT_KINDS),
+    "maps-to": (["orm-entity", "query", "component"], ["table", "database", "data-entity", "service"]),
 }
 
 
