@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import STOP_WORDS
+from loomwork.functions.text import STOP_WORDS, ascii_edges
 from loomwork.operators import graph as G
 from loomwork.operators.relational import rank_all
 from loomwork.session import cut
@@ -96,8 +96,8 @@ def classify(question: str) -> list[str]:
 def classify_column(question: Column) -> Column:
     """The same as a column of intent arrays."""
     q = F.lower(question)
-    found = F.array_compact(F.array(*[F.when(q.rlike(p), F.lit(n)) for n, p in INTENTS]))
-    return F.when(F.size(found) > 0, found).when(q.rlike(DEFINITION), F.array(F.lit("definition"))).otherwise(F.array(F.lit("generic")))
+    found = F.array_compact(F.array(*[F.when(q.rlike(ascii_edges(p)), F.lit(n)) for n, p in INTENTS]))
+    return F.when(F.size(found) > 0, found).when(q.rlike(ascii_edges(DEFINITION)), F.array(F.lit("definition"))).otherwise(F.array(F.lit("generic")))
 
 
 def terms(question: str) -> list[str]:

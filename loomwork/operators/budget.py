@@ -181,10 +181,10 @@ def packets(rows: DataFrame, by: str, order: str, cost: str, size: int) -> DataF
 def line_scores(lines: DataFrame, terms: list[str], ranges: list[tuple[int, int]] = ()) -> DataFrame:
     """(path, line, score, mandatory): a line's weight for a query; mandatory lines carry more than calls and literals."""
     code, low = F.col("code"), F.lower("code")
-    hits = [F.when(code.rlike(p), w).otherwise(0) for p, _, w in SIGNALS]
+    hits = [F.when(code.rlike(X.ascii_edges(p)), w).otherwise(0) for p, _, w in SIGNALS]
     near = [F.when(low.contains(t.lower()), TERM_WEIGHT).otherwise(0) for t in terms if len(t) > 2]
     inside = reduce(lambda a, b: a | b, [F.col("line").between(a, b) for a, b in ranges], F.lit(False))
-    strong = reduce(lambda a, b: a | b, [code.rlike(p) for p, label, _ in SIGNALS if label not in ("call", "literal")])
+    strong = reduce(lambda a, b: a | b, [code.rlike(X.ascii_edges(p)) for p, label, _ in SIGNALS if label not in ("call", "literal")])
     return lines.select("path", "line", "code", (sum([*hits, *near], F.lit(0)) + F.when(inside, RANGE_WEIGHT).otherwise(0)).alias("score"), strong.alias("mandatory"))
 
 

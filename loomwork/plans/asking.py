@@ -60,9 +60,9 @@ def score_sql(question: str, intent: str) -> str:
 QUESTIONS = [(1, "what calls the small ring"), (2, "which tests cover billing"), (3, "security impact of auth"), (4, "where is parsing defined"), (5, "slow query in the database schema"), (6, "hello there"), (7, "what does main call and its configuration"), (8, "écall flow path through module")]
 
 
-@query("q1_classify", f"WITH {B.values_sql('q', ['id', 'question'], QUESTIONS)}, x AS (SELECT id, [i FOR i IN [" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in Q.INTENTS) + f"] IF i IS NOT NULL] AS found, question FROM q) SELECT id, array_to_string(CASE WHEN len(found) > 0 THEN found WHEN regexp_matches(lower(question), '{Q.DEFINITION}') THEN ['definition'] ELSE ['generic'] END, ',') AS intents FROM x")
+@query("q1_classify", f"WITH {B.texts_sql('q', ['id', 'question'], QUESTIONS)}, x AS (SELECT id, [i FOR i IN [" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in Q.INTENTS) + f"] IF i IS NOT NULL] AS found, question FROM q) SELECT id, array_to_string(CASE WHEN len(found) > 0 THEN found WHEN regexp_matches(lower(question), '{Q.DEFINITION}') THEN ['definition'] ELSE ['generic'] END, ',') AS intents FROM x")
 def q1(spark, sf):
-    return B.literal(spark, "id int, question string", QUESTIONS).select("id", F.array_join(Q.classify_column(F.col("question")), ",").alias("intents"))
+    return B.texts(spark, sf, "id int, question string", QUESTIONS).select("id", F.array_join(Q.classify_column(F.col("question")), ",").alias("intents"))
 
 
 ASKED = "what calls small ring"
@@ -171,9 +171,11 @@ def p8(spark, sf):
     return Q.active(*facts(spark, sf))[0].select("id", "kind").join(F.broadcast(allow), "kind").select("id", "intent").distinct()
 
 
-@query("p9_action_only", f"WITH {B.values_sql('q', ['id', 'intents'], [(1, 'callers'), (2, 'callers,tests'), (3, 'api,tests'), (4, 'generic')])} SELECT id, len([i FOR i IN string_split(intents, ',') IF i NOT IN ('callers', 'callees', 'tests', 'dependencies', 'dependents')]) = 0 AS suppress FROM q")
+@query("p9_action_only", f"WITH {B.values_sql('v', ['id', 'intents'], [(1, 'callers'), (2, 'callers,tests'), (3, 'api,tests'), (4, 'generic')])}, q AS (SELECT * FROM v UNION ALL SELECT 10 + event_id, CASE event_id % 3 WHEN 0 THEN 'callers' WHEN 1 THEN 'tests,' || event_type ELSE event_type END FROM events) SELECT id, len([i FOR i IN string_split(intents, ',') IF i NOT IN ('callers', 'callees', 'tests', 'dependencies', 'dependents')]) = 0 AS suppress FROM q")
 def p9(spark, sf):
-    rows = B.literal(spark, "id int, intents string", [(1, "callers"), (2, "callers,tests"), (3, "api,tests"), (4, "generic")])
+    e = F.col("event_id")
+    made = table(spark, sf, "events").select(10 + e, F.when(e % 3 == 0, "callers").when(e % 3 == 1, F.concat(F.lit("tests,"), "event_type")).otherwise(F.col("event_type")))
+    rows = B.literal(spark, "id long, intents string", [(1, "callers"), (2, "callers,tests"), (3, "api,tests"), (4, "generic")]).union(made)
     return rows.select("id", F.forall(F.split("intents", ","), lambda i: i.isin(sorted(Q.ACTION_ONLY))).alias("suppress"))
 
 
@@ -230,7 +232,7 @@ def r6(spark, sf):
     return first.union(near.select("id", 100 + F.row_number().over(Window.orderBy("id")))).groupBy("id").agg(F.min("pos").alias("pos"))
 
 
-@query("tokenizers", f"WITH {B.values_sql('q', ['id', 'q'], QUESTIONS)} SELECT id, array_to_string(regexp_extract_all(lower(q), '[a-z0-9_]+'), ' ') AS bag, len(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9_./:-]+'), lambda t: length(t) > 1)))::INTEGER AS explorer FROM q")
+@query("tokenizers", f"WITH {B.texts_sql('q', ['id', 'q'], QUESTIONS)} SELECT id, array_to_string(regexp_extract_all(lower(q), '[a-z0-9_]+'), ' ') AS bag, len(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9_./:-]+'), lambda t: length(t) > 1)))::INTEGER AS explorer FROM q")
 def tokenizers(spark, sf):
-    rows = B.literal(spark, "id int, q string", QUESTIONS)
+    rows = B.texts(spark, sf, "id int, q string", QUESTIONS)
     return rows.select("id", F.array_join(X.lexical_tokens(F.col("q")), " ").alias("bag"), F.size(X.explorer_terms(F.col("q"))).alias("explorer"))

@@ -93,3 +93,15 @@ def values_sql(name: str, columns: list[str], rows: list[tuple]) -> str:
     """The same rows as a CTE for DuckDB."""
     shown = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
     return f"{name}({', '.join(columns)}) AS (VALUES {shown})"
+
+
+def texts_sql(name: str, columns: list[str], rows: list[tuple]) -> str:
+    """The rows (id, text) and all turns of conversations as a CTE for DuckDB."""
+    made = values_sql("v", columns, rows).split(" AS ", 1)[1]
+    return f"{name}({', '.join(columns)}) AS (SELECT * FROM {made} UNION ALL SELECT 1000 + conv_id * 1000 + turn, coalesce(text, '') FROM conversations)"
+
+
+def texts(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple]) -> DataFrame:
+    """A few fixed rows (id, text) and all turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).cast("long"), F.coalesce("text", F.lit("")))
+    return literal(spark, columns.replace("id int", "id long"), rows).union(turns)

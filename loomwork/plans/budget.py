@@ -8,7 +8,7 @@ from loomwork.functions import text as X
 from loomwork.operators import budget as C
 from loomwork.operators import extract as E
 from loomwork.plans import bindings as B
-from loomwork.plans.extraction import LINES_SQL, _q, sources
+from loomwork.plans.extraction import ALL_LINES_SQL, _q, everything
 from loomwork.plans.registry import query
 from loomwork.session import table
 
@@ -65,14 +65,14 @@ _SCORE = " + ".join([f"CASE WHEN regexp_matches(code, {_q(p)}) THEN {w} ELSE 0 E
 _MUST = " OR ".join(f"regexp_matches(code, {_q(p)})" for p, label, _ in C.SIGNALS if label not in ("call", "literal"))
 
 
-@query("c7_line_scores", f"WITH {LINES_SQL} SELECT path, line, {_SCORE} + CASE WHEN line BETWEEN 3 AND 4 THEN {C.RANGE_WEIGHT} ELSE 0 END AS score, {_MUST} AS mandatory FROM ln")
+@query("c7_line_scores", f"WITH {ALL_LINES_SQL} SELECT path, line, {_SCORE} + CASE WHEN line BETWEEN 3 AND 4 THEN {C.RANGE_WEIGHT} ELSE 0 END AS score, {_MUST} AS mandatory FROM ln")
 def c7(spark, sf):
-    return C.line_scores(E.lines(sources(spark)), ["user", "ok"], [(3, 4)]).select("path", "line", "score", "mandatory")
+    return C.line_scores(E.lines(everything(spark, sf)), ["user", "ok"], [(3, 4)]).select("path", "line", "score", "mandatory")
 
 
 @query("c7_compress_source")
 def c7b(spark, sf):
-    return C.compress_source(E.lines(sources(spark)), ["user"], 40)
+    return C.compress_source(E.lines(everything(spark, sf)), ["user"], 40)
 
 
 OUTPUTS = [("o1", "x", "compiling 12 files\nerror TS1: bad at 5\nerror TS1: bad at 9\nwarning: old\nexited 1"), ("o2", "x", "all passed\n\nfine"), ("o3", "x", "diff --git a b\n@@ 1\n+new\n-old\n--- a\n+++ b\n+more")]
@@ -147,9 +147,9 @@ INTENT_WORDS = [("explain", "explain,what,how"), ("change", "fix,update,change")
 PROMPTS = [(1, "explain how it works"), (2, "please fix and update it"), (3, "generate a build"), (4, "migrate it now"), (5, "nothing matches")]
 
 
-@query("f17_routing", f"WITH {B.values_sql('p', ['id', 'text'], PROMPTS)}, {B.values_sql('w', ['intent', 'words'], INTENT_WORDS)}, {B.values_sql('r', ['intent', 'route'], ROUTES)}, s AS (SELECT id, intent, len(list_filter(string_split(words, ','), lambda x: regexp_matches(text, '(^|[^a-z])' || x || '([^a-z]|$)'))) AS score FROM p CROSS JOIN w), b AS (SELECT id, arg_max(intent, score * 100 - length(intent)) AS intent, max(score) AS score FROM s GROUP BY id) SELECT id, CASE WHEN score > 0 THEN b.intent ELSE 'unknown' END AS intent, CASE WHEN score > 0 THEN route ELSE 'human-review' END AS route FROM b JOIN r ON r.intent = b.intent")
+@query("f17_routing", f"WITH {B.texts_sql('p', ['id', 'text'], PROMPTS)}, {B.values_sql('w', ['intent', 'words'], INTENT_WORDS)}, {B.values_sql('r', ['intent', 'route'], ROUTES)}, s AS (SELECT id, intent, len(list_filter(string_split(words, ','), lambda x: regexp_matches(text, '(^|[^a-z])' || x || '([^a-z]|$)'))) AS score FROM p CROSS JOIN w), b AS (SELECT id, arg_max(intent, score * 100 - length(intent)) AS intent, max(score) AS score FROM s GROUP BY id) SELECT id, CASE WHEN score > 0 THEN b.intent ELSE 'unknown' END AS intent, CASE WHEN score > 0 THEN route ELSE 'human-review' END AS route FROM b JOIN r ON r.intent = b.intent")
 def f17(spark, sf):
-    p = B.literal(spark, "id int, text string", PROMPTS)
+    p = B.texts(spark, sf, "id int, text string", PROMPTS)
     made = [F.struct((sum((F.when(F.col("text").rlike(f"(^|[^a-z]){w}([^a-z]|$)"), 1).otherwise(0) for w in words.split(",")), F.lit(0)) * 100 - len(intent)).alias("s"), F.lit(intent).alias("intent"), F.lit(dict(ROUTES)[intent]).alias("route")) for intent, words in INTENT_WORDS]
     best = p.select("id", F.greatest(*made).alias("b"))
     hit = F.col("b.s") > 0
@@ -171,9 +171,9 @@ _PHR = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {_q(p)})' for p in
 _CNT = {n: "(" + " + ".join(f"CASE WHEN contains(low, {_q(w)}) THEN 1 ELSE 0 END" for w in ws) + ")" for n, ws in C.INTENT_WORDS.items()}
 
 
-@query("f18_layered_intent", f"""WITH {B.values_sql("t", ["id", "text"], TASKS)}, l AS (SELECT *, lower(text) AS low FROM t), c AS (SELECT *, {_PHR} AS phrase, greatest({", ".join(_CNT.values())}) AS most, len(regexp_extract_all(text, {_q(C.ENTITY)})) AS found FROM l)
+@query("f18_layered_intent", f"""WITH {B.texts_sql("t", ["id", "text"], TASKS)}, l AS (SELECT *, lower(text) AS low FROM t), c AS (SELECT *, {_PHR} AS phrase, greatest({", ".join(_CNT.values())}) AS most, len(regexp_extract_all(text, {_q(C.ENTITY)})) AS found FROM l)
 SELECT id, CASE WHEN trim(text) = '' THEN 'unknown' ELSE coalesce(phrase, CASE WHEN most > 0 THEN CASE {" ".join(f"WHEN {c} = most THEN {_q(n)}" for n, c in _CNT.items())} END END, 'unknown') END AS intent,
 CASE WHEN trim(text) = '' THEN 0 WHEN phrase IS NOT NULL THEN 1 WHEN most > 0 THEN least(most / greatest(most, 2), 1) ELSE 0 END::DOUBLE AS confidence,
 CASE WHEN trim(text) = '' THEN 'low' WHEN length(text) > 1000 THEN 'high' WHEN length(text) > 200 THEN 'medium' WHEN found > 3 THEN 'high' WHEN found > 0 THEN 'medium' ELSE 'low' END AS complexity FROM c""")
 def f18(spark, sf):
-    return B.literal(spark, "id int, text string", TASKS).select("id", C.task_intent(F.col("text")).alias("r")).select("id", "r.*")
+    return B.texts(spark, sf, "id int, text string", TASKS).select("id", C.task_intent(F.col("text")).alias("r")).select("id", "r.*")

@@ -107,9 +107,10 @@ def x4(spark, sf):
 X9_PATHS = [("a/b/../c",), ("./x/./y",), ("../up/one",), ("a/../../b",), ("plain",), ("a//b/",)]
 
 
-@query("x9_normal_path", "SELECT * FROM (VALUES ('a/b/../c', 'a/c'), ('./x/./y', 'x/y'), ('../up/one', '../up/one'), ('a/../../b', '../b'), ('plain', 'plain'), ('a//b/', 'a/b')) t(path, normal)")
+@query("x9_normal_path", "SELECT * FROM (VALUES ('a/b/../c', 'a/c'), ('./x/./y', 'x/y'), ('../up/one', '../up/one'), ('a/../../b', '../b'), ('plain', 'plain'), ('a//b/', 'a/b')) t(path, normal) UNION ALL SELECT 'x/' || source || '/../' || lang || '/./' || doc_id, 'x/' || lang || '/' || doc_id FROM documents")
 def x9(spark, sf):
-    return B.literal(spark, "path string", X9_PATHS).select("path", E.normal_path(F.col("path")).alias("normal"))
+    made = table(spark, sf, "documents").select(F.concat(F.lit("x/"), "source", F.lit("/../"), "lang", F.lit("/./"), F.col("doc_id").cast("string")))
+    return B.literal(spark, "path string", X9_PATHS).union(made).select("path", E.normal_path(F.col("path")).alias("normal"))
 
 
 X5_SQL = f"""WITH d AS (SELECT path, line, arg_max(name, rule) FILTER (kind IN ('function', 'method')) AS own, list(DISTINCT name) AS names FROM ({_SYMBOLS}) GROUP BY 1, 2),
@@ -161,12 +162,12 @@ def x1_facts(spark, sf):
 
 @query("x10_syntax_tree")
 def x10(spark, sf):
-    return E.syntax_tree(sources(spark))
+    return E.syntax_tree(everything(spark, sf))
 
 
 @query("x21_property_graph")
 def x21(spark, sf):
-    return E.property_graph(sources(spark))
+    return E.property_graph(everything(spark, sf))
 
 
 _BASE = "split_part(path, '/', -1)"
@@ -260,9 +261,9 @@ def x15(spark, sf):
 ROOTS = [("src",), ("src/service",), ("web",)]
 
 
-@query("x16_fingerprints", f"WITH {SRC_SQL}, {B.values_sql('roots', ['root'], ROOTS)}, n AS (SELECT path, lang, coalesce(arg_max(root, length(root)), '.') AS root FROM src LEFT JOIN roots ON starts_with(path, root || '/') GROUP BY path, lang) SELECT root, count(*) AS files, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM n GROUP BY root")
+@query("x16_fingerprints", f"WITH {ALL_SQL}, {B.values_sql('roots', ['root'], ROOTS)}, n AS (SELECT path, lang, coalesce(arg_max(root, length(root)), '.') AS root FROM src LEFT JOIN roots ON starts_with(path, root || '/') GROUP BY path, lang) SELECT root, count(*) AS files, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM n GROUP BY root")
 def x16(spark, sf):
-    src = sources(spark)
+    src = everything(spark, sf)
     met = E.nearest_root(src, B.literal(spark, "root string", ROOTS)).join(src.select("path", "lang"), "path")
     return met.groupBy("root").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
 
@@ -273,19 +274,19 @@ def _words(words: list[str], extra: str) -> str:
     return f"array_to_string([x FOR x IN [{', '.join([*each, extra])}] IF x IS NOT NULL], ',')"
 
 
-@query("x17_sensitive_files", f"""WITH {SRC_SQL}, s AS (SELECT path, {_words(E.SECURITY_WORDS, f"CASE WHEN regexp_matches(text, {_q(E.AUTHORIZATION)}) THEN 'explicit authorization boundary' END")} AS security,
+@query("x17_sensitive_files", f"""WITH {ALL_SQL}, s AS (SELECT path, {_words(E.SECURITY_WORDS, f"CASE WHEN regexp_matches(text, {_q(E.AUTHORIZATION)}) THEN 'explicit authorization boundary' END")} AS security,
 {_words(E.PERFORMANCE_WORDS, f"CASE WHEN regexp_matches(text, {_q(E.QUERY_IN_LOOP)}) THEN 'database operation inside loop' END")} AS performance,
 array_to_string([x FOR x IN [CASE WHEN len(string_split(text, chr(10))) > 500 THEN 'very large file' END, {", ".join(f"CASE WHEN contains(lower(path || chr(10) || text), '{w}') THEN '{w}' END" for w in E.MODERNIZATION_WORDS)},
 CASE WHEN contains(lower(path), 'controller') AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(db|database|query|repository)([^A-Za-z0-9_]|$)') THEN 'direct db call' END] IF x IS NOT NULL], ',') AS modernization FROM src)
 SELECT * FROM s WHERE security <> '' OR performance <> '' OR modernization <> ''""".replace("(?is)\\b(?:for|while)\\s*\\([^)]*\\)\\s*\\{.{0,800}?", "(?is)\\b(?:for|while)\\s*\\([^)]*\\)\\s*\\{.{0,800}?"))
 def x17(spark, sf):
-    return E.sensitive(sources(spark))
+    return E.sensitive(everything(spark, sf))
 
 
-@query("x20_services", f"""WITH {SRC_SQL} SELECT path, regexp_replace(split_part(path, '/', -1), '\\.[^.]+$', '') AS name, array_to_string([p FOR p IN regexp_split_to_array(lower(path), '[/._-]') IF p IN ({", ".join(_q(w) for w in E.SERVICE_WORDS)})], ',') AS hints
+@query("x20_services", f"""WITH {ALL_SQL} SELECT path, regexp_replace(split_part(path, '/', -1), '\\.[^.]+$', '') AS name, array_to_string([p FOR p IN regexp_split_to_array(lower(path), '[/._-]') IF p IN ({", ".join(_q(w) for w in E.SERVICE_WORDS)})], ',') AS hints
 FROM src WHERE regexp_matches(lower(path), 'service|controller|handler|repository|client|adapter') AND NOT regexp_matches(lower(path), '(?:^|/)(?:__tests__|tests?|spec)(?:/|$)|\\.(?:test|spec)\\.[^.]+$')""")
 def x20(spark, sf):
-    return E.services(sources(spark))
+    return E.services(everything(spark, sf))
 
 
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END"

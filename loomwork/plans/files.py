@@ -143,9 +143,10 @@ def p12(spark, sf):
 IMPL = r"^(?:src|lib|pkg|web|app)/"
 
 
-@query("p13_implementation_paths", f"WITH {SRC_SQL} SELECT path FROM src WHERE regexp_matches(path, {_q(IMPL)}) AND NOT regexp_matches(path, '[.](?:test|spec)[.]|(?:^|/)(?:docs|fixtures)/')")
+@query("p13_implementation_paths", f"WITH {SRC_SQL}, {B.FILES_SQL}, every AS (SELECT path FROM src UNION ALL SELECT 'src/' || path FROM files) SELECT path FROM every WHERE regexp_matches(path, {_q(IMPL)}) AND NOT regexp_matches(path, '[.](?:test|spec)[.]|(?:^|/)(?:docs|fixtures)/')")
 def p13(spark, sf):
-    return sources(spark).where(F.col("path").rlike(IMPL) & ~F.col("path").rlike("[.](?:test|spec)[.]|(?:^|/)(?:docs|fixtures)/")).select("path")
+    every = sources(spark).select("path").union(B.files(spark, sf).select(F.concat(F.lit("src/"), "path")))
+    return every.where(F.col("path").rlike(IMPL) & ~F.col("path").rlike("[.](?:test|spec)[.]|(?:^|/)(?:docs|fixtures)/")).select("path")
 
 
 @query("t9_coupling_order", "WITH c AS (SELECT o_custkey AS a, o_orderstatus AS b, count(*) AS commits, round(count(*) / 20.0::DOUBLE, 6) AS strength FROM orders GROUP BY 1, 2) SELECT a, b, strength FROM c ORDER BY strength DESC, commits DESC, a, b LIMIT 50")

@@ -135,14 +135,14 @@ def _case(column, rules, default, pick=0):
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, {_q(r[1])}) THEN {_q(r[pick]) if isinstance(r[pick], str) else r[pick]}" for r in rules) + f" ELSE {default} END"
 
 
-@query("f9_failure_class", f"WITH {B.values_sql('f', ['id', 'message'], FAILS)} SELECT id, {_case('message', Q.FLAKY_CLASSES, _q('FLAKY'))} AS class FROM f")
+@query("f9_failure_class", f"WITH {B.texts_sql('f', ['id', 'message'], FAILS)} SELECT id, {_case('message', Q.FLAKY_CLASSES, _q('FLAKY'))} AS class FROM f")
 def f9(spark, sf):
-    return B.literal(spark, "id int, message string", FAILS).select("id", Q.classify_failure(F.col("message")).alias("class"))
+    return B.texts(spark, sf, "id int, message string", FAILS).select("id", Q.classify_failure(F.col("message")).alias("class"))
 
 
-@query("f10_remediation", f"WITH {B.values_sql('f', ['id', 'message'], FAILS)} SELECT id, {_case('message', Q.REMEDIATION, _q('REAL_BUG'))} AS type, {_case('message', Q.REMEDIATION, '0.68', 2)}::DOUBLE AS confidence, {_case('message', Q.REMEDIATION, _q('product-defect'), 3)} AS kind FROM f")
+@query("f10_remediation", f"WITH {B.texts_sql('f', ['id', 'message'], FAILS)} SELECT id, {_case('message', Q.REMEDIATION, _q('REAL_BUG'))} AS type, {_case('message', Q.REMEDIATION, '0.68', 2)}::DOUBLE AS confidence, {_case('message', Q.REMEDIATION, _q('product-defect'), 3)} AS kind FROM f")
 def f10(spark, sf):
-    return B.literal(spark, "id int, message string", FAILS).select("id", Q.remediation(F.col("message")).alias("r")).select("id", "r.*")
+    return B.texts(spark, sf, "id int, message string", FAILS).select("id", Q.remediation(F.col("message")).alias("r")).select("id", "r.*")
 
 
 @query("f11_quarantine", """SELECT user_id AS test_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM events GROUP BY 1 HAVING round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) >= 0.25 AND max(ts) + INTERVAL 7 DAY > TIMESTAMP '2024-01-03'""")
@@ -175,9 +175,9 @@ MEDIUM = [("session", r"(?i)cookie|token"), ("network", r"(?i)http")]
 EXCERPTS = [(1, "reset the Password"), (2, "cookie and http"), (3, "plain"), (4, "eval token")]
 
 
-@query("f15_excerpt_risk", f"WITH {B.values_sql('e', ['id', 'text'], EXCERPTS)} SELECT id, CASE WHEN " + " OR ".join(f"regexp_matches(text, {_q(p)})" for _, p in HIGH) + " THEN 'high' WHEN " + " OR ".join(f"regexp_matches(text, {_q(p)})" for _, p in MEDIUM) + " THEN 'medium' ELSE 'low' END AS level, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN {_q(c)} END" for c, p in [*HIGH, *MEDIUM]) + "] IF x IS NOT NULL], ',') AS areas FROM e")
+@query("f15_excerpt_risk", f"WITH {B.texts_sql('e', ['id', 'text'], EXCERPTS)} SELECT id, CASE WHEN " + " OR ".join(f"regexp_matches(text, {_q(p)})" for _, p in HIGH) + " THEN 'high' WHEN " + " OR ".join(f"regexp_matches(text, {_q(p)})" for _, p in MEDIUM) + " THEN 'medium' ELSE 'low' END AS level, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN {_q(c)} END" for c, p in [*HIGH, *MEDIUM]) + "] IF x IS NOT NULL], ',') AS areas FROM e")
 def f15(spark, sf):
-    return B.literal(spark, "id int, text string", EXCERPTS).select("id", Q.excerpt_risk(F.col("text"), HIGH, MEDIUM).alias("r")).select("id", "r.*")
+    return B.texts(spark, sf, "id int, text string", EXCERPTS).select("id", Q.excerpt_risk(F.col("text"), HIGH, MEDIUM).alias("r")).select("id", "r.*")
 
 
 @query("f16_modernization", f"""WITH {B.FILES_SQL}, g AS (SELECT source AS dir, count(*) AS files, sum(line_count)::BIGINT AS lines, count(*) FILTER (WHERE line_count > 20) AS large, count(*) FILTER (WHERE is_test) AS tests FROM files GROUP BY 1)
@@ -277,9 +277,11 @@ def f19(spark, sf):
 RESPONSES = [(1, '{"a": 1}'), (2, 'text ```json\n{"b": 2}\n``` end'), (3, 'so {"c": 3} it is'), (4, "no object"), (5, "{broken"), (6, None)]
 
 
-@query("f20_response_recovery", "SELECT * FROM (VALUES (1, '{\"a\": 1}', 'complete'), (2, '{\"b\": 2}', 'partial'), (3, '{\"c\": 3}', 'partial'), (4, '-', 'absent'), (5, '-', 'absent'), (6, '-', 'absent')) t(id, json, status)")
+@query("f20_response_recovery", "SELECT * FROM (VALUES (1, '{\"a\": 1}', 'complete'), (2, '{\"b\": 2}', 'partial'), (3, '{\"c\": 3}', 'partial'), (4, '-', 'absent'), (5, '-', 'absent'), (6, '-', 'absent')) t(id, json, status) UNION ALL SELECT 10 + event_id, CASE WHEN event_id % 3 = 2 THEN '-' ELSE props END, CASE event_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'absent' END FROM events")
 def f20(spark, sf):
-    rows = B.literal(spark, "id int, r string", RESPONSES).withColumn("json", Q.recover_json(F.col("r")))
+    e = F.col("event_id")
+    made = table(spark, sf, "events").select(10 + e, F.when(e % 3 == 0, F.col("props")).when(e % 3 == 1, F.concat(F.lit("so "), "props", F.lit(" it is"))).otherwise("none"))
+    rows = B.literal(spark, "id long, r string", RESPONSES).union(made).withColumn("json", Q.recover_json(F.col("r")))
     return rows.select("id", F.coalesce("json", F.lit("-")).alias("json"), F.when(F.col("json").isNull(), "absent").when(F.col("json") == F.col("r"), "complete").otherwise("partial").alias("status"))
 
 
@@ -291,9 +293,9 @@ def f21(spark, sf):
 ASKS = [(1, "fix the login page quickly please"), (2, "make it better"), (3, "refactor src/app.ts now and then"), (4, "update everything around here soon")]
 
 
-@query("f22_ambiguity", f"WITH {B.values_sql('a', ['id', 'text'], ASKS)}, t AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_./-]+') AS k FROM a), f AS (SELECT id, len(k) AS n, len(list_filter(k, lambda x: regexp_matches(x, {_q(Q.ACTIONS)}))) = 0 AS missing_action, len(list_filter(k, lambda x: contains(x, '/') OR regexp_matches(x, {_q(Q.TARGETS)}))) = 0 AS missing_target FROM t) SELECT id, n < 5 OR missing_action OR missing_target AS vague, missing_action, missing_target FROM f")
+@query("f22_ambiguity", f"WITH {B.texts_sql('a', ['id', 'text'], ASKS)}, t AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_./-]+') AS k FROM a), f AS (SELECT id, len(k) AS n, len(list_filter(k, lambda x: regexp_matches(x, {_q(Q.ACTIONS)}))) = 0 AS missing_action, len(list_filter(k, lambda x: contains(x, '/') OR regexp_matches(x, {_q(Q.TARGETS)}))) = 0 AS missing_target FROM t) SELECT id, n < 5 OR missing_action OR missing_target AS vague, missing_action, missing_target FROM f")
 def f22(spark, sf):
-    return B.literal(spark, "id int, text string", ASKS).select("id", Q.ambiguity(F.col("text")).alias("r")).select("id", "r.*")
+    return B.texts(spark, sf, "id int, text string", ASKS).select("id", Q.ambiguity(F.col("text")).alias("r")).select("id", "r.*")
 
 
 @query("f23_plan_metrics", "SELECT o_custkey AS plan, round(sum(o_totalprice), 2) AS effort, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS high_risk, count(*) FILTER (WHERE o_orderstatus = 'F') AS reversible FROM orders GROUP BY 1")
