@@ -165,17 +165,22 @@ def prefix_fit(rows: DataFrame, by: list[str], order: list[str], cost: Column, b
 
 
 def packets(rows: DataFrame, by: str, order: str, cost: str, size: int) -> DataFrame:
-    """(by, order, packet): a new packet begins where the next row would overflow, folded inside the plan."""
-    listed = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("packet"), F.array().cast("array<struct<o:bigint,p:int>>").alias("out"))
+    """(by, order, packet): a new packet begins where the next row would overflow, folded inside the plan.
 
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["c"] > size)
-        packet = acc["packet"] + F.when(over, 1).otherwise(0)
-        used = F.when(over, x["c"]).otherwise(acc["used"] + x["c"])
-        return F.struct(used.alias("used"), packet.alias("packet"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), packet.alias("p")))).alias("out"))
+    The fold keeps where packets begin, and a packet's rows are cut out at once, so a request costs its rows and its packets.
+    """
+    listed = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c")))).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
 
-    return listed.select(by, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(by, F.col("x.o").alias(order), F.col("x.p").alias("packet"))
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc["at"] == 0) | ((acc["used"] > 0) & (acc["used"] + x["c"] > size))
+        begins = F.when(new, F.concat(acc["begins"], F.array(acc["at"] + 1))).otherwise(acc["begins"])
+        return F.struct(F.when(new, x["c"]).otherwise(acc["used"] + x["c"]).alias("used"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
+
+    cut_at = listed.select(by, "rows", F.aggregate("rows", start, step)["begins"].alias("begins"))
+    packets_ = cut_at.select(by, "rows", F.posexplode("begins").alias("packet", "begin"), F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("rows") + 1)).alias("ends"))
+    each = packets_.select(by, "packet", F.explode(F.slice("rows", F.col("begin"), F.element_at("ends", F.col("packet") + 1) - F.col("begin"))).alias("x"))
+    return each.select(by, F.col("x.o").alias(order), "packet")
 
 
 def line_scores(lines: DataFrame, terms: list[str], ranges: list[tuple[int, int]] = ()) -> DataFrame:

@@ -27,13 +27,13 @@ BAND_SQL = """CASE WHEN category = 'history' THEN 'P4' WHEN category = 'intent'
 WHEN category IN ('changes', 'diagnostics') THEN 'P1' WHEN source_type IN ('bounded-intelligence', 'repository-file') THEN CASE WHEN relevance >= 0.45 THEN 'P1' ELSE 'P2' END WHEN source_type IN ('intelligence-relationship', 'intelligence-flow') THEN CASE WHEN relevance >= 0.55 THEN 'P1' ELSE 'P2' END WHEN relevance < 0.3 THEN 'P3' ELSE 'P2' END"""
 
 
-@query("c1_collect", "WITH u AS (SELECT doc_id AS id, n_chars / 1000.0 AS relevance, substr(text, 1, 20) AS content, 'a' AS source_type FROM documents UNION ALL SELECT doc_id, 5.0, NULL, 'b' FROM labels UNION ALL SELECT doc_id, quality::DOUBLE, 'label', 'c' FROM labels) SELECT id, source_type FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY content IS NOT NULL DESC, relevance DESC, source_type) = 1")
+@query("c1_collect", "WITH u AS (SELECT doc_id AS id, n_chars / 1000.0 AS relevance, text AS content, 'a' AS source_type FROM documents UNION ALL SELECT doc_id, 5.0, NULL, 'b' FROM labels UNION ALL SELECT doc_id, quality::DOUBLE, 'label', 'c' FROM labels) SELECT id, source_type, coalesce(length(content), 0) AS chars FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY content IS NOT NULL DESC, relevance DESC, source_type) = 1")
 def c1(spark, sf):
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
-    a = d.select(F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("relevance"), F.substring("text", 1, 20).alias("content"), F.lit("a").alias("source_type"))
+    a = d.select(F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("relevance"), F.col("text").alias("content"), F.lit("a").alias("source_type"))
     b = lab.select(F.col("doc_id").alias("id"), F.lit(5.0).alias("relevance"), F.lit(None).cast("string").alias("content"), F.lit("b").alias("source_type"))
     c = lab.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("relevance"), F.lit("label").alias("content"), F.lit("c").alias("source_type"))
-    return C.collect([a, b, c]).select("id", "source_type")
+    return C.collect([a, b, c]).select("id", "source_type", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("chars"))
 
 
 @query("c2_dedupe", """WITH c AS (SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS evidence, source AS source_type, doc_id % 10 AS priority, n_chars / 10.0 AS relevance, n_chars AS cost, doc_id % 2 = 0 AS expandable FROM documents),
@@ -110,9 +110,10 @@ def p15(spark, sf):
     return rows.select("id", C.shape(F.col("j")).alias("shape"))
 
 
-@query("c9_keep_smaller", "SELECT doc_id, length(CASE WHEN strlen(substr(text, 1, 50)) < strlen(text) THEN substr(text, 1, 50) ELSE text END) AS kept FROM documents")
+@query("c9_keep_smaller", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), f AS (SELECT doc_id, x, min(n) AS n FROM l GROUP BY 1, 2),
+r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS r FROM f GROUP BY 1) SELECT doc_id, length(CASE WHEN strlen(r) < strlen(text) THEN r ELSE text END) AS kept FROM documents JOIN r USING (doc_id)""")
 def c9c(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(C.smaller(F.col("text"), F.substring("text", 1, 50))).cast("long").alias("kept"))
+    return table(spark, sf, "documents").select("doc_id", F.length(C.smaller(F.col("text"), F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n"))).cast("long").alias("kept"))
 
 
 @query("c10_context_pack", f"WITH {CAND_SQL}, t AS (SELECT request, id, relevance, cost, sum(cost) OVER (PARTITION BY request ORDER BY relevance DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS used, row_number() OVER (PARTITION BY request ORDER BY relevance DESC, id) AS rn FROM cand) SELECT request, id FROM t WHERE used <= 900 OR rn = 1")
