@@ -218,3 +218,57 @@ def stale(captured: DataFrame, current: DataFrame) -> DataFrame:
 
 def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {n: spark.createDataFrame([], s) for n, s in zip(TABLES, (UNIT, RELATIONSHIP, OBSERVATION, EVIDENCE), strict=True)}
+
+
+#: What makes a file a configuration, and a statement one that writes.
+CONFIGURATION_LANGUAGES = ["json", "yaml", "toml", "xml"]
+CONFIGURATION_PATH = r"(?i)(?:^|/)(?:package\.json|tsconfig.*\.json|.*\.ya?ml|.*\.toml|.*\.properties|Dockerfile|Makefile)$"
+WRITES = r"^(?:insert|update|delete|merge|writ)"
+
+
+def file_kind(path: Column, lang: Column, is_test: Column) -> Column:
+    """The kind of unit that a file is."""
+    configured = lang.isin(CONFIGURATION_LANGUAGES) | path.rlike(CONFIGURATION_PATH)
+    return F.when(lang == "markdown", "documentation").when(is_test, "test").when(configured, "configuration").otherwise("file")
+
+
+def structure(files: DataFrame, entities: DataFrame, flows: DataFrame) -> DataFrame:
+    """(kind, source, target) between units by kind and key: what holds, configures and documents the repository, what
+    statements and flows read and write, which tables models stand for.
+
+    ``files`` (path, lang, is_test), ``entities`` and ``flows`` (path, line, target, source) as extracted. A table is
+    looked for in the own file, else anywhere by its name, the last path's then. Each relation is there once.
+    """
+    own = files.select("path", file_kind(F.col("path"), F.col("lang"), F.col("is_test")).alias("k"), "lang")
+    end = lambda kind, key: F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(":"), key)
+    edge = lambda kind, source, target: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), source.alias("source"), target.alias("target"))
+    repository, path = F.lit("repository:."), F.col("path")
+    file = end(F.col("k"), path)
+    schema_file = (F.col("lang") == "sql") | path.rlike(r"(?i)\.(?:sql|prisma)$")
+    of_files = own.select(F.inline(F.array_compact(F.array(
+        edge("contains", repository, file),
+        F.when(F.col("k") == "documentation", edge("documented-by", repository, file)),
+        F.when(F.col("k") == "configuration", edge("configured-by", repository, file)),
+        F.when(schema_file, edge("defines", file, end("data-entity", F.concat(F.lit("data:"), path)))),
+    ))))
+    line = F.concat(F.lit("data:"), path, F.lit(":"), F.col("line").cast("string"), F.lit(":"), "source", F.lit("->"), "target")
+    variable = lambda c: end("data-entity", F.concat(F.lit("variable:"), path, F.lit(":"), c))
+    of_flows = flows.join(own, "path").select(F.inline(F.array(
+        edge("defines", file, end("data-flow", line)), edge("reads", end("data-flow", line), variable("source")), edge("writes", end("data-flow", line), variable("target")), edge("flows-to", variable("source"), variable("target")),
+    )))
+    key = end(F.col("kind"), F.concat(F.lower("name"), F.lit("@"), path))
+    named = entities.select("path", "kind", "name", "detail", key.alias("unit"))
+    of_entities = named.join(own, "path").select(F.inline(F.array_compact(F.array(
+        F.when(F.col("kind") == "feature-flag", edge("configured-by", file, F.col("unit"))),
+        F.when(F.col("kind").isin("ci-cd", "infrastructure"), edge("contains", repository, F.col("unit"))),
+    ))))
+    tables = named.where("kind = 'table'").select("path", F.lower("name").alias("low"), "unit").distinct()
+    held = named.where("kind = 'database'").select("path", F.col("unit").alias("database")).join(tables, "path").select(F.lit("contains").alias("kind"), F.col("database").alias("source"), F.col("unit").alias("target"))
+    parts = F.split("detail", r"\|")
+    model = F.when(F.col("detail").rlike("^(?:sqlalchemy|django|decorator) "), F.substring_index("detail", " ", -1)).otherwise(F.col("name"))
+    asked = named.where("kind = 'orm-entity'").select("path", F.lit("maps-to").alias("kind"), F.col("unit").alias("source"), F.lower(model).alias("low"))
+    stated = named.where((F.col("kind") == "query") & (F.size(parts) > 2)).select("path", F.when(parts[0].rlike(WRITES), "writes").otherwise("reads").alias("kind"), F.col("unit").alias("source"), F.lower(parts[1]).alias("low")).where("low <> ''")
+    here = tables.select("path", "low", F.col("unit").alias("here"))
+    anywhere = tables.groupBy("low").agg(F.max_by("unit", "path").alias("any"))
+    linked = asked.union(stated).join(here, ["path", "low"], "left").join(anywhere, "low", "left").select("kind", "source", F.coalesce("here", "any").alias("target")).where("target is not null")
+    return reduce(DataFrame.union, [of_files, of_flows, of_entities, held, linked]).distinct()

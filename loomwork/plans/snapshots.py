@@ -116,3 +116,30 @@ def k_from_sources(spark, sf):
 
     snapshot = snapshot_of(everything(spark, sf))
     return snapshot["units"].select("kind", "canonical_key").union(snapshot["relationships"].select("kind", F.concat_ws("->", "source_id", "target_id")))
+
+
+def _structure_sql() -> str:
+    from loomwork.plans import extraction as X
+
+    kind = f"CASE WHEN lang = 'markdown' THEN 'documentation' WHEN regexp_matches(path, '(?:^|/)tests?/') THEN 'test' WHEN lang IN ('json', 'yaml', 'toml', 'xml') OR regexp_matches(path, {X._q(S.CONFIGURATION_PATH)}) THEN 'configuration' ELSE 'file' END"
+    return f"""WITH {X.ALL_LINES_SQL}, e AS ({X.X11_SQL}), own AS (SELECT path, lang, {kind} AS k FROM src), fl AS (SELECT * FROM ({X.X6_SQL}) WHERE target <> '-'),
+u AS (SELECT *, kind || ':' || lower(name) || '@' || path AS unit FROM e), t AS (SELECT DISTINCT path, lower(name) AS low, unit FROM u WHERE kind = 'table'),
+d AS (SELECT f.*, k, 'data-flow:data:' || path || ':' || line || ':' || source || '->' || target AS flow, 'data-entity:variable:' || path || ':' AS var FROM fl f JOIN own USING (path)),
+a AS (SELECT path, 'maps-to' AS kind, unit AS source, lower(CASE WHEN regexp_matches(detail, '^(?:sqlalchemy|django|decorator) ') THEN split_part(detail, ' ', -1) ELSE name END) AS low FROM u WHERE kind = 'orm-entity'
+  UNION ALL SELECT path, CASE WHEN regexp_matches(detail, '^(?:insert|update|delete|merge|writ)') THEN 'writes' ELSE 'reads' END, unit, lower(split_part(detail, '|', 2)) FROM u WHERE kind = 'query' AND split_part(detail, '|', 3) <> '' AND split_part(detail, '|', 2) <> ''),
+r AS (SELECT 'contains' AS kind, 'repository:.' AS source, k || ':' || path AS target FROM own UNION ALL SELECT 'documented-by', 'repository:.', k || ':' || path FROM own WHERE k = 'documentation' UNION ALL SELECT 'configured-by', 'repository:.', k || ':' || path FROM own WHERE k = 'configuration'
+UNION ALL SELECT 'defines', k || ':' || path, 'data-entity:data:' || path FROM own WHERE lang = 'sql' OR regexp_matches(path, '(?i)[.](?:sql|prisma)$')
+UNION ALL SELECT 'defines', k || ':' || path, flow FROM d UNION ALL SELECT 'reads', flow, var || source FROM d UNION ALL SELECT 'writes', flow, var || target FROM d UNION ALL SELECT 'flows-to', var || source, var || target FROM d
+UNION ALL SELECT 'configured-by', k || ':' || path, unit FROM u JOIN own USING (path) WHERE kind = 'feature-flag' UNION ALL SELECT 'contains', 'repository:.', unit FROM u WHERE kind IN ('ci-cd', 'infrastructure')
+UNION ALL SELECT 'contains', u.unit, t.unit FROM u JOIN t USING (path) WHERE kind = 'database'
+UNION ALL SELECT a.kind, source, coalesce((SELECT unit FROM t WHERE t.path = a.path AND t.low = a.low), (SELECT arg_max(unit, path) FROM t WHERE t.low = a.low)) FROM a)
+SELECT DISTINCT * FROM r WHERE target IS NOT NULL"""
+
+
+@query("k_structure", _structure_sql())
+def k_structure(spark, sf):
+    from loomwork.plans.extraction import everything
+
+    src = everything(spark, sf)
+    files = src.select("path", "lang", F.col("path").rlike("(?:^|/)tests?/").alias("is_test"))
+    return S.structure(files, cut(E.entities(src)), cut(E.flow_facts(src).where("target <> '-'")))
