@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.session import cut, ensure_checkpoint_dir, shuffle_partitions
+from loomwork.session import cut, ensure_checkpoint_dir, ship, shuffle_partitions
 
 FILE, PLACE = "__lw_file", "__lw_place"
 _LAST = "__lw_last"
@@ -159,6 +159,7 @@ def rewrite(spark: SparkSession, folder: str, schema: T.StructType, marks: DataF
     Survivors keep their order. If this is ended on the way, do it all again from the victims: ranks then
     are of the files as they are.
     """
+    ship(spark)
     marks = cut(marks)  # the files that they are told from are replaced below
     hit = cut(marks.groupBy(FILE).agg(F.sum(F.col(_LAST) - F.col(PLACE) + 1).alias("erased")))
     files, top = hit.agg(F.count("*"), F.max(FILE)).first()
@@ -184,6 +185,7 @@ def rewrite(spark: SparkSession, folder: str, schema: T.StructType, marks: DataF
 
 def digests(spark: SparkSession, folder: str, schema: T.StructType, amount: str) -> DataFrame:
     """(FILE, path, n_rows, cents, ids_sha256) of each stored file, read back; the ids are the first column's."""
+    ship(spark)
     rows = stored(spark, folder, schema)
     cents = F.coalesce(F.floor(F.col(f"`{amount}`") * 100 + 0.5), F.lit(0)).cast("long")
     sums = rows.groupBy(FILE).agg(F.count("*").alias("n_rows"), F.sum(cents).alias("cents"), F.any_value("__lw_path").alias("path"))
