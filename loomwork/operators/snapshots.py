@@ -152,29 +152,29 @@ def downgraded(rels: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def violations(snapshot: dict[str, DataFrame]) -> DataFrame:
-    """(path, message) of everything a valid snapshot must not have; empty if it is valid."""
-    u, r = snapshot["units"], snapshot["relationships"]
+    """(path, message) of everything a valid snapshot must not have; empty if it is valid.
 
-    def bad(rows: DataFrame, where: str, message: str) -> DataFrame:
-        return rows.select(F.concat(F.lit(f"{where}/"), F.coalesce("id", F.lit("?"))).alias("path"), F.lit(message).alias("message"))
-
-    out = [bad(u.where(F.col("id").isNull() | F.col("kind").isNull() | F.col("name").isNull() | F.col("canonical_key").isNull()), "units", "required field is missing")]
-    out.append(bad(r.where(F.col("id").isNull() | F.col("source_id").isNull() | F.col("target_id").isNull()), "relationships", "required field is missing"))
-    for name, t in (("units", u), ("relationships", r)):
-        out.append(bad(t.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), name, "duplicate id"))
-        out.append(bad(t.where(~F.col("confidence").between(0, 1)), name, "confidence out of range"))
-        out.append(bad(t.where(~F.col("lifecycle").isin("active", "deprecated", "deleted")), name, "unknown lifecycle"))
-    keys = u.where("lifecycle = 'active'").groupBy("kind", "canonical_key").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
-    out.append(bad(keys, "units", "active canonical key is not unique"))
-    out.append(bad(u.where(~F.col("kind").isin(UNIT_KINDS)), "units", "unknown kind"))
-    ids = u.select(F.col("id").alias("end"))
-    for end in ("source_id", "target_id"):
-        out.append(bad(r.join(ids, F.col(end) == F.col("end"), "left_anti"), "relationships", f"{end} does not exist"))
-    a, b = u.select(F.col("id").alias("source_id"), F.col("kind").alias("sk")), u.select(F.col("id").alias("target_id"), F.col("kind").alias("tk"))
-    met = r.join(a, "source_id").join(b, "target_id")
-    wrong = reduce(lambda x, y: x | y, [(F.col("kind") == k) & ~(F.col("sk").isin(s) & F.col("tk").isin(t)) for k, (s, t) in ENDPOINTS.items()])
-    out.append(bad(met.where(wrong), "relationships", "endpoint kinds are not allowed"))
-    return reduce(DataFrame.union, out)
+    What a row shows is found in one pass over its table. One aggregate of the units by id tells repeated ids and both ends
+    of relationships; of an id with several kinds the least is that of the end.
+    """
+    u, r = snapshot["units"], snapshot["relationships"]
+    said = lambda checks: F.explode(F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), message) for when, message in checks]))).alias("message")
+    at = lambda where: F.concat(F.lit(f"{where}/"), F.coalesce("id", F.lit("?"))).alias("path")
+    missing = lambda *names: reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])
+    both = [(~F.col("confidence").between(0, 1), "confidence out of range"), (~F.col("lifecycle").isin("active", "deprecated", "deleted"), "unknown lifecycle")]
+    of_units = u.select(at("units"), said([(missing("id", "kind", "name", "canonical_key"), "required field is missing"), (~F.col("kind").isin(UNIT_KINDS), "unknown kind"), *both]))
+    ids = u.groupBy("id").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
+    keys = u.where("lifecycle = 'active'").groupBy("kind", "canonical_key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    ends = [ids.select(F.col("id").alias(f"{end}_id"), F.col("n").alias(f"{end}_n"), F.col("kind").alias(f"{end}_kind")) for end in ("source", "target")]
+    met = r.join(ends[0], "source_id", "left").join(ends[1], "target_id", "left")
+    wrong = reduce(lambda x, y: x | y, [(F.col("kind") == k) & ~(F.col("source_kind").isin(s) & F.col("target_kind").isin(t)) for k, (s, t) in ENDPOINTS.items()])
+    known = F.col("source_n").isNotNull() & F.col("target_n").isNotNull()
+    of_relations = met.select(at("relationships"), said([
+        (missing("id", "source_id", "target_id"), "required field is missing"), *both, (F.col("source_n").isNull(), "source_id does not exist"), (F.col("target_n").isNull(), "target_id does not exist"), (known & wrong, "endpoint kinds are not allowed"),
+    ]))
+    twice = lambda rows, where, message: rows.where("n > 1").select(at(where), F.lit(message).alias("message"))
+    repeated = [twice(ids, "units", "duplicate id"), twice(r.groupBy("id").agg(F.count("*").alias("n")), "relationships", "duplicate id"), twice(keys, "units", "active canonical key is not unique")]
+    return reduce(DataFrame.union, [of_units, of_relations, *repeated])
 
 
 def downgrade(rels: DataFrame, units: DataFrame) -> DataFrame:
