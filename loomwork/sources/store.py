@@ -6,6 +6,9 @@ commit point. Readers follow the pointer.
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +30,8 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_snapshot(snapshot: dict[str, DataFrame], root: str, run: str) -> None:
-    """Validate, write the run's tables and manifest, then point to it."""
+def write_snapshot(snapshot: dict[str, DataFrame], root: str, run: str, after: int | None = None) -> None:
+    """Validate, write the run's tables and manifest, then publish it, if ``after`` is still the last publication."""
     spark = snapshot["units"].sparkSession
     bad = S.violations(snapshot).limit(5).collect()
     if bad:
@@ -36,17 +39,92 @@ def write_snapshot(snapshot: dict[str, DataFrame], root: str, run: str) -> None:
     for name in S.TABLES:
         snapshot[name].write.mode("overwrite").parquet(f"{root}/runs/{run}/{name}")
     S.manifest(snapshot).withColumn("run", F.lit(run)).coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/{run}/manifest")
-    at = F.current_timestamp()
-    spark.range(1).select(F.lit(run).alias("run"), at.alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    publish(spark, root, run, after)
 
 
-def current_run(spark: SparkSession, root: str) -> str | None:
-    """The run that was published last."""
+def _store(spark: SparkSession, path: str):
+    """The file system that a path names, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _published(spark: SparkSession, root: str) -> list[int]:
+    fs, at = _store(spark, f"{root}/pointer")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()) if fs.exists(at) else []
+
+
+def last_number(spark: SparkSession, root: str) -> int:
+    """The number of the last publication, 0 before the first."""
+    return max(_published(spark, root), default=0)
+
+
+def publish(spark: SparkSession, root: str, run: str, after: int | None = None) -> int:
+    """Make ``run`` the published one and return its number.
+
+    Pointers are numbered files that are created only if they aren't there, so of two writers of one number one is refused,
+    where the store creates files atomically. With ``after``, the number that the writer started from, it is refused
+    as well if another run was published since; without, the next free number is taken.
+    """
+    while True:
+        last = last_number(spark, root)
+        if after is not None and last != after:
+            raise RuntimeError(f"run {last} was published since {after}")
+        if _created(spark, f"{root}/pointer/{last + 1:010d}", run.encode()):
+            return last + 1
+        # Another writer was faster: look again.
+
+
+def _created(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create a file unless it is there; on a plain file system by the system's own exclusive call, as Hadoop's only looks first."""
+    fs, at = _store(spark, path)
     try:
-        row = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at"), F.desc("run")).first()
-    except AnalysisException:
-        return None
-    return row["run"] if row else None
+        if fs.getScheme() == "file":
+            fs.mkdirs(at.getParent())
+            handle = os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            os.write(handle, content)
+            os.close(handle)
+        else:
+            out = fs.create(at, False)
+            out.write(bytearray(content))
+            out.close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def current_run(spark: SparkSession, root: str) -> str | None:
+    """The run that was published last; a pointer that is still being written doesn't count."""
+    for number in reversed(_published(spark, root)):
+        fs, at = _store(spark, f"{root}/pointer/{number:010d}")
+        stream = fs.open(at)
+        run = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if run:
+            return run
+    return None
+
+
+def archive(spark: SparkSession, root: str, *, keep: int = 2) -> list[str]:
+    """Move all runs but the ``keep`` published last, of those in ``runs``, to ``archive``; their names. Runs in writing stay."""
+    names = []
+    for number in _published(spark, root):
+        fs, at = _store(spark, f"{root}/pointer/{number:010d}")
+        stream = fs.open(at)
+        names.append(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+    newest = list(dict.fromkeys(reversed(names)))
+    moved = []
+    for run in newest[keep:]:
+        fs, at = _store(spark, f"{root}/runs/{run}")
+        if fs.exists(at):
+            fs.mkdirs(_store(spark, f"{root}/archive")[1])
+            fs.rename(at, _store(spark, f"{root}/archive/{run}")[1])
+            moved.append(run)
+    return moved
 
 
 def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -1,6 +1,7 @@
 """Sources and sinks, and the event stream."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,36 @@ def test_snapshot_is_published_and_read(spark, snapshot, tmp_path):
     assert same["evidence"] == again["evidence"] and same["units"] != again["units"]
 
 
+def test_of_racing_writers_each_gets_a_number_of_its_own(spark, tmp_path):
+    root = str(tmp_path / "race")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: store.publish(spark, root, f"r{k}"), range(16)))
+    assert sorted(numbers) == list(range(1, 17)) and store.current_run(spark, root) == f"r{numbers.index(16)}"
+    with ThreadPoolExecutor(8) as pool:  # all started from the same publication: one is published
+        tried = list(pool.map(lambda k: attempt(spark, root, f"c{k}", 16), range(8)))
+    assert len([t for t in tried if t]) == 1 and store.current_run(spark, root) == next(t for t in tried if t)
+
+
+def attempt(spark, root, run, after):
+    try:
+        store.publish(spark, root, run, after)
+    except RuntimeError:
+        return None
+    return run
+
+
+def test_unfinished_pointers_do_not_count_and_old_runs_are_archived(spark, snapshot, tmp_path):
+    root = tmp_path / "a"
+    for k in range(3):
+        (root / "runs" / f"r{k}").mkdir(parents=True)
+        store.publish(spark, str(root), f"r{k}")
+    (root / "pointer" / "0000000004").write_text("")
+    assert store.current_run(spark, str(root)) == "r2" and store.last_number(spark, str(root)) == 4
+    (root / "pointer" / "0000000004").unlink()
+    assert store.archive(spark, str(root), keep=2) == ["r0"] and sorted(p.name for p in (root / "runs").iterdir()) == ["r1", "r2"]
+    assert [p.name for p in (root / "archive").iterdir()] == ["r0"] and store.archive(spark, str(root), keep=2) == []
+
+
 def test_invalid_snapshots_are_refused(spark, snapshot, tmp_path):
     bad = {**snapshot, "units": snapshot["units"].withColumn("kind", F.lit("nonsense"))}
     with pytest.raises(ValueError, match="invalid snapshot"):
