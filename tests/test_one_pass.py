@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from loomwork.functions import text as X
 from loomwork.operators import extract as E
 from loomwork.operators import quality as Q
 from loomwork.plans.snapshots import snapshot_of
@@ -97,3 +98,18 @@ def test_script_imports(spark):
     lines = ["import x from 'a'", 'import  type {y} from "b"', "import 'c'", "import type 'd'", "import from 'e'", "import  from 'f'", "import a; import 'g'", "importx 'h'", "import(\"i\")", "import x 'j'", "import x from y from `k`"]
     src = spark.createDataFrame([(f"{k}.ts", "typescript", t) for k, t in enumerate(lines)], "path string, lang string, text string")
     assert {r.target for r in E.imports(src).collect()} == {"a", "b", "c", "d", "f", "g", "k"}
+
+
+@pytest.mark.parametrize("line", ["map " * (N // 4), "update " * (N // 7), "filter(" * (N // 7), "x " * (N // 2) + "for"])
+def test_line_rules_take_linear_time(spark, line):
+    began = time.time()
+    rows = spark.createDataFrame([("f", 1, line), ("f", 2, line + " for"), ("f", 3, line + " find")], "path string, line int, code string")
+    got = {(r.line, r.category) for r in Q.scan_lines(rows).collect()}
+    assert time.time() - began < 20
+    assert ((2, "nested-iteration") in got) == line.startswith(("map", "filter", "x"))
+
+
+def test_opening_word_is_any_not_the_first_only(spark):
+    rows = [(1, "format for x, filter(y)"), (2, "filter(y) only"), (3, "xmap for y"), (4, "update a; select b + c"), (5, "selected + c"), (6, "a + update")]
+    got = Q.scan_lines(spark.createDataFrame([("f", *r) for r in rows], "path string, line int, code string"))
+    assert {(r.line, r.category) for r in got.collect() if r.category in ("nested-iteration", "sql-injection")} == {(1, "nested-iteration"), (4, "sql-injection")}
