@@ -47,6 +47,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 7)
 _BLOCK = 256
 _CHARS = 1_000_000
+_PART = 200_000  # tokens whose marginals are held at once in training
 _CACHE = 150_000
 _LIKELY = 0.3
 _MINIMA = 8  # word hashes that training documents of one label must share to count as copies
@@ -141,6 +142,20 @@ def marginals(unary: np.ndarray, first: np.ndarray, trans: tuple[float, ...], st
     return p, joint
 
 
+def _by_parts(unary: np.ndarray, ids: np.ndarray, first: np.ndarray, trans: tuple[float, ...], start: float) -> tuple[np.ndarray, np.ndarray]:
+    """``marginals`` of the tokens ``ids``, whole chains of some ``_PART`` tokens at a time."""
+    p, joint = np.empty(len(ids)), np.zeros((2, 2))
+    begins = np.flatnonzero(first)
+    a = 0
+    while a < len(ids):
+        at = np.searchsorted(begins, a + _PART)
+        b = int(begins[at]) if at < len(begins) else len(ids)
+        p[a:b], own = marginals(unary[ids[a:b]], first[a:b], trans, start)
+        joint += own
+        a = b
+    return p, joint
+
+
 def _doc_rows(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Per document: log1p of expected toxic tokens among likely ones, two surest tokens, share of toxic tokens."""
     out = np.zeros((len(lengths), 4))
@@ -253,7 +268,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: f
     square = np.full(k + 6, 1e-8)
     for _ in range(rounds):  # Adagrad on the conditional likelihood
         unary = theta[k] + np.bincount(wi, weights=theta[fi], minlength=len(words))
-        p, joint = marginals(unary[ids], first, tuple(theta[k + 1 : k + 5]), theta[k + 5])
+        p, joint = _by_parts(unary, ids, first, tuple(theta[k + 1 : k + 5]), theta[k + 5])
         over = gold_word - np.bincount(ids, weights=p, minlength=len(words))
         grad = np.concatenate([np.bincount(fi, weights=over[wi], minlength=k), [over.sum()], (gold - joint).reshape(-1), [(y[first] - p[first]).sum()]])
         grad[:k] -= decay * theta[:k]
@@ -261,7 +276,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 30, toxic_share: f
         theta += 0.6 * grad / np.sqrt(square)
     unary = theta[k] + np.bincount(wi, weights=theta[fi], minlength=len(words))
     model = Model({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3}, float(theta[k]), tuple(map(float, theta[k + 1 : k + 5])), float(theta[k + 5]))
-    p, _ = marginals(unary[ids], first, model.trans, model.start)
+    p, _ = _by_parts(unary, ids, first, model.trans, model.start)
     x = np.column_stack([np.ones(len(lengths)), _doc_rows(p, lengths)])
     weight = np.where(toxic, toxic_share / toxic.sum(), (1 - toxic_share) / (~toxic).sum()) * len(toxic)
     beta = np.zeros(5)

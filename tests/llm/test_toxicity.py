@@ -112,3 +112,20 @@ def test_query_is_the_slow_chain_of_its_model(spark):
             x[1:] = [np.log1p(sum(v for v in p if v >= toxicity._LIKELY)), top[1], top[0], p.mean()]
         want = model.prior if model.prior is not None else 1 / (1 + np.exp(-(x @ np.array(model.logit))))
         assert got[i][0] == pytest.approx(want, abs=1e-4) and got[i][1] == int(got[i][0] >= 0.7)
+
+
+def test_training_takes_chains_by_parts(monkeypatch):
+    """The same marginals, with no more than some tokens' matrices held at once."""
+    rng = np.random.default_rng(3)
+    lengths = [0, 5, 1, 40, 0, 300, 7, 2]
+    first = np.zeros(sum(lengths), dtype=bool)
+    at = np.cumsum([0, *lengths[:-1]])
+    first[[a for a, n in zip(at, lengths, strict=True) if n]] = True
+    unary, ids = rng.normal(size=50), rng.integers(0, 50, size=len(first))
+    trans, seen = (0.3, -0.2, 0.1, 0.5), []
+    want, pairs = toxicity.marginals(unary[ids], first, trans, -0.4)
+    whole = toxicity.marginals
+    monkeypatch.setattr(toxicity, "_PART", 10)
+    monkeypatch.setattr(toxicity, "marginals", lambda u, *rest: seen.append(len(u)) or whole(u, *rest))
+    got, sums = toxicity._by_parts(unary, ids, first, trans, -0.4)
+    assert np.allclose(got, want) and np.allclose(sums, pairs) and sum(seen) == len(ids) and len(seen) == 3
