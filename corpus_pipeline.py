@@ -45,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: linked by SimHash, completed by bands, all decided by five-word shingles, similarity 0.8 or more."""
     return simhash.keep_one(docs)
 
 

@@ -140,13 +140,13 @@ def _overlap(a: Column, b: Column, share: Fraction) -> Column:
     return F.floor((over + under - 1) / under).cast("long")
 
 
-def _rooted(members: DataFrame, n: int, edges: DataFrame | None) -> DataFrame:
-    """(key, node, root, pop) of the keys that still hold more than one root, with ``heavy`` if many of their pairs are apart; ``members`` has ``n`` rows."""
-    if edges is None:
-        rooted = members.withColumn("root", F.col("node"))
-    else:
-        roots = star_components(edges, most=_STARS * n).withColumnRenamed("node", "__n")
-        rooted = members.join(roots, members["node"] == roots["__n"], "left").select("key", "node", "pop", F.coalesce("root", "node").alias("root"))
+def _rooted(members: DataFrame, n: int, edges: DataFrame, m: int) -> DataFrame:
+    """(key, node, root, pop) of the keys that still hold more than one root, with ``heavy`` if many of their pairs are apart.
+
+    ``members`` has ``n`` rows, ``edges`` up to ``m`` of the fingerprints and ``n`` of each round of stars.
+    """
+    roots = star_components(edges, most=m + _STARS * n).withColumnRenamed("node", "__n")
+    rooted = members.join(roots, members["node"] == roots["__n"], "left").select("key", "node", "pop", F.coalesce("root", "node").alias("root"))
     alike = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
     open_ = alike.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max_by("root", F.struct("m", "root")).alias("first"))
     apart = (F.col("m") * F.col("m") - F.col("same")) / 2
@@ -157,6 +157,15 @@ def _pair(u: str = "node", v: str = "v") -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
+def _print_links(nodes: DataFrame) -> DataFrame:
+    """Pairs of ``nodes`` (node, fp) that their fingerprints link: each with the least of its fingerprint, and these by the balls."""
+    hubs = cut(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
+    same = nodes.join(hubs, "fp").where("node <> hub").select(*_pair("node", "hub"))
+    one, two = hubs.toDF("u", "a"), hubs.toDF("v", "b")
+    near = links(hubs.select("fp")).join(one, "u").join(two, "v").where("a <> b").select(*_pair("a", "b"))
+    return same.union(near).distinct()
+
+
 def _stars(rooted: DataFrame) -> DataFrame:
     """Pairs of each key's most popular node outside its largest root with every node of another root."""
     hubs = rooted.where("root <> first or node = first").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("v"), F.col("root").alias("rv")), F.struct(F.col("root") != F.col("first"), "pop", "node")).alias("hub"))
@@ -198,7 +207,9 @@ def _rare_pairs(rooted: DataFrame, sets: DataFrame, share: Fraction) -> DataFram
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """(node ids, edges) that join documents whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share all ``rows`` minima of one of ``bands`` bands of shingles:
+    The first candidates are the links of the documents' SimHashes. They can't
+    give all: at 0.8 two fingerprints differ in some 10 bits. Further ones
+    share all ``rows`` minima of one of ``bands`` bands of shingles:
     similarity j is missed with probability (1 - j ** rows) ** bands. Two
     rounds of stars around each key's most popular nodes join large groups.
     Of the pairs that aren't joined by then, those of keys with few are all
@@ -211,12 +222,13 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                found, keys = [], []
+                found, keys, prints = [], [], []
                 for x in batch.column(1):
+                    prints.append(fingerprint(x.as_py()))
                     hashes = shingles(x.as_py(), words)
                     found.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     keys.append(band_keys(hashes, bands, rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=["id", "set", "keys", "fp"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,15 +241,17 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own_id = T.StructField("id", docs.schema[id_col].dataType)
     longs = T.ArrayType(T.LongType())
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    sketched = texts.mapInArrow(sketch, T.StructType([own_id, T.StructField("set", T.BinaryType()), T.StructField("keys", longs)]))
-    nodes = cut(sketched.groupBy("set", "keys").agg(F.min("id").alias("node")))
+    sketched = texts.mapInArrow(sketch, T.StructType([own_id, T.StructField("set", T.BinaryType()), T.StructField("keys", longs), T.StructField("fp", T.LongType())]))
+    nodes = cut(sketched.groupBy("set", "keys").agg(F.min(F.struct("id", "fp")).alias("x")).select("keys", F.col("x.id").alias("node"), "x.fp"))
+    linked = cut(_print_links(nodes))
     spread = nodes.select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(spread.join(shared, "key").select("key", "node", "n"))
     popular = met.groupBy("node").agg(F.sum("n").alias("pop"))
     n = met.count()
     members = cut_rows(met.join(popular, "node").select("key", "node", "pop"), n)
-    sets = cut(texts.join(popular.select(F.col("node").alias("id")), "id", "left_semi").distinct().mapInArrow(listed, T.StructType([own_id, T.StructField("hashes", longs)])))
+    asked = popular.select("node").union(linked.select("u")).union(linked.select("v"))
+    sets = cut(texts.join(asked.toDF("id"), "id", "left_semi").distinct().mapInArrow(listed, T.StructType([own_id, T.StructField("hashes", longs)])))
 
     def decide(pairs: DataFrame, rows: int) -> DataFrame:
         with_u = pairs.join(sets.toDF("u", "hu"), "u")
@@ -246,11 +260,11 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = F.size(F.array_intersect("hu", "hv"))
         return cut_rows(sized.where(F.least(a, b) >= _overlap(a, b, share)).where(met >= _overlap(a, b, share)).select("u", "v").distinct(), rows)
 
-    edges: DataFrame | None = None
+    m = linked.count()
+    edges = decide(linked, m)
     for _ in range(_STARS):
-        found = decide(_stars(_rooted(members, n, edges)), n)  # a pair a member at most
-        edges = found if edges is None else edges.union(found)
-    left = _rooted(members, n, edges)
+        edges = edges.union(decide(_stars(_rooted(members, n, edges, m)), n))  # a pair a member at most
+    left = _rooted(members, n, edges, m)
     light = left.where(~F.col("heavy"))
     others = light.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
     few = light.join(others, "key").where("root <> rv and node < v").select(*_pair())

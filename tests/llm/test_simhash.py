@@ -174,3 +174,19 @@ def test_recall_by_band_of_similarity(spark):
     for low in (0.8, 0.85, 0.9, 0.95):
         own = [k for k, j in bands.items() if low <= j < low + 0.05 or (low == 0.95 and j == 1)]
         assert len(own) > 5 and sum(2 * k + 1 not in kept for k in own) >= 0.9 * len(own)
+
+
+def test_near_copies_start_from_the_links_of_the_fingerprints(spark):
+    """Without any bands the SimHashes still bring copies together, and the exact similarity decides."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+    prints = {i: simhash.fingerprint(" ".join([*base[:-1], f"end{i}"]).encode()) for i in range(200)}
+    own = simhash.fingerprint(" ".join(base).encode())
+    near = [i for i, fp in prints.items() if 0 < ((fp ^ own) & (2**64 - 1)).bit_count() <= 2][:3]
+    same = [i for i, fp in prints.items() if fp == own][:2]
+    rows = [(1, " ".join(base), "s"), *[(10 + i, " ".join([*base[:-1], f"end{i}"]), "s") for i in [*near, *same]]]
+    rows += [(900, "a b c d e f", "s"), (901, "a b c d e f a b c d e f a b c d e g", "s"), (902, None, "s"), (903, "  ", "s")]
+    nodes, edges = simhash.near_links(documents(spark, rows), bands=0)
+    got = {(r.u, r.v) for r in edges.collect()}
+    assert near and got >= {(1, 10 + i) for i in same} and {x for e in got for x in e} == {1, *(10 + i for i in [*near, *same])}
+    assert 902 in {r.node for r in nodes.collect()}
