@@ -52,9 +52,19 @@ def stem(path: Column) -> Column:
     return F.substring_index(basename(path), ".", 1)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once a row, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def wide_count(text: Column) -> Column:
+    """Code points beyond ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7f]+", "")))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of a token for each ASCII code point, half for any other, at least one."""
-    wide = F.length(F.regexp_replace(text, r"[\x00-\x7f]", ""))
+    wide = wide_count(text)
     return F.greatest(F.lit(1), F.ceil((F.length(text) - wide) * F.lit(0.25) + wide * F.lit(0.5))).cast("long")
 
 
@@ -79,9 +89,61 @@ def fnv1a(text: Column) -> Column:
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+_WORD = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def _worded(items: list, *, back: bool = False) -> bool:
+    """Is the first (``back``: the last) character of each match of a parsed sequence a word's? A match without characters has none."""
+    if not items:
+        return False
+    (op, arg), rest = (items[-1], items[:-1]) if back else (items[0], items[1:])
+    name, near = str(op), lambda own: _worded([*rest, *own] if back else [*own, *rest], back=back)
+    if name == "LITERAL":
+        return chr(arg) in _WORD
+    if name == "IN":
+        fits = {"LITERAL": lambda v: chr(v) in _WORD, "RANGE": lambda v: v[1] < 128 and all(chr(c) in _WORD for c in range(v[0], v[1] + 1)), "CATEGORY": lambda v: str(v) in ("CATEGORY_DIGIT", "CATEGORY_WORD")}
+        return all(str(k) in fits and fits[str(k)](v) for k, v in arg)
+    if name == "SUBPATTERN":
+        return near(arg[3])
+    if name == "ATOMIC_GROUP":
+        return near(arg)
+    if name == "BRANCH":
+        return all(near(x) for x in arg[1])
+    if name.endswith("_REPEAT"):
+        return near(arg[2]) and (arg[0] > 0 or near([]))
+    return name in ("AT", "ASSERT", "ASSERT_NOT") and near([])
+
+
+def _edges(items: list, before: list, after: list):
+    """Of each word edge in a parsed sequence, from left to right: does a word begin there, does one end?"""
+    for k, (op, arg) in enumerate(items):
+        name, left, right = str(op), [*before, *items[:k]], [*items[k + 1 :], *after]
+        if name == "AT" and str(arg) == "AT_BOUNDARY":
+            yield _worded(right), _worded(left, back=True)
+        elif name == "SUBPATTERN":
+            yield from _edges(list(arg[3]), left, right)
+        elif name == "BRANCH":
+            for x in arg[1]:
+                yield from _edges(list(x), left, right)
+        elif name == "ATOMIC_GROUP" or name.startswith("ASSERT") or name.endswith("_REPEAT"):
+            yield from _edges(list(arg if name == "ATOMIC_GROUP" else arg[-1]), [], [])
+
+
+@lru_cache(maxsize=None)
 def ascii_edges(pattern: str) -> str:
-    """The pattern with word edges of ASCII letters, digits and "_" only; the JVM's own ones see other letters too."""
-    return pattern.replace(r"\b", _EDGE)
+    """The pattern with word edges of ASCII letters, digits and "_" only; the JVM's own ones see other letters too.
+
+    Where a word must begin or end at an edge, one look to its other side does.
+    """
+    parts = pattern.split(r"\b")
+    try:
+        found = list(_edges(list(re._parser.parse(pattern)), [], []))
+    except re.error:  # a pattern only the JVM knows
+        found = []
+    if len(found) != len(parts) - 1:  # branches that begin alike are parsed as one
+        found = [(False, False)] * (len(parts) - 1)
+    looks = ["(?<![A-Za-z0-9_])" if begins else "(?![A-Za-z0-9_])" if ends else _EDGE for begins, ends in found]
+    return parts[0] + "".join(a + b for a, b in zip(looks, parts[1:], strict=True))
 
 
 _FEW = 24  # words of a set at most

@@ -80,7 +80,7 @@ def _any(text: Column, patterns: list[str]) -> Column:
 
 def quarters(text: Column) -> Column:
     """Quarters of a token: one for an ASCII code point, two for any other."""
-    return 2 * F.length(text) - F.length(F.regexp_replace(text, r"[^\x00-\x7f]+", ""))
+    return F.length(text) + X.wide_count(text)
 
 
 def split_lines(texts: DataFrame, by: str, text: str) -> DataFrame:
@@ -135,6 +135,13 @@ def keep_smaller(texts: DataFrame, reduced: DataFrame, by: str, text: str) -> Da
     return met.select(by, F.when(shorter, F.col("content")).otherwise(F.col("__own")).alias("content"), shorter.alias("derived"))
 
 
+def keep_smaller_own(texts: DataFrame, by: str, text: str, reduction) -> DataFrame:
+    """The same for a reduction that is an expression of the text: nothing is joined, and the reduction made once a row."""
+    both = texts.select(by, F.inline(F.array(F.struct(_plain(F.col(text)).alias("own"), reduction(F.col(text)).alias("content")))))
+    shorter = F.coalesce(F.octet_length("content") < F.octet_length("own"), F.lit(False))
+    return both.select(by, F.when(shorter, F.col("content")).otherwise(F.col("own")).alias("content"), shorter.alias("derived"))
+
+
 def _part(section: int, pos: Column | int, text: Column) -> list[Column]:
     return [F.lit(section).alias("section"), (F.lit(pos) if isinstance(pos, int) else pos).cast("long").alias("pos"), text.alias("text")]
 
@@ -229,14 +236,22 @@ def generic_output(texts: DataFrame, by: str, text: str, *, tokens: int = 1200)
 
 def diff_projection(text: Column) -> Column:
     """Files, signals and counts of a diff, then every hunk mark and changed line: nothing that changed is dropped."""
-    lines = F.split(_plain(text), "\n", -1)
+    own = _plain(text)
+    return X.let(F.struct(F.split(own, "\n", -1).alias("lines"), F.lower(own).alias("low")), lambda t: X.let(_changed(t["lines"]), lambda c: _projected_diff(t["lines"], t["low"], c)))
+
+
+def _changed(lines: Column) -> Column:
+    return F.filter(lines, lambda x: x.rlike("^[+-]") & ~x.startswith("---") & ~x.startswith("+++"))
+
+
+def _projected_diff(lines: Column, low: Column, changed: Column) -> Column:
     named = F.transform(F.filter(lines, lambda x: x.startswith("+++ b/") | x.startswith("--- a/")), lambda x: F.trim(F.substring(x, F.lit(7), F.length(x))))
     files = F.array_distinct(F.filter(named, lambda x: (x != "") & (x != "/dev/null")))
-    changed = F.filter(lines, lambda x: x.rlike("^[+-]") & ~x.startswith("---") & ~x.startswith("+++"))
-    at = lambda p: F.array_position(F.transform(changed, lambda x: _has(x, p)), True)
-    seen = F.array(*[F.when(at(p) > 0, F.struct(at(p).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name"))) for k, (name, p) in enumerate(DIFF_SIGNALS)])
-    signals = F.transform(F.array_sort(F.array_compact(seen)), lambda x: x["name"])
-    listed = lambda xs, none: F.when(F.size(xs) > 0, F.array_join(xs, ", ")).otherwise(none)
+    hit = lambda x, p: X.may_match(F.lower(x), p) & _has(x, p)
+    at = lambda p: F.when(X.may_match(low, p), F.array_position(F.transform(changed, lambda x: hit(x, p)), True))
+    found = F.array(*[F.struct(at(p).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, p) in enumerate(DIFF_SIGNALS)])
+    signals = F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["name"])
+    listed = lambda made, none: X.let(made, lambda xs: F.when(F.size(xs) > 0, F.array_join(xs, ", ")).otherwise(none))
     count = lambda c: F.size(F.filter(changed, lambda x: x.startswith(c))).cast("string")
     header = F.array(
         F.concat(F.lit("Changed files: "), listed(files, "none recorded")),
@@ -249,22 +264,34 @@ def diff_projection(text: Column) -> Column:
 
 
 def document_projection(text: Column, tokens: int) -> Column:
-    """A document's requirements and literals, all of them, and of its outline what still fits, in order; a document without any stays."""
-    own = _plain(text)
-    lines, limit = F.split(own, "\n", -1), 4 * tokens
-    must = lambda x: _any(x, [REQUIREMENT, LITERAL])
-    chosen = F.filter(lines, lambda x: must(x) | x.rlike(OUTLINE))
-    required = F.array_distinct(F.filter(lines, must))
-    others = F.array_except(F.filter(lines, lambda x: x.rlike(OUTLINE)), required)
-    weight = F.aggregate(required, F.lit(-1), lambda acc, x: (acc + quarters(x) + 1).cast("int"))
-    start = F.struct(weight.alias("used"), F.array_join(required, "\n").alias("text"), F.size(required).alias("n"))
+    """A document's requirements and literals, all of them, and of its outline what still fits, in order; a document without any stays.
+
+    A line is looked at once, and a pattern tried where the words or signs that it needs occur.
+    """
+    limit = 4 * tokens
+    literal = lambda x: x.rlike("[0-9`]") & _has(x, LITERAL)
+    must = lambda x: literal(x) | (X.may_match(F.lower(x), REQUIREMENT) & _has(x, REQUIREMENT))
+    line = lambda x: F.struct(x.alias("line"), must(x).alias("must"), x.rlike(OUTLINE).alias("outline"))
+    of = lambda marked, keep: F.transform(F.filter(marked, keep), lambda x: x["line"])
+
+    def sorted_out(marked: Column) -> Column:
+        outline, chosen = of(marked, lambda x: x["outline"]), F.size(F.filter(marked, lambda x: x["must"] | x["outline"]))
+        return F.struct(F.array_distinct(of(marked, lambda x: x["must"])).alias("required"), outline.alias("outline"), chosen.alias("chosen"))
 
     def step(acc: Column, x: Column) -> Column:
         used = (acc["used"] + quarters(x) + 1).cast("int")
         more = F.concat(acc["text"], F.when(acc["n"] > 0, "\n").otherwise(""), x)
         return F.when(used <= limit, F.struct(used.alias("used"), more.alias("text"), (acc["n"] + 1).alias("n"))).otherwise(acc)
 
-    return F.aggregate(others, start, step, lambda acc: F.when(F.size(chosen) == 0, own).otherwise(F.concat(F.trim(acc["text"]), F.when(acc["n"] < F.size(chosen), F.lit("\n" + PRESERVED)).otherwise(""))))
+    def reduced(own: Column, s: Column) -> Column:
+        weight = F.aggregate(s["required"], F.lit(-1), lambda acc, x: (acc + quarters(x) + 1).cast("int"))
+        start = F.struct(weight.alias("used"), F.array_join(s["required"], "\n").alias("text"), F.size(s["required"]).alias("n"))
+        mark = lambda acc: F.when(acc["n"] < s["chosen"], F.lit("\n" + PRESERVED)).otherwise("")
+        made = F.aggregate(F.array_except(s["outline"], s["required"]), start, step, lambda acc: F.concat(F.trim(acc["text"]), mark(acc)))
+        return F.when(s["chosen"] == 0, own).otherwise(made)
+
+    marks = lambda own: F.transform(F.split(own, "\n", -1), line)
+    return X.let(_plain(text), lambda own: X.let(X.let(marks(own), sorted_out), lambda s: reduced(own, s)))
 
 
 def conversation_state(entries: DataFrame, by: str, *, tokens: int = 1200) -> DataFrame:

@@ -133,8 +133,7 @@ def c8_diff(spark, sf):
 @query("c8_documentation")
 def c8_documentation(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    made = docs.withColumn("content", Z.document_projection(F.col("text"), 300)).select("id", "content")
-    return Z.keep_smaller(docs, made, "id", "text")
+    return Z.keep_smaller_own(docs, "id", "text", lambda text: Z.document_projection(text, 300))
 
 
 _HIST = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {Z.HISTORY_SECTIONS.index(s)}" for s, p in Z.HISTORY_TEXTS) + " END"
