@@ -184,34 +184,43 @@ def packets(rows: DataFrame, by: str, order: str, cost: str, size: int) -> DataF
 
 
 def line_scores(lines: DataFrame, terms: list[str], ranges: list[tuple[int, int]] = ()) -> DataFrame:
-    """(path, line, score, mandatory): a line's weight for a query; mandatory lines carry more than calls and literals."""
-    code, low = F.col("code"), F.lower("code")
-    hits = [F.when(code.rlike(X.ascii_edges(p)), w).otherwise(0) for p, _, w in SIGNALS]
+    """(path, line, code, score, mandatory): a line's weight for a query; mandatory lines carry more than calls and literals.
+
+    A signal is tried once a line, on lines that hold the words it needs. The scores come out of a generator, which keeps
+    filters on them from trying again.
+    """
+    code, low = F.col("code"), F.col("low")
+    made = lines.select("path", "line", "code", F.lower("code").alias("low"))
+    made = made.withColumn("hits", F.array(*[X.may_match(low, p) & code.rlike(X.ascii_edges(p)) for p, _, _ in SIGNALS]))
+    hit = [F.col("hits")[k] for k in range(len(SIGNALS))]
+    weights = [F.when(h, w).otherwise(0) for h, (_, _, w) in zip(hit, SIGNALS, strict=True)]
     near = [F.when(low.contains(t.lower()), TERM_WEIGHT).otherwise(0) for t in terms if len(t) > 2]
     inside = reduce(lambda a, b: a | b, [F.col("line").between(a, b) for a, b in ranges], F.lit(False))
-    strong = reduce(lambda a, b: a | b, [code.rlike(X.ascii_edges(p)) for p, label, _ in SIGNALS if label not in ("call", "literal")])
-    return lines.select("path", "line", "code", (sum([*hits, *near], F.lit(0)) + F.when(inside, RANGE_WEIGHT).otherwise(0)).alias("score"), strong.alias("mandatory"))
+    strong = reduce(lambda a, b: a | b, [h for h, (_, label, _) in zip(hit, SIGNALS, strict=True) if label not in ("call", "literal")])
+    score = sum([*weights, *near], F.lit(0)) + F.when(inside, RANGE_WEIGHT).otherwise(0)
+    return made.select("path", "line", "code", F.inline(F.array(F.struct(score.alias("score"), strong.alias("mandatory")))))
 
 
 def compress_source(lines: DataFrame, terms: list[str], budget: int) -> DataFrame:
-    """(path, line) kept: mandatory lines, then scored lines and their neighbours by score while they fit."""
-    scored = line_scores(lines, terms)
+    """(path, line) kept: mandatory lines, then scored lines and their neighbours by score while they fit.
+
+    Only numbers of lines are brought together, each path's once; what a path keeps beyond its mandatory lines is folded
+    inside the plan, and the budget bounds it, as a line costs one at least.
+    """
+    scored = line_scores(lines, terms).select("path", "line", "score", "mandatory", X.token_estimate(F.col("code")).alias("cost"))
     w = Window.partitionBy("path").orderBy("line")
     near = (F.col("score") > 0) | (F.coalesce(F.lag("score").over(w), F.lit(0)) > 0) | (F.coalesce(F.lead("score").over(w), F.lit(0)) > 0)
-    kept = scored.withColumn("near", near).where("near").withColumn("cost", X.token_estimate(F.col("code")))
-    must = kept.where("mandatory").select("path", "line")
-    spent = kept.where("mandatory").groupBy("path").agg(F.sum("cost").alias("spent"))
-    rest = kept.where("not mandatory").join(spent, "path", "left").withColumn("room", F.lit(budget) - F.coalesce("spent", F.lit(0))).withColumn("neg", -F.col("score"))
+    kept = scored.withColumn("near", near).where("near")
+    rest = F.when(~F.col("mandatory"), F.struct((-F.col("score")).alias("neg"), "line", "cost"))
+    of = kept.groupBy("path").agg(F.collect_list(F.when(F.col("mandatory"), F.col("line"))).alias("must"), (F.lit(budget) - F.coalesce(F.sum(F.when(F.col("mandatory"), F.col("cost"))), F.lit(0))).alias("room"), F.collect_list(rest).alias("rest"))
+    start = F.struct(F.col("room").alias("left"), F.array().cast("array<int>").alias("keep"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["neg", "line"])
-        left, keep = int(pdf["room"].iloc[0]), []
-        for c in pdf["cost"]:
-            keep.append(c <= left)
-            left -= c if keep[-1] else 0
-        return pdf[keep][["path", "line"]]
+    def step(acc: Column, x: Column) -> Column:
+        more = F.struct((acc["left"] - x["cost"]).alias("left"), F.concat(acc["keep"], F.array(x["line"].cast("int"))).alias("keep"))
+        return F.when(x["cost"] <= acc["left"], more).otherwise(acc)
 
-    return must.union(rest.groupBy("path").applyInPandas(fold, "path string, line int"))
+    fits = F.array_sort(F.filter("rest", lambda x: x["cost"] <= F.col("room")))
+    return of.select("path", F.explode(F.concat("must", F.aggregate(fits, start, step)["keep"])).alias("line"))
 
 
 def unique_lines(lines: DataFrame, by: str, at: str, code: str) -> DataFrame:
