@@ -124,19 +124,21 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cheapest_paths(edges: DataFrame, source: DataFrame, *, rounds: int | None = None) -> DataFrame:
     """(id, cost, hops, previous) from the one ``source`` (id) over edges (src, dst, cost): relaxation to a fixpoint.
 
-    Ties go to fewer hops, then the smaller previous node. A negative cycle,
+    A round starts from the nodes that the last one changed; what others offer was weighed before, and an equal offer changes
+    nothing. Ties go to fewer hops, then the smaller previous node. A negative cycle,
     which has no fixpoint, is an error, as is a limit of ``rounds`` that is hit.
     """
     kind = edges.schema["src"].dataType
     best = cut(source.select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("previous")))
+    front = best
     for turn in count(1):
-        tried = best.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.col("cost").alias("c")), "id")
+        tried = front.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.col("cost").alias("c")), "id")
         tried = tried.select(F.col("to").alias("id"), F.round(F.col("cost") + F.col("c"), 9).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("id").alias("previous"))
         merged = best.withColumn("new", F.lit(0)).union(tried.withColumn("new", F.lit(1)))
         order = Window.partitionBy("id").orderBy("cost", "hops", "new", "previous")
         step = cut(merged.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn"))
-        best = step.drop("new")
-        if step.where("new = 1").isEmpty():
+        best, front = step.drop("new"), step.where("new = 1").drop("new")
+        if front.isEmpty():
             return best
         if turn == rounds:
             raise RuntimeError(f"no fixpoint after {rounds} rounds")

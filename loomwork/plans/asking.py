@@ -9,7 +9,7 @@ from loomwork.functions import text as X
 from loomwork.operators import asking as Q
 from loomwork.plans import bindings as B
 from loomwork.plans.registry import query
-from loomwork.session import cut, table
+from loomwork.session import cut, spread, table
 
 KINDS = ["symbol", "file", "api", "test", "service", "risk-area"]
 RELATIONS = ["calls", "tests", "imports", "reads", "may-impact", "implements"]
@@ -37,7 +37,11 @@ def facts(spark, sf):
         props.alias("properties"), ((F.col("p_size") % 10) / 10.0).alias("confidence"), F.when(F.col("p_partkey") % 13 == 0, "deleted").otherwise("active").alias("lifecycle"),
     )
     inside = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    steps = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(inside).alias("dst")).where("dst is not null and src <> dst").distinct()
+    lines = table(spark, sf, "lineitem")
+    rows = lines.count()
+    by_order = spread(lines.select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", rows=rows)
+    each = by_order.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(inside).alias("dst")).where("dst is not null and src <> dst")
+    steps = spread(each, "src", "dst", rows=rows).distinct()
     rels = steps.select((F.col("src") * 10000000 + F.col("dst")).alias("id"), rel.alias("kind"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"), ((F.col("src") % 10) / 10.0).alias("confidence"), F.lit("active").alias("lifecycle"))
     return units, rels
 
